@@ -107,9 +107,9 @@ def added_spans(text: str, threshold: float = THRESHOLD) -> list[Span]:
             if kind == "iban" and not (15 <= len(s := m[0].replace(" ", "")) <= 34 and mod97(s)):
                 continue
             near = text[max(0, m.start() - CONTEXT) : m.start()] + " " + text[m.end() : m.end() + CONTEXT]
-            score = _PRIOR[kind] + 0.3 * bool(_NEAR[kind].search(near)) - 0.2 * bool(_AGAINST.search(near))
+            score = round(_PRIOR[kind] + 0.3 * bool(_NEAR[kind].search(near)) - 0.2 * bool(_AGAINST.search(near)), 3)
             if score >= threshold:
-                out.append(Span(kind, *m.span(), round(score, 3)))
+                out.append(Span(kind, *m.span(), score))
     return out
 
 
