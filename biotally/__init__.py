@@ -1,0 +1 @@
+"""Community diversity analytics on Spark."""
