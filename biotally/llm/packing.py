@@ -18,6 +18,8 @@ gives an empty result; columns beside id and text are ignored.
 
 from __future__ import annotations
 
+import sys
+import types
 import zlib
 from bisect import bisect_right
 from collections import defaultdict
@@ -48,29 +50,86 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 class WordEncoder:
     """Ids of whole texts as little-endian unsigned 32-bit bytes.
 
-    The tokenizer's pre-tokens never span white space, so the ids of a text are
-    those of its words in turn; words are encoded once and kept, up to
-    ``keep`` of them, after which the store starts afresh.
+    The tokenizer's pre-tokens never span white space, nor a place where marks
+    follow a letter or digit, so the ids of a text are those of its words in
+    turn, and a word's those of its letters and of the marks behind them. What
+    was encoded is kept, up to ``keep`` entries, after which the store starts
+    afresh. The tokenizer lower-cases; words are kept lower-cased unless the
+    text could hold a special token.
     """
 
-    def __init__(self, path: str, keep: int = 400_000) -> None:
+    def __init__(self, path: str, keep: int = 800_000) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.keep = keep
         self.known: dict[bytes, bytes] = {}
+        last = [token.endswith("</w>") for token, _ in sorted(self.tokenizer.get_vocab().items(), key=lambda x: x[1])]
+        self.ends_word = np.array(last, dtype=bool)
+
+    def _one_by_one(self, words: list[bytes]) -> None:
+        for lo in range(0, len(words), 4096):
+            part = words[lo : lo + 4096]
+            found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
+            self.known.update(zip(part, (np.asarray(e.ids, dtype="<u4").tobytes() for e in found), strict=True))
+
+    def _learn(self, words: list[bytes]) -> None:
+        """Words of letters alone are one pre-token each: many are encoded as one
+        text and told apart by the tokens that end a word."""
+        plain = [w for w in words if w.isalpha() or w.decode("utf-8", "replace").isalpha()]
+        for lo in range(0, len(plain), 512):
+            part = plain[lo : lo + 512]
+            ids = np.asarray(self.tokenizer.encode_batch_fast([b" ".join(part).decode("utf-8", "replace")], add_special_tokens=False)[0].ids, dtype="<u4")
+            ends = np.flatnonzero(self.ends_word[ids]) + 1
+            if len(ends) != len(part):  # letters to Python, not to the tokenizer
+                self._one_by_one(part)
+                continue
+            raw, ends = ids.tobytes(), (4 * ends).tolist()
+            self.known.update((w, raw[a:b]) for w, a, b in zip(part, [0, *ends], ends, strict=False))
+        known = self.known
+        self._one_by_one([w for w in words if w not in known])
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.encode("utf-8", "surrogatepass").split() for t in texts]
+        raw = [t.encode("utf-8", "surrogatepass") for t in texts]
+        split = [(r if b"<|" in r else r.lower()).split() for r in raw]
         if len(self.known) > self.keep:
             self.known = {}
-        new = set().union(*split).difference(self.known) if split else set()
-        if new:
-            words = list(new)
-            found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
-            self.known.update(zip(words, (np.asarray(e.ids, dtype="<u4").tobytes() for e in found), strict=True))
         known = self.known
-        return [b"".join([known[w] for w in words]) for words in split]
+        pieces = [list(map(known.get, words)) for words in split]
+        gaps: list[list[int]] = []
+        new: set[bytes] = set()
+        for words, found in zip(split, pieces, strict=True):
+            at, own = -1, []
+            for _ in range(found.count(None)):
+                at = found.index(None, at + 1)
+                own.append(at)
+            gaps.append(own)
+            new.update(words[k] for k in own)
+        self._learn_words(new)
+        for words, found, own in zip(split, pieces, gaps, strict=True):
+            for k in own:
+                found[k] = known[words[k]]
+        return list(map(b"".join, pieces))
+
+    def _learn_words(self, new: set[bytes]) -> None:
+        known = self.known
+        cores = {w: w.rstrip(_MARKS) for w in new}
+        # Only behind an ASCII letter or digit is a mark surely a pre-token of its own.
+        cores = {w: c if c and c != w and c[-1:].isalnum() else w for w, c in cores.items()}
+        parts = set(cores.values()).union(w[len(c) :] for w, c in cores.items() if c != w).difference(known)
+        self._learn(list(parts))
+        known.update((w, known[c] + known[w[len(c) :]]) for w, c in cores.items() if c != w)
+
+
+_MARKS = b".,;:!?#%&*$)\"-"
+
+
+def encoder(path: str) -> WordEncoder:
+    """One for each worker process, which runs many tasks."""
+    store = sys.modules.setdefault("_biotally_process", types.ModuleType("_biotally_process")).__dict__
+    if ("encoder", path) not in store:
+        store["encoder", path] = WordEncoder(path)
+    return store["encoder", path]
 
 
 def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
@@ -83,14 +142,15 @@ def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder = WordEncoder(path)
+        encode = encoder(path).encode
         for pdf in batches:
             for lo in range(0, len(pdf), 256):
                 part = pdf.iloc[lo : lo + 256]
                 rows = []
-                for doc, ids in zip(part["_id"].tolist(), encoder.encode(part["_text"].tolist()), strict=True):
+                for doc, ids in zip(part["_id"].tolist(), encode(part["_text"].tolist()), strict=True):
                     ids += end
-                    rows += [(None if pd.isna(doc) else int(doc), k, at // 4, len(ids[at : at + step]) // 4, zlib.crc32(ids[at : at + step])) for k, at in enumerate(range(0, len(ids), step))]
+                    doc = None if doc is None or doc != doc else int(doc)
+                    rows += [(doc, k, at // 4, len(ids[at : at + step]) // 4, zlib.crc32(ids[at : at + step])) for k, at in enumerate(range(0, len(ids), step))]
                 out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
                 out["doc_id"] = out["doc_id"].astype("Int64")
                 yield out
