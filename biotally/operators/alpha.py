@@ -69,11 +69,12 @@ def by_distance(weights: DataFrame, distmat: DataFrame, keys: list[str]) -> Data
     return weights.join(distmat, weights["feature"] == distmat["f2"]).groupBy("f1", *keys).agg(F.sum(F.col("d") * F.col("w")).alias("dw"))
 
 
-def gram(left: DataFrame, right: DataFrame, distmat: DataFrame) -> DataFrame:
-    """s1, s2, g = sum over features of w1 d w2. Inputs have feature, sample, w."""
-    dw = by_distance(right, distmat, ["sample"]).withColumnRenamed("sample", "s2")
-    a = left.withColumnRenamed("sample", "s1")
-    return a.join(dw, a["feature"] == dw["f1"]).groupBy("s1", "s2").agg(F.sum(F.col("w") * F.col("dw")).alias("g"))
+def gram(left: DataFrame, right: DataFrame, distmat: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """keys, s1, s2, g = sum over features of w1 d w2. Inputs have keys,
+    feature, sample, w."""
+    dw = by_distance(right, distmat, [*keys, "sample"]).withColumnRenamed("sample", "s2").withColumnRenamed("f1", "feature")
+    a = left.select(*keys, "feature", F.col("sample").alias("s1"), "w")
+    return a.join(dw, [*keys, "feature"]).groupBy(*keys, "s1", "s2").agg(F.sum(F.col("w") * F.col("dw")).alias("g"))
 
 
 def _diagonal(weights: DataFrame, right: DataFrame, distmat: DataFrame) -> DataFrame:
@@ -120,12 +121,12 @@ def mpd(tab: DataFrame, distmat: DataFrame, q: float = 1) -> DataFrame:
     return size.join(_diagonal(w, w, distmat), "sample", "left").select("sample", value.alias("mpd"))
 
 
-def nearest(tab: DataFrame, other: DataFrame, distmat: DataFrame) -> DataFrame:
-    """s1, s2, feature, w, near: for each feature of s1 the nearest other
-    feature of s2. Inputs have feature, sample, w."""
-    a = tab.select(F.col("feature").alias("f1"), F.col("sample").alias("s1"), "w")
-    b = other.select(F.col("feature").alias("f2"), F.col("sample").alias("s2"))
-    return a.join(distmat.where("f1 <> f2"), "f1").join(b, "f2").groupBy("s1", "s2", F.col("f1").alias("feature"), "w").agg(F.min("d").alias("near"))
+def nearest(tab: DataFrame, other: DataFrame, distmat: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """keys, s1, s2, feature, w, near: for each feature of s1 the nearest other
+    feature of s2. Inputs have keys, feature, sample, w."""
+    a = tab.select(*keys, F.col("feature").alias("f1"), F.col("sample").alias("s1"), "w")
+    b = other.select(*keys, F.col("feature").alias("f2"), F.col("sample").alias("s2"))
+    return a.join(distmat.where("f1 <> f2"), "f1").join(b, [*keys, "f2"]).groupBy(*keys, "s1", "s2", F.col("f1").alias("feature"), "w").agg(F.min("d").alias("near"))
 
 
 def mntd(tab: DataFrame, distmat: DataFrame, q: float = 1) -> DataFrame:

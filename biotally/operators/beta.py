@@ -28,12 +28,12 @@ def shared(rows: DataFrame, key: str, value: str, *carry: str) -> DataFrame:
     return a.join(b, key).where("s1 < s2")
 
 
-def _with_spine(pairs: DataFrame, totals: DataFrame) -> DataFrame:
+def _with_spine(pairs: DataFrame, totals: DataFrame, spine: DataFrame | None = None) -> DataFrame:
     """All pairs with both samples' totals (columns suffixed 1 and 2)."""
     names = [c for c in totals.columns if c != "sample"]
     one = totals.select(F.col("sample").alias("s1"), *[F.col(c).alias(f"{c}1") for c in names])
     two = totals.select(F.col("sample").alias("s2"), *[F.col(c).alias(f"{c}2") for c in names])
-    return pair_spine(totals).join(one, "s1").join(two, "s2").join(pairs, ["s1", "s2"], "left")
+    return (pair_spine(totals) if spine is None else spine).join(one, "s1").join(two, "s2").join(pairs, ["s1", "s2"], "left")
 
 
 def _extra(q: float) -> Column:
@@ -42,35 +42,35 @@ def _extra(q: float) -> Column:
     return term(x1 + x2, q) - term(x1, q) - term(x2, q)
 
 
-def naive_beta(tab: DataFrame, q: float = 1, dis: bool = True, viewpoint: str = "regional", use_values: bool = False) -> DataFrame:
+def naive_beta(tab: DataFrame, q: float = 1, dis: bool = True, viewpoint: str = "regional", use_values: bool = False, spine: DataFrame | None = None) -> DataFrame:
     """s1, s2, value."""
     p = relative(tab, use_values)
     totals = p.groupBy("sample").agg(F.sum(term(F.col("p"), q)).alias("t"), F.sum(term(F.col("p") / 2, q)).alias("h"))
     pairs = shared(p, "feature", "p").groupBy("s1", "s2").agg(F.sum(_extra(q)).alias("x"))
-    rows = _with_spine(pairs, totals)
+    rows = _with_spine(pairs, totals, spine)
     gamma = from_sum(F.col("h1") + F.col("h2") + F.coalesce("x", F.lit(0.0)), q)
     alpha = from_sum((F.col("t1") + F.col("t2")) / 2, q)
     beta = gamma / alpha
     return rows.select("s1", "s2", (dissimilarity(beta, q, 2.0, "naive", viewpoint) if dis else beta).alias("value"))
 
 
-def phyl_beta(tab: DataFrame, tree: DataFrame, node_leaf: DataFrame, q: float = 1, dis: bool = True, viewpoint: str = "regional", use_values: bool = False) -> DataFrame:
+def phyl_beta(tab: DataFrame, tree: DataFrame, node_leaf: DataFrame, q: float = 1, dis: bool = True, viewpoint: str = "regional", use_values: bool = False, spine: DataFrame | None = None) -> DataFrame:
     """s1, s2, value; sums of both levels are over the pair's pooled height."""
     a = branch_shares(tab, node_leaf, use_values).join(tree.select("node", "branchL"), "node").where("a > 0")
     length = F.col("branchL")
     totals = a.groupBy("sample").agg(F.sum(length * term(F.col("a"), q)).alias("t"), F.sum(length * term(F.col("a") / 2, q)).alias("h"), F.sum(length * F.col("a")).alias("m"))
     pairs = shared(a, "node", "a", "branchL").groupBy("s1", "s2").agg(F.sum(F.col("branchL") * _extra(q)).alias("x"))
-    rows = _with_spine(pairs, totals).withColumn("pooled", (F.col("m1") + F.col("m2")) / 2)
+    rows = _with_spine(pairs, totals, spine).withColumn("pooled", (F.col("m1") + F.col("m2")) / 2)
     gamma = from_sum(F.try_divide(F.col("h1") + F.col("h2") + F.coalesce("x", F.lit(0.0)), F.col("pooled")), q)
     alpha = from_sum(F.try_divide((F.col("t1") + F.col("t2")) / 2, F.col("pooled")), q)
     beta = gamma / alpha
     return rows.select("s1", "s2", (dissimilarity(beta, q, 2.0, "phyl", viewpoint) if dis else beta).alias("value"))
 
 
-def func_beta(tab: DataFrame, distmat: DataFrame, q: float = 1, dis: bool = True, viewpoint: str = "regional") -> DataFrame:
+def func_beta(tab: DataFrame, distmat: DataFrame, q: float = 1, dis: bool = True, viewpoint: str = "regional", spine: DataFrame | None = None) -> DataFrame:
     """s1, s2, value; the raw value is the square of the pair's ratio."""
     p = relative(tab)
-    pairs = pair_spine(p)
+    pairs = pair_spine(p) if spine is None else spine
     long = pairs.select("s1", "s2", F.explode(F.array("s1", "s2")).alias("sample")).join(p, "sample")
     pooled = long.groupBy("s1", "s2", "feature").agg((F.sum("p") / 2).alias("w"))
     dq = by_distance(pooled, distmat, ["s1", "s2"]).withColumnRenamed("f1", "feature")
@@ -99,18 +99,18 @@ def func_beta(tab: DataFrame, distmat: DataFrame, q: float = 1, dis: bool = True
     return rows.select("s1", "s2", (dissimilarity(beta, q, 2.0, "func", viewpoint) if dis else beta).alias("value"))
 
 
-def bray(tab: DataFrame, use_values: bool = False) -> DataFrame:
+def bray(tab: DataFrame, use_values: bool = False, spine: DataFrame | None = None) -> DataFrame:
     p = relative(tab, use_values)
     pairs = shared(p, "feature", "p").groupBy("s1", "s2").agg(F.sum(F.least("x1", "x2")).alias("x"))
-    return pair_spine(p).join(pairs, ["s1", "s2"], "left").select("s1", "s2", (F.lit(1.0) - F.coalesce("x", F.lit(0.0))).alias("value"))
+    return (pair_spine(p) if spine is None else spine).join(pairs, ["s1", "s2"], "left").select("s1", "s2", (F.lit(1.0) - F.coalesce("x", F.lit(0.0))).alias("value"))
 
 
-def jaccard(tab: DataFrame) -> DataFrame:
+def jaccard(tab: DataFrame, spine: DataFrame | None = None) -> DataFrame:
     p = tab.where("value > 0").select("feature", "sample", F.lit(1).alias("one"))
     totals = p.groupBy("sample").agg(F.count(F.lit(1)).alias("n"))
     pairs = shared(p, "feature", "one").groupBy("s1", "s2").agg(F.count(F.lit(1)).alias("x"))
     both = F.coalesce("x", F.lit(0))
-    return _with_spine(pairs, totals).select("s1", "s2", (F.lit(1.0) - F.coalesce(F.try_divide(both, F.col("n1") + F.col("n2") - both), F.lit(0.0))).alias("value"))
+    return _with_spine(pairs, totals, spine).select("s1", "s2", (F.lit(1.0) - F.coalesce(F.try_divide(both, F.col("n1") + F.col("n2") - both), F.lit(0.0))).alias("value"))
 
 
 # -- groups of samples ---------------------------------------------------------
@@ -224,29 +224,40 @@ def dissimilarity_by_feature(tab: DataFrame, groups: DataFrame | None = None, q:
 # -- relatedness between samples -------------------------------------------------
 
 
+def mpd_between(w: DataFrame, distmat: DataFrame, spine: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """keys, s1, s2, value from weights (keys, feature, sample, w)."""
+    z = w.groupBy(*keys, "sample").agg(F.sum("w").alias("z"))
+    g = gram(w, w, distmat, keys).where("s1 < s2")
+    one, two = z.select(*keys, F.col("sample").alias("s1"), F.col("z").alias("z1")), z.select(*keys, F.col("sample").alias("s2"), F.col("z").alias("z2"))
+    rows = spine.join(one, [*keys, "s1"]).join(two, [*keys, "s2"]).join(g, [*keys, "s1", "s2"], "left")
+    return rows.select(*keys, "s1", "s2", F.try_divide(F.coalesce("g", F.lit(0.0)), F.col("z1") * F.col("z2")).alias("value"))
+
+
+def mntd_between(w: DataFrame, distmat: DataFrame, spine: DataFrame, include_conspecifics: bool = False, keys: tuple[str, ...] = ()) -> DataFrame:
+    """keys, s1, s2, value from weights (keys, feature, sample, w). A feature
+    without any other in the sample counts as distance 0."""
+    z = w.groupBy(*keys, F.col("sample").alias("s1")).agg(F.sum("w").alias("z"))
+    near = nearest(w, w, distmat, keys).where("s1 <> s2")
+    if include_conspecifics:
+        a = w.select(*keys, "feature", F.col("sample").alias("s1"), "w")
+        own = a.join(w.select(*keys, "feature", F.col("sample").alias("s2")), [*keys, "feature"]).where("s1 <> s2").select(*keys, "s1", "s2", "feature", "w", F.lit(0.0).alias("near"))
+        near = near.unionByName(own).groupBy(*keys, "s1", "s2", "feature", "w").agg(F.min("near").alias("near"))
+    one = near.groupBy(*keys, "s1", "s2").agg(F.sum(F.col("w") * F.col("near")).alias("x"))
+    one = one.join(z, [*keys, "s1"]).select(*keys, "s1", "s2", F.try_divide(F.col("x"), F.col("z")).alias("x"))
+    both = one.select(*keys, F.least("s1", "s2").alias("s1"), F.greatest("s1", "s2").alias("s2"), "x").groupBy(*keys, "s1", "s2").agg((F.sum("x") / 2).alias("x"))
+    return spine.join(both, [*keys, "s1", "s2"], "left").select(*keys, "s1", "s2", F.coalesce("x", F.lit(0.0)).alias("value"))
+
+
 def beta_mpd(tab: DataFrame, distmat: DataFrame, q: float = 1) -> DataFrame:
     """s1 < s2, value: mean distance between the features of two samples."""
     w = powers(tab, q)
-    z = w.groupBy("sample").agg(F.sum("w").alias("z"))
-    g = gram(w, w, distmat).where("s1 < s2")
-    rows = _with_spine(g, z)
-    return rows.select("s1", "s2", F.try_divide(F.coalesce("g", F.lit(0.0)), F.col("z1") * F.col("z2")).alias("value"))
+    return mpd_between(w, distmat, pair_spine(w))
 
 
 def beta_mntd(tab: DataFrame, distmat: DataFrame, q: float = 1, include_conspecifics: bool = False) -> DataFrame:
     """s1 < s2, value: mean of both directions' weighted nearest distances."""
     w = powers(tab, q)
-    z = w.groupBy("sample").agg(F.sum("w").alias("z"))
-    near = nearest(w, w, distmat).where("s1 <> s2")
-    if include_conspecifics:
-        a = w.select("feature", F.col("sample").alias("s1"), "w")
-        own = a.join(w.select("feature", F.col("sample").alias("s2")), "feature").where("s1 <> s2").select("s1", "s2", "feature", "w", F.lit(0.0).alias("near"))
-        near = near.unionByName(own).groupBy("s1", "s2", "feature", "w").agg(F.min("near").alias("near"))
-    # A feature without any other in the sample counts as distance 0.
-    one = near.groupBy("s1", "s2").agg(F.sum(F.col("w") * F.col("near")).alias("x"))
-    one = one.join(z.select(F.col("sample").alias("s1"), "z"), "s1").select("s1", "s2", F.try_divide(F.col("x"), F.col("z")).alias("x"))
-    both = one.select(F.least("s1", "s2").alias("s1"), F.greatest("s1", "s2").alias("s2"), "x").groupBy("s1", "s2").agg((F.sum("x") / 2).alias("x"))
-    return pair_spine(w).join(both, ["s1", "s2"], "left").select("s1", "s2", F.coalesce("x", F.lit(0.0)).alias("value"))
+    return mntd_between(w, distmat, pair_spine(w), include_conspecifics)
 
 
 def to_square(pairs: DataFrame, diagonal: float = 0.0) -> DataFrame:

@@ -2,8 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import diversity_queries  # noqa: F401
-from . import fixtures
+from . import diversity_queries, fixtures, statistics_queries, table_queries  # noqa: F401
 from .registry import ORACLES, QUERIES, rounded
 
 __all__ = ["ORACLES", "QUERIES", "flagship"]
