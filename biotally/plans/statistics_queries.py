@@ -101,7 +101,7 @@ for kind in ("phyl", "func"):
 # -- statistics
 
 GW = "SELECT a.sample s1, b.sample s2, a.region r1, b.region r2, a.n_suppliers n1, b.n_suppliers n2, a.mean_acctbal m1, b.mean_acctbal m2 FROM nation_meta a JOIN nation_meta b ON a.sample < b.sample"
-GV = "(CASE WHEN r1 = r2 THEN 0 ELSE 1 END + ABS(n1 - n2) / ns + ABS(m1 - m2) / ms) / 3"
+GV = "(CASE WHEN r1 = r2 THEN 0 ELSE 1 END + CASE WHEN ns > 0 THEN ABS(n1 - n2) / ns ELSE 0 END + CASE WHEN ms > 0 THEN ABS(m1 - m2) / ms ELSE 0 END) / 3"
 GR = "SELECT CAST(MAX(n_suppliers) - MIN(n_suppliers) AS DOUBLE) ns, MAX(mean_acctbal) - MIN(mean_acctbal) ms FROM nation_meta"
 register("gower", lambda s, d: st.gower(fx.nation_meta(s, d)), sql("nation_meta", f"SELECT s1, s2, {r(GV, 'value')} FROM g, gr", g=GW, gr=GR))
 register("gower_similarity", lambda s, d: st.gower(fx.nation_meta(s, d), similarity=True), sql("nation_meta", f"SELECT s1, s2, {r('1 - ' + GV, 'value')} FROM g, gr", g=GW, gr=GR))
@@ -163,11 +163,11 @@ CORR = {
     "cn": "SELECT a.col a, b.col b, c, x y FROM ca a JOIN nu b USING (sample)",
     "cw": "SELECT a, b, COUNT(*) n, AVG(y) m, STDDEV_SAMP(y) sd, VAR_POP(y) vp, MIN(c) lo FROM cn GROUP BY ALL",
     "cc": "SELECT a, b, c, COUNT(*) mm, AVG(y) mc FROM cn GROUP BY ALL",
-    "cs": "SELECT a, b, n, CASE WHEN COUNT(*) = 2 THEN (MAX(CASE WHEN c = lo THEN mc END) - MAX(CASE WHEN c <> lo THEN mc END)) / sd * SQRT(MAX(CASE WHEN c = lo THEN mm END) * (n - MAX(CASE WHEN c = lo THEN mm END)) / CAST(n * n AS DOUBLE)) ELSE SQRT(SUM(mm * POW(mc - m, 2)) / (vp * n)) END r, CASE WHEN COUNT(*) = 2 THEN 'point-biserial' ELSE 'eta' END kind FROM cc JOIN cw USING (a, b) GROUP BY a, b, n, sd, vp",
+    "cs": "SELECT a, b, n, CASE WHEN n < 3 OR COUNT(*) < 2 OR COUNT(*) = 2 AND MIN(mm) < 2 THEN NULL WHEN COUNT(*) = 2 THEN (MAX(CASE WHEN c = lo THEN mc END) - MAX(CASE WHEN c <> lo THEN mc END)) / sd * SQRT(MAX(CASE WHEN c = lo THEN mm END) * (n - MAX(CASE WHEN c = lo THEN mm END)) / CAST(n * n AS DOUBLE)) ELSE SQRT(SUM(mm * POW(mc - m, 2)) / (vp * n)) END r, CASE WHEN COUNT(*) = 2 THEN 'point-biserial' ELSE 'eta' END kind FROM cc JOIN cw USING (a, b) GROUP BY a, b, n, sd, vp",
     "xy": "SELECT a.col a, b.col b, a.c x, b.c y FROM ca a JOIN ca b ON a.sample = b.sample AND a.col < b.col",
     "ch": "SELECT a, b, SUM(CAST(o * o AS DOUBLE) / (nx * ny)) - 1 ph, n, rr, kk FROM (SELECT a, b, x, y, COUNT(*) o FROM xy GROUP BY ALL) JOIN (SELECT a, b, x, COUNT(*) nx FROM xy GROUP BY ALL) USING (a, b, x) JOIN (SELECT a, b, y, COUNT(*) ny FROM xy GROUP BY ALL) USING (a, b, y) JOIN (SELECT a, b, COUNT(*) n, COUNT(DISTINCT x) rr, COUNT(DISTINCT y) kk FROM xy GROUP BY ALL) USING (a, b) GROUP BY a, b, n, rr, kk",
 }
-V = "SQRT(GREATEST(0, ph - (kk - 1) * (rr - 1) / (n - 1.0::DOUBLE)) / LEAST(kk - POW(kk - 1, 2) / (n - 1) - 1, rr - POW(rr - 1, 2) / (n - 1) - 1))"
+V = "CASE WHEN rr >= 2 AND kk >= 2 THEN SQRT(GREATEST(0, ph - (kk - 1) * (rr - 1) / (n - 1.0::DOUBLE)) / LEAST(kk - POW(kk - 1, 2) / (n - 1) - 1, rr - POW(rr - 1, 2) / (n - 1) - 1)) END"
 for method, source in (("spearman", "nr"), ("pearson", "nn")):
     register(
         f"corr_mixed_{method}",
