@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, whole_text
+from .common import cut, fresh, whole_text
 
 #: Words that a unit needs to be judged.
 LEAST = 8
@@ -81,7 +81,9 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
     found = units(docs, id_col, text_col, least=least)
     rank = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id"), F.col("text_key"))
     fresh_units = found.where("again is null")
-    firsts = fresh_units.groupBy("hi", "lo").agg(F.min(rank).alias("first"), F.max(rank).alias("latest")).where("first <> latest").select("hi", "lo", "first")
+    # Written out, so that the join below has an exchange on either side and a
+    # frequent unit's occurrences can be split over tasks.
+    firsts = cut(fresh_units.groupBy("hi", "lo").agg(F.min(rank).alias("first"), F.max(rank).alias("latest")).where("first <> latest").select("hi", "lo", "first"))
     later = fresh_units.join(firsts, ["hi", "lo"]).where(F.col("first") != rank).select("doc_id", "text_key", "start", "end", F.col("first.doc_id").alias("first_doc_id"))
     same = found.where("again is not null").select("doc_id", "text_key", "start", "end", F.col("doc_id").alias("first_doc_id"))
     gone = later.unionByName(same).dropDuplicates(["doc_id", "text_key", "start", "end"])
