@@ -5,7 +5,8 @@ Each source gets a target of words by its weight; a target stops at
 weight until none is above. Within a source, complete epochs come first; for
 the rest of the target documents are taken in the order of exponential keys
 ``-ln(u) / weight`` until the words are used up, the last one in part. ``u``
-hashes the id and the text, so that reruns agree.
+hashes the id and the text (md5, which other engines have too), so that reruns
+agree.
 
 The order within a source is a sum over prefixes of sorted rows. To spread a
 hot source, its rows go to ``BUCKETS`` parts by a monotone function of the key;
@@ -32,6 +33,12 @@ MAX_EPOCHS = 3
 WEIGHTS = (5, 2, 1)
 
 
+def uniform(*parts: Column) -> Column:
+    """In (0, 1), from 48 bits of the md5 of the parts joined by colons."""
+    key = F.md5(F.concat_ws(":", *[p.cast("string") for p in parts]).cast("binary"))
+    return (F.conv(F.substring(key, 1, 12), 16, 10).cast("long") + F.lit(0.5).cast("double")) / F.lit(281474976710656.0)
+
+
 def word_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(WORD)).cast("long")
 
@@ -72,7 +79,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """doc_id, size, source_size, target, taken, text_key; text_key hashes the
     text, to join the documents again."""
     text = whole_text(text_col)
-    u = (F.pmod(F.xxhash64(F.lit(seed), F.col(id_col), text), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))
+    u = uniform(F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.md5(text.cast("binary")))
     key = -F.ln(u) / (quality_weight(text) if weight is None else weight)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), source_key(source_col).alias("_source"), word_count(text).alias("size"), F.xxhash64(text).alias("text_key"), key.alias("_key"))
     # Few bytes a document; read three times below.

@@ -22,7 +22,7 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents")).drop("text_key")
+    return mixing.mix(table(spark, sf_dir, "documents")).drop("text_key").withColumn("target", F.round("target", 6))
 
 
 def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,4 +76,59 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_packing, op2_mixing, op3_licenses, op4_topk, op5_pii, op6_substring, op7_fingerprints, op8_quality, op9_simhash, op10_secrets)}
 
-ORACLES: dict[str, str] = {}
+# -- SQL for the oracle, where SQL can say it: fingerprints and simhashes need
+# XXH64, packing a tokenizer, quality a trained forest, licences the rarity of
+# words in an index, personal data look-around patterns.
+
+_OP2 = rf"""
+WITH d AS (
+    SELECT doc_id, COALESCE(text, '') AS t, source, len(regexp_extract_all(COALESCE(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents
+), s AS (
+    SELECT source, SUM(size)::DOUBLE AS ss, ROW_NUMBER() OVER (ORDER BY source NULLS LAST) - 1 AS n FROM d GROUP BY source
+), w AS (
+    SELECT source, ss, [5.0, 2.0, 1.0][n % 3 + 1]::DOUBLE AS w, 3 * ss AS cap, 3 * ss / [5.0, 2.0, 1.0][n % 3 + 1]::DOUBLE AS ratio, SUM(ss) OVER () AS total FROM s
+), l AS (
+    SELECT *, (total - COALESCE(SUM(cap) OVER b, 0)) / (SUM(w) OVER () - COALESCE(SUM(w) OVER b, 0)) AS level FROM w
+    WINDOW b AS (ORDER BY ratio, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), g AS (
+    SELECT source, ss, LEAST(cap, w * COALESCE((SELECT arg_min(level, ratio) FROM l WHERE level <= ratio), ratio)) AS target FROM l
+), k AS (
+    SELECT d.doc_id, d.size, d.source, g.ss, g.target, md5(t) AS h, -LN((('0x' || SUBSTR(MD5(CONCAT_WS(':', '17', COALESCE(CAST(doc_id AS VARCHAR), ''), MD5(t))), 1, 12))::BIGINT + 0.5::DOUBLE) / 281474976710656.0::DOUBLE) / (0.25::DOUBLE + LENGTH(regexp_replace(t, '[\x00-\x1F\x21-\x40\x5B-\x60\x7B-\x7F]+', '', 'g'))::DOUBLE / GREATEST(LENGTH(t), 1)) AS e
+    FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source
+), c AS (
+    SELECT *, CASE WHEN ss > 0 THEN FLOOR(ROUND(target) / ss) ELSE 0 END AS ep, SUM(size) OVER (PARTITION BY source ORDER BY e, doc_id, h ROWS UNBOUNDED PRECEDING) - size AS b FROM k
+)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(ss AS BIGINT) AS source_size, ROUND(target, 6) AS target, CAST(ep * size + GREATEST(0, LEAST(size, ROUND(target) - ep * ss - b)) AS BIGINT) AS taken FROM c
+"""
+
+_OP4 = """
+WITH e AS (
+    SELECT vec_id, list_transform(embedding, lambda x: FLOOR(64 * CAST(x AS DOUBLE))::BIGINT) AS v FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), p AS (
+    SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v::DOUBLE[], c.v::DOUBLE[]) AS BIGINT) AS score FROM e q JOIN e c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0
+)
+SELECT query_id, CAST(n AS INT) AS rank, vec_id, score FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM p) WHERE n <= 20
+"""
+
+
+def _op10() -> str:
+    """Match places from the gaps between matches, rule by rule."""
+    q = lambda s: s.replace("'", "''")
+    each = []
+    for n, rule in enumerate(secrets.RULES):
+        found, gaps = f"regexp_extract_all(t, '{q(rule.pattern)}')", f"string_split_regex(t, '{q(rule.pattern)}')"
+        value = f"regexp_extract_all(t, '{q(rule.pattern)}', {rule.group})"
+        each.append(
+            f"SELECT r, doc_id, {n} AS n, '{rule.kind}' AS kind, list_sum(list_transform(g[1:k], lambda x: len(x))) + COALESCE(list_sum(list_transform(f[1:k - 1], lambda x: len(x))), 0) AS a, len(f[k]) AS l FROM "
+            f"(SELECT r, doc_id, {found} AS f, {gaps} AS g, {value} AS v, UNNEST(range(1, len({found}) + 1)) AS k FROM d WHERE regexp_matches(t, '{q(rule.pattern)}')) WHERE len(v[k]) >= {rule.least}"
+        )
+    cell = "kind || ':' || CAST(a AS BIGINT) || ':' || CAST(a + l AS BIGINT)"
+    counts = ", ".join(f"COUNT(*) FILTER (kind = '{k}') AS n_{k}" for k in secrets.BASE)
+    return f"""
+WITH d AS (SELECT ROW_NUMBER() OVER () AS r, doc_id, COALESCE(text, '') AS t FROM documents), m AS ({' UNION ALL '.join(each)})
+SELECT d.doc_id, {counts}, sha256(COALESCE(STRING_AGG({cell}, ',' ORDER BY a, n) FILTER (n < {len(secrets.BASE)}), '')) AS base_sha256, COALESCE(STRING_AGG({cell}, ',' ORDER BY a, n), '') AS spans FROM d LEFT JOIN m USING (r) GROUP BY d.r, d.doc_id
+"""
+
+
+ORACLES: dict[str, str] = {"op2_mixing": _OP2, "op4_topk": _OP4, "op10_secrets": _op10()}
