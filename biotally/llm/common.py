@@ -50,3 +50,27 @@ def fresh(df: DataFrame, stem: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+#: Bits of a set of hashed keys: 4 MB, whatever the number of keys.
+SET_BITS = 1 << 25
+
+
+def key_set(keys: DataFrame, *cols: str, bits: int = SET_BITS) -> DataFrame:
+    """(set_bucket, set_bits): a bitmap of the keys' hashes in at most
+    bits / 32768 rows of 4 KB, small enough to broadcast by construction."""
+    at = F.pmod(F.xxhash64(*cols), F.lit(bits)) + 1
+    rows = keys.select(F.bitmap_bucket_number(at).alias("set_bucket"), F.bitmap_bit_position(at).alias("at"))
+    return rows.groupBy("set_bucket").agg(F.bitmap_construct_agg("at").alias("set_bits"))
+
+
+def maybe_in(df: DataFrame, members: DataFrame, name: str, *cols: str, bits: int = SET_BITS) -> DataFrame:
+    """``df`` with a column ``name``: false if the key is surely not in the set,
+    which spares its row a shuffle. The fuller the set, the less it spares."""
+    bucket, held = fresh(df, "bucket"), fresh(df, "held")
+    at = F.pmod(F.xxhash64(*cols), F.lit(bits)) + 1
+    place = F.bitmap_bit_position(at)
+    joined = df.withColumn(bucket, F.bitmap_bucket_number(at)).join(F.broadcast(members.toDF(bucket, held)), bucket, "left")
+    byte = F.conv(F.hex(F.substring(F.col(held), (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("long")
+    bit = F.floor(byte / F.pow(F.lit(2.0), place % 8)) % 2
+    return joined.withColumn(name, F.coalesce(bit == 1, F.lit(False))).drop(bucket, held)

@@ -23,7 +23,7 @@ from re import _parser as parser  # the standard library's own reader of pattern
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, let, whole_text
+from .common import cut, fresh, key_set, let, maybe_in, whole_text
 
 
 @dataclass(frozen=True)
@@ -221,8 +221,11 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, rul
     grams = list(dict.fromkeys(g for q in indexed.values() for g in trigrams(q)))
     rows = docs.select(F.col(id_col).alias("doc_id"), whole_text(text_col).alias("text"), *([F.col(keep).alias("kept")] if keep else []))
     if indexed:
-        found = candidates(postings(docs, grams, id_col, text_col), indexed, grams).withColumnRenamed("doc_id", "_candidate")
-        rows = rows.join(found, F.col("doc_id").eqNullSafe(F.col("_candidate")), "left").drop("_candidate")
+        found = cut(candidates(postings(docs, grams, id_col, text_col), indexed, grams).withColumnRenamed("doc_id", "candidate"))
+        # Only documents that may be candidates are shuffled to meet their rules.
+        rows = maybe_in(rows, key_set(found, "candidate"), "maybe", "doc_id")
+        met = rows.where("maybe").join(found, F.col("doc_id").eqNullSafe(F.col("candidate")), "left").drop("candidate", "maybe")
+        rows = rows.where("not maybe").drop("maybe").withColumn("kinds", F.lit(None).cast("array<string>")).unionByName(met)
     each = []
     for n, rule in enumerate(rules):
         own = spans(F.col("text"), rule, n)
