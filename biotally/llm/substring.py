@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, fresh, whole_text
+from .common import cut, fresh, key_set, maybe_in, whole_text
 
 #: Words that a unit needs to be judged.
 LEAST = 8
@@ -84,9 +84,11 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
     # Written out, so that the join below has an exchange on either side and a
     # frequent unit's occurrences can be split over tasks.
     firsts = cut(fresh_units.groupBy("hi", "lo").agg(F.min(rank).alias("first"), F.max(rank).alias("latest")).where("first <> latest").select("hi", "lo", "first"))
-    later = fresh_units.join(firsts, ["hi", "lo"]).where(F.col("first") != rank).select("doc_id", "text_key", "start", "end", F.col("first.doc_id").alias("first_doc_id"))
-    same = found.where("again is not null").select("doc_id", "text_key", "start", "end", F.col("doc_id").alias("first_doc_id"))
-    gone = later.unionByName(same).dropDuplicates(["doc_id", "text_key", "start", "end"])
+    first = F.col("first")
+    # Units that surely occur once are not shuffled to find that out.
+    found = maybe_in(found, key_set(firsts, "hi", "lo"), "maybe", "hi", "lo").where("maybe or again is not null").drop("maybe")
+    gone = found.join(firsts, ["hi", "lo"], "left").where(F.col("again").isNotNull() | (first.isNotNull() & (first != rank)))
+    gone = gone.select("doc_id", "text_key", "start", "end", F.when(first.isNotNull(), first["doc_id"]).otherwise(F.col("doc_id")).alias("first_doc_id")).dropDuplicates(["doc_id", "text_key", "start", "end"])
     order = Window.partitionBy("doc_id", "text_key").orderBy("start", "end")
     reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     opened = gone.withColumn("new", F.when(F.col("start") <= reach + 1, 0).otherwise(1)).withColumn("passage", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
