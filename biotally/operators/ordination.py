@@ -322,3 +322,10 @@ def ellipse(scores: DataFrame, groups: DataFrame, deviations: float = 2.0) -> Da
     half, root = (F.col("va") + F.col("vb")) / 2, F.sqrt(F.pow((F.col("va") - F.col("vb")) / 2, F.lit(2.0)) + F.col("c") * F.col("c"))
     big, small = half + root, F.greatest(F.lit(0.0), half - root)
     return m.select("grp", "x", "y", (F.sqrt(big) * 2 * deviations).alias("width"), (F.sqrt(small) * 2 * deviations).alias("height"), F.degrees(F.atan2(big - F.col("va"), F.col("c"))).alias("angle"))
+
+
+def biplot(scores: DataFrame, variables: DataFrame) -> DataFrame:
+    """variable, axis, score: how variables (sample, variable, value) vary with
+    the axes: the covariance of standardised values and scores."""
+    rows = variables.join(scores.select("sample", "axis", "score"), "sample")
+    return rows.groupBy("variable", "axis").agg(F.try_divide(F.covar_samp("value", "score"), F.stddev_samp("value")).alias("score"))

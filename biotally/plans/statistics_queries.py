@@ -211,6 +211,7 @@ for part in ("sites", "biplot", "axes", "terms", "test"):
 register("dbrda_marginal", lambda s, d: ordination.dbrda_marginal(beta.bray(fx.tab_small(s, d)), fx.nation_meta(s, d), ["region", "mean_acctbal"], n=99))
 register("dbrda_summary", lambda s, d: ordination.dbrda_summary(beta.bray(fx.tab_small(s, d)), fx.nation_meta(s, d), ["region", "mean_acctbal"], n=99))
 register("ordination_ellipse", lambda s, d: ordination.ellipse(ordination.pcoa(beta.bray(fx.tab_small(s, d))), fx.regions(fx.nation_meta(s, d))))
+register("ordination_biplot", lambda s, d: ordination.biplot(ordination.pcoa(beta.bray(fx.tab_small(s, d))).where("axis <= 2"), fx.nation_meta(s, d).select("sample", F.lit("mean_acctbal").alias("variable"), F.col("mean_acctbal").alias("value"))))
 
 # -- several data sets
 

@@ -205,6 +205,26 @@ def read_ebd(spark: SparkSession, path: str, sep: str = "\t") -> tuple[DataFrame
     return ebd_tables(rows.select(F.col("c0").alias("sample"), F.inline(cells)))
 
 
+def read_tree(spark: SparkSession, path: str, midpoint_root: bool = False) -> tuple[DataFrame, DataFrame]:
+    """A Newick file -> (nodes, closure)."""
+    from . import newick
+
+    root = newick.parse("".join(r[0] for r in spark.read.text(path, wholetext=True).collect()))
+    return newick.to_tables(spark, newick.reroot_midpoint(root) if midpoint_root else root)
+
+
+def write_matrix(distmat: DataFrame, path: str) -> None:
+    """The upper triangle of a symmetric matrix (f1, f2, d), as Parquet."""
+    distmat.where("f1 < f2").select("f1", "f2", "d").write.mode("overwrite").parquet(path)
+
+
+def read_matrix(spark: SparkSession, path: str) -> DataFrame:
+    """Both triangles again."""
+    from ..operators.trees import mirrored
+
+    return mirrored(spark.read.parquet(path))
+
+
 def save(path: str, *, tab: DataFrame | None = None, tax: DataFrame | None = None, meta: DataFrame | None = None, seq: DataFrame | None = None, newick: str | None = None, samples: Sequence[str] | None = None) -> list[str]:
     """Folders of text files below ``path``; the table pivoted to a column a sample."""
     done = []

@@ -261,3 +261,28 @@ def test_faults_and_names(spark, toy):
     assert [r["rule"] for r in relational.faults(twice).collect()] == ["repeated cell"]
     order = {r["feature"]: r["ord"] for r in relational.with_order(spark.createDataFrame([("b10",), ("b9",), ("a1",), ("10x",)], "feature string")).collect()}
     assert sorted(order, key=order.get) == ["10x", "a1", "b9", "b10"]
+
+
+def test_community(spark, tmp_path):
+    from biotally.model import Community
+
+    put(tmp_path, "t.csv", "id,s1,s2,Phylum\nO1,3,1,Fir\nO2,1,0,Bac\nO3,0,4,Fir\n")
+    put(tmp_path, "m.csv", "sample,group\ns1,a\ns2,b\ns3,b\n")
+    put(tmp_path, "t.nwk", "((O1:1,O2:1):1,(O3:1,O4:1):1);")
+    put(tmp_path, "s.fa", ">O1\nAC\n>O2\nGG\n>O3\nTT\n>O9\nCC\n")
+    c = Community.load(spark, tab="t.csv", meta="m.csv", tree="t.nwk", fasta="s.fa", path=str(tmp_path)).validate()
+    assert c.meta.count() == 2 and c.seq.count() == 3 and c.info().first()["total"] == 9
+    assert by(c.alpha(0), "sample")["s1"]["d"] == pytest.approx(2) and pair(c.beta(0, "jaccard"), "s1", "s2") == pytest.approx(2 / 3)
+    one = c.subset_samples("group", ["a"])
+    assert {r["feature"] for r in one.tax.collect()} == {"O1", "O2"}
+    assert {r["feature"] for r in c.subset_taxa("fir", "Phylum").tab.collect()} == {"O1", "O3"}
+    assert {r["node"] for r in c.prune_tree().node_leaf.collect()} >= {"O1", "O2", "O3"}
+    renamed = c.rename_features(names={"O1": "X"})
+    assert "X" in {r["leaf"] for r in renamed.node_leaf.collect()} and "X" in {r["feature"] for r in renamed.tab.collect()}
+    assert c.merge_samples("group").tab.count() == c.tab.count()
+    assert c.rarefy(2).tab.agg(F.sum("value")).first()[0] == 4
+    assert len(c.save(str(tmp_path / "out"))) == 5
+    both = Community.merge([c, one])
+    assert both.tab.select("sample").distinct().count() == 3
+    with pytest.raises(ValueError, match="tree"):
+        Community(tab=c.tab, tree=c.tree.where("node <> 'O1'")).validate()
