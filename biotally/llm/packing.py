@@ -27,6 +27,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,6 +41,8 @@ SALTS = 256
 #: Branch-and-bound steps after which the incumbent is kept.
 NODE_LIMIT = 8_000
 TOKENIZER = "word_bpe_49k.json"
+#: Text that is encoded at once, about; its ids take some ten times as much memory.
+BATCH_BYTES = 12_000_000
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -48,7 +52,7 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 
 
 class WordEncoder:
-    """Ids of whole texts as little-endian unsigned 32-bit bytes.
+    """Ids of whole texts.
 
     The tokenizer's pre-tokens never span white space, nor a place where marks
     follow a letter or digit, so the ids of a text are those of its words in
@@ -63,7 +67,7 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.keep = keep
-        self.known: dict[bytes, bytes] = {}
+        self.known: dict[bytes, bytes] = {b"": b""}
         last = [token.endswith("</w>") for token, _ in sorted(self.tokenizer.get_vocab().items(), key=lambda x: x[1])]
         self.ends_word = np.array(last, dtype=bool)
 
@@ -76,9 +80,11 @@ class WordEncoder:
     def _learn(self, words: list[bytes]) -> None:
         """Words of letters alone are one pre-token each: many are encoded as one
         text and told apart by the tokens that end a word."""
-        plain = [w for w in words if w.isalpha() or w.decode("utf-8", "replace").isalpha()]
-        for lo in range(0, len(plain), 512):
-            part = plain[lo : lo + 512]
+        plain, others = [], []
+        for w in words:
+            (plain if w.isalpha() or w.decode("utf-8", "replace").isalpha() else others).append(w)
+        for lo in range(0, len(plain), 64):
+            part = plain[lo : lo + 64]
             ids = np.asarray(self.tokenizer.encode_batch_fast([b" ".join(part).decode("utf-8", "replace")], add_special_tokens=False)[0].ids, dtype="<u4")
             ends = np.flatnonzero(self.ends_word[ids]) + 1
             if len(ends) != len(part):  # letters to Python, not to the tokenizer
@@ -86,39 +92,52 @@ class WordEncoder:
                 continue
             raw, ends = ids.tobytes(), (4 * ends).tolist()
             self.known.update((w, raw[a:b]) for w, a, b in zip(part, [0, *ends], ends, strict=False))
-        known = self.known
-        self._one_by_one([w for w in words if w not in known])
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        raw = [t.encode("utf-8", "surrogatepass") for t in texts]
-        split = [(r if b"<|" in r else r.lower()).split() for r in raw]
+        self._one_by_one(others)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Texts -> all their ids in one array, and each text's end in it.
+
+        Arrow splits and numbers the words, so that each distinct word of a
+        batch is looked up once; numpy lays the ids of the words end to end.
+        """
+        lowered = pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts))
+        words = pc.ascii_split_whitespace(lowered)
+        coded = words.flatten().dictionary_encode()
+        distinct = coded.dictionary.cast(pa.binary()).to_pylist()
         if len(self.known) > self.keep:
-            self.known = {}
-        known = self.known
-        pieces = [list(map(known.get, words)) for words in split]
-        gaps: list[list[int]] = []
-        new: set[bytes] = set()
-        for words, found in zip(split, pieces, strict=True):
-            at, own = -1, []
-            for _ in range(found.count(None)):
-                at = found.index(None, at + 1)
-                own.append(at)
-            gaps.append(own)
-            new.update(words[k] for k in own)
-        self._learn_words(new)
-        for words, found, own in zip(split, pieces, gaps, strict=True):
-            for k in own:
-                found[k] = known[words[k]]
-        return list(map(b"".join, pieces))
+            self.known = {b"": b""}
+        pieces = list(map(self.known.get, distinct))
+        if None in pieces:
+            self._learn_words({w for w, ids in zip(distinct, pieces, strict=True) if ids is None})
+            pieces = list(map(self.known.__getitem__, distinct))
+        size = np.fromiter(map(len, pieces), dtype=np.int32, count=len(pieces)) // 4
+        start = np.cumsum(size, dtype=np.int32) - size
+        flat = np.frombuffer(b"".join(pieces), dtype="<u4")
+        at = coded.indices.to_numpy(zero_copy_only=False)
+        n = size[at]
+        ends = np.cumsum(n, dtype=np.int32)
+        # Place k of word i comes from start[i] + (k - first place of word i).
+        ids = flat[np.repeat(start[at] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0, dtype=np.int32)]
+        of_text = words.offsets.to_numpy()
+        return ids, np.r_[np.int32(0), ends][of_text[1:] - of_text[0]]
 
     def _learn_words(self, new: set[bytes]) -> None:
-        known = self.known
-        cores = {w: w.rstrip(_MARKS) for w in new}
-        # Only behind an ASCII letter or digit is a mark surely a pre-token of its own.
-        cores = {w: c if c and c != w and c[-1:].isalnum() else w for w, c in cores.items()}
-        parts = set(cores.values()).union(w[len(c) :] for w, c in cores.items() if c != w).difference(known)
-        self._learn(list(parts))
-        known.update((w, known[c] + known[w[len(c) :]]) for w, c in cores.items() if c != w)
+        known, whole, marked = self.known, set(), []
+        for w in new:
+            core = w.rstrip(_MARKS)
+            # Only behind an ASCII letter or digit is a mark surely a pre-token of its own.
+            if len(core) < len(w) and core[-1:].isalnum():
+                marked.append((w, core, w[len(core) :]))
+            else:
+                whole.add(w)
+        for _, core, marks in marked:
+            if core not in known:
+                whole.add(core)
+            if marks not in known:
+                whole.add(marks)
+        self._learn(list(whole))
+        for w, core, marks in marked:
+            known[w] = known[core] + known[marks]
 
 
 _MARKS = b".,;:!?#%&*$)\"-"
@@ -136,27 +155,32 @@ def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row a piece: id, piece, start, length, ids_crc32."""
     path = path or tokenizer_path()
     end = int(end_id).to_bytes(4, "little")
-    step = 4 * capacity
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encode = encoder(path).encode
-        for pdf in batches:
-            for lo in range(0, len(pdf), 256):
-                part = pdf.iloc[lo : lo + 256]
-                rows = []
-                for doc, ids in zip(part["_id"].tolist(), encode(part["_text"].tolist()), strict=True):
-                    ids += end
-                    doc = None if doc is None or doc != doc else int(doc)
-                    rows += [(doc, k, at // 4, len(ids[at : at + step]) // 4, zlib.crc32(ids[at : at + step])) for k, at in enumerate(range(0, len(ids), step))]
-                out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
-                out["doc_id"] = out["doc_id"].astype("Int64")
-                yield out
+        encode, crc = encoder(path).encode, zlib.crc32
+        for rb in batches:
+            rows_at_once = max(1, int(rb.num_rows * BATCH_BYTES / max(BATCH_BYTES, rb.column(1).nbytes)))
+            for lo in range(0, rb.num_rows, rows_at_once):
+                docs = rb.column(0).slice(lo, rows_at_once).to_pylist()
+                ids, ends = encode(rb.column(1).slice(lo, rows_at_once))
+                raw, first = memoryview(ids).cast("B"), 0
+                out: tuple[list, ...] = ([], [], [], [], [])
+                for doc, last in zip(docs, ends.tolist(), strict=True):
+                    n = last - first + 1  # with the end id
+                    for k, at in enumerate(range(0, n, capacity)):
+                        own = min(capacity, n - at)
+                        code = crc(raw[4 * (first + at) : 4 * min(last, first + at + own)])
+                        code = crc(end, code) if at + own == n else code
+                        for column, value in zip(out, (doc, k, at, own, code), strict=True):
+                            column.append(value)
+                    first = last
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), whole_text(text_col).alias("_text"))
-    return rows.mapInPandas(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return rows.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 # -- the solver: driver side, over the histogram of lengths ------------------
