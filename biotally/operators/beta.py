@@ -21,11 +21,17 @@ def pair_spine(samples: DataFrame) -> DataFrame:
     return s.select(F.col("sample").alias("s1")).join(s.select(F.col("sample").alias("s2")), F.col("s1") < F.col("s2"))
 
 
-def shared(rows: DataFrame, key: str, value: str, *carry: str) -> DataFrame:
-    """s1 < s2, x1, x2 for every key that two samples share."""
-    a = rows.select(key, F.col("sample").alias("s1"), F.col(value).alias("x1"), *carry)
-    b = rows.select(key, F.col("sample").alias("s2"), F.col(value).alias("x2"))
-    return a.join(b, key).where("s1 < s2")
+def shared_sums(rows: DataFrame, key: str, total: Column) -> DataFrame:
+    """s1 < s2, x: the sum of ``total`` over the keys that two samples share.
+
+    ``rows`` has key, sample and further columns, which ``total`` names with a 1
+    or 2 behind for either sample. This is the widest join of all: what concerns
+    one sample alone is computed before it.
+    """
+    cols = [c for c in rows.columns if c not in (key, "sample")]
+    a = rows.select(key, F.col("sample").alias("s1"), *[F.col(c).alias(f"{c}1") for c in cols])
+    b = rows.select(key, F.col("sample").alias("s2"), *[F.col(c).alias(f"{c}2") for c in cols])
+    return a.join(b, key).where("s1 < s2").groupBy("s1", "s2").agg(total.alias("x"))
 
 
 def _with_spine(pairs: DataFrame, totals: DataFrame, spine: DataFrame | None = None) -> DataFrame:
@@ -36,17 +42,18 @@ def _with_spine(pairs: DataFrame, totals: DataFrame, spine: DataFrame | None = N
     return (pair_spine(totals) if spine is None else spine).join(one, "s1").join(two, "s2").join(pairs, ["s1", "s2"], "left")
 
 
-def _extra(q: float) -> Column:
-    """What a shared feature adds to the pooled sum beyond its parts."""
-    x1, x2 = F.col("x1") / 2, F.col("x2") / 2
-    return term(x1 + x2, q) - term(x1, q) - term(x2, q)
+def _beyond(q: float) -> Column:
+    """What a shared feature adds to the pooled sum beyond its parts; columns are
+    the halved shares and their terms."""
+    return term(F.col("half1") + F.col("half2"), q) - F.col("part1") - F.col("part2")
 
 
 def naive_beta(tab: DataFrame, q: float = 1, dis: bool = True, viewpoint: str = "regional", use_values: bool = False, spine: DataFrame | None = None) -> DataFrame:
     """s1, s2, value."""
     p = relative(tab, use_values)
     totals = p.groupBy("sample").agg(F.sum(term(F.col("p"), q)).alias("t"), F.sum(term(F.col("p") / 2, q)).alias("h"))
-    pairs = shared(p, "feature", "p").groupBy("s1", "s2").agg(F.sum(_extra(q)).alias("x"))
+    halves = p.select("feature", "sample", (F.col("p") / 2).alias("half"), term(F.col("p") / 2, q).alias("part"))
+    pairs = shared_sums(halves, "feature", F.sum(_beyond(q)))
     rows = _with_spine(pairs, totals, spine)
     gamma = from_sum(F.col("h1") + F.col("h2") + F.coalesce("x", F.lit(0.0)), q)
     alpha = from_sum((F.col("t1") + F.col("t2")) / 2, q)
@@ -59,7 +66,9 @@ def phyl_beta(tab: DataFrame, tree: DataFrame, node_leaf: DataFrame, q: float =
     a = branch_shares(tab, node_leaf, use_values).join(tree.select("node", "branchL"), "node").where("a > 0")
     length = F.col("branchL")
     totals = a.groupBy("sample").agg(F.sum(length * term(F.col("a"), q)).alias("t"), F.sum(length * term(F.col("a") / 2, q)).alias("h"), F.sum(length * F.col("a")).alias("m"))
-    pairs = shared(a, "node", "a", "branchL").groupBy("s1", "s2").agg(F.sum(F.col("branchL") * _extra(q)).alias("x"))
+    # Branches without length add nothing to any pair.
+    halves = a.where("branchL <> 0").select("node", "sample", (F.col("a") / 2).alias("half"), term(F.col("a") / 2, q).alias("part"), "branchL")
+    pairs = shared_sums(halves, "node", F.sum(F.col("branchL1") * _beyond(q)))
     rows = _with_spine(pairs, totals, spine).withColumn("pooled", (F.col("m1") + F.col("m2")) / 2)
     gamma = from_sum(F.try_divide(F.col("h1") + F.col("h2") + F.coalesce("x", F.lit(0.0)), F.col("pooled")), q)
     alpha = from_sum(F.try_divide((F.col("t1") + F.col("t2")) / 2, F.col("pooled")), q)
@@ -101,14 +110,14 @@ def func_beta(tab: DataFrame, distmat: DataFrame, q: float = 1, dis: bool = True
 
 def bray(tab: DataFrame, use_values: bool = False, spine: DataFrame | None = None) -> DataFrame:
     p = relative(tab, use_values)
-    pairs = shared(p, "feature", "p").groupBy("s1", "s2").agg(F.sum(F.least("x1", "x2")).alias("x"))
+    pairs = shared_sums(p, "feature", F.sum(F.least("p1", "p2")))
     return (pair_spine(p) if spine is None else spine).join(pairs, ["s1", "s2"], "left").select("s1", "s2", (F.lit(1.0) - F.coalesce("x", F.lit(0.0))).alias("value"))
 
 
 def jaccard(tab: DataFrame, spine: DataFrame | None = None) -> DataFrame:
-    p = tab.where("value > 0").select("feature", "sample", F.lit(1).alias("one"))
+    p = tab.where("value > 0").select("feature", "sample")
     totals = p.groupBy("sample").agg(F.count(F.lit(1)).alias("n"))
-    pairs = shared(p, "feature", "one").groupBy("s1", "s2").agg(F.count(F.lit(1)).alias("x"))
+    pairs = shared_sums(p, "feature", F.count(F.lit(1)))
     both = F.coalesce("x", F.lit(0))
     return _with_spine(pairs, totals, spine).select("s1", "s2", (F.lit(1.0) - F.coalesce(F.try_divide(both, F.col("n1") + F.col("n2") - both), F.lit(0.0))).alias("value"))
 
