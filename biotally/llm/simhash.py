@@ -52,13 +52,15 @@ def fingerprint(text: str, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, fp (the fingerprint's 64 bits as a signed long)."""
+    """doc_id, text_key (the text's hash), fp (the fingerprint's 64 bits as a
+    signed long)."""
 
     @F.pandas_udf("long")
     def fp(texts: pd.Series) -> pd.Series:
         return pd.Series(np.array([fingerprint(t, shingle) for t in texts], dtype=np.uint64).astype(np.int64))
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), fp(whole_text(text_col)).alias("fp"))
+    text = whole_text(text_col)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), fp(text).alias("fp"))
 
 
 # -- links under one key ------------------------------------------------------
@@ -215,24 +217,30 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     return stars.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, fp, component_id; one row a document."""
+def _named(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> tuple[DataFrame, DataFrame]:
+    """Documents (doc_id, text_key, fp), and fingerprints (fp, first, root): the
+    smallest id that has one, and its component."""
     rows = cut(fingerprints(docs, id_col, text_col, shingle=shingle))
-    nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    nodes = cut(nodes)
+    nodes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
     roots = components(fingerprint_links(nodes.select("fp"))).withColumnRenamed("node", "fp")
-    named = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    return rows, nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = SHINGLE) -> DataFrame:
+    """doc_id, fp, component_id; one row a document."""
+    rows, named = _named(docs, id_col, text_col, shingle)
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
     of = named.select("fp", "root").join(least, "root").select("fp", "component_id")
     return rows.join(of, "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = SHINGLE) -> DataFrame:
-    """One document of each component: that with the smallest id. Of repeated
-    rows of it, one stays."""
-    cols, first, nth = docs.columns, fresh(docs, "first"), fresh(docs, "nth")
-    found = near_duplicates(docs, id_col, text_col, shingle=shingle)
-    firsts = found.groupBy(F.col("component_id").alias(first)).agg(F.lit(1).alias(nth)).select(first)
-    kept = docs.join(firsts, F.col(id_col).cast("long").eqNullSafe(F.col(first)), "left_semi")
-    within = Window.partitionBy(id_col).orderBy(F.xxhash64(whole_text(text_col)))
+    """One document of each component: that with the smallest id (null last;
+    among texts that share it, by their hash). Of repeated rows of it, one stays."""
+    cols, i, k, nth = docs.columns, fresh(docs, "first_id"), fresh(docs, "first_key"), fresh(docs, "nth")
+    rows, named = _named(docs, id_col, text_col, shingle)
+    firsts = rows.join(named.select("fp", "root"), "fp").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key")).alias("m")).select(F.col("m.doc_id").alias(i), F.col("m.text_key").alias(k))
+    key = F.xxhash64(whole_text(text_col))
+    kept = docs.join(firsts, F.col(id_col).cast("long").eqNullSafe(F.col(i)) & (key == F.col(k)), "left_semi")
+    within = Window.partitionBy(F.col(id_col).cast("long"), key).orderBy(F.lit(0))
     return kept.withColumn(nth, F.row_number().over(within)).where(F.col(nth) == 1).select(*cols)
