@@ -1,8 +1,10 @@
 """Substring dedup by hashing lines and their sentences.
 
-A unit is a line's sentence (up to its mark, or the line's end) or a fragment
-of one (up to the next capitalised word), so that a passage pasted into a line
-still has units of its own. White space is squeezed, letters are lower-cased
+A unit is a line's sentence (up to its mark, or the line's end), a fragment of
+one (up to the next capitalised word), or a run of a line's words between two
+pairs of words whose hash says to cut. The latter two begin and end where the
+passage itself says, so that one pasted into a line has units of its own. White
+space is squeezed, letters are lower-cased
 and 128 bits of the rest are grouped over the whole corpus. Of equal units the
 earliest, by id and offset, stays; the rest go, with their original offsets
 kept. Units of fewer than ``LEAST`` words say too little and stay.
@@ -19,7 +21,9 @@ result; other columns are carried by ``without_repeats`` alone.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -33,8 +37,37 @@ _SENTENCE = re.compile(r"[^\n.!?]*(?:[.!?]+(?![\s])[^\n.!?]*)*[.!?]*")
 _FRAGMENT = re.compile(r"(?<=\s)(?=[^\W\d_a-zß-öø-ÿ])")
 
 
+#: One pair of words in so many ends a run.
+CUT = 12
+_LINE = re.compile(r"[^\n]+")
+_WORD = re.compile(r"\S+")
+
+
+def _runs(text: str, least: int) -> Iterator[tuple[int, int, int, str]]:
+    """Runs of a line's words, cut behind pairs of words by their hash alone."""
+    crc = zlib.crc32
+    for line in _LINE.finditer(text):
+        words = line[0].split()
+        if len(words) < 2 * least:
+            continue
+        joined = " ".join(words)
+        raw = joined.lower().encode("utf-8", "surrogatepass").split(b" ")
+        cuts = [k + 2 for k, (a, b) in enumerate(zip(raw, raw[1:], strict=False)) if crc(b, crc(a)) % CUT == 0]
+        if not cuts:
+            continue
+        if joined == line[0].strip():  # one space between words: their places are sums of lengths
+            lead = line.start() + len(line[0]) - len(line[0].lstrip())
+            starts = list(accumulate((len(w) + 1 for w in words), initial=lead))
+        else:
+            starts = [m.start() for m in _WORD.finditer(text, line.start(), line.end())]
+        for a, b in zip([0, *cuts], [*cuts, len(words)], strict=True):
+            if b - a >= least:
+                yield starts[a], starts[b - 1] + len(words[b - 1]), b - a, " ".join(words[a:b]).lower()
+
+
 def text_units(text: str, least: int = LEAST) -> Iterator[tuple[int, int, int, str]]:
     """(start, end, words, normalised) of each unit with ``least`` words."""
+    yield from _runs(text, least)
     for m in _SENTENCE.finditer(text):
         words = m[0].split()
         if len(words) < least:
