@@ -218,10 +218,11 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
 
 
 def _named(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> tuple[DataFrame, DataFrame]:
-    """Documents (doc_id, text_key, fp), and fingerprints (fp, first, root): the
-    smallest id that has one, and its component."""
+    """Documents (doc_id, text_key, fp), and fingerprints (fp, first, kept, root):
+    the smallest id that has one, the row of it that would stay, its component."""
     rows = cut(fingerprints(docs, id_col, text_col, shingle=shingle))
-    nodes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    row = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key")
+    nodes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.min(row).alias("kept")))
     roots = components(fingerprint_links(nodes.select("fp"))).withColumnRenamed("node", "fp")
     return rows, nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
 
@@ -238,8 +239,8 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One document of each component: that with the smallest id (null last;
     among texts that share it, by their hash). Of repeated rows of it, one stays."""
     cols, i, k, nth = docs.columns, fresh(docs, "first_id"), fresh(docs, "first_key"), fresh(docs, "nth")
-    rows, named = _named(docs, id_col, text_col, shingle)
-    firsts = rows.join(named.select("fp", "root"), "fp").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key")).alias("m")).select(F.col("m.doc_id").alias(i), F.col("m.text_key").alias(k))
+    _, named = _named(docs, id_col, text_col, shingle)
+    firsts = named.groupBy("root").agg(F.min("kept").alias("kept")).select(F.col("kept.doc_id").alias(i), F.col("kept.text_key").alias(k))
     key = F.xxhash64(whole_text(text_col))
     kept = docs.join(firsts, F.col(id_col).cast("long").eqNullSafe(F.col(i)) & (key == F.col(k)), "left_semi")
     within = Window.partitionBy(F.col(id_col).cast("long"), key).orderBy(F.lit(0))
