@@ -42,7 +42,7 @@ SALTS = 256
 NODE_LIMIT = 8_000
 TOKENIZER = "word_bpe_49k.json"
 #: Text that is encoded at once, about; its ids take some ten times as much memory.
-BATCH_BYTES = 12_000_000
+BATCH_BYTES = 8_000_000
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -62,7 +62,7 @@ class WordEncoder:
     text could hold a special token.
     """
 
-    def __init__(self, path: str, keep: int = 800_000) -> None:
+    def __init__(self, path: str, keep: int = 600_000) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
