@@ -274,7 +274,7 @@ register(
 )
 register(
     "collapse_tree",
-    lambda s, d: trees.collapse_single_children(fx.tree_large(s, d), fx.leaves_large(s, d).where("cast(leaf as int) % 40 = 0")),
+    lambda s, d: trees.collapse_single_children(fx.tree_large(s, d), fx.keep(fx.leaves_large(s, d), "cast(leaf as int) % 40 = 0")),
     sql("tree_large, leaves_large", f"SELECT leaves, {r('SUM(branchL)', '\"branchL\"')} FROM (SELECT node, branchL, STRING_AGG(leaf, ',' ORDER BY leaf) leaves FROM tree_large JOIN leaves_large USING (node) WHERE CAST(leaf AS INT) % 40 = 0 GROUP BY ALL) GROUP BY leaves"),
 )
 register(

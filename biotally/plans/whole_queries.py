@@ -1,0 +1,24 @@
+"""The queries whose oracle is given a part of the tables, once more over all rows.
+
+The SQL is that of the query without the condition.
+"""
+
+from __future__ import annotations
+
+from . import diversity_queries, fixtures, statistics_queries, table_queries, view_queries  # noqa: F401
+from .registry import ORACLES, QUERIES, register
+
+
+def register_whole(name: str, *conditions: str) -> None:
+    oracle = ORACLES.get(name, "")
+    for c in conditions:
+        oracle = oracle.replace(f" WHERE {c}", "")
+    register(f"{name}_whole", fixtures.whole(QUERIES[name]), oracle or None)
+
+
+PARTS = ("l_partkey % 40 = 0", "CAST(leaf AS INT) % 40 = 0")
+#: These take a part of the features as an argument: that is what they do.
+ARGUMENT = {"subset_features", "subset_features_exclude", "subset_tree"}
+
+for name in [n for n, q in ORACLES.items() if any(c in q for c in PARTS) and n not in ARGUMENT] + ["subset_samples_index"]:
+    register_whole(name, *PARTS)
