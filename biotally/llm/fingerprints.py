@@ -6,9 +6,10 @@ last pair has the smallest hash. Whether a k-mer is chosen depends on nothing
 around it, so equal passages have equal anchors wherever they stand. Texts of
 fewer words than a k-mer have themselves as the only anchor.
 
-A fingerprint holds the ``SKETCH`` smallest anchor hashes over the whole text,
-in hexadecimal; likeness is the Jaccard index as the sketches of two texts show
-it, exact where both have no more anchors than that.
+A fingerprint holds every anchor in the order of the text: its place (the number
+of the k-mer's first word, from 0) and its hash, in hexadecimal; likeness is the
+Jaccard index of two texts' distinct anchors. A sketch, the ``SKETCH`` smallest
+hashes in 32 bits, is there for those who want an estimate of bounded size.
 
 Defined cases: null texts are empty, with the empty fingerprint, which is like
 itself (1) and unlike any other (0); equal texts have equal fingerprints;
@@ -33,24 +34,45 @@ def words(text: Column) -> Column:
     return F.filter(F.split(text, SPACE), lambda w: w != "")
 
 
-def anchors(text: Column) -> Column:
-    """Hashes of the closed syncmers, in order of their place."""
+def placed(text: Column) -> Column:
+    """The closed syncmers in order: their places, from 0, and their hashes."""
 
     def chosen(h: Column) -> Column:
         def of_pairs(p: Column) -> Column:
             last = F.size(p) - (K - S)
             starts = F.filter(F.sequence(F.lit(1), last), lambda i: F.least(F.get(p, i - 1), F.get(p, i + 2)) <= F.least(F.get(p, i), F.get(p, i + 1)))
-            return F.transform(starts, lambda i: F.xxhash64(F.get(p, i - 1), F.get(p, i + 1), F.get(h, i + 3)))
+            return let(starts, lambda at: F.struct(F.transform(at, lambda i: i - 1).alias("places"), F.transform(at, lambda i: F.xxhash64(F.get(p, i - 1), F.get(p, i + 1), F.get(h, i + 3))).alias("hashes")))
 
         pairs = F.zip_with(F.slice(h, 1, F.size(h) - 1), F.slice(h, 2, F.size(h) - 1), lambda a, b: F.xxhash64(a, b))
-        return F.when(F.size(h) >= K, let(pairs, of_pairs)).when(F.size(h) > 0, F.array(F.xxhash64(F.array_join(h.cast("array<string>"), " ")))).otherwise(F.array().cast("array<bigint>"))
+        alone = F.struct(F.array(F.lit(0)).alias("places"), F.array(F.xxhash64(F.array_join(h.cast("array<string>"), " "))).alias("hashes"))
+        none = F.struct(F.array().cast("array<int>").alias("places"), F.array().cast("array<bigint>").alias("hashes"))
+        return F.when(F.size(h) >= K, let(pairs, of_pairs)).when(F.size(h) > 0, alone).otherwise(none)
 
     return let(F.transform(words(text), lambda w: F.xxhash64(w)), chosen)
 
 
-def sketch(text: Column, size: int = SKETCH) -> Column:
-    """The smallest distinct anchor hashes, in 32 bits, ascending."""
-    return F.slice(F.sort_array(F.array_distinct(F.transform(anchors(text), lambda x: F.shiftrightunsigned(x, 32)))), 1, size)
+def anchors(text: Column) -> Column:
+    """Hashes of the closed syncmers, in order of their place."""
+    return placed(text)["hashes"]
+
+
+def smallest(hashes: Column, size: int = SKETCH) -> Column:
+    """The smallest distinct hashes, in 32 bits, ascending."""
+    return F.slice(F.sort_array(F.array_distinct(F.transform(hashes, lambda x: F.shiftrightunsigned(x, 32)))), 1, size)
+
+
+def listed(anchors: Column) -> Column:
+    """Every anchor as place:hash, with spaces between."""
+    return F.array_join(F.zip_with(anchors["places"], anchors["hashes"], lambda p, x: F.concat(F.lower(F.hex(p)), F.lit(":"), F.lpad(F.lower(F.hex(x)), 16, "0"))), " ")
+
+
+def alike(a: Column, b: Column) -> Column:
+    """Jaccard of all distinct hashes; 1 if both are empty."""
+
+    def of(both: Column) -> Column:
+        return both.cast("double") / (F.size(F.array_distinct(a)) + F.size(F.array_distinct(b)) - both)
+
+    return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(let(F.size(F.array_intersect(a, b)), of))
 
 
 def as_text(hashes: Column) -> Column:
@@ -67,13 +89,14 @@ def likeness(a: Column, b: Column, size: int = SKETCH) -> Column:
     return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(let(union, of))
 
 
-def fingerprint(text: Column, size: int = SKETCH) -> Column:
-    return as_text(sketch(text, size))
+def fingerprint(text: Column) -> Column:
+    return listed(placed(text))
 
 
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, size: int = SKETCH) -> DataFrame:
-    """doc_id, text, sketch, next_text, next_sketch: the next document is the
-    one with the next smaller id, and the first one after the last.
+    """doc_id, text, next_text, and the anchors and sketches of both (the next
+    one's anchors without places): the next document is the one with the next
+    smaller id, and the first one after the last.
 
     Ids are cut into ranges at quantiles. A range's texts meet in one task;
     what follows a range's last document is the first of the next range, which
@@ -96,10 +119,10 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
     picked = rows.join(F.broadcast(small), F.col("doc_id").eqNullSafe(F.col("head")) & (tie == F.col("head_tie")))
     picked = picked.groupBy(F.col("after").alias("range")).agg(F.min("doc_id").alias("doc_id"), F.min("text").alias("text"))
     both = rows.withColumn("guest", F.lit(0)).unionByName(picked.withColumn("guest", F.lit(1)))
-    both = both.repartition("range").withColumn("sketch", sketch(F.col("text"), size))  # texts move without their sketches
+    both = both.repartition("range").withColumn("anchors", placed(F.col("text"))).withColumn("sketch", smallest(F.col("anchors.hashes"), size))  # texts move without their anchors
     order = Window.partitionBy("range").orderBy("guest", F.desc_nulls_last("doc_id"), tie, "text")
-    both = both.withColumns({"next_text": F.lead("text").over(order), "next_sketch": F.lead("sketch").over(order)})
-    return both.where("guest = 0").select("doc_id", "text", "sketch", "next_text", "next_sketch")
+    both = both.withColumns({"next_text": F.lead("text").over(order), "next_anchors": F.lead("anchors.hashes").over(order), "next_sketch": F.lead("sketch").over(order)})
+    return both.where("guest = 0").select("doc_id", "text", "anchors", "sketch", "next_text", "next_anchors", "next_sketch")
 
 
 def edited(text: Column, following: Column) -> Column:
@@ -109,12 +132,12 @@ def edited(text: Column, following: Column) -> Column:
     return F.concat(F.substring(text, F.lit(1), F.length(text) - half), F.substring(following, F.lit(1), half))
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, size: int = SKETCH) -> DataFrame:
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and fingerprint of each document."""
-    return docs.select(F.col(id_col).alias("doc_id"), fingerprint(whole_text(text_col), size).alias("fingerprint"))
+    return docs.select(F.col(id_col).alias("doc_id"), fingerprint(whole_text(text_col)).alias("fingerprint"))
 
 
 def compared(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, size: int = SKETCH) -> DataFrame:
-    """doc_id, text, edited_text and the sketches of both and of the next text."""
-    rows = with_next(docs, id_col, text_col, size=size).withColumn("edited_text", edited(F.col("text"), F.col("next_text")))
-    return rows.select("doc_id", "text", "edited_text", "sketch", sketch(F.col("edited_text"), size).alias("edited_sketch"), "next_sketch")
+    """doc_id, text, edited_text, the anchors and sketches of both and of the next text."""
+    rows = with_next(docs, id_col, text_col, size=size).withColumn("edited_text", edited(F.col("text"), F.col("next_text"))).withColumn("edited_anchors", placed(F.col("edited_text")))
+    return rows.select("doc_id", "text", "edited_text", "anchors", "edited_anchors", "next_anchors", "sketch", smallest(F.col("edited_anchors.hashes"), size).alias("edited_sketch"), "next_sketch")

@@ -53,8 +53,8 @@ def op6_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = fingerprints.compared(table(spark, sf_dir, "documents"))
     return rows.select(
-        "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited_text").cast("binary"), 256).alias("edited_sha256"), fingerprints.as_text(F.col("sketch")).alias("fingerprint"), fingerprints.as_text(F.col("edited_sketch")).alias("edited_fingerprint"),
-        fingerprints.likeness(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"), fingerprints.likeness(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
+        "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited_text").cast("binary"), 256).alias("edited_sha256"), fingerprints.listed(F.col("anchors")).alias("fingerprint"), fingerprints.listed(F.col("edited_anchors")).alias("edited_fingerprint"),
+        fingerprints.alike(F.col("anchors.hashes"), F.col("edited_anchors.hashes")).alias("near_edited"), fingerprints.alike(F.col("anchors.hashes"), F.col("next_anchors")).alias("near_next"),
     )
 
 
