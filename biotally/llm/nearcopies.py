@@ -1,0 +1,134 @@
+"""Near-copies by the Jaccard index of their shingles of five words.
+
+Texts of equal shingles are one node. A node's MinHash is cut into bands, and
+nodes that share a band's hash are compared by their whole sets of shingles:
+those of at least ``SIMILARITY`` link, and linked nodes are one group. A pair at
+exactly 0.8 shares one of 20 bands of 5 with probability 0.9996.
+
+Defined cases: null texts are empty and all alike; texts of fewer words than a
+shingle are one shingle; of a group the row with the smallest id stays (null
+last; among texts that share it, by their hash), once; an empty table gives an
+empty result.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from .common import cut, fresh, whole_text
+from .simhash import components
+
+SHINGLE = 5
+SIMILARITY = 0.8
+BANDS, ROWS = 20, 5
+_RNG = np.random.default_rng(11)
+_A = _RNG.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_B = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
+
+
+def shingles(text: str, shingle: int = SHINGLE) -> np.ndarray:
+    """Distinct hashes of the text's shingles, ascending."""
+    import xxhash
+
+    words = text.encode("utf-8", "surrogatepass").lower().split()  # bytes: ASCII letters and white space alone
+    digest = xxhash.xxh64_intdigest
+    if len(words) <= shingle:
+        return np.array([digest(b" ".join(words))] if words else [], dtype=np.uint64)
+    return np.unique(np.fromiter((digest(b" ".join(s)) for s in zip(*(words[k:] for k in range(shingle)), strict=False)), dtype=np.uint64))
+
+
+def bands(hashes: np.ndarray) -> list[int]:
+    import xxhash
+
+    if not len(hashes):
+        return []
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
+    for lo in range(0, len(hashes), 4096):
+        least = np.minimum(least, (hashes[lo : lo + 4096, None] * _A + _B).min(axis=0))
+    return [int(np.uint64(xxhash.xxh64_intdigest(least[k * ROWS : (k + 1) * ROWS].tobytes(), k)).astype(np.int64)) for k in range(BANDS)]
+
+
+def similar(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> bool:
+    if min(len(a), len(b)) < similarity * max(len(a), len(b)):
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both >= similarity * (len(a) + len(b) - both)
+
+
+def links_in_run(nodes: list[int], sets: list[np.ndarray], similarity: float = SIMILARITY) -> list[tuple[int, int]]:
+    """A forest of the links among nodes, each tree grown from its first one."""
+    out, unseen = [], list(range(len(nodes)))
+    while unseen:
+        queue, unseen = [unseen[0]], unseen[1:]
+        while queue and unseen:
+            x = queue.pop()
+            hit = [similar(sets[x], sets[y], similarity) for y in unseen]
+            new = [y for y, h in zip(unseen, hit, strict=True) if h]
+            unseen = [y for y, h in zip(unseen, hit, strict=True) if not h]
+            out += [(nodes[x], nodes[y]) for y in new]
+            queue += new
+    return out
+
+
+def links(nodes: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Links (a, b) among nodes (node, kept, bands); texts: doc_id, text_key, text."""
+    keyed = nodes.select("node", F.explode("bands").alias("key"))
+    # Runs of the same nodes under several keys are compared once.
+    runs = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("of"), F.min("node").alias("least")).where("n > 1")
+    keyed = cut(keyed.join(runs.groupBy("n", "of", "least").agg(F.min("key").alias("key")).select("key"), "key", "left_semi"))
+    wanted = nodes.join(keyed.select("node").distinct(), "node").select("node", F.col("kept.doc_id").alias("i"), F.col("kept.text_key").alias("k"))
+
+    @F.pandas_udf("binary")
+    def packed(text: pd.Series) -> pd.Series:
+        return pd.Series([shingles(t, shingle).tobytes() for t in text], dtype=object)
+
+    sets = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("text_key") == F.col("k"))).dropDuplicates(["node"]).select("node", packed("text").alias("set"))
+
+    def judged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, held, own = None, [], []
+
+        def out() -> pd.DataFrame:
+            return pd.DataFrame(links_in_run(held, own, similarity), columns=["a", "b"], dtype="int64")
+
+        for pdf in batches:
+            for k, node, raw in zip(pdf["key"].tolist(), pdf["node"].tolist(), pdf["set"].tolist(), strict=True):
+                if k != key:
+                    if len(held) > 1:
+                        yield out()
+                    key, held, own = k, [], []
+                held.append(node)
+                own.append(np.frombuffer(raw, dtype=np.uint64))
+        if len(held) > 1:
+            yield out()
+
+    met = keyed.join(sets, "node").repartition("key").sortWithinPartitions("key", "node")
+    return met.mapInPandas(judged, "a long, b long").distinct()
+
+
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """One document of each group."""
+    cols, i, k, nth = docs.columns, fresh(docs, "first_id"), fresh(docs, "first_key"), fresh(docs, "nth")
+
+    @F.pandas_udf("node long, bands array<long>")
+    def signed(text: pd.Series) -> pd.DataFrame:
+        import xxhash
+
+        all_of = [shingles(t, shingle) for t in text]
+        return pd.DataFrame({"node": [int(np.uint64(xxhash.xxh64_intdigest(h.tobytes())).astype(np.int64)) for h in all_of], "bands": [bands(h) for h in all_of]})
+
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(whole_text(text_col)).alias("text_key"), whole_text(text_col).alias("text"))
+    rows = cut(texts.select("doc_id", "text_key", signed("text").alias("s")).select("doc_id", "text_key", "s.node", "s.bands"))
+    row = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key")
+    nodes = cut(rows.groupBy("node").agg(F.min(row).alias("kept"), F.min("bands").alias("bands")))
+    roots = components(links(nodes, texts, shingle, similarity))
+    named = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    firsts = named.groupBy("root").agg(F.min("kept").alias("kept")).select(F.col("kept.doc_id").alias(i), F.col("kept.text_key").alias(k))
+    key = F.xxhash64(whole_text(text_col))
+    kept = docs.join(firsts, F.col(id_col).cast("long").eqNullSafe(F.col(i)) & (key == F.col(k)), "left_semi")
+    within = Window.partitionBy(F.col(id_col).cast("long"), key).orderBy(F.lit(0))
+    return kept.withColumn(nth, F.row_number().over(within)).where(F.col(nth) == 1).select(*cols)

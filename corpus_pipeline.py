@@ -7,7 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from biotally.llm import mixing, packing, quality, secrets, simhash
+from biotally.llm import mixing, nearcopies, packing, quality, secrets
 from biotally.llm.common import table
 
 
@@ -17,8 +17,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
-    return simhash.keep_first(docs)
+    """One document of each group stays: five-word shingles, similarity 0.8."""
+    return nearcopies.keep_first(docs)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
