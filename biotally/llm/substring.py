@@ -1,13 +1,17 @@
-"""Substring dedup by hashing lines and their sentences.
-
-A unit is a line's sentence (up to its mark, or the line's end), a fragment of
-one (up to the next capitalised word), or a run of a line's words between two
-pairs of words whose hash says to cut. The latter two begin and end where the
-passage itself says, so that one pasted into a line has units of its own. White
+"""Substring dedup by hashing lines, their sentences and runs of words.
+
+A unit is a whole line of any length, a line's sentence (up to its mark, or the
+line's end), a fragment of one (up to the next capitalised word), or a run of
+the text's words, across lines, between two cuts. The latter two begin and end
+where the passage itself says, so that one pasted into a text has units of its
+own. A cut follows the pair of words with the least hash of some ``WINDOW``
+pairs in a row, and runs overlap until each has ``LEAST`` words: equal passages
+of 2 ``WINDOW`` + ``LEAST`` words or more always share a unit, and all between
+their first and their last common cut is in units. White
 space is squeezed, letters are lower-cased
 and 128 bits of the rest are grouped over the whole corpus. Of equal units the
 earliest, by id and offset, stays; the rest go, with their original offsets
-kept. Units of fewer than ``LEAST`` words say too little and stay.
+kept. Other units than lines need ``LEAST`` words.
 
 Only digests are shuffled, not texts. Repeats within a document are settled
 where it is read; counts are combined before the shuffle, and occurrences meet
@@ -23,51 +27,68 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import accumulate
 
+import numpy as np
 import pandas as pd
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, fresh, key_set, maybe_in, whole_text
 
-#: Words that a unit needs to be judged.
+#: Words that a unit needs to be judged, unless it is a line.
 LEAST = 8
 _SENTENCE = re.compile(r"[^\n.!?]*(?:[.!?]+(?![\s])[^\n.!?]*)*[.!?]*")
 _FRAGMENT = re.compile(r"(?<=\s)(?=[^\W\d_a-zß-öø-ÿ])")
 
 
-#: One pair of words in so many ends a run.
-CUT = 12
+#: Of so many pairs of words in a row one at least is a cut.
+WINDOW = 16
 _LINE = re.compile(r"[^\n]+")
 _WORD = re.compile(r"\S+")
 
 
-def _runs(text: str, least: int) -> Iterator[tuple[int, int, int, str]]:
-    """Runs of a line's words, cut behind pairs of words by their hash alone."""
+def _cuts(raw: list[bytes]) -> list[int]:
+    """Word numbers behind the least pair of each window."""
     crc = zlib.crc32
-    for line in _LINE.finditer(text):
-        words = line[0].split()
-        if len(words) < 2 * least:
-            continue
-        joined = " ".join(words)
-        raw = joined.lower().encode("utf-8", "surrogatepass").split(b" ")
-        cuts = [k + 2 for k, (a, b) in enumerate(zip(raw, raw[1:], strict=False)) if crc(b, crc(a)) % CUT == 0]
-        if not cuts:
-            continue
-        if joined == line[0].strip():  # one space between words: their places are sums of lengths
-            lead = line.start() + len(line[0]) - len(line[0].lstrip())
-            starts = list(accumulate((len(w) + 1 for w in words), initial=lead))
-        else:
-            starts = [m.start() for m in _WORD.finditer(text, line.start(), line.end())]
-        for a, b in zip([0, *cuts], [*cuts, len(words)], strict=True):
-            if b - a >= least:
-                yield starts[a], starts[b - 1] + len(words[b - 1]), b - a, " ".join(words[a:b]).lower()
+    h = np.fromiter((crc(b, crc(a)) for a, b in zip(raw, raw[1:], strict=False)), dtype=np.uint32)
+    if len(h) < WINDOW:
+        return []
+    least = sliding_window_view(h, WINDOW).argmin(axis=1)
+    return (np.unique(least + np.arange(len(least))) + 2).tolist()
+
+
+def _runs(text: str, least: int) -> Iterator[tuple[int, int, int, str]]:
+    """Runs of the text's words between cuts, each as short as ``least`` allows
+    from its start or from its end."""
+    words = text.split()
+    if len(words) < least:
+        return
+    low = " ".join(words).lower()
+    edges = sorted({0, *_cuts(low.encode("utf-8", "surrogatepass").split(b" ")), len(words)})
+    pairs, i, j = set(), 0, 0
+    for k, a in enumerate(edges):
+        while j < len(edges) and edges[j] - a < least:
+            j += 1
+        if j < len(edges):
+            pairs.add((a, edges[j]))
+        while i < k and a - edges[i + 1] >= least:
+            i += 1
+        if a - edges[i] >= least:
+            pairs.add((edges[i], a))
+    starts, ends = zip(*(m.span() for m in _WORD.finditer(text)), strict=True)
+    for a, b in sorted(pairs):
+        yield starts[a], ends[b - 1], b - a, " ".join(words[a:b]).lower()
 
 
 def text_units(text: str, least: int = LEAST) -> Iterator[tuple[int, int, int, str]]:
-    """(start, end, words, normalised) of each unit with ``least`` words."""
+    """(start, end, words, normalised) of each unit: lines, and what else has
+    ``least`` words."""
     yield from _runs(text, least)
+    for m in _LINE.finditer(text):
+        words = m[0].split()
+        if words:
+            yield m.start() + len(m[0]) - len(m[0].lstrip()), m.start() + len(m[0].rstrip()), len(words), " ".join(words).lower()
     for m in _SENTENCE.finditer(text):
         words = m[0].split()
         if len(words) < least:
