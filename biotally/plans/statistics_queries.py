@@ -220,10 +220,10 @@ def _objects(s, d):
     li = fx.read(s, d, "lineitem")
     out = []
     for cond in ("l_returnflag = 'R'", "l_returnflag <> 'R'"):
-        rows = li.where(cond).where("l_suppkey <= 20")
+        rows = fx.keep(li.where(cond), "l_suppkey <= 20")
         tab = rows.groupBy(F.col("l_partkey").cast("string").alias("feature"), F.col("l_suppkey").cast("string").alias("sample")).agg(F.sum(F.col("l_quantity").cast("double")).alias("value"))
         ids = tab.select("feature").distinct()
-        out.append({"tab": tab, "seq": fx.seq(s, d).join(ids, "feature", "left_semi"), "tax": fx.tax(s, d).select("feature", "Domain").join(ids, "feature", "left_semi"), "meta": fx.supplier_meta(s, d).where("cast(sample as int) <= 20")})
+        out.append({"tab": tab, "seq": fx.seq(s, d).join(ids, "feature", "left_semi"), "tax": fx.tax(s, d).select("feature", "Domain").join(ids, "feature", "left_semi"), "meta": fx.keep(fx.supplier_meta(s, d), "cast(sample as int) <= 20")})
     return out
 
 

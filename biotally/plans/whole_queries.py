@@ -22,3 +22,7 @@ ARGUMENT = {"subset_features", "subset_features_exclude", "subset_tree"}
 
 for name in [n for n, q in ORACLES.items() if any(c in q for c in PARTS) and n not in ARGUMENT] + ["subset_samples_index"]:
     register_whole(name, *PARTS)
+
+OBJECTS = ("l_suppkey <= 20", "CAST(sample AS INT) <= 20")
+for name in ("align_exact", "align_sequences", "align_substring", "consensus", "consensus_info", "merge_objects", "merge_objects_meta"):
+    register_whole(name, *OBJECTS)

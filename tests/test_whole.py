@@ -3,9 +3,10 @@
 import itertools
 
 import pytest
+from pyspark.sql import functions as F
 
 from biotally.plans import ORACLES, QUERIES, whole_queries
-from biotally.plans.fixtures import tab_sparse, tab_wide
+from biotally.plans.fixtures import supplier_meta, tab_sparse, tab_wide
 
 SF = "/root/testdata/sf0.001"
 
@@ -26,3 +27,19 @@ def test_bray_over_all_rows(spark):
     want = {(a, b): 1 - sum(min(v, p[b].get(f, 0)) for f, v in p[a].items()) for a, b in itertools.combinations(sorted(p), 2)}
     got = {(r["s1"], r["s2"]): r["value"] for r in QUERIES["bray_whole"](spark, SF).collect()}
     assert got == pytest.approx(want, abs=1e-5)
+
+
+def test_objects_have_all_suppliers(spark, tmp_path):
+    """Thirty suppliers, since the smallest scale has fewer than the condition keeps."""
+    for t in ("region", "nation", "part", "supplier", "lineitem"):
+        df = spark.read.parquet(f"{SF}/{t}.parquet")
+        if t in ("supplier", "lineitem"):
+            key = "s_suppkey" if t == "supplier" else "l_suppkey"
+            df = df.select("*", F.explode(F.array(F.lit(0), F.lit(10), F.lit(20))).alias("more")).withColumn(key, (F.col(key) + F.col("more")).cast(df.schema[key].dataType)).drop("more")
+        df.write.parquet(str(tmp_path / f"{t}.parquet"))
+    d = str(tmp_path)
+    want = {f"{r['sample']}_{k}" for r in supplier_meta(spark, d).select("sample").collect() for k in (0, 1)}
+    assert len(want) == 60
+    for name in ("merge_objects_meta_whole", "merge_objects_whole"):
+        assert {r["sample"] for r in QUERIES[name](spark, d).select("sample").distinct().collect()} == want
+    assert QUERIES["merge_objects_meta"](spark, d).count() < 60
