@@ -249,8 +249,8 @@ register("merge_objects", lambda s, d: combine.merge_objects(_objects(s, d))["ta
 register("merge_objects_meta", lambda s, d: combine.merge_objects(_objects(s, d))["meta"], sql("supplier_meta", f"SELECT sample || '_' || o AS sample, region, nation, {r('acctbal', 'acctbal')} FROM supplier_meta, (SELECT UNNEST([0, 1]) o) WHERE CAST(sample AS INT) <= 20"))
 register("align_substring", lambda s, d: combine.align(_objects(s, d), different_lengths=True)[1]["seq"])
 SEQS = "SELECT feature, seq FROM seq WHERE CAST(feature AS INT) % 20 = 0"
-register("seq_distance", lambda s, d: combine.sequence_distance(fx.seq(s, d).where("cast(feature as int) % 20 = 0")), sql("seq", f"SELECT a.feature f1, b.feature f2, CAST(levenshtein(a.seq, b.seq) AS INT) distance, {r('levenshtein(a.seq, b.seq) / CAST(GREATEST(LENGTH(a.seq), LENGTH(b.seq)) AS DOUBLE)', 'normalized')} FROM sq a JOIN sq b ON a.feature < b.feature", sq=SEQS))
-register("seq_distance_banded", lambda s, d: combine.sequence_distance(fx.seq(s, d).where("cast(feature as int) % 50 = 0"), band=100), sql("seq", f"SELECT a.feature f1, b.feature f2, CAST(levenshtein(a.seq, b.seq) AS INT) distance, {r('levenshtein(a.seq, b.seq) / CAST(GREATEST(LENGTH(a.seq), LENGTH(b.seq)) AS DOUBLE)', 'normalized')} FROM sq a JOIN sq b ON a.feature < b.feature", sq=SEQS.replace("% 20", "% 50")))
+register("seq_distance", lambda s, d: combine.sequence_distance(fx.keep(fx.seq(s, d), "cast(feature as int) % 20 = 0")), sql("seq", f"SELECT a.feature f1, b.feature f2, CAST(levenshtein(a.seq, b.seq) AS INT) distance, {r('levenshtein(a.seq, b.seq) / CAST(GREATEST(LENGTH(a.seq), LENGTH(b.seq)) AS DOUBLE)', 'normalized')} FROM sq a JOIN sq b ON a.feature < b.feature", sq=SEQS))
+register("seq_distance_banded", lambda s, d: combine.sequence_distance(fx.keep(fx.seq(s, d), "cast(feature as int) % 50 = 0"), band=100), sql("seq", f"SELECT a.feature f1, b.feature f2, CAST(levenshtein(a.seq, b.seq) AS INT) distance, {r('levenshtein(a.seq, b.seq) / CAST(GREATEST(LENGTH(a.seq), LENGTH(b.seq)) AS DOUBLE)', 'normalized')} FROM sq a JOIN sq b ON a.feature < b.feature", sq=SEQS.replace("% 20", "% 50")))
 
 # -- simulators
 

@@ -26,3 +26,6 @@ for name in [n for n, q in ORACLES.items() if any(c in q for c in PARTS) and n n
 OBJECTS = ("l_suppkey <= 20", "CAST(sample AS INT) <= 20")
 for name in ("align_exact", "align_sequences", "align_substring", "consensus", "consensus_info", "merge_objects", "merge_objects_meta"):
     register_whole(name, *OBJECTS)
+
+for name, n in (("seq_distance", 20), ("seq_distance_banded", 50)):
+    register_whole(name, f"CAST(feature AS INT) % {n} = 0")

@@ -43,3 +43,10 @@ def test_objects_have_all_suppliers(spark, tmp_path):
     for name in ("merge_objects_meta_whole", "merge_objects_whole"):
         assert {r["sample"] for r in QUERIES[name](spark, d).select("sample").distinct().collect()} == want
     assert QUERIES["merge_objects_meta"](spark, d).count() < 60
+
+
+def test_distances_of_all_sequences(spark):
+    n = spark.read.parquet(f"{SF}/part.parquet").count()
+    for name in ("seq_distance_whole", "seq_distance_banded_whole"):
+        assert QUERIES[name](spark, SF).count() == n * (n - 1) // 2
+    assert QUERIES["seq_distance"](spark, SF).count() < n
