@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,19 +23,45 @@ def whole_text(col: str | Column = "text") -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the cluster's shared checkpoint folder and drop its
-    lineage, so that a lost executor does not cost the work before it.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: that of the session, or the
+    one set for checkpoints. Only a local master may do without: its executors
+    are the driver."""
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if named is None:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="checkpoints-")
+        atexit.register(shutil.rmtree, named, ignore_errors=True)
+    return named
 
-    A folder is set only where the session names none (tests, notebooks).
-    """
+
+def cut(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` in the shared folder and drop its lineage, so that a
+    lost executor does not cost the work before it. With
+    spark.cleaner.referenceTracking.cleanCheckpoints the files go when the
+    frame does."""
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        sc.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)
 
 
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    """Delete a folder wherever Spark's own file systems reach it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def row_order(df: DataFrame) -> Column:
+    """A hash of the whole row: an order among rows that agree in what matters,
+    the same when a task runs again."""
+    cols = [F.to_json(F.struct(F.col(f"`{f.name}`"))) if "map" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in df.schema.fields]
+    return F.xxhash64(*cols)
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` computed once a row.
 

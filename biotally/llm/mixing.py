@@ -26,7 +26,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, fresh, let, whole_text
+from .common import WORD, cut, fresh, let, row_order, whole_text
 
 BUCKETS = 4096
 MAX_EPOCHS = 3
@@ -76,8 +76,8 @@ def targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, max_epochs: int
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", *, weights: Sequence[int] = WEIGHTS, max_epochs: int = MAX_EPOCHS, weight: Column | None = None, seed: int = 17) -> DataFrame:
-    """doc_id, size, source_size, target, taken, text_key; text_key hashes the
-    text, to join the documents again."""
+    """doc_id, size, source_size, target, taken, text_key, source_key; text_key
+    hashes the text, to join the documents again."""
     text = whole_text(text_col)
     u = uniform(F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.md5(text.cast("binary")))
     key = -F.ln(u) / (quality_weight(text) if weight is None else weight)
@@ -94,7 +94,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     rest = whole - epochs * F.col("source_size")
     start = F.col("_before") + F.sum("size").over(within) - F.col("size")
     taken = epochs * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest - start))
-    return rows.join(plan, ["_source", "_bucket"]).select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), "text_key")
+    return rows.join(plan, ["_source", "_bucket"]).select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), "text_key", F.col("_source").alias("source_key"))
 
 
 def first_words(text: Column, n: Column) -> Column:
@@ -102,16 +102,17 @@ def first_words(text: Column, n: Column) -> Column:
     return let(F.split(text, r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])"), lambda parts: F.array_join(F.slice(parts, 1, n.cast("int")), ""))
 
 
-def apply_mix(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars") -> DataFrame:
+def apply_mix(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", chars_col: str | None = "n_chars") -> DataFrame:
     """The documents as often as the mix takes them, a part last; columns as
     in ``docs``."""
     cols = docs.columns
-    key, nth, m_id, m_key, m_nth, size, taken, copy, text = (fresh(docs, x) for x in ("mix_a", "mix_b", "mix_c", "mix_d", "mix_e", "mix_size", "mix_taken", "mix_copy", "mix_text"))
-    # Rows with the same id and text are told apart by number on both sides.
-    copies = mixed.select(F.col("doc_id").alias(m_id), F.col("text_key").alias(m_key), F.row_number().over(Window.partitionBy("doc_id", "text_key").orderBy(F.desc("taken"))).alias(m_nth), F.col("size").alias(size), F.col("taken").alias(taken)).where(F.col(taken) > 0)
+    key, nth, m_id, m_key, m_nth, m_source, size, taken, copy, text = (fresh(docs, x) for x in ("mix_a", "mix_b", "mix_c", "mix_d", "mix_e", "mix_f", "mix_size", "mix_taken", "mix_copy", "mix_text"))
+    # Rows with the same id, text and source are told apart by number on both sides.
+    alike = Window.partitionBy("doc_id", "text_key", "source_key").orderBy(F.desc("taken"))
+    copies = mixed.select(F.col("doc_id").alias(m_id), F.col("text_key").alias(m_key), F.col("source_key").alias(m_source), F.row_number().over(alike).alias(m_nth), F.col("size").alias(size), F.col("taken").alias(taken)).where(F.col(taken) > 0)
     rows = docs.withColumn(key, F.xxhash64(whole_text(text_col)))
-    rows = rows.withColumn(nth, F.row_number().over(Window.partitionBy(F.col(id_col).cast("long"), key).orderBy(F.lit(0))))
-    rows = rows.join(copies, F.col(id_col).cast("long").eqNullSafe(F.col(m_id)) & (F.col(key) == F.col(m_key)) & (F.col(nth) == F.col(m_nth)))
+    rows = rows.withColumn(nth, F.row_number().over(Window.partitionBy(F.col(id_col).cast("long"), key, source_key(source_col)).orderBy(row_order(docs))))
+    rows = rows.join(copies, F.col(id_col).cast("long").eqNullSafe(F.col(m_id)) & (F.col(key) == F.col(m_key)) & (source_key(source_col) == F.col(m_source)) & (F.col(nth) == F.col(m_nth)))
     rows = rows.withColumn(copy, F.explode(F.sequence(F.lit(1), F.ceil(F.col(taken) / F.col(size)).cast("int"))))
     left = F.col(taken) - (F.col(copy) - 1) * F.col(size)
     rows = rows.withColumn(text, F.when(left >= F.col(size), F.col(text_col)).otherwise(first_words(whole_text(text_col), left)))

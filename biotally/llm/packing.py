@@ -8,8 +8,10 @@ piece to its place by its length and its rank among pieces of that length.
 The solver is bin completion: take the largest piece that is left, enumerate
 the undominated fillings of the room beside it, branch on them best first,
 prune by the waste that a better packing could still afford, and start from
-best-fit decreasing as incumbent. A branch applies its filling as often as the
-counts allow.
+best-fit decreasing as incumbent. ``Limits`` bounds the search, which then may
+end above the least number of sequences; the result says what it reached
+(``sequences``) and a bound that no packing passes (``sequences_bound``). With
+``EXACT`` the search has no limit and its result is the least number.
 
 Defined cases: null and empty texts give one piece that holds the end id alone;
 repeated rows and repeated ids are packed like any other rows; an empty table
@@ -18,12 +20,14 @@ gives an empty result; columns beside id and text are ignored.
 
 from __future__ import annotations
 
+import json
 import sys
 import types
 import zlib
 from bisect import bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -36,10 +40,29 @@ from .common import cut, whole_text
 
 CAPACITY = 4096
 END_ID = 1
-#: Parts that the pieces of one length are ranked in.
+#: Parts that the pieces of one length are ranked in, at least, and pieces for each more.
 SALTS = 256
-#: Branch-and-bound steps after which the incumbent is kept.
-NODE_LIMIT = 8_000
+SALT_ROWS = 1_000_000
+
+
+@dataclass(frozen=True)
+class Limits:
+    """What the search spends; None is no limit."""
+
+    #: Branch-and-bound steps after which the incumbent is kept.
+    nodes: int | None = 8_000
+    #: Fillings that a step branches on.
+    width: int | None = 4
+    #: Steps of one enumeration of fillings, and lengths tried at each.
+    effort: int | None = 400
+    children: int | None = 12
+    #: Branch on every bin for itself, not on a filling as often as counts allow.
+    one_by_one: bool = False
+
+
+LIMITED = Limits()
+#: Ends with the least number of bins, however long that takes.
+EXACT = Limits(None, None, None, None, one_by_one=True)
 TOKENIZER = "word_bpe_49k.json"
 #: Text that is encoded at once, about; its ids take some ten times as much memory.
 BATCH_BYTES = 8_000_000
@@ -143,11 +166,39 @@ class WordEncoder:
 _MARKS = b".,;:!?#%&*$)\"-"
 
 
-def encoder(path: str) -> WordEncoder:
+class WholeEncoder:
+    """Ids of whole texts from any tokenizer, text by text."""
+
+    def __init__(self, path: str) -> None:
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        found = [np.asarray(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
+        return np.concatenate([np.array([], dtype="<u4"), *found]), np.cumsum([len(x) for x in found], dtype=np.int64)
+
+
+# How a tokenizer must read texts for its ids to be those of the words.
+_NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+_SPLIT = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
+
+
+def reads_words(path: str) -> bool:
+    """Whether the tokenizer lower-cases, splits at white space and at marks
+    behind letters, and ends words with a token that says so."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    before = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [None]
+    special = all(t["content"].startswith("<|") for t in spec.get("added_tokens") or [])
+    return (spec.get("normalizer") or {}).get("normalizers") == _NORMALIZER and before[0] == _SPLIT and spec["model"].get("end_of_word_suffix") == "</w>" and special
+
+
+def encoder(path: str) -> WordEncoder | WholeEncoder:
     """One for each worker process, which runs many tasks."""
     store = sys.modules.setdefault("_biotally_process", types.ModuleType("_biotally_process")).__dict__
     if ("encoder", path) not in store:
-        store["encoder", path] = WordEncoder(path)
+        store["encoder", path] = WordEncoder(path) if reads_words(path) else WholeEncoder(path)
     return store["encoder", path]
 
 
@@ -268,18 +319,15 @@ def _dominated(filling: list[int], slack: int, left: _Left, used: dict[int, int]
             at -= 1
         return False
 
-    one = set(filling)
-    if any(stands(a, a + 1) for a in one):
+    if any(stands(a, a + 1) for a in set(filling)):
         return True
-    return any(stands(a + b, a + b) for k, a in enumerate(filling) for b in filling[k + 1 : k + 6])
-
+    pairs = {tuple(sorted((a, b))) for k, a in enumerate(filling) for b in filling[k + 1 :]}
+    return any(stands(a + b, a + b) for a, b in pairs)
 
-def completions(left: _Left, first: int, capacity: int, width: int = 4, effort: int = 400) -> list[list[int]]:
-    """Undominated fillings beside a piece of length ``first``, fullest first.
 
-    A filling that leaves no room ends the enumeration at its depth; ``effort``
-    bounds the nodes of the enumeration, ``width`` the branches that are kept.
-    """
+def completions(left: _Left, first: int, capacity: int, limits: Limits) -> tuple[list[list[int]], bool]:
+    """Undominated fillings beside a piece of length ``first``, fullest first,
+    and whether they are all of them."""
     room = capacity - first
     n = {first: 1}
 
@@ -287,34 +335,39 @@ def completions(left: _Left, first: int, capacity: int, width: int = 4, effort:
         return x > 0 and left.n.get(x, 0) - n.get(x, 0) - extra > 0
 
     if not room:
-        return [[]]
-    if has(room):
-        return [[room]]
+        return [[]], True
+    if has(room):  # one piece that leaves no room stands for any other filling
+        return [[room]], True
     found: list[tuple[int, list[int]]] = []
-    hi = bisect_right(left.lengths, room) - 1
-    at, tries = hi, 0
-    while at >= 0 and 2 * left.lengths[at] >= room and tries < 4096:  # exact pairs
-        a = left.lengths[at]
-        if has(a) and has(room - a, int(a == room - a)):
-            found.append((0, [a, room - a]))
-            if len(found) == width:
-                return [f for _, f in found]
-        at, tries = at - 1, tries + 1
-    if found:
-        return [f for _, f in found]
-    nodes = 0
+    if limits.width is not None:
+        at, tries = bisect_right(left.lengths, room) - 1, 0
+        while at >= 0 and 2 * left.lengths[at] >= room and tries < capacity:  # exact pairs
+            a = left.lengths[at]
+            if has(a) and has(room - a, int(a == room - a)):
+                found.append((0, [a, room - a]))
+                if len(found) == limits.width:
+                    break
+            at, tries = at - 1, tries + 1
+        if found:
+            return [f for _, f in found], False
+    nodes, whole = 0, True
 
     def grow(items: list[int], rest: int, top: int) -> bool:
         """Whether the search may stop."""
-        nonlocal nodes
+        nonlocal nodes, whole
         nodes += 1
         at = bisect_right(left.lengths, min(rest, top)) - 1
         ended = True
         if has(rest) and rest <= top:
             found.append((0, [*items, rest]))
-            return len([1 for s, _ in found if not s]) >= 2
+            if limits.width is not None:
+                whole = False
+                return len([1 for s, _ in found if not s]) >= 2
         tried = 0
-        while at >= 0 and tried < 12 and nodes < effort:
+        while at >= 0:
+            if (limits.children is not None and tried >= limits.children) or (limits.effort is not None and nodes >= limits.effort):
+                whole = False
+                break
             x = left.lengths[at]
             if has(x):
                 ended = False
@@ -325,7 +378,7 @@ def completions(left: _Left, first: int, capacity: int, width: int = 4, effort:
                     return True
                 tried += 1
             at -= 1
-        if ended:
+        if ended and not any(has(x) and x <= rest for x in left.lengths[: bisect_right(left.lengths, rest)]):
             found.append((rest, items))
         return False
 
@@ -337,39 +390,71 @@ def completions(left: _Left, first: int, capacity: int, width: int = 4, effort:
         for x in items:
             used[x] = used.get(x, 0) + 1
         if items not in out and (not out or not _dominated(items, slack, left, used)):
-            out.append(items)
-            if len(out) == width:
+            if limits.width is not None and len(out) == limits.width:
+                whole = False
                 break
-    return out or [[]]
-
-
-def bin_completion(counts: dict[int, int], capacity: int = CAPACITY, node_limit: int = NODE_LIMIT) -> list[tuple[Pattern, int]]:
-    """Patterns and how often each is used; fewest bins found.
-
-    Stops at the bound ceil(total / capacity), at the end of the search, or
-    after ``node_limit`` steps, with the best packing so far.
-    """
+            out.append(items)
+    return out or [[]], whole
+
+
+def lower_bound(counts: dict[int, int], capacity: int) -> int:
+    """No packing has fewer bins: over all thresholds, pieces too long to meet
+    one of at least the threshold have bins of their own, and what the other
+    long pieces leave free holds only so much of the middle ones."""
+    n = np.zeros(capacity + 1, dtype=np.int64)
+    for k, v in counts.items():
+        n[k] = v
+    count, volume = np.cumsum(n), np.cumsum(n * np.arange(capacity + 1))
+    half = capacity // 2
+    a = np.arange(0, half + 1)  # the threshold
+    long = count[capacity] - count[capacity - a]
+    middle, middle_volume = count[capacity - a] - count[half], volume[capacity - a] - volume[half]
+    short = volume[half] - np.where(a > 0, volume[np.maximum(a - 1, 0)], 0)
+    rest = short - (middle * capacity - middle_volume)
+    return int((long + middle + np.maximum(0, -(-rest // capacity))).max())
+
+
+@dataclass(frozen=True)
+class Solution:
+    plan: list[tuple[Pattern, int]]
+    bins: int
+    #: No packing has fewer bins than this.
+    bound: int
+    #: Whether ``bins`` is known to be the least number.
+    proven: bool
+
+
+def solve(counts: dict[int, int], capacity: int = CAPACITY, limits: Limits = LIMITED) -> Solution:
+    """The fewest bins that the search finds; it stops at the lower bound, at its
+    end, or after ``limits.nodes`` steps, with the best packing so far."""
     if any(x < 1 or x > capacity for x in counts):
         raise ValueError("lengths must lie between 1 and the capacity")
     counts = {k: v for k, v in counts.items() if v > 0}
     if not counts:
-        return []
+        return Solution([], 0, 0, True)
     total = sum(k * v for k, v in counts.items())
-    big = sum(v for k, v in counts.items() if 2 * k > capacity)
-    bound = max(-(-total // capacity), big)
+    bound = lower_bound(counts, capacity)
     best = best_fit_decreasing(counts, capacity)
     fewest = sum(t for _, t in best)
     left = _Left(counts)
     path: list[tuple[Pattern, int]] = []
-    stack: list[list[list[int]]] = []
+    stack: list[list[tuple[list[int], int]]] = []
     waste = bins = nodes = 0
+    whole = True
 
-    def branches() -> list[list[int]]:
+    def branches() -> list[tuple[list[int], int]]:
+        """Fillings and how often each is used at most, the best last."""
+        nonlocal whole
         first = left.lengths[-1]
-        return [[first, *c] for c in reversed(completions(left, first, capacity))]
+        found, complete = completions(left, first, capacity, limits)
+        whole &= complete and (limits.one_by_one or len(found) == 1)
+        return [([first, *c], 1 if limits.one_by_one else sys.maxsize) for c in reversed(found)]
 
     stack.append(branches())
-    while stack and fewest > bound and nodes < node_limit:
+    while stack and fewest > bound:
+        if limits.nodes is not None and nodes >= limits.nodes:
+            whole = False
+            break
         if not stack[-1]:
             stack.pop()
             if path:
@@ -379,8 +464,9 @@ def bin_completion(counts: dict[int, int], capacity: int = CAPACITY, node_limit:
                 bins -= times
             continue
         nodes += 1
-        pattern = _pattern(stack[-1].pop())
-        times = min(left.n[a] // b for a, b in pattern)
+        items, most = stack[-1].pop()
+        pattern = _pattern(items)
+        times = min(most, *(left.n[a] // b for a, b in pattern))
         lost = times * (capacity - sum(a * b for a, b in pattern))
         # The last bin's room is no waste that could be avoided; a packing with
         # fewer bins than the incumbent can afford so much in all.
@@ -401,7 +487,12 @@ def bin_completion(counts: dict[int, int], capacity: int = CAPACITY, node_limit:
             waste, bins = waste - lost, bins - times
             continue
         stack.append(branches())
-    return best
+    return Solution(best, fewest, bound, fewest == bound or whole)
+
+
+def bin_completion(counts: dict[int, int], capacity: int = CAPACITY, limits: Limits = LIMITED) -> list[tuple[Pattern, int]]:
+    """Patterns and how often each is used; fewest bins found."""
+    return solve(counts, capacity, limits).plan
 
 
 def placement(plan: list[tuple[Pattern, int]]) -> np.ndarray:
@@ -419,16 +510,20 @@ def placement(plan: list[tuple[Pattern, int]]) -> np.ndarray:
     return np.array(sorted(rows), dtype=np.int64).reshape(-1, 5)
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, node_limit: int = NODE_LIMIT) -> DataFrame:
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, limits: Limits = LIMITED) -> DataFrame:
     """Pieces with their places: doc_id, piece, start, length, ids_crc32,
-    sequence_id, offset."""
+    sequence_id, offset, and on every row sequences (their number) and
+    sequences_bound (no packing has fewer)."""
     spark = docs.sparkSession
     pieces = token_pieces(docs, id_col, text_col, path=path, capacity=capacity, end_id=end_id)
-    pieces = cut(pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(SALTS)).cast("int")))
+    pieces = cut(pieces)
+    salts = max(SALTS, -(-pieces.count() // SALT_ROWS))
+    pieces = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)).cast("int"))
     parts = pieces.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"))
     # At most a row for each possible length, whatever the corpus holds.
     counts = {r["length"]: r["n"] for r in parts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    places = spark.sparkContext.broadcast(placement(bin_completion(counts, capacity, node_limit)))
+    best = solve(counts, capacity, limits)
+    places = spark.sparkContext.broadcast(placement(best.plan))
     before = parts.select("length", "salt", (F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n")).alias("before"))
     within = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")
     ranked = pieces.join(before, ["length", "salt"]).withColumn("rank", F.row_number().over(within) - 1 + F.col("before"))
@@ -443,4 +538,5 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, pat
             yield pdf.drop(columns="rank").assign(sequence_id=row[:, 2] + k // row[:, 3], offset=row[:, 4] + k % row[:, 3] * length)
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
-    return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInPandas(put, schema)
+    out = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInPandas(put, schema)
+    return out.withColumns({"sequences": F.lit(best.bins).cast("long"), "sequences_bound": F.lit(best.bound).cast("long")})

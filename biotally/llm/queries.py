@@ -22,7 +22,7 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents")).drop("text_key").withColumn("target", F.round("target", 6))
+    return mixing.mix(table(spark, sf_dir, "documents")).drop("text_key", "source_key").withColumn("target", F.round("target", 6))
 
 
 def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
