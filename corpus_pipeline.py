@@ -1,14 +1,19 @@
-"""The corpus pipeline: from raw documents to packed training sequences."""
+"""The corpus pipeline: from raw documents to packed training sequences.
+
+Defined cases, each as the stage's operator states them: null texts are empty
+and stay null where they stay; a row is kept or dropped whole, with all its
+columns; of rows repeated in every column near_duplicates keeps one; an empty
+table goes through every stage and gives an empty result.
+"""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from biotally.llm import mixing, nearcopies, packing, quality, secrets
-from biotally.llm.common import table
+from biotally.llm import mixing, packing, quality, secrets, simhash
+from biotally.llm.common import remove_folder, shared_folder, table
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,7 +23,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays: five-word shingles, similarity 0.8."""
-    return nearcopies.keep_first(docs)
+    return simhash.keep_first_copies(docs)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,6 +37,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of at most 4096 tokens with their places in sequences."""
     return packing.pack(docs)
 
 
@@ -44,18 +50,20 @@ STAGES = [
 ]
 
 #: Training, fingerprints and tokens are not SQL; tests hold each stage against
-#: brute force.
+#: brute force on what the stage before it gave.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages in turn; each one's rows are written to the cluster's shared
-    checkpoint folder and read again as the next one's documents."""
-    sc = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir() or tempfile.mkdtemp(prefix="pipeline-")
-    folder = f"{folder}/pipeline-{uuid.uuid4().hex}"
-    docs = table(spark, sf_dir, "documents")
+    checkpoint folder and read again as the next one's documents, after which the
+    folder of the stage before it goes."""
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before:
+            remove_folder(spark, before)
+        before = f"{folder}/{name}"
     return docs
