@@ -103,12 +103,12 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(ss AS BIGINT) AS source_size,
 
 _OP4 = """
 WITH e AS (
-    SELECT vec_id, list_transform(embedding, lambda x: FLOOR(64 * CAST(x AS DOUBLE))::BIGINT) AS v FROM embeddings
+    SELECT ROW_NUMBER() OVER () AS n, vec_id, list_transform(embedding, lambda x: FLOOR(64 * CAST(x AS DOUBLE))::BIGINT) AS v FROM embeddings
     WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), p AS (
-    SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v::DOUBLE[], c.v::DOUBLE[]) AS BIGINT) AS score FROM e q JOIN e c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0
+    SELECT q.n, q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v::DOUBLE[], c.v::DOUBLE[]) AS BIGINT) AS score FROM e q JOIN e c ON q.n <> c.n WHERE q.vec_id % 20 = 0
 )
-SELECT query_id, CAST(n AS INT) AS rank, vec_id, score FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM p) WHERE n <= 20
+SELECT query_id, CAST(k AS INT) AS rank, vec_id, score FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY n ORDER BY score DESC, vec_id) AS k FROM p) WHERE k <= 20
 """
 
 

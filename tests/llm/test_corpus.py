@@ -6,12 +6,13 @@ import math
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from biotally.llm import fingerprints, licenses, mixing, packing, pii, quality, secrets, simhash, substring, topk
+from biotally.llm import fingerprints, licenses, mixing, packing, pii, quality, queries, secrets, simhash, substring, topk
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, start long, spans string, range int, _score double, key string"
@@ -212,24 +213,46 @@ def test_licenses_find_altered_texts(spark):
 # -- top-k
 
 
-def test_topk(spark):
+def brute_topk(rows, dim):
+    good = [(k, np.r_[np.floor(64 * np.array(v)), np.zeros(dim - len(v))].astype(np.int64)) for k, v in rows if k is not None and v is not None and all(x is not None and np.isfinite(x) and abs(x) < 1e15 for x in v)]
+    want = []
+    for n, (q, own) in enumerate(good):
+        if q % 20 == 0:
+            best = sorted((-int(own @ v), k) for m, (k, v) in enumerate(good) if m != n)[:20]
+            want += [(q, r + 1, k, -s) for r, (s, k) in enumerate(best)]
+    return sorted(want)
+
+
+@pytest.mark.parametrize("block", [4096, 100])
+def test_topk(spark, monkeypatch, block):
+    monkeypatch.setattr(topk, "BLOCK", block)
     rng = np.random.default_rng(5)
     rows = [(k, rng.normal(size=16).tolist()) for k in range(600)] + [(k, [0.5] * 16) for k in range(600, 900)]
     rows += [(900, None), (920, [None] * 16), (940, [float("nan")] * 16), (960, [float("inf")] * 16), (980, []), (981, [1.0, 2.0]), (982, [1e300] * 16), (None, [1.0] * 16), (20, rows[20][1])]
+    rows += [(40, rng.normal(size=16).tolist()), (41, rows[41][1]), (41, rows[41][1]), *[(60, rows[60][1])] * 30, (620, [0.5] * 16), (7, rows[8][1]), (8, rows[7][1])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    got = collections.defaultdict(list)
-    for r in topk.top_k(df, F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect():
-        got[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
-    good = {}
-    for k, v in rows:
-        if k is not None and v is not None and all(x is not None and np.isfinite(x) and abs(x) < 1e15 for x in v):
-            good[k] = np.r_[np.floor(64 * np.array(v)), np.zeros(16 - len(v))].astype(np.int64)
-    want = {}
-    for q in good:
-        if q % 20 == 0:
-            best = sorted(((-int(good[q] @ v), k) for k, v in good.items() if k != q))[:20]
-            want[q] = [(n + 1, k, -s) for n, (s, k) in enumerate(best)]
-    assert got == want
+    got = sorted(tuple(r) for r in topk.top_k(df, F.col("vec_id") % 20 == 0).collect())
+    assert got == brute_topk(rows, 16)
+
+
+def test_topk_of_clusters_skips_blocks(spark, monkeypatch):
+    """Far clusters: queries meet a small share of the blocks, and miss nothing."""
+    monkeypatch.setattr(topk, "BLOCK", 50)
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(12, 8)) * 20
+    rows = [(k, (centres[k % 12] + 0.05 * rng.normal(size=8)).tolist()) for k in range(1200)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = sorted(tuple(r) for r in topk.top_k(df, F.col("vec_id") % 20 == 0).collect())
+    assert got == brute_topk(rows, 8)
+
+
+def test_topk_query_against_its_sql(spark, tmp_path):
+    rows = [(k % 50, [float(k % 7), 1.0, k / 100]) for k in range(200)] + [(20, [0.0, 1.0, 0.2])] * 3 + [(None, [1.0] * 3), (1, None), (2, [None, 1.0, 1.0])]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = sorted(tuple(r) for r in queries.op4_topk(spark, str(tmp_path)).collect())
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    assert got == sorted(con.execute(queries.ORACLES["op4_topk"]).fetchall())
 
 
 def test_topk_small_and_empty(spark):
