@@ -1,10 +1,11 @@
 """Secret scans through a trigram index.
 
 Each rule's pattern is read into a Boolean query of the trigrams that any match
-must hold. The index has a posting for every document and trigram that some
-rule asks for; postings meet by document, and the queries say which documents
-can match which rules. Candidates are then verified with the rule's pattern;
-rules that have no mandatory trigram are tried on every document.
+must hold. The index has, for each trigram that some rule asks for, the ids of
+the documents that hold it, cut into ``CHUNKS`` parts by a hash of the id. A
+query is answered part by part, by intersecting and uniting the lists of its
+trigrams. Candidates are then verified with the rule's pattern; rules that have
+no mandatory trigram are tried on every document.
 
 Trigrams are of lower-cased text, so rules of either case share them. Columns
 only: match places come from the gaps that splitting by the pattern leaves.
@@ -23,7 +24,7 @@ from re import _parser as parser  # the standard library's own reader of pattern
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, fresh, key_set, let, maybe_in, whole_text
+from .common import SET_BITS, cut, fresh, key_set, let, maybe_in, whole_text
 
 
 @dataclass(frozen=True)
@@ -50,6 +51,8 @@ RULES = (
     Rule("private_key", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
 )
+#: Parts of each posting list: at ten billion documents one holds some 150,000.
+CHUNKS = 65_536
 #: Strings that a part of a pattern may stand for, to be read as alternatives.
 MOST = 64
 
@@ -159,33 +162,44 @@ def trigrams(query: Query) -> list[str]:
     return list(dict.fromkeys(g for part in query[1] for g in trigrams(part)))
 
 
-def _holds(query: Query, grams: Column, number: dict[str, int]) -> Column:
+def _matching(query: Query, lists: Column, number: dict[str, int]) -> Column:
+    """The ids of a part's documents that the query holds for."""
     if isinstance(query, str):
-        return F.array_contains(grams, number[query])
-    out = F.lit(query[0] == "all")
+        return F.coalesce(F.get(lists, F.lit(number[query])), F.array().cast("array<string>"))
+    out = None
     for part in query[1]:
-        out = out & _holds(part, grams, number) if query[0] == "all" else out | _holds(part, grams, number)
+        own = _matching(part, lists, number)
+        out = own if out is None else F.array_intersect(out, own) if query[0] == "all" else F.array_union(out, own)
     return out
 
 
 # -- index, candidates, verification ------------------------------------------
 
 
+def id_key(id_col: str) -> Column:
+    """The id as a string; null told apart from every id."""
+    return F.coalesce(F.concat(F.lit("="), F.col(id_col).cast("string")), F.lit(""))
+
+
 def postings(docs: DataFrame, grams: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, gram), gram as its number in ``grams``."""
+    """The inverted index: gram (its number in ``grams``), chunk, ids."""
 
     def held(text: Column) -> Column:
         return F.array_compact(F.array(*[F.when(F.contains(text, F.lit(g)), F.lit(k)) for k, g in enumerate(grams)]))
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.explode(let(F.lower(whole_text(text_col)), held)).alias("gram"))
+    rows = docs.select(id_key(id_col).alias("id"), F.explode(let(F.lower(whole_text(text_col)), held)).alias("gram"))
+    return rows.groupBy("gram", F.pmod(F.xxhash64("id"), F.lit(CHUNKS)).cast("int").alias("chunk")).agg(F.collect_set("id").alias("ids"))
 
 
 def candidates(index: DataFrame, queries: dict[str, Query], grams: list[str]) -> DataFrame:
-    """(doc_id, kinds): the rules whose queries the document's postings meet."""
+    """(id, kinds): the rules whose queries the postings answer with the id."""
     number = {g: k for k, g in enumerate(grams)}
-    met = index.groupBy("doc_id").agg(F.collect_set("gram").alias("grams"))  # of a fixed vocabulary
-    kinds = F.array_compact(F.array(*[F.when(_holds(q, F.col("grams"), number), F.lit(kind)) for kind, q in queries.items()]))
-    return met.select("doc_id", kinds.alias("kinds")).where(F.size("kinds") > 0)
+    parts = index.groupBy("chunk").agg(F.map_from_entries(F.collect_list(F.struct("gram", "ids"))).alias("posting"))
+    # A posting list for each gram of the vocabulary, in its place.
+    lists = F.transform(F.sequence(F.lit(0), F.lit(len(grams) - 1)), lambda k: F.try_element_at(F.col("posting"), k))
+    found = let(lists, lambda own: F.array(*[F.struct(F.lit(kind).alias("kind"), _matching(q, own, number).alias("ids")) for kind, q in queries.items()]))
+    rows = parts.select(F.explode(found).alias("f")).select(F.col("f.kind").alias("kind"), F.explode("f.ids").alias("id"))
+    return rows.groupBy("id").agg(F.collect_set("kind").alias("kinds"))
 
 
 SPANS = "array<struct<start: long, n: int, kind: string, end: long>>"
@@ -221,11 +235,13 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, rul
     grams = list(dict.fromkeys(g for q in indexed.values() for g in trigrams(q)))
     rows = docs.select(F.col(id_col).alias("doc_id"), whole_text(text_col).alias("text"), *([F.col(keep).alias("kept")] if keep else []))
     if indexed:
-        found = cut(candidates(postings(docs, grams, id_col, text_col), indexed, grams).withColumnRenamed("doc_id", "candidate"))
-        # Only documents that may be candidates are shuffled to meet their rules.
-        rows = maybe_in(rows, key_set(found, "candidate"), "maybe", "doc_id")
-        met = rows.where("maybe").join(found, F.col("doc_id").eqNullSafe(F.col("candidate")), "left").drop("candidate", "maybe")
-        rows = rows.where("not maybe").drop("maybe").withColumn("kinds", F.lit(None).cast("array<string>")).unionByName(met)
+        found = cut(candidates(postings(docs, grams, id_col, text_col), indexed, grams).withColumnRenamed("id", "candidate"))
+        # Only documents that may be candidates are shuffled to meet their rules:
+        # the bitmap has 16 bits and more a candidate, up to 64 MB in all.
+        bits = min(1 << 29, max(SET_BITS, 1 << (16 * found.count()).bit_length()))
+        rows = maybe_in(rows.withColumn("id", id_key("doc_id")), key_set(found, "candidate", bits=bits), "maybe", "id", bits=bits)
+        met = rows.where("maybe").join(found, F.col("id") == F.col("candidate"), "left").drop("candidate", "maybe", "id")
+        rows = rows.where("not maybe").drop("maybe", "id").withColumn("kinds", F.lit(None).cast("array<string>")).unionByName(met)
     each = []
     for n, rule in enumerate(rules):
         own = spans(F.col("text"), rule, n)

@@ -204,6 +204,41 @@ def test_licenses(request, name):
     assert found == collections.Counter((doc, *brute_license(t)) for doc, t in texts_of(docs))
 
 
+def brute_places(text):
+    """Every template at every word, word by word."""
+    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
+    out = []
+    for t in licenses.TEMPLATES:
+        own, key = t.text.split(), t.key.split() or t.text.split()
+        at = next(k for k in range(len(own)) if own[k : k + len(key)] == key)
+        for k in range(len(w)):
+            if w[k + at : k + at + len(key)] == key:
+                hits = sum(a == b for a, b in zip(own, w[k:], strict=False))
+                if hits >= t.share * len(own) - 1e-9:
+                    out.append((t.label, t.base, k, round(hits / len(own), 9)))
+    return sorted(out)
+
+
+def licensed_texts():
+    rng = np.random.default_rng(8)
+    out = ["license " * 3000, "the gnu of the " * 500 + "mit license", "", None, "cc " * 50 + "by nc by cc by sa"]
+    for t in licenses.TEMPLATES:
+        w = t.text.split()
+        for altered in (0, len(w) - math.ceil(t.share * len(w) - 1e-9), len(w) // 3):
+            x = list(w)
+            for k in rng.choice(len(w), min(altered, len(w)), replace=False):
+                x[k] = ["the", "license", "zzz"][int(rng.integers(0, 3))]
+            out.append("Start here: " + " ".join(x).upper() + ", end. " + " ".join(x[2:]) + " " + " ".join(x))
+    return out
+
+
+def test_license_labels_and_scores(spark, real):
+    texts = licensed_texts()
+    for docs, src in ((rows_of(spark, texts), list(enumerate(t or "" for t in texts))), (real, texts_of(real))):
+        got = {r["doc_id"]: sorted((p["label"], p["base"], p["start"], round(p["score"], 9)) for p in r["places"]) for r in collected(licenses.scan(docs))}
+        assert got == {k: brute_places(t) for k, t in src}
+
+
 def test_licenses_find_altered_texts(spark):
     text = "Foo. Redistribution and use in source and binary forms, with or without changes, are permitted provided that the following terms are met:"
     r = licenses.scan(rows_of(spark, [text, "source and binary forms"])).orderBy("doc_id").collect()
@@ -520,6 +555,24 @@ def test_trigram_queries():
     assert [k for k, v in rules.items() if v == secrets.ALWAYS] == ["hex"]
 
 
+def test_candidates_are_what_the_queries_say(odd):
+    """The inverted index against the Boolean query of each text."""
+
+    def holds(query, text):
+        if isinstance(query, str):
+            return query in text
+        return (all if query[0] == "all" else any)(holds(p, text) for p in query[1])
+
+    asked = {r.kind: secrets.trigram_query(r.pattern) for r in secrets.RULES if secrets.trigram_query(r.pattern) != secrets.ALWAYS}
+    grams = list(dict.fromkeys(g for q in asked.values() for g in secrets.trigrams(q)))
+    got = {r["id"]: set(r["kinds"]) for r in secrets.candidates(secrets.postings(odd, grams), asked, grams).collect()}
+    lists = collections.defaultdict(set)  # ids may repeat: an id's list has what any of its texts has
+    for doc, text in texts_of(odd):
+        lists["" if doc is None else f"={doc}"] |= {g for g in grams if g in text.lower()}
+    want = {i: {k for k, q in asked.items() if holds(q, held)} for i, held in lists.items()}
+    assert got == {i: k for i, k in want.items() if k} and len(got) > 4
+
+
 # -- all of them
 
 
