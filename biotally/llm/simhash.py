@@ -20,9 +20,12 @@ shingles, so each link is a true one. Of true pairs the index finds what differs
 in one place of one segment at least: with p the share of bits that differ (0.06
 on average, 0.105 at most among the test tables' pairs at 0.8 to 0.94), one
 segment does so with (1-p)^32 + 8 (1-p)^28 (1 - (1-p)^4), which leaves 0.9999 and
-0.97 of the pairs. Texts of equal sets are one node; candidates that an earlier
-round connected are not compared again; keys with many texts are compared in
-blocks of bounded size, block by block.
+0.97 of the pairs. Texts of equal sets are one node. Of those that share a key,
+none stays that differs from all others in over ``CHECK_BITS`` of 64 further
+bits (of unrelated texts 1 in 200 does not). What candidates connect is a group,
+and a group's sets are sent to one task, once; groups too large for that are
+taken apart by their keys, and keys with too many texts for one task are
+compared in blocks of bounded size, block by block.
 
 Defined cases: null and empty texts have fingerprint 0 and link like any other;
 texts of fewer words than a shingle hash as a whole; repeated rows and ids share
@@ -216,7 +219,8 @@ def fingerprint_links(fps: DataFrame) -> DataFrame:
 
 
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """Links (a, b) -> (node, root), by alternating large and small stars.
+    """Links (a, b) -> (node, root) of every node but the roots, by alternating
+    large and small stars.
 
     Each round links a node's larger neighbours, then its smaller ones, to the
     smallest; the links end as stars around the smallest node of a component.
@@ -278,13 +282,13 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 NEAR_SHINGLE = 5
 SIMILARITY = 0.8
 SEGMENTS, WILDCARD = 20, 4
-#: Segments of the first round; the others are compared where it left texts apart.
-FIRST = 4
-#: Shingles of a block of texts, about.
+#: Candidates differ in at most so many of 64 bits beside the segments.
+CHECK_BITS = 20
+#: Shingles of a group or block of texts, about.
 BLOCK_SHINGLES = 2_000_000
 #: Nodes of a run that are held to see whether other keys give the same run.
 HELD = 65_536
-_LANES = np.arange(1, SEGMENTS // 2 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+_LANES = np.arange(1, SEGMENTS // 2 + 2, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
 
 def shingles(words: list[bytes], shingle: int = NEAR_SHINGLE) -> np.ndarray:
@@ -298,12 +302,13 @@ def shingles(words: list[bytes], shingle: int = NEAR_SHINGLE) -> np.ndarray:
 
 
 def segments(words: list[bytes]) -> np.ndarray:
-    """The segments of a SimHash of the distinct words, 32 bits each."""
+    """The segments of a SimHash of the distinct words, 32 bits each, and two
+    more to check by."""
     import xxhash
 
     own = set(words)
     h = np.fromiter((xxhash.xxh64_intdigest(w) for w in own), dtype=np.uint64, count=len(own))
-    ones = np.zeros(32 * SEGMENTS, dtype=np.int64)
+    ones = np.zeros(32 * SEGMENTS + 64, dtype=np.int64)
     for lo in range(0, len(h), 2048):
         x = h[lo : lo + 2048, None] + _LANES
         x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -338,65 +343,89 @@ def similar_links(sets: list[np.ndarray], similarity: float) -> tuple[list[int],
     return left, right
 
 
-def wildcard_keys(nodes: DataFrame, lo: int, hi: int) -> DataFrame:
-    """(key, node): the segments lo to hi - 1 without each run of bits in turn."""
-    own = nodes.select("node", F.posexplode(F.slice("segments", lo + 1, hi - lo)).alias("s", "bits")).select("node", (F.col("s") + lo).alias("s"), "bits", F.explode(F.sequence(F.lit(0), F.lit(32 // WILDCARD - 1))).alias("g"))
+def wildcard_keys(nodes: DataFrame) -> DataFrame:
+    """(key, node, check): each segment without each run of bits in turn."""
+    parts = 32 // WILDCARD
+    own = nodes.select("node", "check", F.posexplode("segments").alias("s", "bits")).select("node", "check", "s", "bits", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("g"))
     rest = F.col("bits").bitwiseAND(F.bitwise_not(F.expr(f"shiftleft({(1 << WILDCARD) - 1}L, g * {WILDCARD})")))
-    return own.select(F.expr(f"shiftleft(cast(s * {32 // WILDCARD} + g as bigint), 32)").bitwiseOR(rest).alias("key"), "node")
+    return own.select(F.expr(f"shiftleft(cast(s * {parts} + g as bigint), 32)").bitwiseOR(rest).alias("key"), "node", "check")
+
+
+def _checked(check: np.ndarray) -> np.ndarray:
+    """Which of a run's nodes have another that the check lets through."""
+    if len(check) > 256:  # most near-copies of each other; their sets will tell
+        return np.ones(len(check), dtype=bool)
+    near = np.bitwise_count(check[:, None] ^ check[None, :]) <= CHECK_BITS
+    return near.sum(axis=1) > 1
 
 
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, node) sorted -> (run, node) of runs of two nodes and more; the
-    same nodes under several keys are the same run."""
+    """Rows (key, node, check) sorted -> (run, least, node) of runs of two nodes
+    and more; the same nodes under several keys are the same run."""
     import xxhash
 
-    held: list[np.ndarray] = []
-    key, kept, streaming = None, 0, False
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    key, least, kept, streaming = None, 0, 0, False
 
-    def run_of(data: bytes) -> int:
-        return xxhash.xxh64_intdigest(data) - (1 << 63)
+    def rows(runs: list, leasts: list, nodes: list) -> pa.RecordBatch:
+        many = [len(x) for x in nodes]
+        return pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(runs, dtype=np.int64), many)), pa.array(np.repeat(np.array(leasts, dtype=np.int64), many)), pa.array(np.concatenate(nodes), pa.int64())], names=["run", "least", "node"])
 
-    def rows(runs: np.ndarray, nodes: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(runs, pa.int64()), pa.array(nodes, pa.int64())], names=["run", "node"])
+    def close(out: tuple[list, list, list]) -> None:
+        if kept > 1 and not streaming:
+            nodes, check = (np.concatenate(c) for c in zip(*held, strict=True))
+            nodes = nodes[_checked(check)]
+            if len(nodes) > 1:
+                add(out, xxhash.xxh64_intdigest(nodes.tobytes()), int(nodes[0]), nodes)
+
+    def add(out: tuple[list, list, list], run: int, first: int, nodes: np.ndarray) -> None:
+        for column, value in zip(out, (run - (1 << 63), first, nodes), strict=True):
+            column.append(value)
 
     for rb in batches:
-        keys, nodes = (rb.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-        out_runs, out_nodes = [], []
+        keys, nodes, checks = (rb.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+        out: tuple[list, list, list] = ([], [], [])
         starts, lengths = _runs(keys)
         for s, m in zip(starts.tolist(), lengths.tolist(), strict=True):
-            if keys[s] != key:
-                if kept > 1 and not streaming:
-                    whole = np.concatenate(held)
-                    out_runs.append(np.full(kept, run_of(whole.tobytes())))
-                    out_nodes.append(whole)
+            if m == 1 and s + 1 < len(keys) and keys[s] != key:  # alone, and surely ended
+                close(out)
                 key, held, kept, streaming = keys[s], [], 0, False
-            held.append(nodes[s : s + m])
+                continue
+            if keys[s] != key:
+                close(out)
+                key, held, kept, streaming, least = keys[s], [], 0, False, int(nodes[s])
+            held.append((nodes[s : s + m], checks[s : s + m].view(np.uint64)))
             kept += m
             if streaming or kept > HELD:  # too long to hold: a run of its own
-                whole = np.concatenate(held)
-                out_runs.append(np.full(len(whole), run_of(int(key).to_bytes(8, "little", signed=True))))
-                out_nodes.append(whole)
+                add(out, xxhash.xxh64_intdigest(int(key).to_bytes(8, "little", signed=True)), least, np.concatenate([x for x, _ in held]))
                 held, streaming = [], True
-        if out_nodes:
-            yield rows(np.concatenate(out_runs), np.concatenate(out_nodes))
-    if kept > 1 and not streaming:
-        whole = np.concatenate(held)
-        yield rows(np.full(kept, run_of(whole.tobytes())), whole)
-
-
-def _verified(met: DataFrame, nodes: DataFrame, texts: DataFrame, shingle: int, similarity: float, roots: DataFrame | None) -> DataFrame:
-    """Candidates (run, node) -> links (a, b) of at least the similarity."""
-    sized = met.join(nodes.select("node", "size"), "node")
-    if roots is None:
-        sized = sized.withColumn("root", F.col("node"))
-    else:
-        sized = sized.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    # What is one component already needs no comparison.
-    runs = sized.groupBy("run").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.sum("size").alias("n")).where("a <> b")
-    runs = runs.select("run", F.ceil(F.col("n") / BLOCK_SHINGLES).cast("int").alias("blocks"))
+        if out[0]:
+            yield rows(*out)
+    last: tuple[list, list, list] = ([], [], [])
+    close(last)
+    if last[0]:
+        yield rows(*last)
+
+
+def _cells(met: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Candidates (run, least, node) -> (cell, node): nodes of a cell are
+    compared, and any two that share a run share a cell."""
+    groups = components(met.select(F.col("least").alias("a"), F.col("node").alias("b")))
+    groups = groups.unionByName(groups.select(F.col("root").alias("node"), "root").distinct())
+    groups = groups.join(nodes.select("node", "size"), "node")
+    total = groups.groupBy("root").agg(F.sum("size").alias("n"))
+    groups = cut(groups.join(total, "root").select("node", "root", "size", (F.col("n") > BLOCK_SHINGLES).alias("large")))
+    small = groups.where("not large").select(F.xxhash64("root").alias("cell"), "node")
+    sized = met.select("run", "node").join(groups.where("large").select("node", "size"), "node")
+    runs = sized.groupBy("run").agg(F.sum("size").alias("n")).select("run", F.ceil(F.col("n") / BLOCK_SHINGLES).cast("int").alias("blocks"))
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    cells = sized.select("run", "node").join(runs, "run").select("run", "node", block.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    cells = cut(cells.select(F.xxhash64("run", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), "node"))
+    cells = sized.join(runs, "run").select("run", "node", block.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    return small.unionByName(cells.select(F.xxhash64("run", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), "node"))
+
+
+def _verified(met: DataFrame, nodes: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Candidates (run, least, node) -> links (a, b) of at least the similarity."""
+    cells = cut(_cells(met, nodes))
     wanted = nodes.join(cells.select("node").distinct(), "node", "left_semi").select("node", F.col("kept.doc_id").alias("i"), F.col("kept.text_key").alias("k"))
 
     @F.pandas_udf("binary")
@@ -432,7 +461,7 @@ def _verified(met: DataFrame, nodes: DataFrame, texts: DataFrame, shingle: int,
 def _near(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> tuple[DataFrame, DataFrame]:
     """Documents (doc_id, text_key, node), and nodes (node, first, kept, root)."""
 
-    @F.pandas_udf("node long, size int, segments array<long>")
+    @F.pandas_udf("node long, size int, check long, segments array<long>")
     def signed(text: pd.Series) -> pd.DataFrame:
         import xxhash
 
@@ -443,20 +472,17 @@ def _near(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity:
             node.append(xxhash.xxh64_intdigest(h.tobytes()) - (1 << 63))
             size.append(len(h))
             segs.append(segments(w))
-        return pd.DataFrame({"node": node, "size": size, "segments": segs})
+        check = [int(x[-2]) | int(x[-1]) << 32 for x in segs]
+        return pd.DataFrame({"node": node, "size": size, "check": np.array(check, dtype=np.uint64).astype(np.int64), "segments": [x[:-2] for x in segs]})
 
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(whole_text(text_col)).alias("text_key"), whole_text(text_col).alias("text"))
-    rows = cut(texts.select("doc_id", "text_key", signed("text").alias("s")).select("doc_id", "text_key", "s.node", "s.size", "s.segments"))
+    rows = cut(texts.select("doc_id", "text_key", signed("text").alias("s")).select("doc_id", "text_key", "s.node", "s.size", "s.check", "s.segments"))
     row = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key")
-    nodes = cut(rows.groupBy("node").agg(F.min("doc_id").alias("first"), F.min(row).alias("kept"), F.min("size").alias("size"), F.min("segments").alias("segments")))
+    nodes = cut(rows.groupBy("node").agg(F.min("doc_id").alias("first"), F.min(row).alias("kept"), F.min("size").alias("size"), F.min("check").alias("check"), F.min("segments").alias("segments")))
     # A set of fewer elements than this is similar to itself alone.
     indexed = nodes.where(F.col("size") >= similarity / (1 - similarity) - 1e-9) if similarity < 1 else nodes.limit(0)
-    links, roots = None, None
-    for lo, hi in ((0, FIRST), (FIRST, SEGMENTS)):
-        met = cut(wildcard_keys(indexed, lo, hi).repartition("key").sortWithinPartitions("key", "node").mapInArrow(_met, "run long, node long").distinct())
-        own = cut(_verified(met, nodes, texts, shingle, similarity, roots))
-        links = own if links is None else links.unionByName(own)
-        roots = components(links)
+    met = cut(wildcard_keys(indexed).repartition("key").sortWithinPartitions("key", "node").mapInArrow(_met, "run long, least long, node long").distinct())
+    roots = components(_verified(met, nodes, texts, shingle, similarity))
     return rows.select("doc_id", "text_key", "node"), nodes.select("node", "first", "kept").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 

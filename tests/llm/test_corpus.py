@@ -364,7 +364,9 @@ def test_substring(spark, real):
 # -- fingerprints
 
 
-def brute_sketch(text):
+def brute_anchors(text):
+    """(place, hash) of the closed syncmers."""
+
     def h(*values, seed=42):
         for v in values:
             seed = xxhash.xxh64_intdigest(v if isinstance(v, bytes) else np.int64(v).tobytes(), seed)
@@ -380,33 +382,51 @@ def brute_sketch(text):
     if not w:
         return []
     if len(w) < 5:
-        anchors = [h(" ".join(map(str, w)).encode())]
-    else:
-        p = [chain(a, b) for a, b in zip(w, w[1:], strict=False)]
-        anchors = [chain(p[i], p[i + 2], w[i + 4]) for i in range(len(w) - 4) if min(p[i], p[i + 3]) <= min(p[i + 1], p[i + 2])]
-    return sorted({(a & (2**64 - 1)) >> 32 for a in anchors})[: fingerprints.SKETCH]
+        return [(0, h(" ".join(map(str, w)).encode()))]
+    p = [chain(a, b) for a, b in zip(w, w[1:], strict=False)]
+    return [(i, chain(p[i], p[i + 2], w[i + 4])) for i in range(len(w) - 4) if min(p[i], p[i + 3]) <= min(p[i + 1], p[i + 2])]
 
 
-@pytest.mark.parametrize("name", ["odd", "real"])
-def test_fingerprints(request, name, monkeypatch):
-    monkeypatch.setattr(fingerprints, "RANGE_ROWS", 20)
-    docs = request.getfixturevalue(name)
-    if name == "odd":  # ids alone must fix the order
-        docs = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
-    got = {r["doc_id"]: r for r in collected(fingerprints.compared(docs))}
-    src = sorted(texts_of(docs), reverse=True)
-    assert len(got) == len(src)
+def brute_likeness(a, b):
+    a, b = {x for _, x in a}, {x for _, x in b}
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def check_fingerprints(got, src):
+    """src: (id, text) in the documents' order."""
+    want = collections.Counter()
     for k, (doc, text) in enumerate(src):
         after = src[(k + 1) % len(src)][1]
         n = len(text) // 2
-        assert got[doc]["edited_text"] == text[: len(text) - n] + after[:n]
-        assert got[doc]["sketch"] == brute_sketch(text)
-        assert got[doc]["edited_sketch"] == brute_sketch(got[doc]["edited_text"])
-        assert got[doc]["next_sketch"] == brute_sketch(after)
+        edit = text[: len(text) - n] + after[:n]
+        own, new = brute_anchors(text), brute_anchors(edit)
+        listed = [" ".join(f"{p:x}:{x & (2**64 - 1):016x}" for p, x in a) for a in (own, new)]
+        want[doc, len(text), hashlib.sha256(edit.encode()).hexdigest(), *listed, round(brute_likeness(own, new), 9), round(brute_likeness(own, brute_anchors(after)), 9)] += 1
+    assert collections.Counter((r["doc_id"], r["n_chars"], r["edited_sha256"], r["fingerprint"], r["edited_fingerprint"], round(r["near_edited"], 9), round(r["near_next"], 9)) for r in got) == want
+
+
+@pytest.mark.parametrize("rows", [20, 3, 1000])
+@pytest.mark.parametrize("name", ["odd", "real", "hot"])
+def test_fingerprints(request, spark, name, rows, monkeypatch):
+    """hot: a third of the ids are null and a third are one id."""
+    monkeypatch.setattr(fingerprints, "RANGE_ROWS", rows)
+    if name == "hot":
+        docs = rows_of(spark, [f"text {k} of {k * k} words to be told apart {k % 7}" for k in range(90)])
+        docs = docs.withColumn("doc_id", F.when(F.col("doc_id") % 3 == 0, F.lit(None)).when(F.col("doc_id") % 3 == 1, F.lit(50)).otherwise(F.col("doc_id")))
+    else:
+        docs = request.getfixturevalue(name)
+    src = sorted(texts_of(docs), key=lambda r: (r[0] is None, -(r[0] or 0), xx(r[1]), r[1].encode()))
+    monkeypatch.setattr(queries, "table", lambda *_: docs)
+    check_fingerprints(collected(queries.op7_fingerprints(spark, "")), src)
+
+
+def test_hot_ids_are_split(spark):
+    rows = spark.range(3000).select(F.when(F.col("id") % 3 == 0, F.lit(None)).when(F.col("id") % 3 == 1, F.lit(50)).otherwise(F.col("id")).alias("doc_id"), F.xxhash64("id").alias("tie"))
+    sizes = [r["count"] for r in rows.withColumn("slot", fingerprints.slots(rows, 30)).groupBy("slot").count().collect()]
+    assert sum(sizes) == 3000 and max(sizes) < 300
 
 
-def test_fingerprints_of_null_and_repeated_ids(odd):
-    assert fingerprints.compared(odd).count() == odd.count()
+def test_fingerprints_of_an_empty_table(odd):
     assert fingerprints.compared(odd.limit(0)).count() == 0
 
 

@@ -1,9 +1,12 @@
 """Near-copies against brute force over all pairs, and planted ones."""
 
+import collections
+
 import numpy as np
 from test_corpus import rows_of
 
 import corpus_pipeline
+from biotally.llm import simhash
 
 SF = "/root/testdata/sf0.001"
 
@@ -53,3 +56,22 @@ def test_real_texts(spark):
     rows = docs.select("doc_id", "text").collect()
     got = sorted(r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect())
     assert got == kept_by_brute_force([r["doc_id"] for r in rows], [r["text"] for r in rows])
+
+
+def test_large_groups_are_cut(spark, monkeypatch):
+    """Blocks of few shingles, and runs too long to hold, link the same."""
+    monkeypatch.setattr(simhash, "BLOCK_SHINGLES", 900)
+    monkeypatch.setattr(simhash, "HELD", 3)
+    rng = np.random.default_rng(9)
+    base = [f"w{x}" for x in rng.integers(0, 1 << 40, 120)]
+    texts = []
+    for k in range(60):
+        words = list(base) if k % 3 else [f"v{x}" for x in rng.integers(0, 1 << 40, 120)]
+        words[k] = f"edit{k}"
+        if k % 5 == 0:
+            words[100 - k] = "more"
+        texts.append(" ".join(words))
+    got = collections.defaultdict(set)
+    for r in simhash.near_copies(rows_of(spark, texts)).collect():
+        got[r["component_id"]].add(r["doc_id"])
+    assert sorted(got) == kept_by_brute_force(range(60), texts) and len(got[1]) == 40
