@@ -318,25 +318,38 @@ def segments(words: list[bytes]) -> np.ndarray:
     return np.packbits(2 * ones > len(h), bitorder="little").view("<u4").astype(np.int64)
 
 
-def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both >= similarity * (len(a) + len(b) - both)
-
-
 def similar_links(sets: list[np.ndarray], similarity: float) -> tuple[list[int], list[int]]:
     """A forest of the links among sets, each tree grown from its first one:
-    what no tree has reached is compared with what this one has."""
+    what no tree has reached is compared with what this one has, all at once."""
     left, right = [], []
     size = np.array([len(s) for s in sets])
-    unseen = np.arange(len(sets))
-    while len(unseen):
-        queue, unseen = [int(unseen[0])], unseen[1:]
-        while queue and len(unseen):
+    distinct, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    starts = np.cumsum(size) - size
+    own = np.zeros(len(distinct), dtype=bool)
+    unseen, rest, at = np.arange(len(sets)), flat, starts  # their elements, and where each one's begin
+    alive = np.ones(len(unseen), dtype=bool)
+
+    def first() -> int | None:
+        k = int(alive.argmax()) if len(alive) else 0
+        return k if len(alive) and alive[k] else None
+
+    while (k := first()) is not None:
+        alive[k] = False
+        queue = [int(unseen[k])]
+        while queue and alive.any():
             x = queue.pop()
-            fits = np.minimum(size[unseen], size[x]) >= similarity * np.maximum(size[unseen], size[x])
-            hit = np.zeros(len(unseen), dtype=bool)
-            hit[fits] = [similar(sets[x], sets[y], similarity) for y in unseen[fits]]
-            new, unseen = unseen[hit].tolist(), unseen[~hit]
+            if 2 * alive.sum() < len(alive):  # leave out what was reached
+                rest = np.concatenate([flat[starts[y] : starts[y] + size[y]] for y in unseen[alive]])
+                unseen = unseen[alive]
+                alive = np.ones(len(unseen), dtype=bool)
+                at = np.cumsum(size[unseen]) - size[unseen]
+            mine = flat[starts[x] : starts[x] + size[x]]
+            own[mine] = True
+            both = np.add.reduceat(own[rest], at, dtype=np.int64)
+            own[mine] = False
+            hit = alive & (both >= similarity * (size[unseen] + size[x] - both))
+            new = unseen[hit].tolist()
+            alive[hit] = False
             left += [x] * len(new)
             right += new
             queue += new
