@@ -3,14 +3,21 @@
 Pairs come from features that two samples share: the rest of a pair's pooled
 sum follows from each sample's own, so no pair of samples is ever spread over
 all features. Pairs without a shared feature are added from the list of samples.
+Features that few samples hold meet in a join; those that many hold are summed
+block by block, a block of samples against another, and a pair leaves its block
+as one number.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.hill import dissimilarity, from_sum, is_one, term
+from ..functions.hill import dissimilarity, from_sum, is_one, term, term_of
 from ..functions.hill import evenness as evenness_column
 from .alpha import branch_shares, by_distance, gram, nearest, powers, relative
 
@@ -21,17 +28,60 @@ def pair_spine(samples: DataFrame) -> DataFrame:
     return s.select(F.col("sample").alias("s1")).join(s.select(F.col("sample").alias("s2")), F.col("s1") < F.col("s2"))
 
 
-def shared_sums(rows: DataFrame, key: str, total: Column) -> DataFrame:
+#: Samples of a block, and rows that a block pair's task holds, about.
+BLOCK_SAMPLES, BLOCK_ROWS = 256, 4_000_000
+#: Tasks that block pairs should make at least.
+LEAST_CELLS = 16
+
+Dense = Callable[[dict[str, np.ndarray], dict[str, np.ndarray]], np.ndarray]
+
+
+def shared_sums(rows: DataFrame, key: str, total: Column, dense: Dense) -> DataFrame:
     """s1 < s2, x: the sum of ``total`` over the keys that two samples share.
 
     ``rows`` has key, sample and further columns, which ``total`` names with a 1
-    or 2 behind for either sample. This is the widest join of all: what concerns
-    one sample alone is computed before it.
+    or 2 behind for either sample; ``dense`` is the summand for arrays of them,
+    the same if samples change places. What concerns one sample alone is
+    computed before. A key that k samples hold makes k * k / 2 rows of a join or
+    k rows in each of the blocks that samples are cut into: the fewer decide.
     """
     cols = [c for c in rows.columns if c not in (key, "sample")]
-    a = rows.select(key, F.col("sample").alias("s1"), *[F.col(c).alias(f"{c}1") for c in cols])
-    b = rows.select(key, F.col("sample").alias("s2"), *[F.col(c).alias(f"{c}2") for c in cols])
-    return a.join(b, key).where("s1 < s2").groupBy("s1", "s2").agg(total.alias("x"))
+    size = rows.agg(F.greatest(F.lit(1), F.ceil(F.approx_count_distinct("sample") / BLOCK_SAMPLES)).cast("int").alias("_blocks"), F.count(F.lit(1)).alias("_rows"))
+    sized = rows.withColumn("_k", F.count(F.lit(1)).over(Window.partitionBy(key))).join(F.broadcast(size))  # one row
+    sparse = sized.where("_k <= 2 * _blocks")
+    a = sparse.select(key, F.col("sample").alias("s1"), *[F.col(c).alias(f"{c}1") for c in cols])
+    b = sparse.select(key, F.col("sample").alias("s2"), *[F.col(c).alias(f"{c}2") for c in cols])
+    few = a.join(b, key).where("s1 < s2").groupBy("s1", "s2").agg(total.cast("double").alias("x"))
+
+    many = sized.where("_k > 2 * _blocks").withColumn("_own", F.pmod(F.xxhash64("sample"), F.col("_blocks")).cast("int"))
+    chunks = F.greatest(F.ceil(F.lit(2.0 * LEAST_CELLS) / (F.col("_blocks") * (F.col("_blocks") + 1))), F.ceil(2.0 * F.col("_rows") / F.col("_blocks") / BLOCK_ROWS)).cast("int")
+    many = many.withColumn("_chunk", F.pmod(F.xxhash64(key), chunks).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    many = many.select("_chunk", F.least("_own", "_other").alias("_lo"), F.greatest("_own", "_other").alias("_hi"), "_own", F.col(key).alias("_key"), "sample", *cols)
+
+    def block(pdf: pd.DataFrame) -> pd.DataFrame:
+        left, right = pdf["_own"].to_numpy() == pdf["_lo"].iloc[0], pdf["_own"].to_numpy() == pdf["_hi"].iloc[0]
+        code, names = pd.factorize(pdf["sample"])
+        order = np.argsort(pd.factorize(pdf["_key"])[0], kind="stable")
+        own = pd.factorize(pdf["_key"].iloc[order])[0]
+        ends = np.flatnonzero(np.r_[own[1:] != own[:-1], True]) + 1
+        values = {c: pdf[c].to_numpy() for c in cols}
+        x, met = np.zeros((len(names), len(names))), np.zeros((len(names), len(names)), dtype=bool)
+        for lo, hi in zip([0, *ends[:-1]], ends, strict=True):
+            at = order[lo:hi]
+            i, j = at[left[at]], at[right[at]]
+            if len(i) and len(j):
+                cell = np.ix_(code[i], code[j])
+                x[cell] += dense({c: v[i][:, None] for c, v in values.items()}, {c: v[j][None, :] for c, v in values.items()})
+                met[cell] = True
+        # A block with itself has each pair twice.
+        rank = np.argsort(np.argsort(names.to_numpy(dtype=object)))
+        i, j = np.nonzero(met & ((rank[:, None] < rank[None, :]) if pdf["_lo"].iloc[0] == pdf["_hi"].iloc[0] else True))
+        first = rank[i] < rank[j]
+        names = names.to_numpy(dtype=object)
+        return pd.DataFrame({"s1": names[np.where(first, i, j)], "s2": names[np.where(first, j, i)], "x": x[i, j]})
+
+    blocks = many.groupBy("_chunk", "_lo", "_hi").applyInPandas(block, "s1 string, s2 string, x double")
+    return few.unionByName(blocks).groupBy("s1", "s2").agg(F.sum("x").alias("x"))
 
 
 def _with_spine(pairs: DataFrame, totals: DataFrame, spine: DataFrame | None = None) -> DataFrame:
@@ -39,7 +89,8 @@ def _with_spine(pairs: DataFrame, totals: DataFrame, spine: DataFrame | None = N
     names = [c for c in totals.columns if c != "sample"]
     one = totals.select(F.col("sample").alias("s1"), *[F.col(c).alias(f"{c}1") for c in names])
     two = totals.select(F.col("sample").alias("s2"), *[F.col(c).alias(f"{c}2") for c in names])
-    return (pair_spine(totals) if spine is None else spine).join(one, "s1").join(two, "s2").join(pairs, ["s1", "s2"], "left")
+    every = one.join(two, F.col("s1") < F.col("s2")) if spine is None else spine.join(one, "s1").join(two, "s2")
+    return every.join(pairs, ["s1", "s2"], "left")
 
 
 def _beyond(q: float) -> Column:
@@ -48,12 +99,16 @@ def _beyond(q: float) -> Column:
     return term(F.col("half1") + F.col("half2"), q) - F.col("part1") - F.col("part2")
 
 
+def _beyond_dense(q: float) -> Dense:
+    return lambda a, b: term_of(a["half"] + b["half"], q) - a["part"] - b["part"]
+
+
 def naive_beta(tab: DataFrame, q: float = 1, dis: bool = True, viewpoint: str = "regional", use_values: bool = False, spine: DataFrame | None = None) -> DataFrame:
     """s1, s2, value."""
     p = relative(tab, use_values)
     totals = p.groupBy("sample").agg(F.sum(term(F.col("p"), q)).alias("t"), F.sum(term(F.col("p") / 2, q)).alias("h"))
     halves = p.select("feature", "sample", (F.col("p") / 2).alias("half"), term(F.col("p") / 2, q).alias("part"))
-    pairs = shared_sums(halves, "feature", F.sum(_beyond(q)))
+    pairs = shared_sums(halves, "feature", F.sum(_beyond(q)), _beyond_dense(q))
     rows = _with_spine(pairs, totals, spine)
     gamma = from_sum(F.col("h1") + F.col("h2") + F.coalesce("x", F.lit(0.0)), q)
     alpha = from_sum((F.col("t1") + F.col("t2")) / 2, q)
@@ -68,7 +123,8 @@ def phyl_beta(tab: DataFrame, tree: DataFrame, node_leaf: DataFrame, q: float =
     totals = a.groupBy("sample").agg(F.sum(length * term(F.col("a"), q)).alias("t"), F.sum(length * term(F.col("a") / 2, q)).alias("h"), F.sum(length * F.col("a")).alias("m"))
     # Branches without length add nothing to any pair.
     halves = a.where("branchL <> 0").select("node", "sample", (F.col("a") / 2).alias("half"), term(F.col("a") / 2, q).alias("part"), "branchL")
-    pairs = shared_sums(halves, "node", F.sum(F.col("branchL1") * _beyond(q)))
+    beyond = _beyond_dense(q)
+    pairs = shared_sums(halves, "node", F.sum(F.col("branchL1") * _beyond(q)), lambda a, b: a["branchL"] * beyond(a, b))
     rows = _with_spine(pairs, totals, spine).withColumn("pooled", (F.col("m1") + F.col("m2")) / 2)
     gamma = from_sum(F.try_divide(F.col("h1") + F.col("h2") + F.coalesce("x", F.lit(0.0)), F.col("pooled")), q)
     alpha = from_sum(F.try_divide((F.col("t1") + F.col("t2")) / 2, F.col("pooled")), q)
@@ -110,15 +166,15 @@ def func_beta(tab: DataFrame, distmat: DataFrame, q: float = 1, dis: bool = True
 
 def bray(tab: DataFrame, use_values: bool = False, spine: DataFrame | None = None) -> DataFrame:
     p = relative(tab, use_values)
-    pairs = shared_sums(p, "feature", F.sum(F.least("p1", "p2")))
+    pairs = shared_sums(p, "feature", F.sum(F.least("p1", "p2")), lambda a, b: np.minimum(a["p"], b["p"]))
     return (pair_spine(p) if spine is None else spine).join(pairs, ["s1", "s2"], "left").select("s1", "s2", (F.lit(1.0) - F.coalesce("x", F.lit(0.0))).alias("value"))
 
 
 def jaccard(tab: DataFrame, spine: DataFrame | None = None) -> DataFrame:
     p = tab.where("value > 0").select("feature", "sample")
     totals = p.groupBy("sample").agg(F.count(F.lit(1)).alias("n"))
-    pairs = shared_sums(p, "feature", F.count(F.lit(1)))
-    both = F.coalesce("x", F.lit(0))
+    pairs = shared_sums(p.withColumn("one", F.lit(1.0)), "feature", F.count(F.lit(1)), lambda a, b: a["one"] * b["one"])
+    both = F.coalesce("x", F.lit(0.0))
     return _with_spine(pairs, totals, spine).select("s1", "s2", (F.lit(1.0) - F.coalesce(F.try_divide(both, F.col("n1") + F.col("n2") - both), F.lit(0.0))).alias("value"))
 
 

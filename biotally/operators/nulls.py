@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.rng import exponential, key, uniform
 from . import beta
 from .alpha import nearest, powers
+from .relational import interval_hits
 
 SEPARATOR = "\u0001"
 
@@ -110,7 +111,7 @@ def random_tables(tab: DataFrame, n: int, seed: int, groups: DataFrame | None =
     chosen = chosen.select("it", "sample", "feature", "richness", "reads", (hi - F.col("abundance")).alias("lo"), hi.alias("hi"), F.sum("abundance").over(w).alias("total"))
     more = chosen.select("it", "sample", "richness", "reads", "total").distinct().where("reads > richness").select("it", "sample", "total", F.explode(F.sequence(F.lit(1).cast("long"), F.col("reads") - F.col("richness"))).alias("i"))
     more = more.select("it", "sample", F.floor(uniform(F.lit(seed), "it", "sample", F.lit("read"), "i") * F.col("total")).alias("at")).groupBy("it", "sample", "at").agg(F.count(F.lit(1)).alias("n"))
-    extra = more.join(chosen.select("it", "sample", "feature", "lo", "hi"), ["it", "sample"]).where("at >= lo and at < hi").select("it", "sample", "feature", "n")
+    extra = interval_hits(more, chosen.select("it", "sample", "feature", "lo"), ["it", "sample"])
     both = chosen.select("it", "sample", "feature", F.lit(1).cast("long").alias("n")).unionByName(extra)
     return both.groupBy("it", "feature", "sample").agg(F.sum("n").cast("double").alias("value"))
 

@@ -182,30 +182,67 @@ def reads(tab: DataFrame) -> DataFrame:
     return whole.select("feature", "sample", F.explode(F.sequence(F.lit(1).cast("long"), F.col("value"))).alias("i"))
 
 
-def shuffled_reads(tab: DataFrame, seed: int) -> DataFrame:
-    """Reads with rn, their place in a random order within the sample."""
-    order = Window.partitionBy("sample").orderBy(key(F.lit(seed), "sample", "feature", "i"), "feature", "i")
-    return reads(tab).withColumn("rn", F.row_number().over(order))
+#: Parts that the random order of a sample's reads is cut into.
+PARTS = 4096
+
+
+def read_keys(tab: DataFrame, seed: int) -> DataFrame:
+    """Reads with k, the random key that orders a sample's reads (then feature
+    and i), and part, its first twelve bits."""
+    rows = reads(tab).withColumn("k", key(F.lit(seed), "sample", "feature", "i"))
+    return rows.withColumn("part", F.conv(F.substring("k", 1, 3), 16, 10).cast("int"))
+
+
+def first_reads(tab: DataFrame, depths: DataFrame, seed: int) -> DataFrame:
+    """sample, depth, feature, n: how often a feature is among the ``depth``
+    first reads of the sample's random order. ``depths`` has sample and depth,
+    any number of them a sample, none above its reads.
+
+    Reads are counted by part of the order. Parts before the one in which the
+    depth falls count whole; only the reads of that part are ranked.
+    """
+    keyed = read_keys(tab.join(depths.select("sample").distinct(), "sample", "left_semi"), seed)
+    cells = keyed.groupBy("sample", "part", "feature").agg(F.count(F.lit(1)).alias("n"))
+    sizes = cells.groupBy("sample", "part").agg(F.sum("n").alias("m"))
+    hi = F.sum("m").over(Window.partitionBy("sample").orderBy("part"))
+    sizes = sizes.select("sample", "part", (hi - F.col("m")).alias("lo"), hi.alias("hi"))
+    # The part in which each depth falls, and how many of its reads it takes.
+    last = interval_hits(depths.select("sample", F.col("depth").cast("long").alias("depth"), (F.col("depth") - 1).alias("at"), F.lit(1).alias("n")).where("depth > 0").distinct().select("sample", "at", "n"), sizes.select("sample", F.col("part").cast("string").alias("feature"), "lo"), ["sample"], keep_at=True)
+    last = last.select("sample", (F.col("at") + 1).alias("depth"), F.col("feature").cast("int").alias("part")).join(sizes, ["sample", "part"]).select("sample", "depth", "part", (F.col("depth") - F.col("lo")).alias("rest"))
+    whole = cells.join(last.select("sample", "depth", F.col("part").alias("end")), "sample").where("part < end").groupBy("sample", "depth", "feature").agg(F.sum("n").alias("n"))
+    order = Window.partitionBy("sample", "part").orderBy("k", "feature", "i")
+    cut = keyed.join(last.select("sample", "part").distinct(), ["sample", "part"], "left_semi").withColumn("rank", F.row_number().over(order))
+    some = cut.join(last, ["sample", "part"]).where("rank <= rest").groupBy("sample", "depth", "feature").agg(F.count(F.lit(1)).alias("n"))
+    return whole.unionByName(some).groupBy("sample", "depth", "feature").agg(F.sum("n").cast("double").alias("n"))
 
 
 def sample_depths(tab: DataFrame) -> DataFrame:
     return tab.withColumn("value", F.floor("value").cast("long")).groupBy("sample").agg(F.sum("value").alias("total"))
 
 
+def interval_hits(draws: DataFrame, cells: DataFrame, keys: list[str], keep_at: bool = False) -> DataFrame:
+    """keys, feature, n (and at, if kept): the draws (keys, at, n), each with the feature of the
+    interval it falls into. ``cells`` has keys, feature, lo; intervals of a key
+    follow each other without gaps. One sort of both, not a join by range."""
+    starts = cells.select(*keys, F.col("lo").cast("long").alias("at"), F.lit(0).cast("long").alias("n"), "feature")
+    both = starts.unionByName(draws.select(*keys, "at", F.col("n").cast("long").alias("n"), F.lit(None).cast("string").alias("feature")))
+    order = Window.partitionBy(*keys).orderBy("at", F.col("feature").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    return both.withColumn("feature", F.last("feature", ignorenulls=True).over(order)).where("n > 0").select(*keys, "feature", "n", *(["at"] if keep_at else []))
+
+
 def rarefy(tab: DataFrame, depth: int | str = "min", seed: int = 0, replacement: bool = False) -> DataFrame:
     """The table thinned to ``depth`` reads a sample; smaller samples go."""
     totals = sample_depths(tab)
     least = totals.agg(F.min("total").alias("depth")) if depth == "min" else tab.sparkSession.range(1).select(F.lit(int(depth)).cast("long").alias("depth"))
     kept = totals.join(F.broadcast(least)).where("total >= depth")  # one row of depth
     if not replacement:
-        rows = shuffled_reads(tab, seed).join(kept, "sample").where("rn <= depth")
-        return rows.groupBy("feature", "sample").agg(F.count(F.lit(1)).cast("double").alias("value"))
+        return first_reads(tab, kept.select("sample", "depth"), seed).select("feature", "sample", F.col("n").alias("value"))
     cells = tab.withColumn("value", F.floor("value").cast("long")).where("value > 0")
     hi = F.sum("value").over(Window.partitionBy("sample").orderBy("feature"))
-    cells = cells.select("feature", "sample", (hi - F.col("value")).alias("lo"), hi.alias("hi"))
+    cells = cells.select("feature", "sample", (hi - F.col("value")).alias("lo"))
     draws = kept.select("sample", "total", F.explode(F.sequence(F.lit(1).cast("long"), F.col("depth"))).alias("i"))
     draws = draws.select("sample", F.floor(uniform(F.lit(seed), "sample", "i") * F.col("total")).alias("at"))
-    hit = draws.groupBy("sample", "at").agg(F.count(F.lit(1)).alias("n")).join(cells, "sample").where("at >= lo and at < hi")
+    hit = interval_hits(draws.groupBy("sample", "at").agg(F.count(F.lit(1)).alias("n")), cells, ["sample"])
     return hit.groupBy("feature", "sample").agg(F.sum("n").cast("double").alias("value"))
 
 
@@ -215,7 +252,7 @@ def rarefaction_curve(tab: DataFrame, q: float = 1, seed: int = 0, steps: int =
 
     totals = sample_depths(tab).withColumn("step", F.greatest(F.lit(1), F.floor(F.col("total") / steps))).where("total > 0")
     grid = totals.where("step < total").select("sample", F.explode(F.sequence("step", F.col("total") - 1, F.col("step"))).alias("depth"))
-    counts = shuffled_reads(tab, seed).select("sample", "feature", "rn").join(grid, "sample").where("rn <= depth").groupBy("sample", "depth", "feature").agg(F.count(F.lit(1)).alias("value"))
+    counts = first_reads(tab, grid, seed).withColumnRenamed("n", "value")
     keyed = counts.select("feature", F.concat_ws("\u0001", "sample", F.col("depth").cast("string")).alias("sample"), "value")
     at = naive_alpha(keyed, q).select(F.split("sample", "\u0001")[0].alias("sample"), F.split("sample", "\u0001")[1].cast("long").alias("depth"), "d")
     full = naive_alpha(tab.withColumn("value", F.floor("value")), q).join(totals, "sample").select("sample", F.col("total").alias("depth"), "d")

@@ -39,7 +39,7 @@ def qname(q: float) -> str:
 for q in (0, 1, 2, 1.5):
     register(f"naive_alpha_{qname(q)}", lambda s, d, q=q: alpha.naive_alpha(fx.tab_wide(s, d), q), sql("tab_wide", f"SELECT sample, {r(from_sum(f'SUM({term('p', q)})', q), 'd')} FROM p GROUP BY sample", p=P.format(tab="tab_wide")))
 
-register("rel_abundance", lambda s, d: alpha.relative(fx.tab_sparse(s, d)), sql("tab_sparse", f"SELECT feature, sample, {r('p', 'p')} FROM p", p=P.format(tab="tab_sparse")))
+register("rel_abundance", lambda s, d: alpha.relative(fx.tab_wide(s, d)), sql("tab_wide", f"SELECT feature, sample, {r('p', 'p')} FROM p", p=P.format(tab="tab_wide")))
 
 register(
     "alpha_profile",
@@ -50,7 +50,7 @@ register(
 A = "SELECT node, sample, branchL, SUM(p) a FROM p JOIN {leaves} l ON l.leaf = p.feature JOIN {tree} t USING (node) GROUP BY node, sample, branchL"
 
 for index, q, size in [("D", 0, "large"), ("D", 1, "large"), ("D", 2, "large"), ("PD", 1, "small"), ("H", 1, "small"), ("H", 2, "small"), ("D", 1.5, "small")]:
-    tab = "tab_sparse" if size == "large" else "tab_small"
+    tab = "tab_wide" if size == "large" else "tab_small"
     h = f"(SUM(branchL * {term('a', q)}) / SUM(branchL * a))"
     d_sql = {"D": from_sum(h, q), "PD": f"{from_sum(h, q)} * SUM(branchL * a)", "H": h}[index]
     register(
@@ -60,7 +60,7 @@ for index, q, size in [("D", 0, "large"), ("D", 1, "large"), ("D", 2, "large"),
     )
 
 register("branch_abundance", lambda s, d: alpha.branch_shares(fx.tab_small(s, d), fx.leaves_small(s, d)), sql("tab_small, tree_small, leaves_small", f"SELECT node, sample, {r('a', 'a')} FROM a", p=P.format(tab="tab_small"), a=A.format(leaves="leaves_small", tree="tree_small")))
-register("tmean", lambda s, d: alpha.mean_height(fx.tab_sparse(s, d), fx.tree_large(s, d), fx.leaves_large(s, d)), sql("tab_sparse, tree_large, leaves_large", f"SELECT sample, {r('SUM(branchL * a)', 't')} FROM a GROUP BY sample", p=P.format(tab="tab_sparse"), a=A.format(leaves="leaves_large", tree="tree_large")))
+register("tmean", lambda s, d: alpha.mean_height(fx.tab_wide(s, d), fx.tree_large(s, d), fx.leaves_large(s, d)), sql("tab_wide, tree_large, leaves_large", f"SELECT sample, {r('SUM(branchL * a)', 't')} FROM a GROUP BY sample", p=P.format(tab="tab_wide"), a=A.format(leaves="leaves_large", tree="tree_large")))
 
 PAIRS = "SELECT a.sample, a.feature f1, b.feature f2, a.p p1, b.p p2, d FROM p a JOIN p b USING (sample) JOIN distmat m ON m.f1 = a.feature AND m.f2 = b.feature"
 
@@ -94,13 +94,13 @@ def even(d: str, s: str, q: float, index: str) -> str:
 
 for index, q in [("CR1", 2), ("CR2", 2), ("CR3", 1), ("CR4", 1), ("CR5", 1), ("pielou", 1), ("regional", 0.5), ("local", 1)]:
     ds = f"SELECT sample, {from_sum(f'SUM({term('p', q)})', q)} d, CAST(COUNT(*) AS DOUBLE) s FROM p GROUP BY sample"
-    register(f"evenness_{index.lower()}_{qname(q)}", lambda s, d, index=index, q=q: alpha.evenness(fx.tab_sparse(s, d), q, index), sql("tab_sparse", f"SELECT sample, {r(even('d', 's', q, index), 'evenness')} FROM ds", p=P.format(tab="tab_sparse"), ds=ds))
+    register(f"evenness_{index.lower()}_{qname(q)}", lambda s, d, index=index, q=q: alpha.evenness(fx.tab_wide(s, d), q, index), sql("tab_wide", f"SELECT sample, {r(even('d', 's', q, index), 'evenness')} FROM ds", p=P.format(tab="tab_wide"), ds=ds))
 
 PT = "SELECT feature, sample, value / SUM(value) OVER (PARTITION BY feature) p FROM {tab} WHERE value > 0"
 register(
     "evenness_taxa",
-    lambda s, d: alpha.evenness(fx.tab_sparse(s, d), 2, "CR1", perspective="taxa"),
-    sql("tab_sparse", f"SELECT feature, {r(even('d', 's', 2, 'CR1'), 'evenness')} FROM (SELECT feature, POW(SUM(POW(p, 2)), -1) d FROM p GROUP BY feature) x, (SELECT CAST(COUNT(DISTINCT sample) AS DOUBLE) s FROM tab_sparse) n", p=PT.format(tab="tab_sparse")),
+    lambda s, d: alpha.evenness(fx.tab_wide(s, d), 2, "CR1", perspective="taxa"),
+    sql("tab_wide", f"SELECT feature, {r(even('d', 's', 2, 'CR1'), 'evenness')} FROM (SELECT feature, POW(SUM(POW(p, 2)), -1) d FROM p GROUP BY feature) x, (SELECT CAST(COUNT(DISTINCT sample) AS DOUBLE) s FROM tab_wide) n", p=PT.format(tab="tab_wide")),
 )
 register(
     "evenness_func",
@@ -124,12 +124,12 @@ for q, view in [(0, "regional"), (1, "regional"), (2, "regional"), (0, "local"),
     b = "beta" if view == "raw" else dis("beta", q, "2.0", "naive", view)
     register(
         f"naive_beta_{qname(q)}_{view}",
-        lambda s, d, q=q, view=view: beta.naive_beta(fx.tab_sparse(s, d), q, view != "raw", "regional" if view == "raw" else view),
-        sql("tab_sparse", f"SELECT s1, s2, {r(b, 'value')} FROM (SELECT s1, s2, {g} / {a} beta FROM x GROUP BY s1, s2)", p=P.format(tab="tab_sparse"), spine=SPINE, x=DENSE),
+        lambda s, d, q=q, view=view: beta.naive_beta(fx.tab_wide(s, d), q, view != "raw", "regional" if view == "raw" else view),
+        sql("tab_wide", f"SELECT s1, s2, {r(b, 'value')} FROM (SELECT s1, s2, {g} / {a} beta FROM x GROUP BY s1, s2)", p=P.format(tab="tab_wide"), spine=SPINE, x=DENSE),
     )
 
-register("bray", lambda s, d: beta.bray(fx.tab_sparse(s, d)), sql("tab_sparse", f"SELECT s1, s2, {r('1 - SUM(LEAST(x1, x2))', 'value')} FROM x GROUP BY s1, s2", p=P.format(tab="tab_sparse"), spine=SPINE, x=DENSE))
-register("jaccard", lambda s, d: beta.jaccard(fx.tab_sparse(s, d)), sql("tab_sparse", f"SELECT s1, s2, {r('1 - CAST(COUNT(*) FILTER (x1 > 0 AND x2 > 0) AS DOUBLE) / COUNT(*)', 'value')} FROM x GROUP BY s1, s2", p=P.format(tab="tab_sparse"), spine=SPINE, x=DENSE))
+register("bray", lambda s, d: beta.bray(fx.tab_wide(s, d)), sql("tab_wide", f"SELECT s1, s2, {r('1 - SUM(LEAST(x1, x2))', 'value')} FROM x GROUP BY s1, s2", p=P.format(tab="tab_wide"), spine=SPINE, x=DENSE))
+register("jaccard", lambda s, d: beta.jaccard(fx.tab_wide(s, d)), sql("tab_wide", f"SELECT s1, s2, {r('1 - CAST(COUNT(*) FILTER (x1 > 0 AND x2 > 0) AS DOUBLE) / COUNT(*)', 'value')} FROM x GROUP BY s1, s2", p=P.format(tab="tab_wide"), spine=SPINE, x=DENSE))
 
 for q in (0, 1, 2):
     g, a = f"SUM(branchL * {pos('(x1 + x2) / 2', q)})", f"SUM(branchL * ({pos('x1', q)} + {pos('x2', q)})) / 2"
@@ -269,13 +269,13 @@ register(
 )
 register(
     "subset_tree",
-    lambda s, d: trees.subset_tree_rows(fx.tree_large(s, d), fx.leaves_large(s, d), fx.tab_sparse(s, d)),
-    sql("tree_large, leaves_large, tab_sparse", "SELECT node, parent, branchL, COUNT(*) n_leaves FROM tree_large JOIN leaves_large USING (node) WHERE leaf IN (SELECT feature FROM tab_sparse) GROUP BY ALL"),
+    lambda s, d: trees.subset_tree_rows(fx.tree_large(s, d), fx.leaves_large(s, d), fx.tax(s, d).where("Phylum is null")),
+    sql("tree_large, leaves_large, tax", "SELECT node, parent, branchL, COUNT(*) n_leaves FROM tree_large JOIN leaves_large USING (node) WHERE leaf IN (SELECT feature FROM tax WHERE \"Phylum\" IS NULL) GROUP BY ALL"),
 )
 register(
     "collapse_tree",
-    lambda s, d: trees.collapse_single_children(fx.tree_large(s, d), fx.keep(fx.leaves_large(s, d), "cast(leaf as int) % 40 = 0")),
-    sql("tree_large, leaves_large", f"SELECT leaves, {r('SUM(branchL)', '\"branchL\"')} FROM (SELECT node, branchL, STRING_AGG(leaf, ',' ORDER BY leaf) leaves FROM tree_large JOIN leaves_large USING (node) WHERE CAST(leaf AS INT) % 40 = 0 GROUP BY ALL) GROUP BY leaves"),
+    lambda s, d: trees.collapse_single_children(fx.tree_large(s, d), fx.leaves_large(s, d)),
+    sql("tree_large, leaves_large", f"SELECT leaves, {r('SUM(branchL)', '\"branchL\"')} FROM (SELECT node, branchL, STRING_AGG(leaf, ',' ORDER BY leaf) leaves FROM tree_large JOIN leaves_large USING (node) GROUP BY ALL) GROUP BY leaves"),
 )
 register(
     "rename_leaves",

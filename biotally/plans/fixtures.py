@@ -2,33 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from contextvars import ContextVar
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_WHOLE: ContextVar[bool] = ContextVar("whole", default=False)
-
-
-def whole(run: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    """``run`` without the conditions that keep the oracle's work small."""
-
-    def on_all(spark: SparkSession, d: str) -> DataFrame:
-        token = _WHOLE.set(True)
-        try:
-            return run(spark, d)
-        finally:
-            _WHOLE.reset(token)
-
-    return on_all
-
-
-def keep(df: DataFrame, cond: str) -> DataFrame:
-    """The rows that the oracle is given too; all of them within ``whole``."""
-    return df if _WHOLE.get() else df.where(cond)
-
-
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -39,11 +15,6 @@ def tab_wide(spark: SparkSession, d: str) -> DataFrame:
     return li.groupBy(F.col("l_partkey").cast("string").alias("feature"), F.col("l_suppkey").cast("string").alias("sample")).agg(F.sum(F.col("l_quantity").cast("double")).alias("value"))
 
 
-def tab_sparse(spark: SparkSession, d: str) -> DataFrame:
-    li = keep(read(spark, d, "lineitem"), "l_partkey % 40 = 0")
-    return li.groupBy(F.col("l_partkey").cast("string").alias("feature"), F.col("l_suppkey").cast("string").alias("sample")).agg(F.sum(F.col("l_quantity").cast("double")).alias("value"))
-
-
 def tab_small(spark: SparkSession, d: str) -> DataFrame:
     """Brands in nations, by quantity."""
     li, p, s = (read(spark, d, n) for n in ("lineitem", "part", "supplier"))
@@ -134,7 +105,6 @@ def seq(spark: SparkSession, d: str) -> DataFrame:
 #: The same tables for the oracle, by name; a query names those it needs.
 SQL = {
     "tab_wide": "SELECT CAST(l_partkey AS VARCHAR) feature, CAST(l_suppkey AS VARCHAR) sample, SUM(CAST(l_quantity AS DOUBLE)) value FROM lineitem GROUP BY ALL",
-    "tab_sparse": "SELECT CAST(l_partkey AS VARCHAR) feature, CAST(l_suppkey AS VARCHAR) sample, SUM(CAST(l_quantity AS DOUBLE)) value FROM lineitem WHERE l_partkey % 40 = 0 GROUP BY ALL",
     "tab_small": "SELECT p_brand feature, CAST(s_nationkey AS VARCHAR) sample, SUM(CAST(l_quantity AS DOUBLE)) value FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL",
     "tab_events": "SELECT event_type feature, CAST(user_id AS VARCHAR) sample, CAST(COUNT(*) AS DOUBLE) value FROM events GROUP BY ALL",
     "supplier_meta": "SELECT CAST(s_suppkey AS VARCHAR) sample, r_name region, n_name nation, CAST(s_acctbal AS DOUBLE) acctbal FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey",

@@ -66,13 +66,13 @@ for rand in ("features", "abundances"):
 RCQ_N = 4
 RCQ = {
     "i": f"SELECT UNNEST(RANGE(1, {RCQ_N + 1})) it",
-    "pool": "SELECT region grp, feature, SUM(value) ab, COUNT(*) fr FROM tab_sparse JOIN supplier_meta USING (sample) GROUP BY ALL",
-    "size": "SELECT region grp, sample, COUNT(*) rich, SUM(value) reads FROM tab_sparse JOIN supplier_meta USING (sample) GROUP BY ALL",
+    "pool": "SELECT region grp, feature, SUM(value) ab, COUNT(*) fr FROM tab_wide JOIN supplier_meta USING (sample) GROUP BY ALL",
+    "size": "SELECT region grp, sample, COUNT(*) rich, SUM(value) reads FROM tab_wide JOIN supplier_meta USING (sample) GROUP BY ALL",
     "ch0": f"SELECT it, sample, feature, rich, reads, ab, ROW_NUMBER() OVER (PARTITION BY it, sample ORDER BY -LN({u('5', 'it', 'sample', 'feature')}) / fr, feature) n FROM size JOIN pool USING (grp), i",
     "ch": "SELECT it, sample, feature, rich, reads, SUM(ab) OVER w - ab lo, SUM(ab) OVER w hi, SUM(ab) OVER (PARTITION BY it, sample) tot FROM ch0 WHERE n <= rich WINDOW w AS (PARTITION BY it, sample ORDER BY feature)",
     "rd": f"SELECT it, sample, FLOOR({u('5', 'it', 'sample', chr(39) + 'read' + chr(39), 'i')} * tot) a FROM (SELECT it, sample, tot, UNNEST(RANGE(1, CAST(reads - rich AS BIGINT) + 1)) i FROM (SELECT DISTINCT it, sample, rich, reads, tot FROM ch))",
     "rt": "SELECT it, sample, feature, SUM(n) value FROM (SELECT it, sample, feature, 1 n FROM ch UNION ALL SELECT it, sample, feature, 1 FROM rd JOIN ch USING (it, sample) WHERE a >= lo AND a < hi) GROUP BY ALL",
-    "t": "SELECT 0::BIGINT it, sample, feature, value FROM tab_sparse UNION ALL SELECT it, sample, feature, value FROM rt",
+    "t": "SELECT 0::BIGINT it, sample, feature, value FROM tab_wide UNION ALL SELECT it, sample, feature, value FROM rt",
     "p": "SELECT it, feature, sample, value / SUM(value) OVER (PARTITION BY it, sample) p FROM t",
     "spine": "SELECT DISTINCT a.sample s1, b.sample s2 FROM size a JOIN size b ON a.sample < b.sample",
     "dn": "SELECT it, s1, s2, feature, SUM(CASE WHEN sample = s1 THEN p ELSE 0 END) x1, SUM(CASE WHEN sample = s2 THEN p ELSE 0 END) x2 FROM spine JOIN p ON p.sample IN (s1, s2) GROUP BY ALL",
@@ -82,8 +82,8 @@ for kind, value in {
 }.items():
     register(
         f"rcq_{kind}",
-        lambda s, d, kind=kind: nulls.rcq(fx.tab_sparse(s, d), kind, 1, RCQ_N, fx.regions(fx.supplier_meta(s, d)), seed=5),
-        sql("tab_sparse, supplier_meta", summary("s1, s2", "x", RCQ_N), **RCQ, x=f"SELECT it, s1, s2, {value} x FROM dn GROUP BY it, s1, s2"),
+        lambda s, d, kind=kind: nulls.rcq(fx.tab_wide(s, d), kind, 1, RCQ_N, fx.regions(fx.supplier_meta(s, d)), seed=5),
+        sql("tab_wide, supplier_meta", summary("s1, s2", "x", RCQ_N), **RCQ, x=f"SELECT it, s1, s2, {value} x FROM dn GROUP BY it, s1, s2"),
     )
 
 
@@ -220,15 +220,14 @@ def _objects(s, d):
     li = fx.read(s, d, "lineitem")
     out = []
     for cond in ("l_returnflag = 'R'", "l_returnflag <> 'R'"):
-        rows = fx.keep(li.where(cond), "l_suppkey <= 20")
-        tab = rows.groupBy(F.col("l_partkey").cast("string").alias("feature"), F.col("l_suppkey").cast("string").alias("sample")).agg(F.sum(F.col("l_quantity").cast("double")).alias("value"))
+        tab = li.where(cond).groupBy(F.col("l_partkey").cast("string").alias("feature"), F.col("l_suppkey").cast("string").alias("sample")).agg(F.sum(F.col("l_quantity").cast("double")).alias("value"))
         ids = tab.select("feature").distinct()
-        out.append({"tab": tab, "seq": fx.seq(s, d).join(ids, "feature", "left_semi"), "tax": fx.tax(s, d).select("feature", "Domain").join(ids, "feature", "left_semi"), "meta": fx.keep(fx.supplier_meta(s, d), "cast(sample as int) <= 20")})
+        out.append({"tab": tab, "seq": fx.seq(s, d).join(ids, "feature", "left_semi"), "tax": fx.tax(s, d).select("feature", "Domain").join(ids, "feature", "left_semi"), "meta": fx.supplier_meta(s, d)})
     return out
 
 
 OBJ = {
-    "tb": "SELECT CASE WHEN l_returnflag = 'R' THEN 0 ELSE 1 END obj, CAST(l_partkey AS VARCHAR) feature, CAST(l_suppkey AS VARCHAR) sample, SUM(CAST(l_quantity AS DOUBLE)) value FROM lineitem WHERE l_suppkey <= 20 GROUP BY ALL",
+    "tb": "SELECT CASE WHEN l_returnflag = 'R' THEN 0 ELSE 1 END obj, CAST(l_partkey AS VARCHAR) feature, CAST(l_suppkey AS VARCHAR) sample, SUM(CAST(l_quantity AS DOUBLE)) value FROM lineitem GROUP BY ALL",
     "sq": "SELECT DISTINCT obj, feature, p_name seq FROM tb JOIN part ON CAST(p_partkey AS VARCHAR) = feature",
     "od": "SELECT *, ROW_NUMBER() OVER (PARTITION BY obj ORDER BY CAST(feature AS INT)) o FROM sq",
     "nm": "SELECT seq, 'SV' || ROW_NUMBER() OVER (ORDER BY a, seq) nw FROM (SELECT seq, MIN(obj * 1000000 + o) a FROM od GROUP BY seq)",
@@ -246,11 +245,10 @@ register(
 )
 register("consensus_info", lambda s, d: combine.consensus(_objects(s, d))[1], sql("", f"SELECT CAST(obj AS INT) obj, (SELECT COUNT(*) FROM co) n_common, {r('100 * SUM(CASE WHEN feature IN (SELECT feature FROM co) THEN value ELSE 0 END) / SUM(value)', 'pct_reads')}, obj = (SELECT arg_max(obj, sh) FROM (SELECT obj, SUM(CASE WHEN feature IN (SELECT feature FROM co) THEN value ELSE 0 END) / SUM(value) sh FROM al GROUP BY obj)) kept FROM al GROUP BY obj", **OBJ, co="SELECT feature FROM al GROUP BY feature HAVING COUNT(DISTINCT obj) = 2"))
 register("merge_objects", lambda s, d: combine.merge_objects(_objects(s, d))["tab"], sql("", "SELECT nw2 feature, sample || '_' || obj sample, value FROM al JOIN rn USING (feature)", **OBJ, rn="SELECT feature, 'SV' || ROW_NUMBER() OVER (ORDER BY SUM(value) DESC, CAST(SUBSTR(feature, 3) AS INT)) nw2 FROM al GROUP BY feature"))
-register("merge_objects_meta", lambda s, d: combine.merge_objects(_objects(s, d))["meta"], sql("supplier_meta", f"SELECT sample || '_' || o AS sample, region, nation, {r('acctbal', 'acctbal')} FROM supplier_meta, (SELECT UNNEST([0, 1]) o) WHERE CAST(sample AS INT) <= 20"))
+register("merge_objects_meta", lambda s, d: combine.merge_objects(_objects(s, d))["meta"], sql("supplier_meta", f"SELECT sample || '_' || o AS sample, region, nation, {r('acctbal', 'acctbal')} FROM supplier_meta, (SELECT UNNEST([0, 1]) o)"))
 register("align_substring", lambda s, d: combine.align(_objects(s, d), different_lengths=True)[1]["seq"])
-SEQS = "SELECT feature, seq FROM seq WHERE CAST(feature AS INT) % 20 = 0"
-register("seq_distance", lambda s, d: combine.sequence_distance(fx.keep(fx.seq(s, d), "cast(feature as int) % 20 = 0")), sql("seq", f"SELECT a.feature f1, b.feature f2, CAST(levenshtein(a.seq, b.seq) AS INT) distance, {r('levenshtein(a.seq, b.seq) / CAST(GREATEST(LENGTH(a.seq), LENGTH(b.seq)) AS DOUBLE)', 'normalized')} FROM sq a JOIN sq b ON a.feature < b.feature", sq=SEQS))
-register("seq_distance_banded", lambda s, d: combine.sequence_distance(fx.keep(fx.seq(s, d), "cast(feature as int) % 50 = 0"), band=100), sql("seq", f"SELECT a.feature f1, b.feature f2, CAST(levenshtein(a.seq, b.seq) AS INT) distance, {r('levenshtein(a.seq, b.seq) / CAST(GREATEST(LENGTH(a.seq), LENGTH(b.seq)) AS DOUBLE)', 'normalized')} FROM sq a JOIN sq b ON a.feature < b.feature", sq=SEQS.replace("% 20", "% 50")))
+register("seq_distance", lambda s, d: combine.sequence_distance(fx.seq(s, d)), sql("seq", f"SELECT a.feature f1, b.feature f2, CAST(levenshtein(a.seq, b.seq) AS INT) distance, {r('levenshtein(a.seq, b.seq) / CAST(GREATEST(LENGTH(a.seq), LENGTH(b.seq)) AS DOUBLE)', 'normalized')} FROM seq a JOIN seq b ON a.feature < b.feature"))
+register("seq_distance_banded", lambda s, d: combine.sequence_distance(fx.seq(s, d), band=100), sql("seq", f"SELECT a.feature f1, b.feature f2, CAST(levenshtein(a.seq, b.seq) AS INT) distance, {r('levenshtein(a.seq, b.seq) / CAST(GREATEST(LENGTH(a.seq), LENGTH(b.seq)) AS DOUBLE)', 'normalized')} FROM seq a JOIN seq b ON a.feature < b.feature"))
 
 # -- simulators
 

@@ -22,11 +22,11 @@ def md5(*parts: str) -> str:
 
 # -- selecting
 
-register("subset_samples_region", lambda s, d: rel.subset_samples(fx.tab_sparse(s, d), fx.supplier_meta(s, d), "region", ["ASIA", "EUROPE"])[0], sql("tab_sparse, supplier_meta", "SELECT t.* FROM tab_sparse t JOIN supplier_meta USING (sample) WHERE region IN ('ASIA', 'EUROPE')"))
-register("subset_samples_exclude", lambda s, d: rel.subset_samples(fx.tab_sparse(s, d), fx.supplier_meta(s, d), "region", ["ASIA"], exclude=True)[0], sql("tab_sparse, supplier_meta", "SELECT t.* FROM tab_sparse t JOIN supplier_meta USING (sample) WHERE region <> 'ASIA'"))
-register("subset_samples_index", lambda s, d: rel.subset_samples(fx.tab_sparse(s, d), fx.supplier_meta(s, d), "index", ["1", "2", "7"])[1], sql("supplier_meta", f"SELECT sample, region, nation, {r('acctbal', 'acctbal')} FROM supplier_meta WHERE sample IN ('1', '2', '7')"))
-register("subset_features", lambda s, d: rel.subset_features(fx.tab_wide(s, d), fx.tab_sparse(s, d)), sql("tab_wide, tab_sparse", "SELECT * FROM tab_wide WHERE feature IN (SELECT feature FROM tab_sparse)"))
-register("subset_features_exclude", lambda s, d: rel.subset_features(fx.tab_wide(s, d), fx.tab_sparse(s, d), True), sql("tab_wide, tab_sparse", "SELECT * FROM tab_wide WHERE feature NOT IN (SELECT feature FROM tab_sparse)"))
+register("subset_samples_region", lambda s, d: rel.subset_samples(fx.tab_wide(s, d), fx.supplier_meta(s, d), "region", ["ASIA", "EUROPE"])[0], sql("tab_wide, supplier_meta", "SELECT t.* FROM tab_wide t JOIN supplier_meta USING (sample) WHERE region IN ('ASIA', 'EUROPE')"))
+register("subset_samples_exclude", lambda s, d: rel.subset_samples(fx.tab_wide(s, d), fx.supplier_meta(s, d), "region", ["ASIA"], exclude=True)[0], sql("tab_wide, supplier_meta", "SELECT t.* FROM tab_wide t JOIN supplier_meta USING (sample) WHERE region <> 'ASIA'"))
+register("subset_samples_index", lambda s, d: rel.subset_samples(fx.tab_wide(s, d), fx.supplier_meta(s, d), "index", ["1", "2", "7"])[1], sql("supplier_meta", f"SELECT sample, region, nation, {r('acctbal', 'acctbal')} FROM supplier_meta WHERE sample IN ('1', '2', '7')"))
+register("subset_features", lambda s, d: rel.subset_features(fx.tab_wide(s, d), fx.tax(s, d).where("Phylum is null")), sql("tab_wide, tax", "SELECT * FROM tab_wide WHERE feature IN (SELECT feature FROM tax WHERE \"Phylum\" IS NULL)"))
+register("subset_features_exclude", lambda s, d: rel.subset_features(fx.tab_wide(s, d), fx.tax(s, d).where("Phylum is null"), True), sql("tab_wide, tax", "SELECT * FROM tab_wide WHERE feature NOT IN (SELECT feature FROM tax WHERE \"Phylum\" IS NULL)"))
 
 SCORE = {"sum": "100 * SUM(p)", "mean": "100 * SUM(p) / n", "max": "100 * MAX(p)", "frequency": "100.0 * COUNT(*) / n"}
 for method in SCORE:
@@ -54,10 +54,10 @@ register(
     lambda s, d: rel.merge_samples(fx.tab_small(s, d), fx.nation_meta(s, d), "region", weight="n_suppliers"),
     sql("tab_small, nation_meta", f"SELECT feature, region sample, {r('SUM(value * n_suppliers / w)', 'value')} FROM tab_small JOIN nation_meta USING (sample) JOIN (SELECT region, SUM(n_suppliers) w FROM nation_meta GROUP BY 1) USING (region) GROUP BY feature, region"),
 )
-register("merge_samples_values", lambda s, d: rel.merge_samples(fx.tab_sparse(s, d), fx.supplier_meta(s, d), "region", values=["AFRICA", "ASIA"]), sql("tab_sparse, supplier_meta", "SELECT feature, region sample, SUM(value) value FROM tab_sparse JOIN supplier_meta USING (sample) WHERE region IN ('AFRICA', 'ASIA') GROUP BY ALL"))
+register("merge_samples_values", lambda s, d: rel.merge_samples(fx.tab_wide(s, d), fx.supplier_meta(s, d), "region", values=["AFRICA", "ASIA"]), sql("tab_wide, supplier_meta", "SELECT feature, region sample, SUM(value) value FROM tab_wide JOIN supplier_meta USING (sample) WHERE region IN ('AFRICA', 'ASIA') GROUP BY ALL"))
 register("merge_meta", lambda s, d: rel.merge_meta(fx.supplier_meta(s, d), "region", "mean"), sql("supplier_meta", f"SELECT region sample, COUNT(*) n_samples, arg_min(nation, sample) nation, {r('AVG(acctbal)', 'acctbal')} FROM supplier_meta GROUP BY region"))
 register("rename_features", lambda s, d: rel.rename_features(fx.tab_wide(s, d), rel.rename_map(fx.tab_wide(s, d))), sql("tab_wide", "SELECT 'OTU' || rk feature, sample, value FROM tab_wide JOIN (SELECT feature, ROW_NUMBER() OVER (ORDER BY ROUND(100 * SUM(p), 10) DESC, feature) rk FROM p GROUP BY feature) USING (feature)", p=P.format(tab="tab_wide")))
-register("natural_sort", lambda s, d: rel.with_order(fx.tab_sparse(s, d).select(F.concat(F.lit("ASV"), "feature").alias("feature"))), sql("tab_sparse", "SELECT 'ASV' || feature feature, ROW_NUMBER() OVER (ORDER BY CAST(feature AS INT)) ord FROM (SELECT DISTINCT feature FROM tab_sparse)"))
+register("natural_sort", lambda s, d: rel.with_order(fx.tab_wide(s, d).select(F.concat(F.lit("ASV"), "feature").alias("feature"))), sql("tab_wide", "SELECT 'ASV' || feature feature, ROW_NUMBER() OVER (ORDER BY CAST(feature AS INT)) ord FROM (SELECT DISTINCT feature FROM tab_wide)"))
 register("summary", lambda s, d: rel.summary(fx.tab_wide(s, d)), sql("tab_wide", "SELECT (SELECT COUNT(DISTINCT feature) FROM tab_wide) features, COUNT(*) samples, SUM(v) total, MIN(v) smallest, MAX(v) largest FROM (SELECT sample, SUM(value) v FROM tab_wide GROUP BY 1)"))
 register(
     "validate_orphans",
@@ -69,9 +69,9 @@ register(
 )
 register(
     "summarize_taxa",
-    lambda s, d: rel.summarize_taxa(fx.tab_sparse(s, d), fx.tax(s, d).join(fx.tab_sparse(s, d).select("feature").distinct(), "feature")),
+    lambda s, d: rel.summarize_taxa(fx.tab_wide(s, d), fx.tax(s, d).join(fx.tab_wide(s, d).select("feature").distinct(), "feature")),
     sql(
-        "tab_sparse, tax", 'SELECT sample, COUNT(*) features, SUM(value) reads, COUNT(DISTINCT "Domain") "Domain", COUNT(DISTINCT "Phylum") "Phylum", COUNT(DISTINCT "Genus") "Genus" FROM tab_sparse JOIN tax USING (feature) GROUP BY sample UNION ALL SELECT \'Total\', COUNT(*), (SELECT SUM(value) FROM tab_sparse), COUNT(DISTINCT "Domain"), COUNT(DISTINCT "Phylum"), COUNT(DISTINCT "Genus") FROM tax WHERE feature IN (SELECT feature FROM tab_sparse)',
+        "tab_wide, tax", 'SELECT sample, COUNT(*) features, SUM(value) reads, COUNT(DISTINCT "Domain") "Domain", COUNT(DISTINCT "Phylum") "Phylum", COUNT(DISTINCT "Genus") "Genus" FROM tab_wide JOIN tax USING (feature) GROUP BY sample UNION ALL SELECT \'Total\', COUNT(*), (SELECT SUM(value) FROM tab_wide), COUNT(DISTINCT "Domain"), COUNT(DISTINCT "Phylum"), COUNT(DISTINCT "Genus") FROM tax WHERE feature IN (SELECT feature FROM tab_wide)',
     ),
 )
 
@@ -90,7 +90,7 @@ register("tax_prefix_remove", lambda s, d: taxonomy.tax_prefix(fx.tax(s, d), add
 
 FILL = "SELECT feature, d, CASE WHEN \"Phylum\" IS NULL OR LENGTH(\"Phylum\") < 4 THEN CASE WHEN contains(LOWER(d), 'unclassified') THEN d ELSE d || ' unclassified' END ELSE \"Phylum\" END p, \"Genus\" g FROM (SELECT *, CASE WHEN \"Domain\" IS NULL OR TRIM(\"Domain\") = '' THEN 'd__Unclassified' ELSE \"Domain\" END d FROM tax)"
 FILL2 = "SELECT feature, d, p, CASE WHEN g IS NULL OR LENGTH(g) < 4 THEN CASE WHEN contains(LOWER(p), 'unclassified') THEN p ELSE p || ' unclassified' END ELSE g END g FROM f1"
-register("groupbytaxa", lambda s, d: taxonomy.group_by_taxa(fx.tab_sparse(s, d), fx.tax(s, d), ["Phylum", "Genus"]), sql("tab_sparse, tax", "SELECT CASE WHEN p = g THEN p ELSE p || '; ' || g END name, sample, SUM(value) value FROM tab_sparse JOIN f2 USING (feature) GROUP BY ALL", f1=FILL, f2=FILL2))
+register("groupbytaxa", lambda s, d: taxonomy.group_by_taxa(fx.tab_wide(s, d), fx.tax(s, d), ["Phylum", "Genus"]), sql("tab_wide, tax", "SELECT CASE WHEN p = g THEN p ELSE p || '; ' || g END name, sample, SUM(value) value FROM tab_wide JOIN f2 USING (feature) GROUP BY ALL", f1=FILL, f2=FILL2))
 TOP = "SELECT name FROM (SELECT name, ROUND(MAX(v), 8) s FROM nm GROUP BY name) ORDER BY s DESC, name LIMIT 10"
 RA = "SELECT n.name, s.sample, COALESCE(v, 0) pct FROM top n CROSS JOIN (SELECT DISTINCT sample FROM nm) s LEFT JOIN nm ON nm.name = n.name AND nm.sample = s.sample"
 _ra = {"p": "SELECT feature, sample, 100 * value / SUM(value) OVER (PARTITION BY sample) v FROM (SELECT feature, region sample, SUM(value) value FROM tab_wide JOIN supplier_meta USING (sample) GROUP BY ALL)", "f1": FILL, "nm": "SELECT f1.p AS name, sample, SUM(v) v FROM p JOIN f1 USING (feature) GROUP BY ALL", "top": TOP, "ra": RA}
@@ -117,12 +117,12 @@ register(
 
 
 def _coverm(s, d):
-    p = fx.tab_sparse(s, d)
+    p = fx.tab_wide(s, d)
     cells = F.array(F.struct(F.lit("ra").alias("measure"), F.col("value").alias("value")), F.struct(F.lit("bases").alias("measure"), (F.col("value") * 2).alias("value")), F.struct(F.lit("length").alias("measure"), F.lit(50.0).alias("value")))
     return text.coverm_table(p.select("feature", "sample", F.inline(cells)), 0.5)[0]
 
 
-register("coverm_threshold", _coverm, sql("tab_sparse", "SELECT feature, sample, value FROM tab_sparse WHERE value * 2 / 50 >= 0.5"))
+register("coverm_threshold", _coverm, sql("tab_wide", "SELECT feature, sample, value FROM tab_wide WHERE value * 2 / 50 >= 0.5"))
 register(
     "ebd_lineage",
     lambda s, d: text.ebd_tables(fx.lineage(s, d).select(F.lit("s1").alias("sample"), F.concat(F.lit("Root; "), F.regexp_replace("lineage", ";", "; "), F.lit("; None")).alias("lineage"), F.col("feature").cast("int").alias("ord"), F.lit(1.0).alias("value")))[1],
@@ -140,37 +140,37 @@ READS = "SELECT feature, sample, UNNEST(RANGE(1, CAST(value AS BIGINT) + 1)) i F
 RN = f"SELECT feature, sample, ROW_NUMBER() OVER (PARTITION BY sample ORDER BY {md5('7', 'sample', 'feature', 'i')}, feature, i) rn FROM reads"
 register(
     "rarefy_min",
-    lambda s, d: rel.rarefy(fx.tab_sparse(s, d), "min", 7),
-    sql("tab_sparse", "SELECT feature, sample, CAST(COUNT(*) AS DOUBLE) value FROM rn, (SELECT MIN(t) m FROM (SELECT SUM(value) t FROM tab_sparse GROUP BY sample)) WHERE rn <= m GROUP BY feature, sample", reads=READS.format(tab="tab_sparse"), rn=RN),
+    lambda s, d: rel.rarefy(fx.tab_wide(s, d), "min", 7),
+    sql("tab_wide", "SELECT feature, sample, CAST(COUNT(*) AS DOUBLE) value FROM rn, (SELECT MIN(t) m FROM (SELECT SUM(value) t FROM tab_wide GROUP BY sample)) WHERE rn <= m GROUP BY feature, sample", reads=READS.format(tab="tab_wide"), rn=RN),
 )
 register(
     "rarefy_depth",
-    lambda s, d: rel.rarefy(fx.tab_sparse(s, d), 300, 7),
-    sql("tab_sparse", "SELECT feature, sample, CAST(COUNT(*) AS DOUBLE) value FROM rn JOIN (SELECT sample FROM tab_sparse GROUP BY sample HAVING SUM(value) >= 300) USING (sample) WHERE rn <= 300 GROUP BY feature, sample", reads=READS.format(tab="tab_sparse"), rn=RN),
+    lambda s, d: rel.rarefy(fx.tab_wide(s, d), 300, 7),
+    sql("tab_wide", "SELECT feature, sample, CAST(COUNT(*) AS DOUBLE) value FROM rn JOIN (SELECT sample FROM tab_wide GROUP BY sample HAVING SUM(value) >= 300) USING (sample) WHERE rn <= 300 GROUP BY feature, sample", reads=READS.format(tab="tab_wide"), rn=RN),
 )
 register(
     "rarefy_replacement",
-    lambda s, d: rel.rarefy(fx.tab_sparse(s, d), 200, 7, replacement=True),
+    lambda s, d: rel.rarefy(fx.tab_wide(s, d), 200, 7, replacement=True),
     sql(
-        "tab_sparse", "SELECT feature, sample, CAST(COUNT(*) AS DOUBLE) value FROM dr JOIN c USING (sample) WHERE a >= lo AND a < hi GROUP BY feature, sample",
-        c="SELECT feature, sample, SUM(value) OVER w - value lo, SUM(value) OVER w hi FROM tab_sparse WINDOW w AS (PARTITION BY sample ORDER BY feature)",
-        dr=f"SELECT sample, FLOOR({u('7', 'sample', 'i')} * t) a FROM (SELECT sample, t, UNNEST(RANGE(1, 201)) i FROM (SELECT sample, SUM(value) t FROM tab_sparse GROUP BY sample) WHERE t >= 200)",
+        "tab_wide", "SELECT feature, sample, CAST(COUNT(*) AS DOUBLE) value FROM dr JOIN c USING (sample) WHERE a >= lo AND a < hi GROUP BY feature, sample",
+        c="SELECT feature, sample, SUM(value) OVER w - value lo, SUM(value) OVER w hi FROM tab_wide WINDOW w AS (PARTITION BY sample ORDER BY feature)",
+        dr=f"SELECT sample, FLOOR({u('7', 'sample', 'i')} * t) a FROM (SELECT sample, t, UNNEST(RANGE(1, 201)) i FROM (SELECT sample, SUM(value) t FROM tab_wide GROUP BY sample) WHERE t >= 200)",
     ),
 )
 register(
     "rarefaction_curve",
-    lambda s, d: rel.rarefaction_curve(fx.tab_sparse(s, d), 1, 7),
+    lambda s, d: rel.rarefaction_curve(fx.tab_wide(s, d), 1, 7),
     sql(
-        "tab_sparse",
-        f"SELECT sample, depth, {r('EXP(-SUM(n / depth * LN(n / depth)))', 'd')} FROM (SELECT g.sample, depth, feature, CAST(COUNT(*) AS DOUBLE) n FROM rn JOIN g ON g.sample = rn.sample AND rn <= depth GROUP BY ALL) GROUP BY sample, depth UNION ALL SELECT sample, UNNEST([0, 1]), UNNEST([0.0::DOUBLE, 1.0::DOUBLE]) FROM (SELECT DISTINCT sample FROM tab_sparse)",
-        reads=READS.format(tab="tab_sparse"), rn=RN,
-        g="SELECT sample, UNNEST(RANGE(st, t, st)) depth FROM (SELECT sample, CAST(SUM(value) AS BIGINT) t, GREATEST(1, CAST(SUM(value) AS BIGINT) // 20) st FROM tab_sparse GROUP BY sample) UNION ALL SELECT sample, CAST(SUM(value) AS BIGINT) FROM tab_sparse GROUP BY sample",
+        "tab_wide",
+        f"SELECT sample, depth, {r('EXP(-SUM(n / depth * LN(n / depth)))', 'd')} FROM (SELECT g.sample, depth, feature, CAST(COUNT(*) AS DOUBLE) n FROM rn JOIN g ON g.sample = rn.sample AND rn <= depth GROUP BY ALL) GROUP BY sample, depth UNION ALL SELECT sample, UNNEST([0, 1]), UNNEST([0.0::DOUBLE, 1.0::DOUBLE]) FROM (SELECT DISTINCT sample FROM tab_wide)",
+        reads=READS.format(tab="tab_wide"), rn=RN,
+        g="SELECT sample, UNNEST(RANGE(st, t, st)) depth FROM (SELECT sample, CAST(SUM(value) AS BIGINT) t, GREATEST(1, CAST(SUM(value) AS BIGINT) // 20) st FROM tab_wide GROUP BY sample) UNION ALL SELECT sample, CAST(SUM(value) AS BIGINT) FROM tab_wide GROUP BY sample",
     ),
 )
 register(
     "octave",
-    lambda s, d: rel.octave(fx.tab_sparse(s, d)),
-    sql("tab_sparse", "SELECT s.sample, g.k, COUNT(t.feature) n FROM (SELECT DISTINCT sample FROM tab_sparse) s CROSS JOIN (SELECT CAST(UNNEST(RANGE(LEAST(0, lo), hi + 1)) AS INT) k FROM (SELECT MIN(CAST(FLOOR(LOG2(value)) AS INT)) lo, MAX(CAST(FLOOR(LOG2(value)) AS INT)) hi FROM tab_sparse)) g LEFT JOIN tab_sparse t ON t.sample = s.sample AND FLOOR(LOG2(t.value)) = g.k GROUP BY s.sample, g.k"),
+    lambda s, d: rel.octave(fx.tab_wide(s, d)),
+    sql("tab_wide", "SELECT s.sample, g.k, COUNT(t.feature) n FROM (SELECT DISTINCT sample FROM tab_wide) s CROSS JOIN (SELECT CAST(UNNEST(RANGE(LEAST(0, lo), hi + 1)) AS INT) k FROM (SELECT MIN(CAST(FLOOR(LOG2(value)) AS INT)) lo, MAX(CAST(FLOOR(LOG2(value)) AS INT)) hi FROM tab_wide)) g LEFT JOIN tab_wide t ON t.sample = s.sample AND FLOOR(LOG2(t.value)) = g.k GROUP BY s.sample, g.k"),
 )
 register("octave_events", lambda s, d: rel.octave(fx.tab_events(s, d)), sql("tab_events", "SELECT s.sample, g.k, COUNT(t.feature) n FROM (SELECT DISTINCT sample FROM tab_events) s CROSS JOIN (SELECT CAST(UNNEST(RANGE(LEAST(0, lo), hi + 1)) AS INT) k FROM (SELECT MIN(CAST(FLOOR(LOG2(value)) AS INT)) lo, MAX(CAST(FLOOR(LOG2(value)) AS INT)) hi FROM tab_events)) g LEFT JOIN tab_events t ON t.sample = s.sample AND FLOOR(LOG2(t.value)) = g.k GROUP BY s.sample, g.k"))
 register("events_alpha", lambda s, d: _alpha(fx.tab_events(s, d)), sql("tab_events", f"SELECT sample, {r(from_sum(f'SUM({term('p', 1)})', 1), 'd')} FROM p GROUP BY sample", p=P.format(tab="tab_events")))

@@ -15,8 +15,8 @@ register(
 )
 register(
     "phyl_tree_abundance",
-    lambda s, d: views.tip_abundance(fx.tab_sparse(s, d), fx.regions(fx.supplier_meta(s, d))),
-    sql("tab_sparse, supplier_meta", f"SELECT feature, region grp, {r('100 * SUM(p) / n', 'pct')} FROM p JOIN supplier_meta USING (sample) JOIN (SELECT region, COUNT(*) n FROM supplier_meta WHERE sample IN (SELECT sample FROM tab_sparse) GROUP BY 1) USING (region) GROUP BY feature, region, n", p=P.format(tab="tab_sparse")),
+    lambda s, d: views.tip_abundance(fx.tab_wide(s, d), fx.regions(fx.supplier_meta(s, d))),
+    sql("tab_wide, supplier_meta", f"SELECT feature, region grp, {r('100 * SUM(p) / n', 'pct')} FROM p JOIN supplier_meta USING (sample) JOIN (SELECT region, COUNT(*) n FROM supplier_meta WHERE sample IN (SELECT sample FROM tab_wide) GROUP BY 1) USING (region) GROUP BY feature, region, n", p=P.format(tab="tab_wide")),
 )
 register(
     "harvey_balls",
