@@ -224,7 +224,7 @@ def interval_hits(draws: DataFrame, cells: DataFrame, keys: list[str], keep_at:
     """keys, feature, n (and at, if kept): the draws (keys, at, n), each with the feature of the
     interval it falls into. ``cells`` has keys, feature, lo; intervals of a key
     follow each other without gaps. One sort of both, not a join by range."""
-    starts = cells.select(*keys, F.col("lo").cast("long").alias("at"), F.lit(0).cast("long").alias("n"), "feature")
+    starts = cells.select(*keys, F.col("lo").cast(draws.schema["at"].dataType).alias("at"), F.lit(0).cast("long").alias("n"), "feature")
     both = starts.unionByName(draws.select(*keys, "at", F.col("n").cast("long").alias("n"), F.lit(None).cast("string").alias("feature")))
     order = Window.partitionBy(*keys).orderBy("at", F.col("feature").isNull()).rowsBetween(Window.unboundedPreceding, 0)
     return both.withColumn("feature", F.last("feature", ignorenulls=True).over(order)).where("n > 0").select(*keys, "feature", "n", *(["at"] if keep_at else []))

@@ -11,6 +11,11 @@ from pyspark.sql import functions as F
 
 from ..functions.rng import normal, uniform
 from ..sources.newick import Node, to_tables
+from .relational import interval_hits
+
+
+#: Rows that one dense matrix on the driver may have.
+MOST_CELLS = 5_000_000
 
 
 def simulate_community(spark: SparkSession, size: int = 100, communities: int = 1, sigma: float = 1.0, mean: float = 0.0, seed: int = 0, species: str = "SP", name: str = "C") -> DataFrame:
@@ -25,10 +30,10 @@ def community_sample(tab: DataFrame, n: int = 10_000, seed: int = 0) -> DataFram
     """feature, sample, value: n reads drawn from each community by abundance."""
     w = Window.partitionBy("sample")
     hi = F.sum("value").over(w.orderBy("feature"))
-    cells = tab.where("value > 0").select("feature", "sample", (hi - F.col("value")).alias("lo"), hi.alias("hi"), F.sum("value").over(w).alias("total"))
+    cells = tab.where("value > 0").select("feature", "sample", (hi - F.col("value")).alias("lo"), F.sum("value").over(w).alias("total"))
     size = cells.groupBy("sample").agg(F.max("total").alias("total"))
     draws = size.select("sample", "total", F.explode(F.sequence(F.lit(1), F.lit(n))).alias("i")).select("sample", (uniform(F.lit(seed), "sample", "i") * F.col("total")).alias("at"))
-    return draws.join(cells.drop("total"), "sample").where("at >= lo and at < hi").groupBy("feature", "sample").agg(F.count(F.lit(1)).cast("double").alias("value"))
+    return interval_hits(draws.withColumn("n", F.lit(1)), cells, ["sample"]).groupBy("feature", "sample").agg(F.sum("n").cast("double").alias("value"))
 
 
 def _shares(selection: float, dispersal: float) -> tuple[float, float]:
@@ -50,8 +55,12 @@ def simulate_assembly(community: DataFrame, *, selection: float = 1.0, dispersal
     """(feature, sample, value; steps; converged) until the squared changes sum
     to less than ``tol``. Convergence is of all communities together, so they
     are one dense matrix on the driver, with features in order of name.
-    Interactions enter unscaled; negative values are cut only with noise."""
-    pdf = community.toPandas()
+    Interactions enter unscaled; negative values are cut only with noise. There
+    may be ``MOST_CELLS`` rows at most; without interactions and noise
+    ``assembly_steps`` has no bound."""
+    pdf = community.limit(MOST_CELLS + 1).toPandas()
+    if len(pdf) > MOST_CELLS:
+        raise ValueError(f"more than {MOST_CELLS} rows: too many for one dense matrix")
     wide = {c: pdf.pivot(index="feature", columns="sample", values=c).fillna(0.0).sort_index() for c in ("value", "immigrants", "fitness")}
     now = wide["value"].to_numpy(dtype=float)
     s, d = _shares(selection, dispersal)

@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import diversity_queries, fixtures, statistics_queries, table_queries, view_queries  # noqa: F401
+from . import diversity_queries, fixtures, ordination_queries, statistics_queries, table_queries, view_queries  # noqa: F401
 from .registry import ORACLES, QUERIES, rounded
 
 __all__ = ["ORACLES", "QUERIES", "flagship"]

@@ -87,17 +87,6 @@ for kind, value in {
     )
 
 
-def _rcq_more(kind):
-    def run(s, d):
-        tab = fx.tab_small(s, d).withColumn("value", F.ceil(F.col("value") / 500))
-        return nulls.rcq(tab, kind, 1, 3, fx.regions(fx.nation_meta(s, d)), "abundance", 5, fx.tree_small(s, d), fx.leaves_small(s, d), fx.distmat(s, d))
-
-    return run
-
-
-for kind in ("phyl", "func"):
-    register(f"rcq_{kind}", _rcq_more(kind))
-
 # -- statistics
 
 GW = "SELECT a.sample s1, b.sample s2, a.region r1, b.region r2, a.n_suppliers n1, b.n_suppliers n2, a.mean_acctbal m1, b.mean_acctbal m2 FROM nation_meta a JOIN nation_meta b ON a.sample < b.sample"
@@ -264,7 +253,6 @@ def _assembly(s, d):
 
 register("assembly_k_steps", lambda s, d: simulate.assembly_steps(_assembly(s, d), 3, 2.0, 1.0), sql("tab_small", f"SELECT feature, sample, {r('100 * x / SUM(x) OVER (PARTITION BY sample)', 'value')} FROM (SELECT feature, sample, value * POW((value % 5 + 1) * 2.0 / 3 + (value % 7 + 1) / 3.0, 3) x FROM tab_small)"))
 register("simulate_assembly", lambda s, d: simulate.simulate_assembly(_assembly(s, d), selection=2.0, dispersal=1.0, max_iter=50)[0])
-register("community_sample", lambda s, d: simulate.community_sample(simulate.simulate_community(s, 30, 3, seed=5), 500, 5))
 register("block_tree", lambda s, d: simulate.block_tree(s, [2, 3, 4], [0.5, 0.3, 0.2])[0].groupBy("branchL").agg(F.count(F.lit(1)).alias("n"), F.max("dist_to_root").alias("height")), f"SELECT * FROM (VALUES (0.0::DOUBLE, 1::BIGINT, 0.0::DOUBLE), (0.5, 2, 0.5), (0.3, 6, 0.8), (0.2, 24, 1.0)) t(\"branchL\", n, height)")
 register("beta_split_tree", lambda s, d: simulate.beta_splitting_tree(s, 40, -1.0, seed=5)[0])
 
@@ -276,7 +264,6 @@ def _pruned(s, d):
 
 
 register("prune_reroot", _pruned)
-register("tree_layout", lambda s, d: s.createDataFrame(newick.layout(newick.ladderize(newick.from_rows([tuple(x) for x in fx.tree_small(s, d).orderBy(F.col("parent").isNotNull(), "node").collect()]))), "node string, x double, y double"))
 register(
     "null_custom",
     lambda s, d: nulls.null_from(lambda w: w.groupBy("it", "sample").agg(F.max("w").alias("value")), alpha.powers(fx.tab_small(s, d), 1), ["sample"], 3),
