@@ -116,6 +116,39 @@ def permanova_oneway(pairs: DataFrame, groups: DataFrame, n: int = 0, seed: int
 # -- correlations of metadata ----------------------------------------------------------
 
 
+def column_kinds(meta: DataFrame, columns: Sequence[str] | None = None, most: int = 20) -> tuple[list[str], list[str]]:
+    """(numeric, categorical) columns: texts and booleans are categories, and so
+    are whole numbers with at most ``most`` values."""
+    kinds = dict(meta.dtypes)
+    columns = [c for c in meta.columns if c != "sample"] if columns is None else list(columns)
+    whole = [c for c in columns if kinds[c] in ("tinyint", "smallint", "int", "bigint")]
+    seen = meta.agg(*[F.count_distinct(c).alias(c) for c in whole]).first().asDict() if whole else {}
+    categorical = [c for c in columns if kinds[c] in ("string", "boolean") or seen.get(c, most + 1) <= most]
+    return [c for c in columns if c not in categorical], categorical
+
+
+def coding(meta: DataFrame, numeric: Sequence[str], categorical: Sequence[str]) -> DataFrame:
+    """a, b, kind, positive: what the sign of a category and a number's r says;
+    of two levels r is positive where the first, in alphabetical order, has the
+    larger numbers; eta has no sign."""
+    cat = meta.select("sample", *[F.col(c).cast("string").alias(c) for c in categorical]).unpivot("sample", list(categorical), "a", "c").where("c is not null")
+    levels = cat.groupBy("a").agg(F.count_distinct("c").alias("n"), F.min("c").alias("first"))
+    two = F.col("n") == 2
+    return levels.select("a", F.explode(F.array(*map(F.lit, numeric))).alias("b"), F.when(two, "point-biserial").otherwise("eta").alias("kind"), F.when(two, F.col("first")).alias("positive"))
+
+
+def correlate(meta: DataFrame, columns: Sequence[str] | None = None, kinds: Sequence[str] | None = None, **how) -> DataFrame:
+    """``correlations`` of the columns (all but sample), with their kinds, 'num'
+    or 'cat', as given or as ``column_kinds`` finds them."""
+    if kinds is None:
+        numeric, categorical = column_kinds(meta, columns)
+    else:
+        if columns is None or len(columns) != len(kinds):
+            raise ValueError("kinds must match columns")
+        numeric, categorical = ([c for c, k in zip(columns, kinds, strict=True) if k == kind] for kind in ("num", "cat"))
+    return correlations(meta, numeric, categorical, **how)
+
+
 def correlations(meta: DataFrame, numeric: Sequence[str], categorical: Sequence[str] = (), method: str = "spearman", n: int = 0, seed: int = 0) -> DataFrame:
     """a, b, kind, n, r and, with permutations, p and padj, for each pair of
     columns on samples that have both: Pearson or Spearman of numbers, Cramer's

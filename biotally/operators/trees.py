@@ -6,36 +6,36 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` computed once: in the checkpoint folder, if the session has one, or
+    held by the executors."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None and (folder := df.sparkSession.conf.get("spark.checkpoint.dir", None)):
+        sc.setCheckpointDir(folder)
+    return df.checkpoint() if sc.getCheckpointDir() else df.persist()
+
+
 def closure(tree: DataFrame) -> DataFrame:
-    """(node, parent, branchL) -> (node, leaf), by a recursive query from the
-    leaves up. For trees up to the session's recursion limit in depth."""
-    spark = tree.sparkSession
-    return spark.sql(
-        """
-        WITH RECURSIVE up(node, leaf) AS (
-            SELECT t.node, t.node FROM {tree} t LEFT ANTI JOIN {tree} c ON c.parent = t.node
-            UNION ALL
-            SELECT t.parent, up.leaf FROM up JOIN {tree} t ON t.node = up.node WHERE t.parent IS NOT NULL
-        )
-        SELECT node, leaf FROM up
-        """,
-        tree=tree,
-    )
+    """(node, parent, branchL) -> (node, leaf), by jumps that double: a tree of
+    depth d takes log2(d) rounds, however deep and large it is."""
+    jump = settled(tree.where("parent is not null").select("node", F.col("parent").alias("up")))
+    parents = tree.select(F.col("parent").alias("node")).where("node is not null").distinct()
+    found = settled(tree.select("node").join(parents, "node", "left_anti").select("node", F.col("node").alias("leaf")))
+    while not jump.isEmpty():
+        # Ancestors less than one jump away are known; a jump from each gives the next.
+        found = settled(found.unionByName(found.join(jump, "node").select(F.col("up").alias("node"), "leaf")))
+        onward = jump.select(F.col("node").alias("up"), F.col("up").alias("top"))
+        jump = settled(jump.join(onward, "up").select("node", F.col("top").alias("up")))
+    return found
 
 
 def dist_to_root(tree: DataFrame) -> DataFrame:
-    """(node, parent, branchL) -> (node, dist_to_root)."""
-    return tree.sparkSession.sql(
-        """
-        WITH RECURSIVE down(node, d) AS (
-            SELECT node, CAST(0 AS DOUBLE) FROM {tree} WHERE parent IS NULL
-            UNION ALL
-            SELECT t.node, down.d + t.branchL FROM down JOIN {tree} t ON t.parent = down.node
-        )
-        SELECT node, d AS dist_to_root FROM down
-        """,
-        tree=tree,
-    )
+    """(node, parent, branchL) -> (node, dist_to_root), by jumps that double."""
+    jump = settled(tree.select("node", F.col("parent").alias("up"), F.when(F.col("parent").isNull(), F.lit(0.0)).otherwise(F.col("branchL")).alias("d")))
+    while not jump.where("up is not null").isEmpty():
+        onward = jump.select(F.col("node").alias("up"), F.col("up").alias("top"), F.col("d").alias("more"))
+        jump = settled(jump.join(onward, "up", "left").select("node", F.col("top").alias("up"), (F.col("d") + F.coalesce("more", F.lit(0.0))).alias("d")))
+    return jump.select("node", F.col("d").alias("dist_to_root"))
 
 
 def tree_distance(tree: DataFrame, node_leaf: DataFrame) -> DataFrame:

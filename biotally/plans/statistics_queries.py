@@ -164,6 +164,9 @@ for method, source in (("spearman", "nr"), ("pearson", "nn")):
         sql("supplier_meta, tab_wide", f"SELECT a, b, '{method}' AS kind, COUNT(*) n, {r('CORR(x, y)', 'r')} FROM {source} GROUP BY a, b UNION ALL SELECT a, b, kind, n, {r('r', 'r')} FROM cs UNION ALL SELECT a, b, 'cramers-v', n, {r(V, 'r')} FROM ch", **CORR),
     )
 
+register("corr_inferred", lambda s, d: st.correlate(_corr_meta(s, d).select("sample", "acctbal", "reads", "richness", "region", "rich")), sql("supplier_meta, tab_wide", f"SELECT a, b, 'spearman' AS kind, COUNT(*) n, {r('CORR(x, y)', 'r')} FROM nr GROUP BY a, b UNION ALL SELECT a, b, kind, n, {r('r', 'r')} FROM cs UNION ALL SELECT a, b, 'cramers-v', n, {r(V, 'r')} FROM ch", **CORR))
+register("corr_coding", lambda s, d: st.coding(_corr_meta(s, d), ["reads", "richness"], ["region", "rich"]), sql("supplier_meta, tab_wide", "SELECT a, b, CASE WHEN n = 2 THEN 'point-biserial' ELSE 'eta' END kind, CASE WHEN n = 2 THEN lo END positive FROM (SELECT col a, COUNT(DISTINCT c) n, MIN(c) lo FROM ca GROUP BY 1), (SELECT UNNEST(['reads', 'richness']) b)", **CORR))
+
 
 def _ps(s, d):
     nat = fx.read(s, d, "nation")

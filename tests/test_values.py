@@ -286,3 +286,19 @@ def test_community(spark, tmp_path):
     assert both.tab.select("sample").distinct().count() == 3
     with pytest.raises(ValueError, match="tree"):
         Community(tab=c.tab, tree=c.tree.where("node <> 'O1'")).validate()
+
+
+def test_deep_trees(spark):
+    """Deeper than any recursion limit: a chain of 300 nodes with a tip at each."""
+    rows = [("n0", None, 0.0)] + [(f"n{k}", f"n{k - 1}", 1.0) for k in range(1, 300)] + [(f"t{k}", f"n{k}", 0.5) for k in range(300)]
+    tree = spark.createDataFrame(rows, "node string, parent string, branchL double")
+    got = {(r["node"], r["leaf"]) for r in trees.closure(tree).collect()}
+    assert got == {(f"n{a}", f"t{b}") for b in range(300) for a in range(b + 1)} | {(f"t{k}", f"t{k}") for k in range(300)}
+    assert trees.closure(tree).count() == len(got)
+    far = {r["node"]: r["dist_to_root"] for r in trees.dist_to_root(tree).collect()}
+    assert far == {f"n{k}": float(k) for k in range(300)} | {f"t{k}": k + 0.5 for k in range(300)}
+
+
+def test_kinds_of_columns(spark):
+    df = spark.createDataFrame([("a", 1, 1.0, "x", True), ("b", 2, 2.5, "y", False)], "sample string, n int, v double, c string, f boolean")
+    assert statistics.column_kinds(df) == (["v"], ["n", "c", "f"]) and statistics.column_kinds(df, most=1) == (["n", "v"], ["c", "f"])
