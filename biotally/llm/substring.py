@@ -130,8 +130,9 @@ def units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, le
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, least: int = LEAST) -> DataFrame:
     """Passages to remove: doc_id, text_key, start, end (code points, end
-    exclusive), n_units, first_doc_id (the smallest id that keeps a unit of
-    it). Units that overlap or touch but for white space are one passage."""
+    exclusive), n_units, first_doc_ids (the ids that keep a unit of it) and
+    first_doc_id, the smallest. Units that overlap or touch but for white space
+    are one passage."""
     found = units(docs, id_col, text_col, least=least)
     rank = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id"), F.col("text_key"))
     fresh_units = found.where("again is null")
@@ -146,7 +147,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
     order = Window.partitionBy("doc_id", "text_key").orderBy("start", "end")
     reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     opened = gone.withColumn("new", F.when(F.col("start") <= reach + 1, 0).otherwise(1)).withColumn("passage", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return opened.groupBy("doc_id", "text_key", "passage").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count(F.lit(1)).alias("n_units"), F.min("first_doc_id").alias("first_doc_id")).drop("passage")
+    return opened.groupBy("doc_id", "text_key", "passage").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count(F.lit(1)).alias("n_units"), F.min("first_doc_id").alias("first_doc_id"), F.sort_array(F.collect_set("first_doc_id")).alias("first_doc_ids")).drop("passage")
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, least: int = LEAST) -> DataFrame:

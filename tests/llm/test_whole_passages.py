@@ -45,3 +45,31 @@ def test_pasted_passages(spark):
     share = sum(map(len, gone)) / sum(map(len, passages))
     print(f"words removed: {share:.3f}")
     assert share > 0.7
+
+
+def test_every_repeated_line_goes(spark):
+    """A segmenter of its own: split at line feeds, squeeze, lower-case."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    gone = {}
+    for r in substring.repeats(docs).collect():
+        gone.setdefault(r["doc_id"], set()).update(range(r["start"], r["end"]))
+        assert min(r["first_doc_ids"]) == r["first_doc_id"] and r["first_doc_ids"] == sorted(set(r["first_doc_ids"]))
+    first, repeats = {}, 0
+    for r in docs.orderBy("doc_id").collect():
+        text, at = r["text"] or "", 0
+        for line in text.split("\n"):
+            unit = " ".join(line.split()).lower()
+            if unit and first.setdefault(unit, (r["doc_id"], at)) != (r["doc_id"], at):
+                repeats += 1
+                own = line.strip()
+                start = at + line.index(own)
+                assert gone[r["doc_id"]] >= set(range(start, start + len(own)))
+            at += len(line) + 1
+    assert repeats > 50
+
+
+def test_odd_tables(spark):
+    docs = rows_of(spark, [None, "", "a\na\nb", "b", None])
+    assert substring.without_repeats(docs.limit(0)).count() == 0
+    kept = {r["doc_id"]: (r["text"], [tuple(x)[:2] for x in r["removed"] or []]) for r in substring.without_repeats(docs).collect()}
+    assert kept == {0: (None, []), 1: ("", []), 2: ("a\n\nb", [(2, 3)]), 3: ("", [(0, 1)]), 4: (None, [])}
