@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.rng import exponential, key, uniform
 from . import beta
 from .alpha import nearest, powers
-from .relational import interval_hits
+from .relational import interval_hits, settled
 
 SEPARATOR = "\u0001"
 
@@ -108,7 +108,7 @@ def random_tables(tab: DataFrame, n: int, seed: int, groups: DataFrame | None =
     chosen = draws.withColumn("n", order).where("n <= richness")
     w = Window.partitionBy("it", "sample")
     hi = F.sum("abundance").over(w.orderBy("feature"))
-    chosen = chosen.select("it", "sample", "feature", "richness", "reads", (hi - F.col("abundance")).alias("lo"), hi.alias("hi"), F.sum("abundance").over(w).alias("total"))
+    chosen = settled(chosen.select("it", "sample", "feature", "richness", "reads", (hi - F.col("abundance")).alias("lo"), F.sum("abundance").over(w).alias("total")))
     more = chosen.select("it", "sample", "richness", "reads", "total").distinct().where("reads > richness").select("it", "sample", "total", F.explode(F.sequence(F.lit(1).cast("long"), F.col("reads") - F.col("richness"))).alias("i"))
     more = more.select("it", "sample", F.floor(uniform(F.lit(seed), "it", "sample", F.lit("read"), "i") * F.col("total")).alias("at")).groupBy("it", "sample", "at").agg(F.count(F.lit(1)).alias("n"))
     extra = interval_hits(more, chosen.select("it", "sample", "feature", "lo"), ["it", "sample"])
@@ -118,7 +118,8 @@ def random_tables(tab: DataFrame, n: int, seed: int, groups: DataFrame | None =
 
 def rcq(tab: DataFrame, div_type: str = "naive", q: float = 1, n: int = 999, groups: DataFrame | None = None, randomization: str = "frequency", seed: int = 0, tree: DataFrame | None = None, node_leaf: DataFrame | None = None, distmat: DataFrame | None = None) -> DataFrame:
     """s1, s2, obs, null_mean, null_std, p, ses of a dissimilarity."""
-    null = random_tables(tab, n, seed, groups, randomization)
+    # Many joins below read the tables of all iterations; they are drawn once.
+    null = settled(random_tables(tab, n, seed, groups, randomization))
     rows = tab.where("value > 0").select(F.lit(0).cast("long").alias("it"), "feature", "sample", F.col("value").cast("double").alias("value")).unionByName(null)
 
     def keyed(name: Column | str) -> Column:

@@ -15,6 +15,15 @@ from pyspark.sql import functions as F
 from ..functions.rng import key, uniform
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` computed once: in the checkpoint folder, if the session has one, or
+    held by the executors."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None and (folder := df.sparkSession.conf.get("spark.checkpoint.dir", None)):
+        sc.setCheckpointDir(folder)
+    return df.checkpoint() if sc.getCheckpointDir() else df.persist()
+
+
 def natural_key(name: Column) -> Column:
     """Sorts ids with their numbers as numbers and before letters; texts without case."""
     parts = F.regexp_extract_all(name, F.lit(r"(\d+|\D+)"), F.lit(1))
@@ -182,15 +191,16 @@ def reads(tab: DataFrame) -> DataFrame:
     return whole.select("feature", "sample", F.explode(F.sequence(F.lit(1).cast("long"), F.col("value"))).alias("i"))
 
 
-#: Parts that the random order of a sample's reads is cut into.
-PARTS = 4096
+#: Hexadecimal digits of a read's key that say in which part of its sample's
+#: random order it is: 256 parts.
+DIGITS = 2
 
 
 def read_keys(tab: DataFrame, seed: int) -> DataFrame:
     """Reads with k, the random key that orders a sample's reads (then feature
-    and i), and part, its first twelve bits."""
+    and i), and part, its first digits."""
     rows = reads(tab).withColumn("k", key(F.lit(seed), "sample", "feature", "i"))
-    return rows.withColumn("part", F.conv(F.substring("k", 1, 3), 16, 10).cast("int"))
+    return rows.withColumn("part", F.substring("k", 1, DIGITS))
 
 
 def first_reads(tab: DataFrame, depths: DataFrame, seed: int) -> DataFrame:
@@ -198,21 +208,22 @@ def first_reads(tab: DataFrame, depths: DataFrame, seed: int) -> DataFrame:
     first reads of the sample's random order. ``depths`` has sample and depth,
     any number of them a sample, none above its reads.
 
-    Reads are counted by part of the order. Parts before the one in which the
-    depth falls count whole; only the reads of that part are ranked.
+    Reads are counted by part of the order, which says in which part a depth
+    falls. Reads of the parts before are counted where they are made; only those
+    of that part are ranked. No read is shuffled beside those.
     """
-    keyed = read_keys(tab.join(depths.select("sample").distinct(), "sample", "left_semi"), seed)
-    cells = keyed.groupBy("sample", "part", "feature").agg(F.count(F.lit(1)).alias("n"))
-    sizes = cells.groupBy("sample", "part").agg(F.sum("n").alias("m"))
+    keyed = read_keys(tab, seed)
+    sizes = keyed.groupBy("sample", "part").agg(F.count(F.lit(1)).alias("m"))
     hi = F.sum("m").over(Window.partitionBy("sample").orderBy("part"))
-    sizes = sizes.select("sample", "part", (hi - F.col("m")).alias("lo"), hi.alias("hi"))
-    # The part in which each depth falls, and how many of its reads it takes.
-    last = interval_hits(depths.select("sample", F.col("depth").cast("long").alias("depth"), (F.col("depth") - 1).alias("at"), F.lit(1).alias("n")).where("depth > 0").distinct().select("sample", "at", "n"), sizes.select("sample", F.col("part").cast("string").alias("feature"), "lo"), ["sample"], keep_at=True)
-    last = last.select("sample", (F.col("at") + 1).alias("depth"), F.col("feature").cast("int").alias("part")).join(sizes, ["sample", "part"]).select("sample", "depth", "part", (F.col("depth") - F.col("lo")).alias("rest"))
-    whole = cells.join(last.select("sample", "depth", F.col("part").alias("end")), "sample").where("part < end").groupBy("sample", "depth", "feature").agg(F.sum("n").alias("n"))
-    order = Window.partitionBy("sample", "part").orderBy("k", "feature", "i")
-    cut = keyed.join(last.select("sample", "part").distinct(), ["sample", "part"], "left_semi").withColumn("rank", F.row_number().over(order))
-    some = cut.join(last, ["sample", "part"]).where("rank <= rest").groupBy("sample", "depth", "feature").agg(F.count(F.lit(1)).alias("n"))
+    sizes = sizes.select("sample", "part", (hi - F.col("m")).alias("lo"))
+    # A row for each sample and part, then one for each sample and depth.
+    wanted = depths.where("depth > 0").select("sample", (F.col("depth") - 1).cast("long").alias("at"), F.lit(1).alias("n")).distinct()
+    last = interval_hits(wanted, sizes.select("sample", F.col("part").alias("feature"), "lo"), ["sample"], keep_at=True)
+    last = settled(last.select("sample", (F.col("at") + 1).alias("depth"), F.col("feature").alias("part")).join(sizes, ["sample", "part"]).select("sample", "depth", F.col("part").alias("end"), (F.col("depth") - F.col("lo")).alias("rest")))
+    taken = keyed.join(last, "sample")
+    whole = taken.where("part < end").groupBy("sample", "depth", "feature").agg(F.count(F.lit(1)).alias("n"))
+    order = Window.partitionBy("sample", "depth").orderBy("k", "feature", "i")
+    some = taken.where("part = end").withColumn("rank", F.row_number().over(order)).where("rank <= rest").groupBy("sample", "depth", "feature").agg(F.count(F.lit(1)).alias("n"))
     return whole.unionByName(some).groupBy("sample", "depth", "feature").agg(F.sum("n").cast("double").alias("n"))
 
 

@@ -5,14 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def settled(df: DataFrame) -> DataFrame:
-    """``df`` computed once: in the checkpoint folder, if the session has one, or
-    held by the executors."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None and (folder := df.sparkSession.conf.get("spark.checkpoint.dir", None)):
-        sc.setCheckpointDir(folder)
-    return df.checkpoint() if sc.getCheckpointDir() else df.persist()
+from .relational import settled
 
 
 def closure(tree: DataFrame) -> DataFrame:
