@@ -7,7 +7,7 @@ Permutations run on the cluster with the matrices in their tasks.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -211,11 +211,11 @@ class _Constrained:
     condition: np.ndarray
 
 
-def _constrained(pairs: DataFrame, meta: DataFrame, by: Sequence[str], condition: Sequence[str], interactions: Sequence[tuple[str, str]], correction: str) -> _Constrained:
-    o = pcoa_matrix(*square(pairs), correction=correction)
+def _constrained(pairs: DataFrame, meta: DataFrame, by: Sequence[str], condition: Sequence[str], interactions: Sequence[tuple[str, str]], correction: str, pcoa_fn: Callable[[list[str], np.ndarray], Ordination] | None = None, drop_first: bool = True) -> _Constrained:
+    o = pcoa_matrix(*square(pairs), correction=correction) if pcoa_fn is None else pcoa_fn(*square(pairs))
     m = meta_frame(meta, o.names, [*by, *condition])
-    x, columns, terms = design(m, by, interactions)
-    z, _, _ = design(m, condition)
+    x, columns, terms = design(m, by, interactions, drop_first)
+    z, _, _ = design(m, condition, drop_first=drop_first)
     hz = hat(z)
     return _Constrained(o.names, o.scores - hz @ o.scores, x - hz @ x, columns, terms, hz)
 
@@ -224,13 +224,15 @@ def _inertia(h: np.ndarray, y: np.ndarray, compat: bool) -> float:
     return float(np.sum((h @ y) ** 2)) / (len(y) if compat else 1)
 
 
-def dbrda(pairs: DataFrame, meta: DataFrame, by: Sequence[str] | str, condition: Sequence[str] = (), interactions: Sequence[tuple[str, str]] = (), axes: int = 2, n: int = 999, seed: int = 42, correction: str = "none", compat: bool = False) -> dict[str, DataFrame]:
+def dbrda(pairs: DataFrame, meta: DataFrame, by: Sequence[str] | str, condition: Sequence[str] = (), interactions: Sequence[tuple[str, str]] = (), axes: int = 2, n: int = 999, seed: int = 42, correction: str = "none", compat: bool = False, pcoa_fn: Callable[[list[str], np.ndarray], Ordination] | None = None, drop_first: bool = True) -> dict[str, DataFrame]:
     """sites (sample, axis, score), biplot (variable, axis, score), axes (axis,
     eigenvalue, percent), terms (term, percent of the constrained inertia) and
     test (constrained, total, r2, f, p). ``compat`` divides the constrained
-    inertia by the number of samples and leaves the total as it is."""
+    inertia by the number of samples and leaves the total as it is. ``pcoa_fn``
+    makes the scores in place of ``pcoa_matrix``; without ``drop_first`` every
+    level of a category has its column."""
     by = [by] if isinstance(by, str) else list(by)
-    c = _constrained(pairs, meta, by, condition, interactions, correction)
+    c = _constrained(pairs, meta, by, condition, interactions, correction, pcoa_fn, drop_first)
     spark = pairs.sparkSession
     h = hat(c.x)
     fit = h @ c.y
@@ -270,10 +272,10 @@ def dbrda(pairs: DataFrame, meta: DataFrame, by: Sequence[str] | str, condition:
     }
 
 
-def dbrda_marginal(pairs: DataFrame, meta: DataFrame, by: Sequence[str], condition: Sequence[str] = (), interactions: Sequence[tuple[str, str]] = (), n: int = 999, seed: int = 42, correction: str = "none", compat: bool = False) -> DataFrame:
+def dbrda_marginal(pairs: DataFrame, meta: DataFrame, by: Sequence[str], condition: Sequence[str] = (), interactions: Sequence[tuple[str, str]] = (), n: int = 999, seed: int = 42, correction: str = "none", compat: bool = False, pcoa_fn: Callable[[list[str], np.ndarray], Ordination] | None = None, drop_first: bool = True) -> DataFrame:
     """term, df, f, p, f_alone, p_alone: each term given the others, with residuals
     of the model without it permuted, and each by itself."""
-    c = _constrained(pairs, meta, list(by), condition, interactions, correction)
+    c = _constrained(pairs, meta, list(by), condition, interactions, correction, pcoa_fn, drop_first)
     size, z = len(c.names), int(round(np.trace(c.condition)))
     full = hat(c.x)
     rank = int(round(np.trace(full)))

@@ -302,3 +302,29 @@ def test_deep_trees(spark):
 def test_kinds_of_columns(spark):
     df = spark.createDataFrame([("a", 1, 1.0, "x", True), ("b", 2, 2.5, "y", False)], "sample string, n int, v double, c string, f boolean")
     assert statistics.column_kinds(df) == (["v"], ["n", "c", "f"]) and statistics.column_kinds(df, most=1) == (["n", "v"], ["c", "f"])
+
+
+def test_dbrda_options(spark):
+    """All levels of a category span what all but one and the mean do, and scores
+    may come from elsewhere."""
+    rows = [(f"s{a}", f"s{b}", abs(a - b) / 7 + (a * b % 3) / 10) for a in range(8) for b in range(a + 1, 8)]
+    pairs = spark.createDataFrame(rows, "s1 string, s2 string, value double")
+    meta = spark.createDataFrame([(f"s{k}", "xyz"[k % 3], float(k * k % 5), "ab"[k % 2]) for k in range(8)], "sample string, c string, v double, h string")
+    one = ordination.dbrda(pairs, meta, ["c", "v"], n=9)
+    two = ordination.dbrda(pairs, meta, ["c", "v"], n=9, drop_first=False, pcoa_fn=lambda names, d: ordination.pcoa_matrix(names, d))
+    assert one["test"].first().asDict() == pytest.approx(two["test"].first().asDict())
+    assert two["biplot"].select("variable").distinct().count() == one["biplot"].select("variable").distinct().count() + 1
+    more = ordination.dbrda(pairs, meta, ["c", "v"], condition=["h"], interactions=[("c", "v")], n=9)
+    test = more["test"].first()
+    assert 0 < test["constrained"] <= test["total"] and 0 < test["p"] <= 1 and more["terms"].count() == 3
+
+
+def test_permanova_strata_and_interaction(spark):
+    rows = [(f"s{a}", f"s{b}", 0.2 + 0.6 * (a % 2 != b % 2) + (a * b % 5) / 50) for a in range(12) for b in range(a + 1, 12)]
+    pairs = spark.createDataFrame(rows, "s1 string, s2 string, value double")
+    meta = spark.createDataFrame([(f"s{k}", "xy"[k % 2], "pqr"[k // 4], "uv"[k // 6]) for k in range(12)], "sample string, a string, b string, block string")
+    for scheme in ("labels", "freedman-lane"):
+        got = {r["term"]: r for r in ordination.permanova(pairs, meta, ["a", "b"], 99, 3, include_interaction=True, strata="block", scheme=scheme).collect()}
+        assert set(got) == {"a", "b", "a:b", "Residual"} and got["a"]["df"] == 1 and got["b"]["df"] == 2 and got["a:b"]["df"] == 2 and got["Residual"]["df"] == 6
+        assert got["a"]["p"] < 0.05 < got["b"]["p"]
+        assert got == {r["term"]: r for r in ordination.permanova(pairs, meta, ["a", "b"], 99, 3, include_interaction=True, strata="block", scheme=scheme).collect()}
