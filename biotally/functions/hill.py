@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,13 +20,6 @@ def term(x: Column, q: float) -> Column:
     return F.lit(1.0) if q == 0 else F.pow(x, F.lit(float(q)))
 
 
-def term_of(x: np.ndarray, q: float) -> np.ndarray:
-    """``term`` of an array."""
-    if is_one(q):
-        return x * np.log(x)
-    return np.ones_like(x) if q == 0 else x ** float(q)
-
-
 def from_sum(total: Column, q: float, root: float = 1.0) -> Column:
     """The number of types from its sum; ``root`` 2 for sums over pairs."""
     if is_one(q):

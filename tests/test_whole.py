@@ -44,9 +44,7 @@ def shares(rows):
     return {s: {f: v / sum(x.values()) for f, v in x.items()} for s, x in p.items()}
 
 
-@pytest.mark.parametrize("block", [4, 256])
-def test_blocks_and_joins_agree_with_brute_force(spark, monkeypatch, block):
-    monkeypatch.setattr(beta, "BLOCK_SAMPLES", block)
+def test_pairs_against_brute_force(spark):
     rows = table_of(np.random.default_rng(2), 40, 21, 6)
     tab = spark.createDataFrame(rows, "feature string, sample string, value double")
     p = shares(rows)
