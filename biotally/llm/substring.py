@@ -25,12 +25,14 @@ result; other columns are carried by ``without_repeats`` alone.
 from __future__ import annotations
 
 import re
+import sys
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
-from numpy.lib.stride_tricks import sliding_window_view
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,94 +40,147 @@ from .common import cut, fresh, key_set, maybe_in, whole_text
 
 #: Words that a unit needs to be judged, unless it is a line.
 LEAST = 8
-_SENTENCE = re.compile(r"[^\n.!?]*(?:[.!?]+(?![\s])[^\n.!?]*)*[.!?]*")
-_FRAGMENT = re.compile(r"(?<=\s)(?=[^\W\d_a-zß-öø-ÿ])")
-
-
 #: Of so many pairs of words in a row one at least is a cut.
 WINDOW = 16
-_LINE = re.compile(r"[^\n]+")
-_WORD = re.compile(r"\S+")
-
-
-def _cuts(raw: list[bytes]) -> list[int]:
-    """Word numbers behind the least pair of each window."""
-    crc = zlib.crc32
-    h = np.fromiter((crc(b, crc(a)) for a, b in zip(raw, raw[1:], strict=False)), dtype=np.uint32)
-    if len(h) < WINDOW:
-        return []
-    least = sliding_window_view(h, WINDOW).argmin(axis=1)
-    return (np.unique(least + np.arange(len(least))) + 2).tolist()
-
-
-def _runs(text: str, least: int) -> Iterator[tuple[int, int, int, str]]:
-    """Runs of the text's words between cuts, each as short as ``least`` allows
-    from its start or from its end."""
-    words = text.split()
-    if len(words) < least:
-        return
-    low = " ".join(words).lower()
-    edges = sorted({0, *_cuts(low.encode("utf-8", "surrogatepass").split(b" ")), len(words)})
-    pairs, i, j = set(), 0, 0
-    for k, a in enumerate(edges):
-        while j < len(edges) and edges[j] - a < least:
-            j += 1
-        if j < len(edges):
-            pairs.add((a, edges[j]))
-        while i < k and a - edges[i + 1] >= least:
-            i += 1
-        if a - edges[i] >= least:
-            pairs.add((edges[i], a))
-    starts, ends = zip(*(m.span() for m in _WORD.finditer(text)), strict=True)
-    for a, b in sorted(pairs):
-        yield starts[a], ends[b - 1], b - a, " ".join(words[a:b]).lower()
+#: Texts are cut into units together, up to so many code points.
+BLOCK = 1 << 20
+
+
+@cache
+def _marks(pattern: str) -> np.ndarray:
+    """Whether each code point matches."""
+    out = np.zeros(sys.maxunicode + 1, dtype=bool)
+    out[[m.start() for m in re.finditer(pattern, "".join(map(chr, range(sys.maxunicode + 1))))]] = True
+    return out
+
+
+def _changes(x: np.ndarray) -> np.ndarray:
+    """Whether each element differs from the one before; the first does."""
+    return np.concatenate([np.ones(min(len(x), 1), dtype=bool), x[1:] != x[:-1]])
+
+
+def _cuts(raw: list[bytes], doc: np.ndarray) -> np.ndarray:
+    """Word numbers behind the least pair of each window within a document."""
+    if len(raw) <= WINDOW:
+        return np.zeros(0, dtype=np.int64)
+    h = np.fromiter(map(zlib.crc32, raw[1:], map(zlib.crc32, raw)), dtype=np.uint64, count=len(raw) - 1)
+    low, wide = (h << np.uint64(32)) | np.arange(len(h), dtype=np.uint64), 1  # equal pairs: the first
+    while wide < WINDOW:
+        step = min(wide, WINDOW - wide)
+        low, wide = np.minimum(low[:-step], low[step:]), wide + step
+    least = (low & np.uint64(0xFFFFFFFF)).astype(np.int64)[doc[:-WINDOW] == doc[WINDOW:]]
+    return least[_changes(least)] + 2
+
+
+def _runs(raw: list[bytes], doc: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of a document's words between cuts, each as short as ``least``
+    allows from its start or from its end."""
+    first = np.flatnonzero(_changes(doc))
+    last = np.append(first[1:], len(doc))
+    cuts = _cuts(raw, doc)
+    inner = cuts[cuts < last[np.searchsorted(first, cuts - 1, "right") - 1]]
+    # By document, so that one's end comes before the next one's start.
+    edges, owner = np.concatenate([first, inner, last]), np.concatenate([doc[first], doc[inner], doc[first]])
+    order = np.lexsort((edges, owner))
+    edges, owner = edges[order], owner[order]
+    ahead = np.searchsorted(edges, edges + least, "left")
+    back = np.searchsorted(edges, edges - least, "right") - 1
+    here = np.arange(len(edges))
+    pairs = []
+    for a, b in ((here, ahead), (back, here)):
+        ok = (a >= 0) & (b < len(edges))
+        a, b = a[ok], b[ok]
+        same = owner[a] == owner[b]
+        pairs.append((edges[a[same]], edges[b[same]]))
+    a, b = (np.concatenate(x) for x in zip(*pairs, strict=True))
+    order = np.lexsort((b, a))
+    return a[order], b[order]
+
+
+def _spans(new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    first = np.flatnonzero(new)
+    return first, np.append(first[1:], len(new))
+
+
+def block_units(texts: list[str], least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+    """document (place in ``texts``), start, end, words and normalised bytes of
+    each unit: of each document, first its runs, then its lines, then sentences,
+    each before its fragments. Every unit is a run of whole words, listed once.
+
+    All are found on arrays of the block's words: Python touches a word where it
+    is lower-cased and hashed, and a unit where its bytes are taken."""
+    whole = "\n".join(texts)
+    points = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    edge = np.flatnonzero(np.diff(_marks(r"\S")[points], prepend=False, append=False))
+    starts, ends = edge[::2], edge[1::2]
+    offset = np.cumsum([0, *(len(t) + 1 for t in texts)])
+    doc = np.searchsorted(offset, starts, "right") - 1
+    if not len(starts):
+        return doc, starts, ends, starts, []
+    low = " ".join(whole.split()).lower().encode("utf-8", "surrogatepass")
+    raw = low.split(b" ")
+    line = _changes(np.searchsorted(np.flatnonzero(points == 10), starts))
+    sentence = line | np.append(True, np.isin(points[ends[:-1] - 1], [ord(c) for c in ".!?"]))
+    fragment = sentence | _marks(r"[^\W\d_a-zß-öø-ÿ]")[points[starts]]
+
+    lines, sentences, fragments = _spans(line), _spans(sentence), _spans(fragment)
+    a, b = (np.concatenate(x) for x in zip(sentences, fragments, strict=True))
+    order = np.argsort(a, kind="stable")
+    order = order[b[order] - a[order] >= least]
+    a, b = (np.concatenate(x) for x in zip(_runs(raw, doc, least), lines, (a[order], b[order]), strict=True))
+    once = np.sort(np.unique(a * (len(raw) + 1) + b, return_index=True)[1])
+    a, b = a[once], b[once]
+
+    gaps = np.flatnonzero(np.frombuffer(low, dtype=np.uint8) == 32)
+    at = np.concatenate([[0], gaps + 1, [len(low) + 1]])
+    taken = [low[i:j] for i, j in zip(at[a].tolist(), (at[b] - 1).tolist(), strict=True)]
+    home = doc[a]
+    return home, starts[a] - offset[home], ends[b - 1] - offset[home], b - a, taken
 
 
 def text_units(text: str, least: int = LEAST) -> Iterator[tuple[int, int, int, str]]:
-    """(start, end, words, normalised) of each unit: lines, and what else has
-    ``least`` words."""
-    yield from _runs(text, least)
-    for m in _LINE.finditer(text):
-        words = m[0].split()
-        if words:
-            yield m.start() + len(m[0]) - len(m[0].lstrip()), m.start() + len(m[0].rstrip()), len(words), " ".join(words).lower()
-    for m in _SENTENCE.finditer(text):
-        words = m[0].split()
-        if len(words) < least:
-            continue
-        start = m.start() + len(m[0]) - len(m[0].lstrip())
-        end = m.start() + len(m[0].rstrip())
-        yield start, end, len(words), " ".join(words).lower()
-        cuts = [x.start() for x in _FRAGMENT.finditer(text, start + 1, end)]
-        if cuts:
-            for a, b in zip([start, *cuts], [*cuts, end], strict=True):
-                own = text[a:b].split()
-                if len(own) >= least:
-                    yield a, a + len(text[a:b].rstrip()), len(own), " ".join(own).lower()
+    """(start, end, words, normalised) of each unit of one text."""
+    _, starts, ends, words, taken = block_units([text], least)
+    for start, end, n, unit in zip(starts.tolist(), ends.tolist(), words.tolist(), taken, strict=True):
+        yield start, end, n, unit.decode("utf-8", "surrogatepass")
+
+
+def _blocks(texts: list[str]) -> Iterator[slice]:
+    """Texts that follow one another, of ``BLOCK`` code points or one text."""
+    first = size = 0
+    for k, text in enumerate(texts):
+        if k > first and size + len(text) > BLOCK:
+            yield slice(first, k)
+            first, size = k, 0
+        size += len(text) + 1
+    if first < len(texts):
+        yield slice(first, len(texts))
 
 
 def units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, least: int = LEAST) -> DataFrame:
     """doc_id, text_key, start, end, words, hi, lo (the digest), again (the
     offset of the unit's first occurrence in the same document, else null)."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        for pdf in batches:
-            for at in range(0, len(pdf), 512):
-                part, rows = pdf.iloc[at : at + 512], []
-                for doc, key, text in zip(part["doc_id"].tolist(), part["text_key"].tolist(), part["text"].tolist(), strict=True):
-                    seen: dict[int, int] = {}
-                    for start, end, words, unit in text_units(text, least):
-                        h = xxhash.xxh3_128_intdigest(unit.encode("utf-8", "surrogatepass"))
-                        first = seen.setdefault(h, start)
-                        rows.append((doc, key, start, end, words, (h >> 64) - (1 << 63), (h & 0xFFFFFFFFFFFFFFFF) - (1 << 63), None if first == start else first))
-                out = pd.DataFrame(rows, columns=["doc_id", "text_key", "start", "end", "words", "hi", "lo", "again"])
-                yield out.astype({"doc_id": "Int64", "again": "Int64"})
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            for block in _blocks(texts):
+                home, starts, ends, words, taken = block_units(texts[block], least)
+                digests = list(map(xxhash.xxh3_128_digest, taken))
+                seen: dict[tuple[int, bytes], int] = {}
+                first = np.fromiter(map(seen.setdefault, zip(home.tolist(), digests, strict=True), starts.tolist()), dtype=np.int64, count=len(digests))
+                halves = (np.frombuffer(b"".join(digests), dtype=">u8").astype(np.uint64) ^ np.uint64(1 << 63)).view(np.int64)
+                rows = pa.array(home + block.start)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id").take(rows), batch.column("text_key").take(rows), pa.array(starts), pa.array(ends), pa.array(words.astype(np.int32)), pa.array(halves[::2]), pa.array(halves[1::2]), pa.array(first, mask=first == starts)],
+                    names=["doc_id", "text_key", "start", "end", "words", "hi", "lo", "again"],
+                )
 
     text = whole_text(text_col)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
-    return rows.mapInPandas(run, "doc_id long, text_key long, start long, end long, words int, hi long, lo long, again long")
+    return rows.mapInArrow(run, "doc_id long, text_key long, start long, end long, words int, hi long, lo long, again long")
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, least: int = LEAST) -> DataFrame:
