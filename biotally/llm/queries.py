@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, licenses, mixing, packing, pii, quality, secrets, simhash, substring, topk
+from . import collocations, fingerprints, html_text, licenses, mixing, packing, pii, quality, secrets, simhash, substring, topk, whitening
 from .common import table
 
 
@@ -74,11 +74,26 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[_count(k) for k in secrets.BASE], F.sha2(_joined(base).cast("binary"), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_mixing, op3_licenses, op4_topk, op5_pii, op6_substring, op7_fingerprints, op8_quality, op9_simhash, op10_secrets)}
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    each = rows.select("vec_id", "n", "deviation", "identity_error", F.posexplode(F.arrays_zip("whitened", "explained")).alias("at", "e"))
+    return each.select("vec_id", (F.col("at") + 1).alias("component"), "n", "deviation", F.col("e.whitened").alias("whitened"), F.col("e.explained").alias("explained"), "identity_error")
+
+
+def op13_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_mixing, op3_licenses, op4_topk, op5_pii, op6_substring, op7_fingerprints, op8_quality, op9_simhash, op10_secrets, op11_collocations, op12_whitening, op13_main_text)}
 
 # -- SQL for the oracle, where SQL can say it: fingerprints and simhashes need
 # XXH64, packing a tokenizer, quality a trained forest, licences the rarity of
-# words in an index, personal data look-around patterns.
+# words in an index, personal data look-around patterns, whitening eigenvectors,
+# main text a trained model.
 
 _OP2 = rf"""
 WITH d AS (
@@ -112,6 +127,32 @@ SELECT query_id, CAST(k AS INT) AS rank, vec_id, score FROM (SELECT *, ROW_NUMBE
 """
 
 
+def _op11() -> str:
+    lengths = range(1, collocations.LONGEST + 1)
+    grams = " UNION ALL ".join(f"SELECT lang, {k} AS k, array_to_string(w[i:i + {k - 1}], ' ') AS phrase FROM (SELECT lang, w, UNNEST(range(1, len(w) - {k - 2})) AS i FROM p)" for k in lengths)
+    return rf"""
+WITH t AS (
+    SELECT COALESCE(lang, 'und') AS lang, UNNEST(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+), p AS (
+    SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM t
+), g AS (
+    SELECT lang, k, phrase, COUNT(*) AS a FROM ({grams}) GROUP BY ALL
+), n AS (SELECT lang, SUM(a)::BIGINT AS n FROM g WHERE k = 1 GROUP BY lang
+), f AS (SELECT lang, k, phrase, a, string_split(phrase, ' ') AS w FROM g WHERE a >= {collocations.LEAST}
+), c AS (
+    SELECT lang, k, phrase, a, cut, array_to_string(w[1:cut], ' ') AS x, array_to_string(w[cut + 1:], ' ') AS y FROM (SELECT *, UNNEST(range(1, k)) AS cut FROM f WHERE k > 1)
+), s AS (
+    SELECT c.*, l.a AS l, r.a AS r, (2000000::HUGEINT * c.a // (l.a + r.a))::BIGINT AS score FROM c JOIN f l ON l.lang = c.lang AND l.phrase = c.x JOIN f r ON r.lang = c.lang AND r.phrase = c.y
+), b AS (SELECT * FROM s QUALIFY ROW_NUMBER() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1
+), inside AS (
+    SELECT lang, array_to_string(w[i:i + m - 1], ' ') AS phrase, MAX(a) AS most FROM (SELECT *, UNNEST(range(1, k - m + 2)) AS i FROM (SELECT *, UNNEST(range(2, k)) AS m FROM f WHERE k > 2)) GROUP BY ALL
+), o AS (
+    SELECT b.*, ROW_NUMBER() OVER (PARTITION BY b.lang ORDER BY score DESC, b.a DESC, b.phrase) AS rank FROM b LEFT JOIN inside i ON i.lang = b.lang AND i.phrase = b.phrase WHERE i.most IS NULL OR 100 * i.most < {collocations.WITHIN} * b.a
+)
+SELECT o.lang, CAST(rank AS INT) AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score FROM o JOIN n ON n.lang = o.lang WHERE rank <= {collocations.KEEP}
+"""
+
+
 def _op10() -> str:
     """Match places from the gaps between matches, rule by rule."""
     q = lambda s: s.replace("'", "''")
@@ -131,4 +172,4 @@ SELECT d.doc_id, {counts}, sha256(COALESCE(STRING_AGG({cell}, ',' ORDER BY a, n)
 """
 
 
-ORACLES: dict[str, str] = {"op2_mixing": _OP2, "op4_topk": _OP4, "op10_secrets": _op10()}
+ORACLES: dict[str, str] = {"op2_mixing": _OP2, "op4_topk": _OP4, "op10_secrets": _op10(), "op11_collocations": _op11()}

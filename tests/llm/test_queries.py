@@ -19,6 +19,9 @@ COLUMNS = {
     "op7_fingerprints": "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double",
     "op8_quality": "doc_id bigint, held_out boolean, score double, predicted int",
     "op9_simhash": "doc_id bigint, fingerprint string, component_id bigint",
+    "op11_collocations": "lang string, rank int, phrase string, a bigint, l bigint, r bigint, n bigint, score bigint",
+    "op12_whitening": "vec_id bigint, component int, n bigint, deviation bigint, whitened double, explained double, identity_error double",
+    "op13_main_text": "page_id bigint, url string, text string, n_chars bigint",
     "op10_secrets": "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string",
 }
 
@@ -30,12 +33,12 @@ def test_columns(spark, name):
     for column in COLUMNS[name].split(", "):
         c, t = column.split()
         assert have[c] == t
-    if name not in ("op1_packing", "op4_topk", "op6_substring"):
+    if name not in ("op1_packing", "op4_topk", "op6_substring", "op11_collocations", "op12_whitening", "op13_main_text"):
         docs = spark.read.parquet(f"{SF}/documents.parquet")
         assert sorted(r[0] for r in df.select("doc_id").collect()) == sorted(r[0] for r in docs.select("doc_id").collect())
 
 
-@pytest.mark.parametrize("name", ["op2_mixing", "op4_topk", "op10_secrets"])
+@pytest.mark.parametrize("name", ["op2_mixing", "op4_topk", "op10_secrets", "op11_collocations"])
 def test_against_sql(spark, name):
     con = duckdb.connect()
     for t in ("documents", "embeddings"):
