@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import atexit
 import shutil
+import sys
 import tempfile
+import types
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,6 +64,13 @@ def row_order(df: DataFrame) -> Column:
     return F.xxhash64(*cols)
 
 
+def process_store() -> dict:
+    """What a worker process keeps between its tasks. Functions travel to
+    executors by value, so that their own modules' globals, and caches wrapped
+    around them, do not."""
+    return sys.modules.setdefault("_biotally_process", types.ModuleType("_biotally_process")).__dict__
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` computed once a row.
 
@@ -80,8 +89,41 @@ def fresh(df: DataFrame, stem: str) -> str:
     return name
 
 
-#: Bits of a set of hashed keys: 4 MB, whatever the number of keys.
-SET_BITS = 1 << 25
+#: Bits of a set of hashed keys: 4 MB at least, 64 MB at most.
+SET_BITS, MOST_SET_BITS = 1 << 25, 1 << 29
+
+
+def set_size(keys: int) -> int:
+    """Bits of a set of so many keys: 16 a key and more, so that one key in 16
+    that is not in it passes, up to ``MOST_SET_BITS``. Beyond 2 ** 25 keys the set
+    fills up and spares less; what passes is always verified."""
+    return min(MOST_SET_BITS, max(SET_BITS, 1 << (16 * keys).bit_length()))
+
+
+def running(values: Column, merge) -> Column:
+    """Running merges of an array of longs; element k merges the first k + 1.
+
+    Arrays grow by copying, so one pass over n would copy n * n / 2: it goes over
+    blocks of sqrt(n), then over the blocks' ends, then adds these to the blocks."""
+    none = F.array().cast("array<bigint>")
+
+    def within(xs: Column) -> Column:
+        def step(a: Column, x: Column) -> Column:
+            total = F.when(F.size(a) == 0, x).otherwise(merge(F.element_at(a, -1), x))
+            return F.array_append(a, total)
+
+        return F.aggregate(xs, none, step)
+
+    def over(xs: Column) -> Column:
+        width = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(xs))).cast("int"))
+        starts = F.sequence(F.lit(1), F.size(xs), width)
+        return let(F.transform(starts, lambda a: within(F.slice(xs, a, width))), joined)
+
+    def joined(blocks: Column) -> Column:
+        ends = within(F.transform(blocks, lambda b: F.element_at(b, -1)))
+        return F.flatten(let(ends, lambda e: F.transform(blocks, lambda b, k: F.when(k == 0, b).otherwise(F.transform(b, lambda x: merge(F.get(e, k - 1), x))))))
+
+    return let(values, lambda xs: F.when(F.size(xs) == 0, none).otherwise(over(xs)))
 
 
 def key_set(keys: DataFrame, *cols: str, bits: int = SET_BITS) -> DataFrame:

@@ -22,7 +22,6 @@ from __future__ import annotations
 
 import json
 import sys
-import types
 import zlib
 from bisect import bisect_right
 from collections import defaultdict
@@ -36,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, whole_text
+from .common import cut, process_store, whole_text
 
 CAPACITY = 4096
 END_ID = 1
@@ -196,7 +195,7 @@ def reads_words(path: str) -> bool:
 
 def encoder(path: str) -> WordEncoder | WholeEncoder:
     """One for each worker process, which runs many tasks."""
-    store = sys.modules.setdefault("_biotally_process", types.ModuleType("_biotally_process")).__dict__
+    store = process_store()
     if ("encoder", path) not in store:
         store["encoder", path] = WordEncoder(path) if reads_words(path) else WholeEncoder(path)
     return store["encoder", path]

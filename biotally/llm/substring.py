@@ -28,7 +28,6 @@ import re
 import sys
 import zlib
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -36,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, fresh, key_set, maybe_in, whole_text
+from .common import cut, fresh, key_set, maybe_in, process_store, set_size, whole_text
 
 #: Words that a unit needs to be judged, unless it is a line.
 LEAST = 8
@@ -46,12 +45,14 @@ WINDOW = 16
 BLOCK = 1 << 20
 
 
-@cache
 def _marks(pattern: str) -> np.ndarray:
-    """Whether each code point matches."""
-    out = np.zeros(sys.maxunicode + 1, dtype=bool)
-    out[[m.start() for m in re.finditer(pattern, "".join(map(chr, range(sys.maxunicode + 1))))]] = True
-    return out
+    """Whether each code point matches; made once a worker process."""
+    store = process_store()
+    if ("marks", pattern) not in store:
+        out = np.zeros(sys.maxunicode + 1, dtype=bool)
+        out[[m.start() for m in re.finditer(pattern, "".join(map(chr, range(sys.maxunicode + 1))))]] = True
+        store["marks", pattern] = out
+    return store["marks", pattern]
 
 
 def _changes(x: np.ndarray) -> np.ndarray:
@@ -196,7 +197,8 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
     firsts = cut(fresh_units.groupBy("hi", "lo").agg(F.min(rank).alias("first"), F.max(rank).alias("latest")).where("first <> latest").select("hi", "lo", "first"))
     first = F.col("first")
     # Units that surely occur once are not shuffled to find that out.
-    found = maybe_in(found, key_set(firsts, "hi", "lo"), "maybe", "hi", "lo").where("maybe or again is not null").drop("maybe")
+    bits = set_size(firsts.count())
+    found = maybe_in(found, key_set(firsts, "hi", "lo", bits=bits), "maybe", "hi", "lo", bits=bits).where("maybe or again is not null").drop("maybe")
     gone = found.join(firsts, ["hi", "lo"], "left").where(F.col("again").isNotNull() | (first.isNotNull() & (first != rank)))
     gone = gone.select("doc_id", "text_key", "start", "end", F.when(first.isNotNull(), first["doc_id"]).otherwise(F.col("doc_id")).alias("first_doc_id")).dropDuplicates(["doc_id", "text_key", "start", "end"])
     order = Window.partitionBy("doc_id", "text_key").orderBy("start", "end")
