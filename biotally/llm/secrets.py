@@ -24,7 +24,7 @@ from re import _parser as parser  # the standard library's own reader of pattern
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SET_BITS, cut, fresh, key_set, let, maybe_in, whole_text
+from .common import cut, fresh, key_set, let, maybe_in, running, set_size, whole_text
 
 
 @dataclass(frozen=True)
@@ -58,6 +58,9 @@ MOST = 64
 
 # -- Boolean trigram queries ---------------------------------------------------
 
+#: Code points of a part of a text, when spans are cut out of it.
+PART = 1024
+
 #: ("all", parts), ("any", parts) or a trigram; ("all", ()) always holds.
 Query = tuple | str
 ALWAYS: Query = ("all", ())
@@ -210,21 +213,14 @@ def spans(text: Column, rule: Rule, n: int) -> Column:
     whole = f"({rule.pattern})"
 
     def placed(parts: Column) -> Column:
-        zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(SPANS).alias("out"))
-
-        def step(a: Column, p: Column) -> Column:
-            start = a["at"] + F.length(p["gap"])
-            end = start + F.length(p["found"])
-            own = F.struct(start.alias("start"), F.lit(n).alias("n"), F.lit(rule.kind).alias("kind"), end.alias("end"))
-            ok = F.length(p["value"]) >= rule.least
-            return F.struct(end.alias("at"), F.when(ok, F.array_append(a["out"], own)).otherwise(a["out"]).alias("out"))
-
-        return F.aggregate(parts, zero, step)["out"]
+        lengths = F.transform(parts, lambda p: (F.length(p["gap"]) + F.length(p["found"])).cast("long"))
+        each = F.zip_with(parts, running(lengths, lambda x, y: x + y), lambda p, end: F.struct((end - F.length(p["found"])).alias("start"), end.alias("end"), (F.length(p["value"]) >= rule.least).alias("ok")))
+        return F.transform(F.filter(each, lambda s: s["ok"]), lambda s: F.struct(s["start"].alias("start"), F.lit(n).alias("n"), F.lit(rule.kind).alias("kind"), s["end"].alias("end")))
 
     # The gap after the last match has no match beside it.
     found = F.regexp_extract_all(text, F.lit(whole), F.lit(0))
     parts = F.arrays_zip(F.slice(F.split(text, rule.pattern, -1), 1, F.size(found)).alias("gap"), found.alias("found"), F.regexp_extract_all(text, F.lit(whole), F.lit(rule.group + 1 if rule.group else 0)).alias("value"))
-    return F.when(text.rlike(rule.pattern), placed(parts)).otherwise(F.array().cast(SPANS))
+    return F.when(text.rlike(rule.pattern), let(parts, placed)).otherwise(F.array().cast(SPANS))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, rules: tuple[Rule, ...] = RULES, keep: str | None = None) -> DataFrame:
@@ -238,7 +234,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, rul
         found = cut(candidates(postings(docs, grams, id_col, text_col), indexed, grams).withColumnRenamed("id", "candidate"))
         # Only documents that may be candidates are shuffled to meet their rules:
         # the bitmap has 16 bits and more a candidate, up to 64 MB in all.
-        bits = min(1 << 29, max(SET_BITS, 1 << (16 * found.count()).bit_length()))
+        bits = set_size(found.count())
         rows = maybe_in(rows.withColumn("id", id_key("doc_id")), key_set(found, "candidate", bits=bits), "maybe", "id", bits=bits)
         met = rows.where("maybe").join(found, F.col("id") == F.col("candidate"), "left").drop("candidate", "maybe", "id")
         rows = rows.where("not maybe").drop("maybe", "id").withColumn("kinds", F.lit(None).cast("array<string>")).unionByName(met)
@@ -249,20 +245,37 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, rul
     return rows.select("doc_id", "text", *(["kept"] if keep else []), F.sort_array(F.concat(*each)).alias("spans"))
 
 
+def _between(parts: Column, start: Column, end: Column) -> Column:
+    """Code points ``start`` to ``end`` of a text cut into parts of ``PART``: only
+    the parts that they touch are read."""
+    first = F.floor(start / PART).cast("int")
+    own = F.array_join(F.slice(parts, first + 1, F.floor((end - 1) / PART).cast("int") - first + 1), "")
+    return F.when(end <= start, "").otherwise(F.substring(own, (start - first * PART + 1).cast("int"), (end - start).cast("int")))
+
+
+def _masked(parts: Column, spans: Column) -> Column:
+    """The text with its spans replaced. A span counts if it starts behind all
+    earlier ones; what lies between those that count is cut out, and all is
+    joined once."""
+    ends = running(F.transform(spans, lambda s: s["end"]), F.greatest)
+    zero = F.lit(0).cast("long")
+
+    def joined(ends: Column) -> Column:
+        each = F.transform(spans, lambda s, k: F.struct(F.when(k == 0, zero).otherwise(F.get(ends, k - 1)).alias("from"), s["start"].alias("to"), s["kind"].alias("kind")))
+        kept = F.filter(each, lambda s: s["to"] >= s["from"])
+        cut = F.transform(kept, lambda s: F.concat(_between(parts, s["from"], s["to"]), F.lit("["), s["kind"], F.lit("]")))
+        return F.concat(F.array_join(cut, ""), _between(parts, F.element_at(ends, -1), F.length("text").cast("long")))
+
+    return let(ends, joined)
+
+
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars", *, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The documents with every secret replaced by its kind in brackets; of
     spans that overlap, the first stands for all. Texts without secrets, null
     ones too, stay as they are."""
     row = fresh(docs, "row")
     found = scan(docs.withColumn(row, F.struct(*[F.col(f"`{c}`") for c in docs.columns])), id_col, text_col, rules=rules, keep=row)
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
-
-    def step(a: Column, s: Column) -> Column:
-        clean = F.substring(F.col("text"), (a["at"] + 1).cast("int"), (s["start"] - a["at"]).cast("int"))
-        return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.when(s["start"] >= a["at"], F.concat(a["out"], clean, F.lit("["), s["kind"], F.lit("]"))).otherwise(a["out"]).alias("out"))
-
-    done = F.aggregate("spans", zero, step)
-    masked = F.concat(done["out"], F.substring(F.col("text"), (done["at"] + 1).cast("int"), F.length("text")))
+    masked = let(F.regexp_extract_all(F.col("text"), F.lit(f"(?s).{{1,{PART}}}"), F.lit(0)), lambda parts: _masked(parts, F.col("spans")))
     found = found.withColumn("masked", F.when(F.size("spans") > 0, masked))
     new = {text_col: F.coalesce("masked", F.col("kept")[text_col])}
     if chars_col in docs.columns:
