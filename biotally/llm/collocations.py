@@ -42,9 +42,12 @@ LEAST, LONGEST, KEEP = 30, 4, 2000
 #: Of a shorter phrase's occurrences so many percent in a longer one drop it.
 WITHIN = 80
 #: Bytes of text that a task reads into arrays at once.
-BLOCK = 6 << 20
-#: Buckets of a bitmap at most: 16 MB to broadcast, 128 MB of counters a task.
-MOST_BITS = 27
+BLOCK = 4 << 20
+#: Buckets of a bitmap at most: 8 MB to broadcast, 64 MB of counters a task.
+MOST_BITS = 26
+#: Bytes of text for a bucket: some ten words, so that rare phrases alone do
+#: not fill it.
+BYTES = 64
 CELLS = 1 << 13
 #: Distinct phrases that a task holds before it hands their counts over.
 HELD = 1 << 19
@@ -263,7 +266,7 @@ def frequent_phrases(docs: DataFrame, lang_col: str = "lang", text_col: str = "t
     folder = f"{shared_folder(spark)}/collocations-{uuid.uuid4().hex}"
     rows = docs.select(F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), whole_text(text_col).alias("text"))
     if buckets is None:
-        buckets = _bits_for((rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / 12)
+        buckets = _bits_for((rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / BYTES)
     may = parts = None
     totals = None
     tables = []
