@@ -220,11 +220,13 @@ def first_reads(tab: DataFrame, depths: DataFrame, seed: int) -> DataFrame:
     wanted = depths.where("depth > 0").select("sample", (F.col("depth") - 1).cast("long").alias("at"), F.lit(1).alias("n")).distinct()
     last = interval_hits(wanted, sizes.select("sample", F.col("part").alias("feature"), "lo"), ["sample"], keep_at=True)
     last = settled(last.select("sample", (F.col("at") + 1).alias("depth"), F.col("feature").alias("part")).join(sizes, ["sample", "part"]).select("sample", "depth", F.col("part").alias("end"), (F.col("depth") - F.col("lo")).alias("rest")))
-    taken = keyed.join(last, "sample")
-    whole = taken.where("part < end").groupBy("sample", "depth", "feature").agg(F.count(F.lit(1)).alias("n"))
-    order = Window.partitionBy("sample", "depth").orderBy("k", "feature", "i")
-    some = taken.where("part = end").withColumn("rank", F.row_number().over(order)).where("rank <= rest").groupBy("sample", "depth", "feature").agg(F.count(F.lit(1)).alias("n"))
-    return whole.unionByName(some).groupBy("sample", "depth", "feature").agg(F.sum("n").cast("double").alias("n"))
+    # One more pass: reads before the part add up where they are made, those of
+    # the part keep their key.
+    near = keyed.join(last, "sample").where("part <= end").withColumn("key", F.when(F.col("part") == F.col("end"), F.struct("k", "i")))
+    counted = settled(near.groupBy("sample", "depth", "rest", "feature", "key").agg(F.count(F.lit(1)).alias("n")))
+    order = Window.partitionBy("sample", "depth").orderBy("key.k", "feature", "key.i")
+    some = counted.where("key is not null").withColumn("rank", F.row_number().over(order)).where("rank <= rest").select("sample", "depth", "feature", "n")
+    return counted.where("key is null").select("sample", "depth", "feature", "n").unionByName(some).groupBy("sample", "depth", "feature").agg(F.sum("n").cast("double").alias("n"))
 
 
 def sample_depths(tab: DataFrame) -> DataFrame:
@@ -241,13 +243,25 @@ def interval_hits(draws: DataFrame, cells: DataFrame, keys: list[str], keep_at:
     return both.withColumn("feature", F.last("feature", ignorenulls=True).over(order)).where("n > 0").select(*keys, "feature", "n", *(["at"] if keep_at else []))
 
 
-def rarefy(tab: DataFrame, depth: int | str = "min", seed: int = 0, replacement: bool = False) -> DataFrame:
-    """The table thinned to ``depth`` reads a sample; smaller samples go."""
+def drawn_reads(tab: DataFrame, depths: DataFrame, seed: int, method: str) -> DataFrame:
+    """sample, depth, feature, n, by the order of the reads' keys (``reads``,
+    a row a read while counting) or on counts (``counts``)."""
+    from .thinning import drawn
+
+    if method not in ("reads", "counts"):
+        raise ValueError("method is reads or counts")
+    return (drawn if method == "counts" else first_reads)(tab, depths, seed)
+
+
+def rarefy(tab: DataFrame, depth: int | str = "min", seed: int = 0, replacement: bool = False, method: str = "reads") -> DataFrame:
+    """The table thinned to ``depth`` reads a sample; smaller samples go. Without
+    replacement, ``method`` "counts" draws on counts, in work that follows the
+    table's cells and not its reads."""
     totals = sample_depths(tab)
     least = totals.agg(F.min("total").alias("depth")) if depth == "min" else tab.sparkSession.range(1).select(F.lit(int(depth)).cast("long").alias("depth"))
     kept = totals.join(F.broadcast(least)).where("total >= depth")  # one row of depth
     if not replacement:
-        return first_reads(tab, kept.select("sample", "depth"), seed).select("feature", "sample", F.col("n").alias("value"))
+        return drawn_reads(tab, kept.select("sample", "depth"), seed, method).select("feature", "sample", F.col("n").alias("value"))
     cells = tab.withColumn("value", F.floor("value").cast("long")).where("value > 0")
     hi = F.sum("value").over(Window.partitionBy("sample").orderBy("feature"))
     cells = cells.select("feature", "sample", (hi - F.col("value")).alias("lo"))
@@ -257,13 +271,13 @@ def rarefy(tab: DataFrame, depth: int | str = "min", seed: int = 0, replacement:
     return hit.groupBy("feature", "sample").agg(F.sum("n").cast("double").alias("value"))
 
 
-def rarefaction_curve(tab: DataFrame, q: float = 1, seed: int = 0, steps: int = 20) -> DataFrame:
+def rarefaction_curve(tab: DataFrame, q: float = 1, seed: int = 0, steps: int = 20, method: str = "reads") -> DataFrame:
     """sample, depth, d at every total // steps reads, at all reads, and at 0 and 1."""
     from .alpha import naive_alpha
 
     totals = sample_depths(tab).withColumn("step", F.greatest(F.lit(1), F.floor(F.col("total") / steps))).where("total > 0")
     grid = totals.where("step < total").select("sample", F.explode(F.sequence("step", F.col("total") - 1, F.col("step"))).alias("depth"))
-    counts = first_reads(tab, grid, seed).withColumnRenamed("n", "value")
+    counts = drawn_reads(tab, grid, seed, method).withColumnRenamed("n", "value")
     keyed = counts.select("feature", F.concat_ws("\u0001", "sample", F.col("depth").cast("string")).alias("sample"), "value")
     at = naive_alpha(keyed, q).select(F.split("sample", "\u0001")[0].alias("sample"), F.split("sample", "\u0001")[1].cast("long").alias("depth"), "d")
     full = naive_alpha(tab.withColumn("value", F.floor("value")), q).join(totals, "sample").select("sample", F.col("total").alias("depth"), "d")
