@@ -9,50 +9,46 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .relational import natural_key
+from .relational import natural_key, numbered, settled
+from .sequences import banded_column, containments
 
 
 def _numbered(objects: list[dict]) -> DataFrame:
-    """obj, ord, feature, seq: features in natural order within each object."""
+    """obj, ord, feature, seq: features by object, in natural order within each."""
     out = None
     for k, o in enumerate(objects):
-        order = Window.orderBy(natural_key(F.col("feature")), "feature")
-        rows = o["seq"].select(F.lit(k).alias("obj"), F.row_number().over(order).alias("ord"), "feature", "seq")
+        rows = o["seq"].select(F.lit(k).alias("obj"), "feature", "seq")
         out = rows if out is None else out.unionByName(rows)
-    return out
+    return numbered(out, "ord", "obj", natural_key(F.col("feature")), "feature", "seq")
 
 
 def sequence_names(objects: list[dict], name_type: str = "SV", different_lengths: bool = False) -> DataFrame:
     """seq, new, canonical: a name for each distinct sequence, by where it is
-    first seen. With ``different_lengths`` a sequence that holds or is held by
-    an earlier object's takes its name, and the longest is canonical."""
+    first seen. With ``different_lengths`` a sequence that holds, or is held by,
+    a name's first sequence of an earlier object takes the first such name, and
+    the longest sequence of a name (the first of these) is canonical."""
     rows = _numbered(objects)
-    first = rows.groupBy("seq").agg(F.min(F.struct("obj", "ord")).alias("at"))
+    first = rows.groupBy("seq").agg(F.min_by("obj", "ord").alias("obj"), F.min("ord").alias("id"))
     if not different_lengths:
-        named = first.withColumn("n", F.row_number().over(Window.orderBy("at", "seq")))
+        named = numbered(first, "n", "id")
         return named.select("seq", F.concat(F.lit(name_type), F.col("n").cast("string")).alias("new"), F.col("seq").alias("canonical"))
-    # Each step depends on all before it: one pass over the distinct sequences.
-    names: dict[str, str] = {}
-    longest: dict[str, str] = {}
-    known: list[str] = []
-    per_object: dict[int, list[str]] = {}
-    for r in first.orderBy("at", "seq").toLocalIterator():
-        per_object.setdefault(r["at"]["obj"], []).append(r["seq"])
-    count = 0
-    for obj in sorted(per_object):
-        fresh = []
-        for s in per_object[obj]:
-            held = next((t for t in known if s in t or t in s), None) if obj else None
-            if held is None:
-                count += 1
-                names[s] = f"{name_type}{count}"
-                longest[names[s]] = s
-                fresh.append(s)
-            else:
-                names[s] = names[held]
-                longest[names[s]] = max(longest[names[s]], s, key=len)
-        known += fresh
-    return objects[0]["seq"].sparkSession.createDataFrame([(s, n, longest[n]) for s, n in names.items()], "seq string, new string, canonical string")
+    first = settled(first)
+    found = containments(first.select("id", "seq"))
+    pairs = found.select(F.col("inner").alias("id"), F.col("outer").alias("other")).unionByName(found.select(F.col("outer").alias("id"), F.col("inner").alias("other")))
+    # Only pairs of a later object with an earlier one count.
+    objs = first.select("id", "obj")
+    pairs = pairs.join(objs, "id").join(objs.select(F.col("id").alias("other"), F.col("obj").alias("other_obj")), "other").where("other_obj < obj")
+    pairs = settled(pairs)
+    # One round an object: sequences that meet no name become names.
+    names = first.where("obj = 0").select("id", F.col("id").alias("root"))
+    for k in range(1, len(objects)):
+        roots = names.where("id = root").select(F.col("id").alias("other"))
+        held = pairs.where(F.col("obj") == k).join(roots, "other", "left_semi").groupBy("id").agg(F.min("other").alias("root"))
+        names = settled(names.unionByName(first.where(F.col("obj") == k).join(held, "id", "left").select("id", F.coalesce("root", "id").alias("root"))))
+    roots = numbered(names.where("id = root").select("root"), "n", "root")
+    known = first.join(names, "id").join(roots, "root")
+    longest = known.groupBy("n").agg(F.max_by("seq", F.struct(F.length("seq"), -F.col("id"))).alias("canonical"))
+    return known.join(longest, "n").select("seq", F.concat(F.lit(name_type), F.col("n").cast("string")).alias("new"), "canonical")
 
 
 def _first_by(df: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -78,6 +74,12 @@ def align(objects: list[dict], name_type: str = "SV", different_lengths: bool =
     return out
 
 
+def _ranked(tab: DataFrame, name_type: str) -> DataFrame:
+    """feature, new: names by rank of reads, ties in natural order."""
+    totals = tab.groupBy("feature").agg(F.sum("value").alias("total"))
+    return numbered(totals, "n", F.desc("total"), natural_key(F.col("feature")), "feature").select("feature", F.concat(F.lit(name_type), F.col("n").cast("string")).alias("new"))
+
+
 def _share(tab: DataFrame, kept: DataFrame) -> DataFrame:
     return tab.join(kept.withColumn("kept", F.lit(1.0)), "feature", "left").agg((F.sum(F.col("value") * F.coalesce("kept", F.lit(0.0))) / F.sum("value") * 100).alias("pct"))
 
@@ -104,8 +106,7 @@ def consensus(objects: list[dict], keep_object: str | int = "best", already_alig
     largest = tab.withColumn("ra", F.col("value") / F.sum("value").over(Window.partitionBy("sample")) * 100).groupBy("feature").agg(F.max("ra").alias("top"))
     features = common.union(largest.where(F.col("top") > keep_cutoff).select("feature")).distinct()
     kept = tab.join(features, "feature", "left_semi")
-    order = Window.orderBy(F.desc("total"), natural_key(F.col("feature")))
-    names = kept.groupBy("feature").agg(F.sum("value").alias("total")).select("feature", F.concat(F.lit(name_type), F.row_number().over(order).cast("string")).alias("new"))
+    names = _ranked(kept, name_type)
     made = {k: v for k, v in chosen.items() if k == "meta"}
     for part in ("tab", "seq", "tax"):
         if part in chosen:
@@ -127,8 +128,7 @@ def merge_objects(objects: list[dict], already_aligned: bool = False, name_type:
                     rows = rows.withColumn("sample", F.concat("sample", F.lit(f"_{k}")))
                 rows = rows.withColumn("obj", F.lit(k))
                 parts[part] = parts[part].unionByName(rows, allowMissingColumns=True) if part in parts else rows
-    order = Window.orderBy(F.desc("total"), natural_key(F.col("feature")))
-    names = parts["tab"].groupBy("feature").agg(F.sum("value").alias("total")).select("feature", F.concat(F.lit(name_type), F.row_number().over(order).cast("string")).alias("new"))
+    names = _ranked(parts["tab"], name_type)
     out = {"tab": parts["tab"].join(names, "feature").select(F.col("new").alias("feature"), "sample", "value")}
     for part in ("seq", "tax"):
         if part in parts:
@@ -143,36 +143,11 @@ def merge_objects(objects: list[dict], already_aligned: bool = False, name_type:
 def sequence_distance(seq: DataFrame, band: int | None = None) -> DataFrame:
     """f1 < f2, distance, normalized: edits between sequences, and over the
     longer one's length. With ``band`` the edits are those of an alignment that
-    keeps within that many of the diagonal: exact up to that distance."""
+    keeps within that many of the diagonal: exact up to that distance. All pairs,
+    by definition; ``sequences.similar`` makes the near ones alone."""
     a, b = seq.select(F.col("feature").alias("f1"), F.col("seq").alias("q1")), seq.select(F.col("feature").alias("f2"), F.col("seq").alias("q2"))
     pairs = a.join(b, F.col("f1") < F.col("f2"))
-    if band is None:
-        d = F.levenshtein("q1", "q2")
-    else:
-
-        @F.pandas_udf("int")
-        def banded(x, y):
-            import pandas as pd
-
-            return pd.Series([_banded(s, t, band) for s, t in zip(x, y, strict=True)])
-
-        d = banded("q1", "q2")
+    d = F.levenshtein("q1", "q2") if band is None else banded_column("q1", "q2", band)
     longer = F.greatest(F.length("q1"), F.length("q2"))
     rows = pairs.select("f1", "f2", longer.alias("n"), d.alias("distance"))
     return rows.select("f1", "f2", "distance", F.coalesce(F.try_divide(F.col("distance"), F.col("n")), F.lit(0.0)).alias("normalized"))
-
-
-def _banded(s: str, t: str, band: int) -> int:
-    n, m = len(s), len(t)
-    width = max(band, abs(n - m))
-    far = n + m + 1
-    row = [j if j <= width else far for j in range(m + 1)]
-    for i in range(1, n + 1):
-        lo, hi = max(1, i - width), min(m, i + width)
-        new = [far] * (m + 1)
-        if i <= width:
-            new[0] = i
-        for j in range(lo, hi + 1):
-            new[j] = min(row[j] + 1, new[j - 1] + 1, row[j - 1] + (s[i - 1] != t[j - 1]))
-        row = new
-    return row[m]

@@ -24,6 +24,32 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint() if sc.getCheckpointDir() else df.persist()
 
 
+def numbered(df: DataFrame, name: str, *order: Column | str) -> DataFrame:
+    """``df`` with the place of each row, from 1, in a global order.
+
+    Rows are dealt to partitions by ranges of the order and sorted there; a
+    partition's rows are counted, and what lies before it is added. No task has
+    more than a range. ``order`` should tell rows apart, as equal ones go to one
+    range."""
+    spark = df.sparkSession
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = df.repartitionByRange(tasks, *order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
+    rows = settled(rows).withColumn("_part", F.shiftright("_id", 33)).withColumn("_at", F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)))
+    before, total = [], 0
+    for r in sorted(rows.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect()):  # a row a partition
+        before.append((r["_part"], total))
+        total += r["n"]
+    offsets = spark.createDataFrame(before, "_part long, _before long")
+    return rows.join(F.broadcast(offsets), "_part").withColumn(name, F.col("_at") + F.col("_before") + 1).drop("_part", "_id", "_at", "_before")
+
+
+def average_ranks(df: DataFrame, value: str, name: str, *ties: str) -> DataFrame:
+    """``df`` with each value's rank among all; equal values share their mean
+    place. ``ties`` tell rows of equal values apart, so that they can be dealt."""
+    places = numbered(df.select(value, *ties), name, value, *ties).groupBy(value).agg(F.avg(name).alias(name))
+    return df.join(places, value)
+
+
 def natural_key(name: Column) -> Column:
     """Sorts ids with their numbers as numbers and before letters; texts without case."""
     parts = F.regexp_extract_all(name, F.lit(r"(\d+|\D+)"), F.lit(1))
@@ -37,7 +63,7 @@ def natural_key(name: Column) -> Column:
 
 def with_order(features: DataFrame, name: str = "feature") -> DataFrame:
     """The ids with ord, their place in natural order."""
-    return features.select(name).distinct().withColumn("ord", F.row_number().over(Window.orderBy(natural_key(F.col(name)), name)))
+    return numbered(features.select(name).distinct(), "ord", natural_key(F.col(name)), name)
 
 
 def subset_samples(tab: DataFrame, meta: DataFrame, by: str = "index", values: Sequence | None = None, exclude: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -140,7 +166,7 @@ def merge_meta(meta: DataFrame, by: Sequence[str] | str, method: str = "sum") ->
 def rename_map(tab: DataFrame, name_type: str = "OTU") -> DataFrame:
     """feature -> new name by rank of mean relative abundance, ties by id."""
     scores = abundance_scores(tab, "sum").withColumn("score", F.round("score", 10))
-    return scores.select("feature", F.concat(F.lit(name_type), F.row_number().over(Window.orderBy(F.desc("score"), "feature")).cast("string")).alias("new"))
+    return numbered(scores, "n", F.desc("score"), "feature").select("feature", F.concat(F.lit(name_type), F.col("n").cast("string")).alias("new"))
 
 
 def rename_features(tab: DataFrame, mapping: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rng import key, uniform
+from .relational import average_ranks
 
 # -- distances between samples by metadata ---------------------------------------
 
@@ -71,7 +72,7 @@ def mantel(one: DataFrame, two: DataFrame, method: str = "spearman", n: int = 99
     not depend on labels and are made once."""
     rows = one.select("s1", "s2", F.col("value").alias("x")).join(two.select("s1", "s2", F.col("value").alias("y")), ["s1", "s2"])
     if method == "spearman":
-        rows = rows.select("s1", "s2", average_rank("x").alias("x"), average_rank("y").alias("y"))
+        rows = average_ranks(average_ranks(rows, "x", "rx", "s1", "s2"), "y", "ry", "s1", "s2").select("s1", "s2", F.col("rx").alias("x"), F.col("ry").alias("y"))
     stat = F.avg(F.abs(F.col("x") - F.col("y"))) if method == "absDist" else F.lit(1.0) - F.corr("x", "y")
     observed = rows.agg(stat.alias("stat"))
     if n < 1:

@@ -102,6 +102,12 @@ def seq(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "part").select(F.col("p_partkey").cast("string").alias("feature"), F.col("p_name").alias("seq"))
 
 
+def seq_long(spark: SparkSession, d: str) -> DataFrame:
+    """Names, types and brands as sequences, few of them equal."""
+    p = read(spark, d, "part")
+    return p.select(F.col("p_partkey").cast("string").alias("feature"), F.concat("p_name", F.lit("/"), "p_type", F.lit("/"), "p_brand").alias("seq"))
+
+
 #: The same tables for the oracle, by name; a query names those it needs.
 SQL = {
     "tab_wide": "SELECT CAST(l_partkey AS VARCHAR) feature, CAST(l_suppkey AS VARCHAR) sample, SUM(CAST(l_quantity AS DOUBLE)) value FROM lineitem GROUP BY ALL",
@@ -117,5 +123,6 @@ SQL = {
     "leaves_large": "SELECT UNNEST([CAST(p_partkey AS VARCHAR), p_type || '/' || p_brand, p_type, 'root']) node, CAST(p_partkey AS VARCHAR) leaf FROM part",
     "tax": "SELECT CAST(p_partkey AS VARCHAR) feature, 'd__' || p_type \"Domain\", CASE WHEN p_partkey % 7 = 0 THEN NULL WHEN p_partkey % 11 = 0 THEN ' Unknown ' ELSE 'P__' || p_brand END \"Phylum\", CASE WHEN p_partkey % 11 = 3 THEN '' WHEN p_partkey % 13 = 0 THEN NULL ELSE p_size || 'x_' || (p_partkey % 3) END \"Genus\" FROM part",
     "lineage": "SELECT CAST(p_partkey AS VARCHAR) feature, 'd__' || p_type || ';p__' || p_brand || ';g__' || CASE WHEN p_partkey % 5 = 0 THEN '' ELSE CAST(p_size AS VARCHAR) END lineage FROM part",
+    "seq_long": "SELECT CAST(p_partkey AS VARCHAR) feature, p_name || '/' || p_type || '/' || p_brand seq FROM part",
     "seq": "SELECT CAST(p_partkey AS VARCHAR) feature, p_name seq FROM part",
 }

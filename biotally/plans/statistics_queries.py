@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import alpha, beta, combine, nulls, ordination, simulate
+from ..operators import alpha, beta, combine, nulls, ordination, sequences, simulate
 from ..operators import statistics as st
 from ..sources import newick
 from . import fixtures as fx
@@ -238,7 +238,36 @@ register(
 register("consensus_info", lambda s, d: combine.consensus(_objects(s, d))[1], sql("", f"SELECT CAST(obj AS INT) obj, (SELECT COUNT(*) FROM co) n_common, {r('100 * SUM(CASE WHEN feature IN (SELECT feature FROM co) THEN value ELSE 0 END) / SUM(value)', 'pct_reads')}, obj = (SELECT arg_max(obj, sh) FROM (SELECT obj, SUM(CASE WHEN feature IN (SELECT feature FROM co) THEN value ELSE 0 END) / SUM(value) sh FROM al GROUP BY obj)) kept FROM al GROUP BY obj", **OBJ, co="SELECT feature FROM al GROUP BY feature HAVING COUNT(DISTINCT obj) = 2"))
 register("merge_objects", lambda s, d: combine.merge_objects(_objects(s, d))["tab"], sql("", "SELECT nw2 feature, sample || '_' || obj sample, value FROM al JOIN rn USING (feature)", **OBJ, rn="SELECT feature, 'SV' || ROW_NUMBER() OVER (ORDER BY SUM(value) DESC, CAST(SUBSTR(feature, 3) AS INT)) nw2 FROM al GROUP BY feature"))
 register("merge_objects_meta", lambda s, d: combine.merge_objects(_objects(s, d))["meta"], sql("supplier_meta", f"SELECT sample || '_' || o AS sample, region, nation, {r('acctbal', 'acctbal')} FROM supplier_meta, (SELECT UNNEST([0, 1]) o)"))
-register("align_substring", lambda s, d: combine.align(_objects(s, d), different_lengths=True)[1]["seq"])
+
+
+def _trimmed(s, d):
+    """The second object's sequences lose ends, so that the first's hold them;
+    some of the first's lose more."""
+    one, two = _objects(s, d)
+    k = F.col("feature").cast("int")
+    full = fx.seq_long(s, d)
+    one["seq"] = full.join(one["seq"].select("feature"), "feature", "left_semi").withColumn("seq", F.when(k % 5 == 0, F.expr("substring(seq, 4, length(seq) - 5)")).otherwise(F.col("seq")))
+    two["seq"] = full.join(two["seq"].select("feature"), "feature", "left_semi").withColumn("seq", F.when(k % 3 == 0, F.expr("substring(seq, 3, length(seq) - 4)")).otherwise(F.col("seq")))
+    return [one, two]
+
+
+_TRIM = {
+    "tb": OBJ["tb"],
+    "sq": "SELECT DISTINCT obj, feature, CASE WHEN obj = 0 AND CAST(feature AS INT) % 5 = 0 THEN SUBSTR(seq, 4, LENGTH(seq) - 5) WHEN obj = 1 AND CAST(feature AS INT) % 3 = 0 THEN SUBSTR(seq, 3, LENGTH(seq) - 4) ELSE seq END seq FROM tb JOIN seq_long USING (feature)",
+    "od": OBJ["od"],
+    "fs": "SELECT seq, MIN(obj * 1000000 + o) a FROM od GROUP BY seq",
+    "hd": "SELECT n.seq, MIN(k.a) root FROM fs n JOIN fs k ON n.a >= 1000000 AND k.a < 1000000 AND (contains(n.seq, k.seq) OR contains(k.seq, n.seq)) GROUP BY n.seq",
+    "rt": "SELECT fs.seq, a, COALESCE(root, a) root FROM fs LEFT JOIN hd USING (seq)",
+    "nr": "SELECT root, 'SV' || ROW_NUMBER() OVER (ORDER BY root) nw FROM (SELECT DISTINCT root FROM rt)",
+    "cn": "SELECT nw, arg_max(seq, LENGTH(seq) * 100000000::BIGINT - a) canonical FROM rt JOIN nr USING (root) GROUP BY nw",
+}
+register("align_substring", lambda s, d: combine.align(_trimmed(s, d), different_lengths=True)[1]["seq"], sql("seq_long", "SELECT DISTINCT nw feature, canonical seq FROM sq JOIN rt USING (seq) JOIN nr USING (root) JOIN cn USING (nw) WHERE obj = 1", **_TRIM))
+register("align_substring_tab", lambda s, d: combine.align(_trimmed(s, d), different_lengths=True)[1]["tab"], sql("seq_long", "SELECT nw feature, sample, SUM(value) value FROM tb JOIN sq USING (obj, feature) JOIN rt USING (seq) JOIN nr USING (root) WHERE obj = 1 GROUP BY ALL", **_TRIM))
+register("seq_containments", lambda s, d: sequences.containments(fx.seq(s, d).groupBy("seq").agg(F.min(F.col("feature").cast("long")).alias("id"))), sql("", "SELECT b.id AS \"inner\", a.id AS \"outer\" FROM q a JOIN q b ON a.id <> b.id AND contains(a.seq, b.seq)", q="SELECT p_name seq, MIN(p_partkey) id FROM part GROUP BY 1"))
+for k in (0, 1, 3):
+    register(f"seq_similar_{k}", lambda s, d, k=k: sequences.similar(fx.seq_long(s, d), k), sql("seq_long", f"SELECT a.feature f1, b.feature f2, CAST(levenshtein(a.seq, b.seq) AS INT) distance, {r('levenshtein(a.seq, b.seq) / CAST(GREATEST(LENGTH(a.seq), LENGTH(b.seq)) AS DOUBLE)', 'normalized')} FROM seq_long a JOIN seq_long b ON a.feature < b.feature AND ABS(LENGTH(a.seq) - LENGTH(b.seq)) <= {k} WHERE levenshtein(a.seq, b.seq) <= {k}"))
+# Within the band the edits are exact; beyond it they need not be.
+register("seq_distance_band_4", lambda s, d: combine.sequence_distance(fx.seq(s, d), band=4).where("distance <= 4"), sql("seq", f"SELECT a.feature f1, b.feature f2, CAST(levenshtein(a.seq, b.seq) AS INT) distance, {r('levenshtein(a.seq, b.seq) / CAST(GREATEST(LENGTH(a.seq), LENGTH(b.seq)) AS DOUBLE)', 'normalized')} FROM seq a JOIN seq b ON a.feature < b.feature WHERE levenshtein(a.seq, b.seq) <= 4"))
 register("seq_distance", lambda s, d: combine.sequence_distance(fx.seq(s, d)), sql("seq", f"SELECT a.feature f1, b.feature f2, CAST(levenshtein(a.seq, b.seq) AS INT) distance, {r('levenshtein(a.seq, b.seq) / CAST(GREATEST(LENGTH(a.seq), LENGTH(b.seq)) AS DOUBLE)', 'normalized')} FROM seq a JOIN seq b ON a.feature < b.feature"))
 register("seq_distance_banded", lambda s, d: combine.sequence_distance(fx.seq(s, d), band=100), sql("seq", f"SELECT a.feature f1, b.feature f2, CAST(levenshtein(a.seq, b.seq) AS INT) distance, {r('levenshtein(a.seq, b.seq) / CAST(GREATEST(LENGTH(a.seq), LENGTH(b.seq)) AS DOUBLE)', 'normalized')} FROM seq a JOIN seq b ON a.feature < b.feature"))
 

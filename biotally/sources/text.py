@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.relational import numbered
 from ..operators.taxonomy import PREFIX, prefix_of
 
 RANKS = ("Domain", "Phylum", "Class", "Order", "Family", "Genus", "Species")
@@ -186,7 +187,7 @@ def read_coverm(spark: SparkSession, path: str, first_sep: str = "", second_sep:
 def ebd_tables(long: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(sample, lineage, ord, value) -> (tab, tax): features are OTU1, ... by
     column; a leading Root goes; None and NA are null; over seven ranks raise."""
-    order = long.select("lineage", "ord").distinct().withColumn("feature", F.concat(F.lit("OTU"), F.row_number().over(Window.orderBy("ord", "lineage")).cast("string")))
+    order = numbered(long.select("lineage", "ord").distinct(), "n", "ord", "lineage").withColumn("feature", F.concat(F.lit("OTU"), F.col("n").cast("string")))
     tab = long.join(order, ["lineage", "ord"]).select("feature", "sample", "value").where("value > 0")
     parts = F.transform(F.split("lineage", ";"), lambda p: F.trim(p))
     parts = F.when(F.get(parts, F.lit(0)) == "Root", F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0)))).otherwise(parts)
