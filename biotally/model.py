@@ -12,7 +12,7 @@ from dataclasses import dataclass, fields, replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import alpha, beta, combine, relational, taxonomy
+from .operators import alpha, beta, combine, relational, taxonomy, trees
 from .sources import newick, text
 
 
@@ -141,15 +141,20 @@ class Community:
     def rarefy(self, depth: int | str = "min", seed: int = 0, replacement: bool = False) -> Community:
         return self._with_tab(relational.rarefy(self.tab, depth, seed, replacement))
 
-    def prune_tree(self, features: Sequence[str] | None = None, reroot: bool = False) -> Community:
-        """The tree of the listed features, or of the table's; built on the driver,
-        as trees are."""
-        keep = set(features) if features is not None else {r[0] for r in self.tab.select("feature").distinct().toLocalIterator()}
-        root = newick.prune(newick.from_rows([tuple(r) for r in self.tree.orderBy("dist_to_root", "node").collect()]), keep)
-        if root is None:
+    def prune_tree(self, features: Sequence[str] | DataFrame | None = None, reroot: bool = False) -> Community:
+        """The tree of the listed features (a list, or a table of feature), or of
+        the table's."""
+        if isinstance(features, DataFrame):
+            keep = features.select("feature")
+        else:
+            keep = self.tab.select("feature").distinct() if features is None else self.tree.sparkSession.createDataFrame([(f,) for f in features], "feature string")
+        pruned = relational.settled(trees.prune(self.tree, self.node_leaf, keep))
+        if pruned.isEmpty():
             raise ValueError("no leaf of the tree is kept")
-        nodes, leaves = newick.to_tables(self.tree.sparkSession, newick.reroot_midpoint(root) if reroot else root)
-        return replace(self, tree=nodes, node_leaf=leaves)
+        if reroot:
+            pruned = relational.settled(trees.reroot_midpoint(pruned, trees.closure(pruned)))
+        leaves = relational.settled(trees.closure(pruned))
+        return replace(self, tree=pruned.join(trees.dist_to_root(pruned), "node"), node_leaf=leaves)
 
     # -- measuring
 

@@ -24,23 +24,38 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint() if sc.getCheckpointDir() else df.persist()
 
 
-def numbered(df: DataFrame, name: str, *order: Column | str) -> DataFrame:
-    """``df`` with the place of each row, from 1, in a global order.
+def running(df: DataFrame, name: str, order: Sequence[Column | str], value: str | None = None, op: str = "sum") -> DataFrame:
+    """``df`` with the sum (or the least: ``op`` min) of ``value`` over all rows up
+    to and with each one in a global order; without ``value``, its place from 1.
 
-    Rows are dealt to partitions by ranges of the order and sorted there; a
-    partition's rows are counted, and what lies before it is added. No task has
+    Rows are dealt to partitions by ranges of the order and sorted there; what
+    the partitions before one amount to, a number each, is added. No task has
     more than a range. ``order`` should tell rows apart, as equal ones go to one
     range."""
     spark = df.sparkSession
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = df.repartitionByRange(tasks, *order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
-    rows = settled(rows).withColumn("_part", F.shiftright("_id", 33)).withColumn("_at", F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)))
-    before, total = [], 0
-    for r in sorted(rows.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect()):  # a row a partition
-        before.append((r["_part"], total))
-        total += r["n"]
-    offsets = spark.createDataFrame(before, "_part long, _before long")
-    return rows.join(F.broadcast(offsets), "_part").withColumn(name, F.col("_at") + F.col("_before") + 1).drop("_part", "_id", "_at", "_before")
+    rows = settled(rows).withColumn("_part", F.shiftright("_id", 33))
+    add = {"sum": lambda x, y: x + y, "min": F.least}[op]
+    if value is None:
+        rows = rows.withColumn(name, F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)) + 1)
+        parts = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("own"))
+    else:
+        whole = {"sum": F.sum, "min": F.min}[op]
+        rows = rows.withColumn(name, whole(value).over(Window.partitionBy("_part").orderBy("_id").rowsBetween(Window.unboundedPreceding, 0)))
+        parts = rows.groupBy("_part").agg(whole(value).alias("own"))
+    before, total = [], None
+    for part, own in sorted((r["_part"], r["own"]) for r in parts.collect()):  # a row a partition
+        before.append((part, total))
+        total = own if total is None else total + own if op == "sum" else min(total, own)
+    kind = rows.schema[name].dataType.simpleString()
+    offsets = spark.createDataFrame(before, f"_part long, _before {kind}")
+    return rows.join(F.broadcast(offsets), "_part").withColumn(name, F.when(F.col("_before").isNull(), F.col(name)).otherwise(add(F.col(name), F.col("_before")))).drop("_part", "_id", "_before")
+
+
+def numbered(df: DataFrame, name: str, *order: Column | str) -> DataFrame:
+    """``df`` with the place of each row, from 1, in a global order."""
+    return running(df, name, order)
 
 
 def average_ranks(df: DataFrame, value: str, name: str, *ties: str) -> DataFrame:

@@ -267,6 +267,45 @@ register(
         p="SELECT a.node f1, b.node f2 FROM tips_small a JOIN tips_small b ON a.node < b.node",
     ),
 )
+register(
+    "tree_distance_types",
+    lambda s, d: trees.tree_distance(fx.tree_types(s, d), trees.closure(fx.tree_types(s, d))),
+    sql("", f"SELECT a.node f1, b.node f2, {r('a.l + b.l + CASE WHEN a.parent = b.parent THEN 0 ELSE 1.0::DOUBLE END', 'd')} FROM t a JOIN t b ON a.node < b.node", t="SELECT p_type || '/' || p_brand node, p_type parent, AVG(CAST(p_size AS DOUBLE)) / 50 l FROM part GROUP BY ALL"),
+)
+register(
+    "tree_tour",
+    lambda s, d: trees.tour(fx.tree_large(s, d), fx.leaves_large(s, d)).select("node", "leaves", "first", "depth"),
+    sql(
+        "", f"SELECT node, COUNT(*) leaves, MIN(k) - 1 AS \"first\", {r('ANY_VALUE(h)', 'depth')} FROM (SELECT k, UNNEST([tip, brand, type, 'root']) node, UNNEST([1.0::DOUBLE, 0.8::DOUBLE, 0.5::DOUBLE, 0.0::DOUBLE]) h FROM o) GROUP BY node",
+        o="SELECT *, ROW_NUMBER() OVER (ORDER BY type, brand, tip) k FROM (SELECT CAST(p_partkey AS VARCHAR) tip, p_type || '/' || p_brand brand, p_type AS type FROM part)",
+    ),
+)
+register(
+    "prune_tree",
+    lambda s, d: trees.prune(fx.tree_large(s, d), fx.leaves_large(s, d), fx.tax(s, d).where("Phylum is null")),
+    sql(
+        "tax", f"SELECT node, parent, {r('branchL', 'branchL')} FROM o",
+        k="SELECT CAST(p_partkey AS VARCHAR) tip, p_type || '/' || p_brand brand, p_type AS type FROM part JOIN tax ON feature = CAST(p_partkey AS VARCHAR) WHERE \"Phylum\" IS NULL",
+        c="SELECT *, COUNT(*) OVER (PARTITION BY brand) nb, nt FROM k JOIN (SELECT type, COUNT(DISTINCT brand) nt FROM k GROUP BY type) USING (type)",
+        o="SELECT tip node, CASE WHEN nb > 1 THEN brand WHEN nt > 1 THEN type ELSE 'root' END parent, 0.2::DOUBLE + CASE WHEN nb > 1 THEN 0 WHEN nt > 1 THEN 0.3::DOUBLE ELSE 0.8::DOUBLE END \"branchL\" FROM c UNION ALL SELECT DISTINCT brand, CASE WHEN nt > 1 THEN type ELSE 'root' END, 0.3::DOUBLE + CASE WHEN nt > 1 THEN 0 ELSE 0.5::DOUBLE END FROM c WHERE nb > 1 UNION ALL SELECT DISTINCT type, 'root', 0.5::DOUBLE FROM c WHERE nt > 1 UNION ALL SELECT 'root', NULL, 0",
+    ),
+)
+
+
+def _heights(tree):
+    tips = tree.select("node").join(tree.select(F.col("parent").alias("node")), "node", "left_anti")
+    tall = trees.dist_to_root(tree).join(tips, "node").agg(F.max("dist_to_root").alias("height"), F.count(F.lit(1)).alias("leaves"))
+    return tall.join(F.broadcast(tree.agg(F.sum("branchL").alias("length"))))  # one row each
+
+
+register(
+    "prune_reroot",
+    lambda s, d: _heights(trees.reroot_midpoint(fx.tree_uneven(s, d), fx.leaves_large(s, d))),
+    sql(
+        "", f"SELECT {r('MAX(a.l + b.l + CASE WHEN a.brand = b.brand THEN 0 WHEN a.type = b.type THEN 0.6::DOUBLE ELSE 1.6::DOUBLE END) / 2', 'height')}, (SELECT COUNT(*) FROM t) leaves, {r('(SELECT SUM(l) + 0.3::DOUBLE * COUNT(DISTINCT brand) + 0.5::DOUBLE * COUNT(DISTINCT type) FROM t)', 'length')} FROM t a JOIN t b ON a.k < b.k",
+        t="SELECT p_partkey k, p_type || '/' || p_brand brand, p_type AS type, 0.2::DOUBLE + p_size / 10.0::DOUBLE l FROM part",
+    ),
+)
 register(
     "subset_tree",
     lambda s, d: trees.subset_tree_rows(fx.tree_large(s, d), fx.leaves_large(s, d), fx.tax(s, d).where("Phylum is null")),

@@ -84,6 +84,20 @@ def leaves_large(spark: SparkSession, d: str) -> DataFrame:
     return p.select("leaf", F.explode(F.array("leaf", "brand", "type", F.lit("root"))).alias("node")).select("node", "leaf")
 
 
+def tree_uneven(spark: SparkSession, d: str) -> DataFrame:
+    """``tree_large`` with tips as long as their parts are large."""
+    p = read(spark, d, "part").select(F.col("p_partkey").cast("string").alias("node"), (F.lit(0.2) + F.col("p_size") / 10).alias("own"))
+    return tree_large(spark, d).join(p, "node", "left").select("node", "parent", F.coalesce("own", "branchL").alias("branchL"))
+
+
+def tree_types(spark: SparkSession, d: str) -> DataFrame:
+    """Root, types, and brands within types as leaves, by their parts' mean size."""
+    p = read(spark, d, "part").select(F.col("p_type").alias("type"), F.concat_ws("/", "p_type", "p_brand").alias("brand"), "p_size")
+    tips = p.groupBy(F.col("brand").alias("node"), F.col("type").alias("parent")).agg((F.avg(F.col("p_size").cast("double")) / 50).alias("branchL"))
+    types = p.select(F.col("type").alias("node"), F.lit("root").alias("parent"), F.lit(0.5).alias("branchL")).distinct()
+    return spark.createDataFrame([("root", None, 0.0)], "node string, parent string, branchL double").unionByName(types).unionByName(tips)
+
+
 def tax(spark: SparkSession, d: str) -> DataFrame:
     """feature, Domain, Phylum, Genus; with unknowns, blanks and nulls among them."""
     p = read(spark, d, "part")

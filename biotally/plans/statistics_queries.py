@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from ..operators import alpha, beta, combine, nulls, ordination, sequences, simulate
 from ..operators import statistics as st
-from ..sources import newick
 from . import fixtures as fx
 from .diversity_queries import DENSE, SPINE, P
 from .registry import r, register, sql
@@ -287,15 +286,6 @@ register("assembly_k_steps", lambda s, d: simulate.assembly_steps(_assembly(s, d
 register("simulate_assembly", lambda s, d: simulate.simulate_assembly(_assembly(s, d), selection=2.0, dispersal=1.0, max_iter=50)[0])
 register("block_tree", lambda s, d: simulate.block_tree(s, [2, 3, 4], [0.5, 0.3, 0.2])[0].groupBy("branchL").agg(F.count(F.lit(1)).alias("n"), F.max("dist_to_root").alias("height")), f"SELECT * FROM (VALUES (0.0::DOUBLE, 1::BIGINT, 0.0::DOUBLE), (0.5, 2, 0.5), (0.3, 6, 0.8), (0.2, 24, 1.0)) t(\"branchL\", n, height)")
 register("beta_split_tree", lambda s, d: simulate.beta_splitting_tree(s, 40, -1.0, seed=5)[0])
-
-
-def _pruned(s, d):
-    root = newick.from_rows([tuple(x) for x in fx.tree_small(s, d).orderBy(F.col("parent").isNotNull(), "node").collect()])
-    names = sorted(n.name for n in root.leaves())[::2]
-    return newick.to_tables(s, newick.reroot_midpoint(newick.prune(root, set(names))))[0]
-
-
-register("prune_reroot", _pruned)
 register(
     "null_custom",
     lambda s, d: nulls.null_from(lambda w: w.groupBy("it", "sample").agg(F.max("w").alias("value")), alpha.powers(fx.tab_small(s, d), 1), ["sample"], 3),

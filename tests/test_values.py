@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from biotally.functions.hill import dissimilarity
-from biotally.operators import alpha, beta, combine, nulls, ordination, relational, simulate, statistics, trees
+from biotally.operators import alpha, beta, combine, nulls, ordination, relational, sequences, simulate, statistics, trees
 from biotally.sources import newick, text
 
 TOY = [("OTU1", "S1", 10.0), ("OTU1", "S2", 5.0), ("OTU1", "S3", 1.0), ("OTU2", "S2", 5.0), ("OTU2", "S3", 1.0), ("OTU3", "S3", 1.0), ("OTU4", "S3", 7.0)]
@@ -246,7 +246,7 @@ def test_align_by_substring(spark):
     objs = [{"seq": spark.createDataFrame(s, "feature string, seq string"), "tab": spark.createDataFrame([(f, "s", 1.0) for f, _ in s], TAB)} for s in seqs]
     got = [{r["feature"]: r["value"] for r in o["tab"].collect()} for o in combine.align(objs, different_lengths=True)]
     assert got == [{"SV1": 1, "SV2": 1}, {"SV1": 1, "SV3": 2}]
-    assert combine._banded("kitten", "sitting", 3) == 3
+    assert sequences.banded(["kitten"], ["sitting"], 3).tolist() == [3]
 
 
 def test_simulated_trees(spark):
