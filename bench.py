@@ -33,6 +33,7 @@ def headline(s: SparkSession, d: str) -> dict:
         "func_alpha_q1": lambda: alpha.func_alpha(small(), fx.distmat(s, d), 1),
         "naive_multi_beta_q1": lambda: beta.naive_multi_beta(wide(), fx.regions(fx.supplier_meta(s, d)), 1),
         "rarefy_min": lambda: relational.rarefy(wide(), "min", 7),
+        "rarefy_counts_min": lambda: relational.rarefy(wide(), "min", 7, method="counts"),
         "nri_99": lambda: nulls.nri(small(), fx.distmat(s, d), 1, 99, seed=5),
         "gower": lambda: stats.gower(fx.supplier_meta(s, d)),
         "merge_samples": lambda: relational.merge_samples(wide(), fx.supplier_meta(s, d), "region"),

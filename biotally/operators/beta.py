@@ -7,12 +7,15 @@ all features. Pairs without a shared feature are added from the list of samples.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hill import dissimilarity, from_sum, is_one, term
 from ..functions.hill import evenness as evenness_column
 from .alpha import branch_shares, by_distance, gram, nearest, powers, relative
+from .relational import settled
+from .tiles import Kernel, split_sums
 
 
 def pair_spine(samples: DataFrame) -> DataFrame:
@@ -34,6 +37,23 @@ def shared_sums(rows: DataFrame, key: str, total: Column) -> DataFrame:
     return a.join(b, key).where("s1 < s2").groupBy("s1", "s2").agg(total.alias("x"))
 
 
+def _shared(rows: DataFrame, key: str, total: Column, kernel: Kernel, tiled: bool) -> DataFrame:
+    """``shared_sums``, or by tiles for keys of many samples; ``kernel`` is what
+    ``total`` adds up, on arrays."""
+    return split_sums(rows, key, lambda own: shared_sums(own, key, total), kernel) if tiled else shared_sums(rows, key, total)
+
+
+def _beyond_arrays(q: float, weighted: bool = False) -> Kernel:
+    """``_beyond`` on arrays of half, part (and branchL)."""
+
+    def kernel(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+        both = a[0] + b[0]
+        x = (both * np.log(both) if is_one(q) else np.ones_like(both) if q == 0 else both**q) - a[1] - b[1]
+        return a[2] * x if weighted else x
+
+    return kernel
+
+
 def _with_spine(pairs: DataFrame, totals: DataFrame, spine: DataFrame | None = None) -> DataFrame:
     """All pairs with both samples' totals (columns suffixed 1 and 2)."""
     names = [c for c in totals.columns if c != "sample"]
@@ -48,12 +68,12 @@ def _beyond(q: float) -> Column:
     return term(F.col("half1") + F.col("half2"), q) - F.col("part1") - F.col("part2")
 
 
-def naive_beta(tab: DataFrame, q: float = 1, dis: bool = True, viewpoint: str = "regional", use_values: bool = False, spine: DataFrame | None = None) -> DataFrame:
-    """s1, s2, value."""
+def naive_beta(tab: DataFrame, q: float = 1, dis: bool = True, viewpoint: str = "regional", use_values: bool = False, spine: DataFrame | None = None, tiled: bool = False) -> DataFrame:
+    """s1, s2, value. ``tiled``: for features that many samples share."""
     p = relative(tab, use_values)
     totals = p.groupBy("sample").agg(F.sum(term(F.col("p"), q)).alias("t"), F.sum(term(F.col("p") / 2, q)).alias("h"))
     halves = p.select("feature", "sample", (F.col("p") / 2).alias("half"), term(F.col("p") / 2, q).alias("part"))
-    pairs = shared_sums(halves, "feature", F.sum(_beyond(q)))
+    pairs = _shared(halves, "feature", F.sum(_beyond(q)), _beyond_arrays(q), tiled)
     rows = _with_spine(pairs, totals, spine)
     gamma = from_sum(F.col("h1") + F.col("h2") + F.coalesce("x", F.lit(0.0)), q)
     alpha = from_sum((F.col("t1") + F.col("t2")) / 2, q)
@@ -61,14 +81,16 @@ def naive_beta(tab: DataFrame, q: float = 1, dis: bool = True, viewpoint: str =
     return rows.select("s1", "s2", (dissimilarity(beta, q, 2.0, "naive", viewpoint) if dis else beta).alias("value"))
 
 
-def phyl_beta(tab: DataFrame, tree: DataFrame, node_leaf: DataFrame, q: float = 1, dis: bool = True, viewpoint: str = "regional", use_values: bool = False, spine: DataFrame | None = None) -> DataFrame:
-    """s1, s2, value; sums of both levels are over the pair's pooled height."""
+def phyl_beta(tab: DataFrame, tree: DataFrame, node_leaf: DataFrame, q: float = 1, dis: bool = True, viewpoint: str = "regional", use_values: bool = False, spine: DataFrame | None = None, tiled: bool = True) -> DataFrame:
+    """s1, s2, value; sums of both levels are over the pair's pooled height.
+    ``tiled``: nodes near the root, which all samples share, by tiles."""
     a = branch_shares(tab, node_leaf, use_values).join(tree.select("node", "branchL"), "node").where("a > 0")
+    a = settled(a) if tiled else a
     length = F.col("branchL")
     totals = a.groupBy("sample").agg(F.sum(length * term(F.col("a"), q)).alias("t"), F.sum(length * term(F.col("a") / 2, q)).alias("h"), F.sum(length * F.col("a")).alias("m"))
     # Branches without length add nothing to any pair.
     halves = a.where("branchL <> 0").select("node", "sample", (F.col("a") / 2).alias("half"), term(F.col("a") / 2, q).alias("part"), "branchL")
-    pairs = shared_sums(halves, "node", F.sum(F.col("branchL1") * _beyond(q)))
+    pairs = _shared(halves, "node", F.sum(F.col("branchL1") * _beyond(q)), _beyond_arrays(q, weighted=True), tiled)
     rows = _with_spine(pairs, totals, spine).withColumn("pooled", (F.col("m1") + F.col("m2")) / 2)
     gamma = from_sum(F.try_divide(F.col("h1") + F.col("h2") + F.coalesce("x", F.lit(0.0)), F.col("pooled")), q)
     alpha = from_sum(F.try_divide((F.col("t1") + F.col("t2")) / 2, F.col("pooled")), q)
@@ -108,9 +130,9 @@ def func_beta(tab: DataFrame, distmat: DataFrame, q: float = 1, dis: bool = True
     return rows.select("s1", "s2", (dissimilarity(beta, q, 2.0, "func", viewpoint) if dis else beta).alias("value"))
 
 
-def bray(tab: DataFrame, use_values: bool = False, spine: DataFrame | None = None) -> DataFrame:
+def bray(tab: DataFrame, use_values: bool = False, spine: DataFrame | None = None, tiled: bool = False) -> DataFrame:
     p = relative(tab, use_values)
-    pairs = shared_sums(p, "feature", F.sum(F.least("p1", "p2")))
+    pairs = _shared(p, "feature", F.sum(F.least("p1", "p2")), lambda a, b: np.minimum(a[0], b[0]), tiled)
     return (pair_spine(p) if spine is None else spine).join(pairs, ["s1", "s2"], "left").select("s1", "s2", (F.lit(1.0) - F.coalesce("x", F.lit(0.0))).alias("value"))
 
 
