@@ -138,8 +138,8 @@ class Community:
     def clean_tax(self) -> Community:
         return replace(self, tax=taxonomy.clean_taxonomy(self.tax))
 
-    def rarefy(self, depth: int | str = "min", seed: int = 0, replacement: bool = False) -> Community:
-        return self._with_tab(relational.rarefy(self.tab, depth, seed, replacement))
+    def rarefy(self, depth: int | str = "min", seed: int = 0, replacement: bool = False, method: str = "reads") -> Community:
+        return self._with_tab(relational.rarefy(self.tab, depth, seed, replacement, method))
 
     def prune_tree(self, features: Sequence[str] | DataFrame | None = None, reroot: bool = False) -> Community:
         """The tree of the listed features (a list, or a table of feature), or of

@@ -134,9 +134,14 @@ def taxa_match(tax: DataFrame, patterns: Sequence[str] | str, levels: Sequence[s
     return out
 
 
-def subset_taxa(tab: DataFrame, tax: DataFrame, patterns: Sequence[str] | str, levels: Sequence[str] | str | None = None, *, exclude: bool = False, **how) -> DataFrame:
+def subset_taxa(tab: DataFrame, tax: DataFrame, patterns: Sequence[str] | str, levels: Sequence[str] | str | None = None, *, exclude: bool = False, allow_empty: bool = True, **how) -> DataFrame:
+    """Rows of the features whose taxonomy matches, or of the others. Without
+    ``allow_empty`` it raises if no feature is left, which takes an action."""
     mask = taxa_match(tax, patterns, levels, **how)
-    return subset_features(tab, tax.where(~mask if exclude else mask))
+    out = subset_features(tab, tax.where(~mask if exclude else mask))
+    if not allow_empty and out.isEmpty():
+        raise ValueError("no features are left")
+    return out
 
 
 def group_key(by: Sequence[str]) -> Column:

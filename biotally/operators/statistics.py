@@ -229,10 +229,11 @@ def benjamini_hochberg(rows: DataFrame, p: str = "p") -> DataFrame:
 # -- bootstrap of within and between distances -------------------------------------------
 
 
-def bootstrap(pairs: DataFrame, meta: DataFrame, by: Sequence[str] | str, n: int = 1000, alpha: float = 0.05, seed: int = 0) -> DataFrame:
+def bootstrap(pairs: DataFrame, meta: DataFrame, by: Sequence[str] | str, n: int = 1000, alpha: float = 0.05, seed: int = 0, return_boot: bool = False) -> DataFrame:
     """factor, part (within or between), mean, lo, hi, pairs: samples redrawn
     within crossed cells and told apart once, means over pairs of samples, and
-    their percentiles over the redraws. With several factors 'Crossed' has cells."""
+    their percentiles over the redraws. With several factors 'Crossed' has cells.
+    ``return_boot``: boot, factor, part, mean, pairs of each redraw instead."""
     by = [by] if isinstance(by, str) else list(by)
     cells = meta.select("sample", *[F.col(c).cast("string").alias(c) for c in by]).where(" and ".join(f"`{c}` is not null" for c in by))
     cells = cells.withColumn("Crossed", F.concat_ws("|", *by))
@@ -246,5 +247,7 @@ def bootstrap(pairs: DataFrame, meta: DataFrame, by: Sequence[str] | str, n: int
     rows = pairs.join(one, "s1").join(two, ["boot", "s2"])
     tests = F.array(*[F.struct(F.lit(c).alias("factor"), F.when(F.col(f"{c}_1") == F.col(f"{c}_2"), F.lit("within")).otherwise(F.lit("between")).alias("part")) for c in names])
     each = rows.select("boot", "value", F.inline(tests)).groupBy("boot", "factor", "part").agg(F.avg("value").alias("mean"), F.count(F.lit(1)).alias("pairs"))
+    if return_boot:
+        return each
     q = F.percentile("mean", F.array(F.lit(alpha / 2), F.lit(1 - alpha / 2)))
     return each.groupBy("factor", "part").agg(F.avg("mean").alias("mean"), q[0].alias("lo"), q[1].alias("hi"), F.floor(F.sum("pairs") / F.lit(n)).alias("pairs"))

@@ -231,10 +231,14 @@ def collapse_single_children(tree: DataFrame, node_leaf: DataFrame) -> DataFrame
     return sets.join(tree.select("node", "branchL"), "node").groupBy("leaves").agg(F.sum("branchL").alias("branchL"))
 
 
-def rename_leaves(tree: DataFrame, mapping: DataFrame) -> DataFrame:
+def rename_leaves(tree: DataFrame, mapping: DataFrame, allow_partial: bool = True) -> DataFrame:
     """Tips renamed by (old, new); others keep their names. Raises if two nodes
-    would share one."""
+    would share one, and, without ``allow_partial``, if an old name is no tip's."""
     inner = tree.select(F.col("parent").alias("node")).where("node is not null").distinct().withColumn("inner", F.lit(True))
+    if not allow_partial:
+        tips = tree.select("node").join(inner, "node", "left_anti").select(F.col("node").alias("old"))
+        if absent := [r[0] for r in mapping.select("old").join(tips, "old", "left_anti").orderBy("old").limit(10).collect()]:
+            raise ValueError(f"no leaves of the tree: {absent}")
     named = tree.join(inner, "node", "left").join(mapping.select(F.col("old").alias("node"), "new"), "node", "left")
     out = named.select(F.when(F.col("inner").isNull(), F.coalesce("new", "node")).otherwise(F.col("node")).alias("node"), "parent", "branchL")
     if out.groupBy("node").count().where("count > 1").limit(1).count():
