@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import relational as rel
 from ..operators import taxonomy
-from ..sources import text
+from ..sources import newick, text
 from . import fixtures as fx
 from .diversity_queries import P, from_sum, term
 from .registry import r, register, sql
@@ -128,6 +128,20 @@ register(
     lambda s, d: text.ebd_tables(fx.lineage(s, d).select(F.lit("s1").alias("sample"), F.concat(F.lit("Root; "), F.regexp_replace("lineage", ";", "; "), F.lit("; None")).alias("lineage"), F.col("feature").cast("int").alias("ord"), F.lit(1.0).alias("value")))[1],
     sql("lineage", "SELECT 'OTU' || ROW_NUMBER() OVER (ORDER BY CAST(feature AS INT)) feature, string_split(lineage, ';')[1] \"Domain\", string_split(lineage, ';')[2] \"Phylum\", string_split(lineage, ';')[3] \"Class\", NULL::VARCHAR \"Order\", NULL::VARCHAR \"Family\", NULL::VARCHAR \"Genus\", NULL::VARCHAR \"Species\" FROM lineage"),
 )
+
+
+def _type_trees(s, d):
+    """A tree for each type, of brands and their parts, as text."""
+    p = fx.read(s, d, "part").select("p_type", "p_brand", F.concat(F.col("p_partkey").cast("string"), F.lit(":0."), F.lpad(F.col("p_size").cast("string"), 2, "0")).alias("tip"))
+    clades = p.groupBy("p_type", "p_brand").agg(F.concat(F.lit("("), F.array_join(F.sort_array(F.collect_list("tip")), ","), F.lit(")'"), F.col("p_brand"), F.lit("':0.5")).alias("clade"))
+    return clades.groupBy("p_type").agg(F.concat(F.lit("("), F.array_join(F.sort_array(F.collect_list("clade")), ","), F.lit(")'"), F.col("p_type"), F.lit("';")).alias("newick"))
+
+
+register(
+    "parse_newick_column",
+    lambda s, d: newick.parse_column(_type_trees(s, d)),
+    f"SELECT p_type, CAST(p_partkey AS VARCHAR) node, p_brand parent, {r('CAST(p_size AS DOUBLE) / 100', 'branchL')}, {r('0.5::DOUBLE + CAST(p_size AS DOUBLE) / 100', 'dist_to_root')} FROM part UNION ALL SELECT DISTINCT p_type, p_brand, p_type, 0.5::DOUBLE, 0.5::DOUBLE FROM part UNION ALL SELECT DISTINCT p_type, p_type, NULL, 0.0::DOUBLE, 0.0::DOUBLE FROM part",
+)
 register(
     "fasta_text",
     lambda s, d: text.fasta_records(fx.seq(s, d).select(F.concat("feature", F.lit(";size=3\n"), F.substring("seq", 1, 6), F.lit("\n"), F.expr("substring(seq, 7)"), F.lit("\n")).alias("value")), ";"),

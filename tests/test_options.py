@@ -4,6 +4,7 @@ import pytest
 
 from biotally.model import Community
 from biotally.operators import relational, statistics, trees
+from biotally.sources import newick
 
 TAB = "feature string, sample string, value double"
 
@@ -52,3 +53,19 @@ def test_pruned_communities(spark):
     assert turned["c"] == turned["b"] == 5.0 and turned["in_midroot"] == 0.0
     with pytest.raises(ValueError):
         c.prune_tree(["none"])
+
+
+def test_trees_in_a_column(spark):
+    rows = [(1, "((A:1,B:2)i:1,C:3)r;", "x"), (2, None, "x"), (3, " ", "y"), (4, "(A,B);", "y"), (4, "A;", None)]
+    df = spark.createDataFrame(rows, "id int, newick string, node_id string")
+    got = [tuple(r) for r in newick.parse_column(df).collect()]
+    assert sorted(r[2] for r in got if r[0] == 1) == ["A", "B", "C", "i", "r"]
+    assert {(r[2], r[3], r[4], r[5]) for r in got if r[0] == 1} >= {("B", "i", 2.0, 3.0), ("r", None, 0.0, 0.0)}
+    assert sorted((r[0], r[1], r[2]) for r in got if r[0] == 4 and r[1]) == [(4, "y", "A"), (4, "y", "B"), (4, "y", "in1")]
+    assert (4, None, "A", None, 0.0, 0.0) in got
+    assert {r[0] for r in got} == {1, 4}
+    bad = df.limit(0).unionByName(spark.createDataFrame([(5, "((A,B);", "z")], df.schema))
+    assert newick.parse_column(bad, strict=False).collect() == []
+    with pytest.raises(Exception, match="brackets"):
+        newick.parse_column(bad).collect()
+    assert newick.parse_column(df.limit(0)).collect() == []
