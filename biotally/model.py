@@ -46,6 +46,34 @@ class Community:
             out = replace(out, tree=nodes, node_leaf=leaves)
         return out.autocorrect()
 
+    def add_sintax(self, spark: SparkSession, path: str) -> Community:
+        return replace(self, tax=text.read_sintax(spark, path)).autocorrect()
+
+    def add_qiime(self, spark: SparkSession, path: str) -> Community:
+        return replace(self, tax=text.read_qiime(spark, path)).autocorrect()
+
+    def add_gtdb(self, spark: SparkSession, *paths: str) -> Community:
+        return replace(self, tax=text.read_gtdb(spark, paths)).autocorrect()
+
+    def add_fasta(self, spark: SparkSession, path: str, name_splitter: str | None = None) -> Community:
+        return replace(self, seq=text.read_fasta(spark, path, name_splitter)).autocorrect()
+
+    def add_coverm(self, spark: SparkSession, path: str, **how) -> Community:
+        """The abundance table, and in meta unmapped_reads_perc; without meta, it
+        is made of the samples that the file tells this of."""
+        tab, unmapped = text.read_coverm(spark, path, **how)
+        share = unmapped.select("sample", F.col("pct").alias("unmapped_reads_perc"))
+        meta = share if self.meta is None else self.meta.drop("unmapped_reads_perc").join(share, "sample", "left")
+        # A file without the share says nothing of samples.
+        if self.meta is None and share.isEmpty():
+            meta = None
+        return replace(self, tab=tab, meta=meta).autocorrect()
+
+    def add_ebd(self, spark: SparkSession, path: str, sep: str = "\t") -> Community:
+        """Abundances and taxonomy of a table of samples by lineages."""
+        tab, tax = text.read_ebd(spark, path, sep)
+        return replace(self, tab=tab, tax=tax).autocorrect()
+
     @classmethod
     def from_dict(cls, tables: dict[str, DataFrame]) -> Community:
         names = {f.name for f in fields(cls)}

@@ -69,3 +69,31 @@ def test_trees_in_a_column(spark):
     with pytest.raises(Exception, match="brackets"):
         newick.parse_column(bad).collect()
     assert newick.parse_column(df.limit(0)).collect() == []
+
+
+def test_readers_of_communities(spark, tmp_path):
+    def file(name, *lines):
+        (tmp_path / name).write_text("\n".join(lines) + "\n")
+        return str(tmp_path / name)
+
+    tab = spark.createDataFrame([("A", "s", 3.0), ("B", "s", 1.0), ("C", "s", 2.0)], TAB)
+    c = Community(tab=tab)
+    held = lambda x: {r["feature"] for r in x.tab.collect()}
+    q = c.add_qiime(spark, file("q.tsv", "Feature ID\tTaxon", "A\td__Bac; p__Pro", "B\td__Arc"))
+    assert held(q) == {"A", "B"} and {r["feature"]: r["Domain"] for r in q.tax.collect()} == {"A": "Bac", "B": "Arc"}
+    g = c.add_gtdb(spark, file("g.tsv", "user_genome\tclassification", "A\td__Bac;p__Pro"), file("h.tsv", "user_genome\tclassification", "C\td__Arc;p__"))
+    assert held(g) == {"A", "C"}
+    x = c.add_sintax(spark, file("s.txt", "A\td:Bac(1.00),p:Pro(0.9)\t+\td:Bac,p:Pro"))
+    assert held(x) == {"A"}
+    f = c.add_fasta(spark, file("f.fa", ">A;size=1", "ACGT", ">B;size=2", "GG", "CC"), ";")
+    assert {r["feature"]: r["seq"] for r in f.seq.collect()} == {"A": "ACGT", "B": "GGCC"}
+    p = file("c.tsv", "Genome\ts1 Relative Abundance (%)\ts2 Relative Abundance (%)", "unmapped\t40\t10", "G1\t60\t50", "G2\t0\t40")
+    m = Community().add_coverm(spark, p)
+    assert {(r["sample"], r["unmapped_reads_perc"]) for r in m.meta.collect()} == {("s1", 40.0), ("s2", 10.0)}
+    assert {tuple(r) for r in m.tab.select("feature", "sample", "value").collect()} == {("G1", "s1", 60.0), ("G1", "s2", 50.0), ("G2", "s2", 40.0)}
+    meta = spark.createDataFrame([("s1", "x"), ("s3", "y")], "sample string, grp string")
+    m = Community(meta=meta).add_coverm(spark, p)
+    assert [tuple(r) for r in m.meta.select("sample", "grp", "unmapped_reads_perc").collect()] == [("s1", "x", 40.0)]
+    e = Community().add_ebd(spark, file("e.tsv", "sample\tRoot; d__Bac; p__Pro\tRoot; d__Arc", "s1\t2\t0", "s2\t1\t4"))
+    assert {tuple(r) for r in e.tab.select("feature", "sample", "value").collect()} == {("OTU1", "s1", 2.0), ("OTU1", "s2", 1.0), ("OTU2", "s2", 4.0)}
+    assert {r["feature"]: r["Domain"] for r in e.tax.collect()} == {"OTU1": "d__Bac", "OTU2": "d__Arc"}
