@@ -1,7 +1,7 @@
 """Headline queries at $BENCH_SF_DIR on local[$BENCH_CPUS]; prints one JSON line.
 
 Each query runs once to warm up and three times for its median. Results are
-counted in full through the no-op sink.
+counted in full through the no-op sink. What a run keeps is dropped before the next.
 """
 
 from __future__ import annotations
@@ -56,6 +56,7 @@ def main() -> None:
     for name, build in headline(spark, d).items():
         each = []
         for k in range(4):
+            spark.catalog.clearCache()  # else a run finds what the one before it has kept
             t = time.perf_counter()
             build().withColumn("_one", F.lit(1)).write.format("noop").mode("overwrite").save()
             if k:
