@@ -35,6 +35,7 @@ def headline(s: SparkSession, d: str) -> dict:
         "rarefy_min": lambda: relational.rarefy(wide(), "min", 7),
         "rarefy_counts_min": lambda: relational.rarefy(wide(), "min", 7, method="counts"),
         "nri_99": lambda: nulls.nri(small(), fx.distmat(s, d), 1, 99, seed=5),
+        "nri_999_arrays": lambda: nulls.nri(small(), fx.distmat(s, d), 1, 999, seed=5, arrays=True),
         "gower": lambda: stats.gower(fx.supplier_meta(s, d)),
         "merge_samples": lambda: relational.merge_samples(wide(), fx.supplier_meta(s, d), "region"),
     }

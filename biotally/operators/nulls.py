@@ -2,7 +2,9 @@
 
 Randomisation is by hashes of (seed, iteration, sample, feature), so a result
 does not depend on partitions or on how often it is computed. Every iteration's
-table is a set of rows and all iterations go through one plan.
+table is a set of rows and all iterations go through one plan. With ``arrays``
+the same iterations are run in tasks and only their moments leave these
+(``moments``), for many iterations.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rng import exponential, key, uniform
-from . import beta
+from . import beta, moments
 from .alpha import nearest, powers
 from .relational import interval_hits, settled
 
@@ -54,8 +56,10 @@ def permuted(w: DataFrame, n: int, seed: int, randomization: str = "features") -
     return w.select(F.lit(0).cast("long").alias("it"), "feature", "sample", "w").unionByName(null)
 
 
-def nri(tab: DataFrame, distmat: DataFrame, q: float = 1, n: int = 999, randomization: str = "features", seed: int = 0) -> DataFrame:
+def nri(tab: DataFrame, distmat: DataFrame, q: float = 1, n: int = 999, randomization: str = "features", seed: int = 0, arrays: bool = False) -> DataFrame:
     """sample, obs, null_mean, null_std, p, ses of the mean pairwise distance."""
+    if arrays:
+        return moments.against_null(powers(tab, q), distmat, moments.mean_pairwise, n, seed, randomization, own=True)
     w = permuted(powers(tab, q), n, seed, randomization)
     dw = w.join(distmat, w["feature"] == distmat["f2"]).groupBy("it", "sample", F.col("f1").alias("feature")).agg(F.sum(F.col("d") * F.col("w")).alias("dw"))
     g = w.join(dw, ["it", "sample", "feature"]).groupBy("it", "sample").agg(F.sum(F.col("w") * F.col("dw")).alias("g"))
@@ -64,8 +68,10 @@ def nri(tab: DataFrame, distmat: DataFrame, q: float = 1, n: int = 999, randomiz
     return against_null(size.join(g, ["it", "sample"], "left").select("it", "sample", value.alias("value")), ["sample"])
 
 
-def nti(tab: DataFrame, distmat: DataFrame, q: float = 1, n: int = 999, randomization: str = "features", seed: int = 0) -> DataFrame:
+def nti(tab: DataFrame, distmat: DataFrame, q: float = 1, n: int = 999, randomization: str = "features", seed: int = 0, arrays: bool = False) -> DataFrame:
     """sample, obs, null_mean, null_std, p, ses of the mean nearest-taxon distance."""
+    if arrays:
+        return moments.against_null(powers(tab, q), distmat, moments.mean_nearest, n, seed, randomization, own=True)
     w = permuted(powers(tab, q), n, seed, randomization)
     near = nearest(w, w, distmat, ("it",)).where("s1 = s2")
     out = near.groupBy("it", F.col("s1").alias("sample")).agg((F.sum(F.col("w") * F.col("near")) / F.sum("w")).alias("value"))
@@ -76,14 +82,18 @@ def _spine(w: DataFrame, n: int) -> DataFrame:
     return beta.pair_spine(w).join(w.sparkSession.range(n + 1).select(F.col("id").alias("it")))
 
 
-def beta_nri(tab: DataFrame, distmat: DataFrame, q: float = 1, n: int = 999, randomization: str = "features", seed: int = 0) -> DataFrame:
+def beta_nri(tab: DataFrame, distmat: DataFrame, q: float = 1, n: int = 999, randomization: str = "features", seed: int = 0, arrays: bool = False) -> DataFrame:
     """s1, s2, obs, null_mean, null_std, p, ses."""
+    if arrays:
+        return moments.against_null(powers(tab, q), distmat, moments.between_pairwise, n, seed, randomization, own=False)
     w = powers(tab, q)
     return against_null(beta.mpd_between(permuted(w, n, seed, randomization), distmat, _spine(w, n), ("it",)), ["s1", "s2"])
 
 
-def beta_nti(tab: DataFrame, distmat: DataFrame, q: float = 1, n: int = 999, randomization: str = "features", include_conspecifics: bool = False, seed: int = 0) -> DataFrame:
+def beta_nti(tab: DataFrame, distmat: DataFrame, q: float = 1, n: int = 999, randomization: str = "features", include_conspecifics: bool = False, seed: int = 0, arrays: bool = False) -> DataFrame:
     """s1, s2, obs, null_mean, null_std, p, ses."""
+    if arrays:
+        return moments.against_null(powers(tab, q), distmat, moments.between_nearest, n, seed, randomization, own=False, conspecifics=include_conspecifics)
     w = powers(tab, q)
     return against_null(beta.mntd_between(permuted(w, n, seed, randomization), distmat, _spine(w, n), include_conspecifics, ("it",)), ["s1", "s2"])
 

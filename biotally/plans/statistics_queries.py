@@ -37,30 +37,30 @@ def null_ctes(randomization: str, q: float, tab: str = "tab_small", n: int = ITE
 
 WW = "w a JOIN w b ON a.it = b.it AND {cond} JOIN distmat m ON m.f1 = a.feature AND m.f2 = b.feature"
 
+
+def _null_queries(rand: str, n: int, suffix: str = "", arrays: bool = False, kinds: str = "nri nti beta_nri beta_nti") -> None:
+    """Relatedness against ``n`` iterations; by moments if ``arrays``."""
+    ctes = null_ctes(rand, 1, n=n) | {"z": "SELECT it, sample, SUM(w) z FROM w GROUP BY ALL"}
+    near = "SELECT n.it, s1, s2, SUM(w * near) / z v FROM (SELECT a.it, a.sample s1, b.sample s2, a.feature, a.w, MIN(d) near FROM " + WW.format(cond="a.sample <> b.sample") + " GROUP BY ALL) n JOIN z ON z.it = n.it AND z.sample = s1 GROUP BY n.it, s1, s2, z"
+    values = {
+        "nri": ("sample", {"x": "SELECT a.it, a.sample, SUM(a.w * b.w * d) / SUM(a.w * b.w) x FROM " + WW.format(cond="a.sample = b.sample") + " GROUP BY ALL"}),
+        "nti": ("sample", {"x": "SELECT it, sample, SUM(w * near) / SUM(w) x FROM (SELECT a.it, a.sample, a.feature, a.w, MIN(d) near FROM " + WW.format(cond="a.sample = b.sample") + " GROUP BY ALL) GROUP BY ALL"}),
+        "beta_nri": ("s1, s2", {"x": "SELECT g.it, s1, s2, g / (a.z * b.z) x FROM (SELECT a.it, a.sample s1, b.sample s2, SUM(a.w * b.w * d) g FROM " + WW.format(cond="a.sample < b.sample") + " GROUP BY ALL) g JOIN z a ON a.it = g.it AND a.sample = s1 JOIN z b ON b.it = g.it AND b.sample = s2"}),
+        "beta_nti": ("s1, s2", {"v": near, "x": "SELECT it, LEAST(s1, s2) s1, GREATEST(s1, s2) s2, SUM(v) / 2 x FROM v GROUP BY ALL"}),
+    }
+    for kind in kinds.split():
+        keys, parts = values[kind]
+        register(
+            f"{kind}_{rand}{suffix}",
+            lambda s, d, kind=kind: getattr(nulls, kind)(fx.tab_small(s, d), fx.distmat(s, d), 1, n, rand, seed=5, arrays=arrays),
+            sql("tab_small, distmat", summary(keys, "x", n), **ctes, **parts),
+        )
+
+
 for rand in ("features", "abundances"):
-    register(
-        f"nri_{rand}",
-        lambda s, d, rand=rand: nulls.nri(fx.tab_small(s, d), fx.distmat(s, d), 1, ITERATIONS, rand, 5),
-        sql("tab_small, distmat", summary("sample", "x"), **null_ctes(rand, 1), x="SELECT a.it, a.sample, SUM(a.w * b.w * d) / SUM(a.w * b.w) x FROM " + WW.format(cond="a.sample = b.sample") + " GROUP BY ALL"),
-    )
-    register(
-        f"nti_{rand}",
-        lambda s, d, rand=rand: nulls.nti(fx.tab_small(s, d), fx.distmat(s, d), 1, ITERATIONS, rand, 5),
-        sql("tab_small, distmat", summary("sample", "x"), **null_ctes(rand, 1), x="SELECT it, sample, SUM(w * near) / SUM(w) x FROM (SELECT a.it, a.sample, a.feature, a.w, MIN(d) near FROM " + WW.format(cond="a.sample = b.sample") + " GROUP BY ALL) GROUP BY ALL"),
-    )
-    register(
-        f"beta_nri_{rand}",
-        lambda s, d, rand=rand: nulls.beta_nri(fx.tab_small(s, d), fx.distmat(s, d), 1, ITERATIONS, rand, 5),
-        sql("tab_small, distmat", summary("s1, s2", "x"), **null_ctes(rand, 1), z="SELECT it, sample, SUM(w) z FROM w GROUP BY ALL", x="SELECT g.it, s1, s2, g / (a.z * b.z) x FROM (SELECT a.it, a.sample s1, b.sample s2, SUM(a.w * b.w * d) g FROM " + WW.format(cond="a.sample < b.sample") + " GROUP BY ALL) g JOIN z a ON a.it = g.it AND a.sample = s1 JOIN z b ON b.it = g.it AND b.sample = s2"),
-    )
-    register(
-        f"beta_nti_{rand}",
-        lambda s, d, rand=rand: nulls.beta_nti(fx.tab_small(s, d), fx.distmat(s, d), 1, ITERATIONS, rand, seed=5),
-        sql(
-            "tab_small, distmat", summary("s1, s2", "x"), **null_ctes(rand, 1), z="SELECT it, sample, SUM(w) z FROM w GROUP BY ALL",
-            v="SELECT n.it, s1, s2, SUM(w * near) / z v FROM (SELECT a.it, a.sample s1, b.sample s2, a.feature, a.w, MIN(d) near FROM " + WW.format(cond="a.sample <> b.sample") + " GROUP BY ALL) n JOIN z ON z.it = n.it AND z.sample = s1 GROUP BY n.it, s1, s2, z", x="SELECT it, LEAST(s1, s2) s1, GREATEST(s1, s2) s2, SUM(v) / 2 x FROM v GROUP BY ALL",
-        ),
-    )
+    _null_queries(rand, ITERATIONS)
+    _null_queries(rand, 99, "_99", True, "beta_nri beta_nti")
+    _null_queries(rand, 999, "_999", True, "nri nti")
 
 RCQ_N = 4
 RCQ = {
