@@ -98,36 +98,48 @@ def phyl_beta(tab: DataFrame, tree: DataFrame, node_leaf: DataFrame, q: float =
     return rows.select("s1", "s2", (dissimilarity(beta, q, 2.0, "phyl", viewpoint) if dis else beta).alias("value"))
 
 
-def func_beta(tab: DataFrame, distmat: DataFrame, q: float = 1, dis: bool = True, viewpoint: str = "regional", spine: DataFrame | None = None) -> DataFrame:
-    """s1, s2, value; the raw value is the square of the pair's ratio."""
-    p = relative(tab)
-    pairs = pair_spine(p) if spine is None else spine
-    long = pairs.select("s1", "s2", F.explode(F.array("s1", "s2")).alias("sample")).join(p, "sample")
-    pooled = long.groupBy("s1", "s2", "feature").agg((F.sum("p") / 2).alias("w"))
-    dq = by_distance(pooled, distmat, ["s1", "s2"]).withColumnRenamed("f1", "feature")
-    quad = pooled.join(dq, ["s1", "s2", "feature"]).groupBy("s1", "s2").agg(F.sum(F.col("w") * F.col("dw")).alias("rao"), F.sum(F.col("w") * F.ln("w") * F.col("dw") * 2).alias("logs"))
-    halves = p.select("feature", "sample", (F.col("p") / 2).alias("w"))
-    if is_one(q):
-        g = quad.withColumnRenamed("logs", "g")
-        logs = halves.select("feature", "sample", (F.col("w") * F.ln("w")).alias("w"))
-        one = gram(logs, halves, distmat)
-        parts = one.unionByName(one.select(F.col("s2").alias("s1"), F.col("s1").alias("s2"), "g")).groupBy("s1", "s2").agg(F.sum("g").alias("g"))
-    else:
-        w = pooled.withColumn("w", F.pow("w", F.lit(float(q))))
-        dw = by_distance(w, distmat, ["s1", "s2"]).withColumnRenamed("f1", "feature")
-        g = quad.select("s1", "s2", "rao").join(w.join(dw, ["s1", "s2", "feature"]).groupBy("s1", "s2").agg(F.sum(F.col("w") * F.col("dw")).alias("g")), ["s1", "s2"])
-        w = halves.withColumn("w", F.pow("w", F.lit(float(q))))
-        parts = gram(w, w, distmat)
-    own = parts.where("s1 = s2").select(F.col("s1").alias("sample"), "g")
-    cross = parts.where("s1 < s2").select("s1", "s2", F.col("g").alias("g12"))
-    rows = pairs.join(g.select("s1", "s2", "rao", "g"), ["s1", "s2"]).join(cross, ["s1", "s2"], "left")
-    rows = rows.join(own.select(F.col("sample").alias("s1"), F.col("g").alias("g11")), "s1", "left").join(own.select(F.col("sample").alias("s2"), F.col("g").alias("g22")), "s2", "left")
-    zero = F.lit(0.0)
-    total = F.coalesce("g11", zero) + F.coalesce("g22", zero) + F.coalesce("g12", zero) * 2
-    gamma = from_sum(F.try_divide(F.col("g"), F.col("rao")), q, 2.0)
-    alpha = from_sum(F.try_divide(total, F.col("rao")), q, 2.0) / 2
+def func_beta(tab: DataFrame, distmat: DataFrame, q: float = 1, dis: bool = True, viewpoint: str = "regional", spine: DataFrame | None = None, tiled: bool = False) -> DataFrame:
+    """s1, s2, value; the raw value is the square of the pair's ratio, null if
+    no two of its features are apart.
+
+    A pair's pooled weights are both samples' own but for shared features, so
+    its quadratic form is theirs and a sum over the features they share, by what
+    distances make of each sample alone. Only if q is not 1 do pairs of shared
+    features meet. ``tiled``: for features that many samples share."""
+    one = is_one(q)
+    halves = relative(tab).select("feature", "sample", (F.col("p") / 2).alias("half"), term(F.col("p") / 2, q).alias("part"))
+    plain, parts = halves.select("feature", "sample", F.col("half").alias("w")), halves.select("feature", "sample", F.col("part").alias("w"))
+    both = plain if one else parts
+    dx = by_distance(both, distmat, ["sample"]).select(F.col("f1").alias("feature"), "sample", F.col("dw").alias("dx"))
+    rows = halves.join(dx, ["feature", "sample"], "left").withColumn("dx", F.coalesce("dx", F.lit(0.0)))
+    rows = settled(rows) if tiled else rows
+    beyond = _beyond_arrays(q)
+    shared = _shared(rows, "feature", F.sum(_beyond(q) * (F.col("dx1") + F.col("dx2")) * 2), lambda a, b: 2 * beyond(a, b) * (a[2] + b[2]), tiled)
+    if not one:
+        a = halves.select("feature", F.col("sample").alias("s1"), F.col("half").alias("half1"), F.col("part").alias("part1"))
+        b = halves.select("feature", F.col("sample").alias("s2"), F.col("half").alias("half2"), F.col("part").alias("part2"))
+        e = a.join(b, "feature").where("s1 < s2").select("feature", "s1", "s2", _beyond(q).alias("w"))
+        de = by_distance(e, distmat, ["s1", "s2"]).withColumnRenamed("f1", "feature")
+        own = e.join(de, ["feature", "s1", "s2"]).select("s1", "s2", (F.col("w") * F.col("dw")).alias("x"))
+        shared = shared.unionByName(own).groupBy("s1", "s2").agg(F.sum("x").alias("x"))
+    rao = gram(plain, plain, distmat).withColumnRenamed("g", "rao")
+    form = gram(parts, both, distmat)
+    if one:  # ln(w_i w_j) is a sum: either feature's logarithm
+        form = form.unionByName(form.select(F.col("s2").alias("s1"), F.col("s1").alias("s2"), "g")).groupBy("s1", "s2").agg(F.sum("g").alias("g"))
+    forms = rao.join(form, ["s1", "s2"], "full").select("s1", "s2", "rao", "g")
+    pairs = (pair_spine(halves) if spine is None else spine).select("s1", "s2")
+    each = forms.where("s1 = s2").select(F.col("s1").alias("sample"), "rao", "g")
+    first, second = (each.select(F.col("sample").alias(f"s{k}"), F.col("rao").alias(f"rao{k}"), F.col("g").alias(f"g{k}")) for k in (1, 2))
+    met = pairs.join(forms.where("s1 < s2"), ["s1", "s2"], "left").join(first, "s1", "left").join(second, "s2", "left").join(shared, ["s1", "s2"], "left")
+
+    def pooled(name: str) -> Column:
+        return F.coalesce(f"{name}1", F.lit(0.0)) + F.coalesce(f"{name}2", F.lit(0.0)) + F.coalesce(name, F.lit(0.0)) * 2
+
+    met = met.select("s1", "s2", pooled("rao").alias("rao"), pooled("g").alias("total"), F.coalesce("x", F.lit(0.0)).alias("x"))
+    gamma = from_sum(F.try_divide(F.col("total") + F.col("x"), F.col("rao")), q, 2.0)
+    alpha = from_sum(F.try_divide(F.col("total"), F.col("rao")), q, 2.0) / 2
     beta = F.pow(F.try_divide(gamma, alpha), F.lit(2.0))
-    return rows.select("s1", "s2", (dissimilarity(beta, q, 2.0, "func", viewpoint) if dis else beta).alias("value"))
+    return met.select("s1", "s2", (dissimilarity(beta, q, 2.0, "func", viewpoint) if dis else beta).alias("value"))
 
 
 def bray(tab: DataFrame, use_values: bool = False, spine: DataFrame | None = None, tiled: bool = False) -> DataFrame:
