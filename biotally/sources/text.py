@@ -8,13 +8,15 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.relational import numbered
+from ..operators.relational import numbered, running, settled
 from ..operators.taxonomy import PREFIX, prefix_of
 
 RANKS = ("Domain", "Phylum", "Class", "Order", "Family", "Genus", "Species")
+#: Kingdom is a rank where a file has it.
+ALL_RANKS = ("Kingdom", *RANKS)
 
 
 def sniff(lines: Sequence[str]) -> str:
@@ -111,44 +113,84 @@ def read_gtdb(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     return out
 
 
-def parse_qiime(rows: DataFrame, feature: str = "Feature ID", taxon: str = "Taxon") -> DataFrame:
-    """Ranks by prefix, without it, or by place where there are none; unknown is ''."""
+def seen_ranks(text: DataFrame, column: str, behind: str, sep: str) -> tuple[str, ...]:
+    """Of all ranks those that some row's letters name, ``behind`` the start or a
+    ``sep`` and before what ``behind`` says; without any, the usual seven."""
+    found = [F.max(F.col(column).rlike(f"(?:^|{sep}\\s*)(?i:{r[0]}){behind}")).alias(r) for r in ALL_RANKS]
+    row = text.agg(*found).first()
+    return tuple(r for r in ALL_RANKS if row[r]) or RANKS
+
+
+def parse_qiime(rows: DataFrame, feature: str = "Feature ID", taxon: str = "Taxon", ranks: Sequence[str] = RANKS) -> DataFrame:
+    """Ranks by prefix, without it, or by place among the seven usual ones where
+    there are no prefixes; unknown is ''."""
     t = F.coalesce(F.col(f"`{taxon}`"), F.lit(""))
     parts = F.transform(F.split(t, ";"), lambda p: F.trim(p))
     prefixed = t.rlike("(?:^|;\\s*)[A-Za-z]+__")
     cols = []
-    for k, rank in enumerate(RANKS):
+    for rank in ranks:
         by_prefix = F.regexp_extract(t, f"(?:^|;\\s*)(?i:{rank[0]})__([^;]*)", 1)
-        value = F.trim(F.when(prefixed, by_prefix).otherwise(F.coalesce(F.get(parts, F.lit(k)), F.lit(""))))
+        by_place = F.coalesce(F.get(parts, F.lit(RANKS.index(rank))), F.lit("")) if rank in RANKS else F.lit("")
+        value = F.trim(F.when(prefixed, by_prefix).otherwise(by_place))
         cols.append(F.when(value.isin("", "_", "__", "Unassigned"), F.lit("")).otherwise(value).alias(rank))
     return rows.select(F.col(f"`{feature}`").alias("feature"), *cols)
 
 
 def read_qiime(spark: SparkSession, path: str) -> DataFrame:
-    return parse_qiime(spark.read.csv(path, sep="\t", header=True))
+    """The ranks that the file has, Kingdom among them."""
+    rows = spark.read.csv(path, sep="\t", header=True)
+    return parse_qiime(rows, ranks=seen_ranks(rows, "Taxon", "__", ";"))
 
 
-def parse_sintax(rows: DataFrame) -> DataFrame:
+def parse_sintax(rows: DataFrame, ranks: Sequence[str] = RANKS) -> DataFrame:
     """feature, text (fields after the id) -> ranks: what stands behind the
     first +, as d:Name,p:Name with : as __."""
     t = F.when(F.col("text").contains("+"), F.regexp_extract("text", r"\+\s*(.*)$", 1))
     cols = []
-    for rank in RANKS:
+    for rank in ranks:
         p = rank[0].lower()
         found = F.regexp_extract(t, f"(?:^|,|\\s){p}:\"?([^,\"\\s]+)", 1)
         cols.append(F.when(found != "", F.concat(F.lit(f"{p}__"), found)).alias(rank))
     return rows.select("feature", *cols)
 
 
+def file_lines(spark: SparkSession, path: str) -> DataFrame:
+    """file, n, line: lines that are not blank, numbered from 1 through all files,
+    each file's in their order. A file is split and dealt like any text: where a
+    split starts and a line's place within it give the order."""
+    read = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("id"), F.regexp_replace("value", r"\r$", "").alias("line"))
+    # Ids are of the partitions that read; they are kept before rows move.
+    return numbered(settled(read.where(F.trim("line") != "")), "n", "file", "start", "id").select("file", "n", "line")
+
+
+def sintax_records(lines: DataFrame) -> DataFrame:
+    """feature, text from file, n, line. A record is a line with tabs, or a line
+    without and the next one of its file. Of lines without tabs in a row every
+    other one is an id; a line is taken by the id before it if an odd number of
+    lines without tabs stand right before it."""
+    tabbed = F.col("line").contains("\t")
+    # The last line with tabs up to each line; a file's start ends what was before.
+    last = running(lines.withColumn("_at", F.when(tabbed, -F.col("n")).otherwise(F.lit(0))), "_last", ["n"], "_at", "min")
+    first = lines.groupBy("file").agg(F.min("n").alias("_first"))
+    before = lines.select((F.col("n") + 1).alias("n"), F.col("file").alias("_file"), tabbed.alias("_tabs"))
+    after = last.select((F.col("n") - 1).alias("n"), F.col("file").alias("_next"), F.col("line").alias("_text"))
+    through = last.select((F.col("n") + 1).alias("n"), F.col("_last").alias("_before"))
+    rows = lines.join(first, "file").join(before, "n", "left").join(through, "n", "left").join(after, "n", "left")
+    run = F.col("n") - 1 - F.greatest(F.coalesce(-F.col("_before"), F.lit(0)), F.col("_first") - 1)
+    taken = (F.coalesce(F.col("_file") == F.col("file"), F.lit(False))) & (run % 2 == 1)
+    rows = rows.where(~taken & (tabbed | (F.col("_next") == F.col("file"))))
+    # What is left without tabs is an id whose next line is there.
+    text = F.when(tabbed, F.col("line")).otherwise(F.col("_text"))
+    return rows.select(F.regexp_replace(F.trim(F.split("line", r"\t")[0]), "^>", "").alias("feature"), text.alias("text"))
+
+
 def read_sintax(spark: SparkSession, path: str) -> DataFrame:
-    """Records of one line, or of two of which the second has the taxonomy."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r?\n")).alias("n", "line")).where(F.trim("line") != "")
-    order = Window.orderBy("n")  # one file's lines
-    lines = lines.withColumn("before", F.lag("line").over(order)).withColumn("after", F.lead("line").over(order))
-    first = F.split("line", r"\t")[0]
-    two = F.col("line").startswith(">") & ~F.col("line").contains("\t") & F.col("after").isNotNull()
-    rows = lines.where(F.col("line").contains("\t") | two).where(~F.coalesce(F.col("before").startswith(">") & ~F.col("before").contains("\t"), F.lit(False)) | two)
-    return parse_sintax(rows.select(F.regexp_replace(first, "^>", "").alias("feature"), F.when(two, F.col("after")).otherwise(F.col("line")).alias("text")))
+    """Records of one line, or of two of which the second has the taxonomy; the
+    ranks that the file has, Kingdom among them. Records without a + have no
+    taxonomy: their ranks are null."""
+    records = settled(sintax_records(file_lines(spark, path)))
+    named = records.select(F.regexp_extract("text", r"\+\s*(.*)$", 1).alias("text"))
+    return parse_sintax(records, seen_ranks(named, "text", ":", ","))
 
 
 def coverm_table(long: DataFrame, threshold: float = 0.0) -> tuple[DataFrame, DataFrame]:
