@@ -39,6 +39,9 @@ NUMBERS = 1 << 17
 
 Sums = Callable[..., np.ndarray]
 
+_SUMMARY = "obs double, null_mean double, null_std double, p double, ses double"
+SAMPLES, PAIRS = f"sample string, {_SUMMARY}", f"s1 string, s2 string, {_SUMMARY}"
+
 
 def order(names: list[bytes], prefix: str) -> np.ndarray:
     """Features in the order of their keys' md5 hashes: the k-th feature by name
@@ -281,8 +284,7 @@ def against_null(w: DataFrame, distmat: DataFrame, sums: Sums, n: int, seed: int
     if n < 1:
         raise ValueError("one iteration or more")
     spark, within = w.sparkSession, randomization == "abundances"
-    ids = "sample string" if own else "s1 string, s2 string"
-    schema = f"{ids}, obs double, null_mean double, null_std double, p double, ses double"
+    schema = SAMPLES if own else PAIRS
     w = settled(w.where("feature is not null and sample is not null").select(F.col("feature").cast("string").alias("feature"), F.col("sample").cast("string").alias("sample"), F.col("w").cast("double").alias("w")))
     features = numbered(w.select("feature").distinct(), "code", "feature").select("feature", (F.col("code") - 1).cast("int").alias("code"))
     size = w.agg(F.countDistinct("feature").alias("f"), F.countDistinct("sample").alias("s")).first()

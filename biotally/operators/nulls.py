@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rng import exponential, key, uniform
-from . import beta, moments
+from . import beta, drawn, moments
 from .alpha import nearest, powers
 from .relational import interval_hits, settled
 
@@ -98,19 +98,31 @@ def beta_nti(tab: DataFrame, distmat: DataFrame, q: float = 1, n: int = 999, ran
     return against_null(beta.mntd_between(permuted(w, n, seed, randomization), distmat, _spine(w, n), include_conspecifics, ("it",)), ["s1", "s2"])
 
 
-def random_tables(tab: DataFrame, n: int, seed: int, groups: DataFrame | None = None, randomization: str = "frequency") -> DataFrame:
-    """it, feature, sample, value: each sample keeps its richness and reads.
-    Features are drawn without replacement by how often (or how abundantly)
-    their group has them; each gets a read, and the rest go by abundance."""
-    if randomization not in ("frequency", "abundance"):
-        raise ValueError("randomization is frequency or abundance")
+def _whole_counts(tab: DataFrame, groups: DataFrame | None) -> DataFrame:
+    """feature, sample, value, grp; raises for counts that are not whole and for
+    samples without a group."""
     rows = tab.where("value > 0").withColumn("value", F.when(F.col("value") == F.floor("value"), F.col("value").cast("long")).otherwise(F.raise_error(F.lit("counts must be whole")).cast("long")))
     if groups is None:
         rows = rows.withColumn("grp", F.lit("all"))
     else:
         g = F.when(F.col("grp").isNull(), F.raise_error(F.lit("a sample has no group")).cast("string")).otherwise(F.col("grp").cast("string"))
         rows = rows.join(groups.select("sample", "grp"), "sample", "left").withColumn("grp", g)
-    pool = rows.groupBy("grp", "feature").agg(F.sum("value").alias("abundance"), F.count(F.lit(1)).alias("frequency"))
+    return rows
+
+
+def _pool(rows: DataFrame) -> DataFrame:
+    """grp, feature, abundance, frequency."""
+    return rows.groupBy("grp", "feature").agg(F.sum("value").alias("abundance"), F.count(F.lit(1)).alias("frequency"))
+
+
+def random_tables(tab: DataFrame, n: int, seed: int, groups: DataFrame | None = None, randomization: str = "frequency") -> DataFrame:
+    """it, feature, sample, value: each sample keeps its richness and reads.
+    Features are drawn without replacement by how often (or how abundantly)
+    their group has them; each gets a read, and the rest go by abundance."""
+    if randomization not in ("frequency", "abundance"):
+        raise ValueError("randomization is frequency or abundance")
+    rows = _whole_counts(tab, groups)
+    pool = _pool(rows)
     size = rows.groupBy("grp", "sample").agg(F.count(F.lit(1)).alias("richness"), F.sum("value").alias("reads"))
     weight = F.col("frequency" if randomization == "frequency" else "abundance").cast("double")
     draws = size.join(iterations(tab, n)).join(pool, "grp").withColumn("k", exponential(weight, F.lit(seed), "it", "sample", "feature"))
@@ -126,8 +138,18 @@ def random_tables(tab: DataFrame, n: int, seed: int, groups: DataFrame | None =
     return both.groupBy("it", "feature", "sample").agg(F.sum("n").cast("double").alias("value"))
 
 
-def rcq(tab: DataFrame, div_type: str = "naive", q: float = 1, n: int = 999, groups: DataFrame | None = None, randomization: str = "frequency", seed: int = 0, tree: DataFrame | None = None, node_leaf: DataFrame | None = None, distmat: DataFrame | None = None) -> DataFrame:
-    """s1, s2, obs, null_mean, null_std, p, ses of a dissimilarity."""
+def rcq(tab: DataFrame, div_type: str = "naive", q: float = 1, n: int = 999, groups: DataFrame | None = None, randomization: str = "frequency", seed: int = 0, tree: DataFrame | None = None, node_leaf: DataFrame | None = None, distmat: DataFrame | None = None, arrays: bool = False) -> DataFrame:
+    """s1, s2, obs, null_mean, null_std, p, ses of a dissimilarity. ``arrays``:
+    tables are drawn and compared in tasks (``drawn``); Bray, Jaccard, naive."""
+    if arrays:
+        kinds = {"bray": drawn.bray, "jaccard": drawn.jaccard, "naive": drawn.naive(q)}
+        if div_type.lower() not in kinds:
+            raise ValueError("arrays are for Bray, Jaccard and naive")
+        if randomization not in ("frequency", "abundance"):
+            raise ValueError("randomization is frequency or abundance")
+        rows = settled(_whole_counts(tab.where("feature is not null and sample is not null"), groups))
+        pool = _pool(rows).select("grp", "feature", "abundance", F.col(randomization).alias("weight"))
+        return drawn.against_null(rows, pool, kinds[div_type.lower()], n, seed)
     # Many joins below read the tables of all iterations; they are drawn once.
     null = settled(random_tables(tab, n, seed, groups, randomization))
     rows = tab.where("value > 0").select(F.lit(0).cast("long").alias("it"), "feature", "sample", F.col("value").cast("double").alias("value")).unionByName(null)

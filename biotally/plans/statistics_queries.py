@@ -85,6 +85,14 @@ for kind, value in {
         sql("tab_wide, supplier_meta", summary("s1, s2", "x", RCQ_N), **RCQ, x=f"SELECT it, s1, s2, {value} x FROM dn GROUP BY it, s1, s2"),
     )
 
+    # Draws of many iterations are numpy's; what is observed is SQL.
+    register(f"rcq_{kind}_999", lambda s, d, kind=kind: nulls.rcq(fx.tab_wide(s, d), kind, 1, 999, fx.regions(fx.supplier_meta(s, d)), seed=5, arrays=True))
+    register(
+        f"rcq_{kind}_observed",
+        lambda s, d, kind=kind: nulls.rcq(fx.tab_wide(s, d), kind, 1, RCQ_N, fx.regions(fx.supplier_meta(s, d)), seed=5, arrays=True).select("s1", "s2", "obs"),
+        sql("tab_wide, supplier_meta", f"SELECT s1, s2, {r(value, 'obs')} FROM dn WHERE it = 0 GROUP BY s1, s2", **RCQ | {"t": "SELECT 0::BIGINT it, sample, feature, value FROM tab_wide"}),
+    )
+
 
 # -- statistics
 
