@@ -29,14 +29,46 @@ def naive_alpha(tab: DataFrame, q: float = 1, use_values: bool = False) -> DataF
     return rows.groupBy("sample").agg(F.pow(F.sum(term(v, q)) / F.pow(F.sum(v), F.lit(float(q))), F.lit(1.0 / (1.0 - q))).alias("d"))
 
 
+def orders(start: float, stop: float, step: float) -> list[float]:
+    """An inclusive grid of orders."""
+    return [round(start + k * step, 10) for k in range(int(round((stop - start) / step)) + 1)]
+
+
+def _by_order(wide: DataFrame, grid: list[float]) -> DataFrame:
+    """sample, d0, d1, ... -> q, sample, d."""
+    pairs = F.array(*[F.struct(F.lit(q).alias("q"), F.col(f"d{k}").alias("d")) for k, q in enumerate(grid)])
+    return wide.select("sample", F.inline(pairs)).select("q", "sample", "d")
+
+
 def alpha_profile(tab: DataFrame, start: float = 0.0, stop: float = 2.0, step: float = 0.05) -> DataFrame:
     """q, sample, d on an inclusive grid of orders: one pass, one aggregation."""
-    n = int(round((stop - start) / step)) + 1
-    grid = [round(start + k * step, 10) for k in range(n)]
-    shares = relative(tab)
-    sums = shares.groupBy("sample").agg(*[from_sum(F.sum(term(F.col("p"), q)), q).alias(f"d{k}") for k, q in enumerate(grid)])
-    pairs = F.array(*[F.struct(F.lit(q).alias("q"), F.col(f"d{k}").alias("d")) for k, q in enumerate(grid)])
-    return sums.select("sample", F.inline(pairs)).select("q", "sample", "d")
+    grid = orders(start, stop, step)
+    return _by_order(relative(tab).groupBy("sample").agg(*[from_sum(F.sum(term(F.col("p"), q)), q).alias(f"d{k}") for k, q in enumerate(grid)]), grid)
+
+
+def phyl_profile(tab: DataFrame, tree: DataFrame, node_leaf: DataFrame, start: float = 0.0, stop: float = 2.0, step: float = 0.05) -> DataFrame:
+    """q, sample, d of the phylogenetic Hill number: one aggregation for all orders."""
+    grid, length = orders(start, stop, step), F.col("branchL")
+    a = branch_shares(tab, node_leaf).join(tree.select("node", "branchL"), "node").where("a > 0")
+    sums = a.groupBy("sample").agg(F.sum(length * F.col("a")).alias("t"), *[F.sum(length * term(F.col("a"), q)).alias(f"s{k}") for k, q in enumerate(grid)])
+    return _by_order(sums.select("sample", *[from_sum(F.try_divide(F.col(f"s{k}"), F.col("t")), q).alias(f"d{k}") for k, q in enumerate(grid)]), grid)
+
+
+def func_profile(tab: DataFrame, distmat: DataFrame, start: float = 0.0, stop: float = 2.0, step: float = 0.05, index: str = "FD") -> DataFrame:
+    """q, sample, d as ``func_alpha``: one join with the distances for all orders."""
+    if index not in ("FD", "D", "MD"):
+        raise ValueError("index is FD, D or MD")
+    grid = orders(start, stop, step)
+    # At q 1 the logarithm of a product is a sum: p ln p on one side, p on the other.
+    w = [F.col("p") if is_one(q) else term(F.col("p"), q) for q in grid]
+    rows = relative(tab).select("feature", "sample", "p", *[x.alias(f"w{k}") for k, x in enumerate(w)])
+    names = ["p", *[f"w{k}" for k in range(len(grid))]]
+    dw = rows.join(distmat, rows["feature"] == distmat["f2"]).groupBy(F.col("f1").alias("feature"), "sample").agg(*[F.sum(F.col("d") * F.col(c)).alias(f"d_{c}") for c in names])
+    own = [F.col("p") * F.ln("p") * 2 if is_one(q) else F.col(f"w{k}") for k, q in enumerate(grid)]
+    sums = rows.join(dw, ["feature", "sample"]).groupBy("sample").agg(F.sum(F.col("p") * F.col("d_p")).alias("q_rao"), *[F.sum(x * F.col(f"d_w{k}")).alias(f"s{k}") for k, x in enumerate(own)])
+    d = [from_sum(F.try_divide(F.col(f"s{k}"), F.col("q_rao")), q, 2.0) for k, q in enumerate(grid)]
+    out = {"D": lambda x: x, "MD": lambda x: x * F.col("q_rao"), "FD": lambda x: x * x * F.col("q_rao")}[index]
+    return _by_order(sums.select("sample", *[out(x).alias(f"d{k}") for k, x in enumerate(d)]), grid)
 
 
 def branch_shares(tab: DataFrame, node_leaf: DataFrame, use_values: bool = False) -> DataFrame:

@@ -72,6 +72,23 @@ for index, q in [("FD", 1), ("D", 1), ("MD", 1), ("D", 0), ("FD", 2), ("D", 2)]:
     d_sql = {"D": from_sum(s_, q, 2.0), "MD": f"{from_sum(s_, q, 2.0)} * {qr}", "FD": f"POW({from_sum(s_, q, 2.0)}, 2) * {qr}"}[index]
     register(f"func_alpha_{index}_{qname(q)}", lambda s, d, index=index, q=q: alpha.func_alpha(fx.tab_small(s, d), fx.distmat(s, d), q, index), sql("tab_small, distmat", f"SELECT sample, {r(d_sql, 'd')} FROM x GROUP BY sample", p=P.format(tab="tab_small"), x=PAIRS))
 
+register(
+    "phyl_profile",
+    lambda s, d: alpha.phyl_profile(fx.tab_small(s, d), fx.tree_small(s, d), fx.leaves_small(s, d)),
+    sql(
+        "tab_small, tree_small, leaves_small", f"SELECT CAST(k AS DOUBLE) / 20 q, sample, {r('CASE WHEN k = 20 THEN EXP(-SUM(branchL * a * LN(a)) / SUM(branchL * a)) ELSE POW(SUM(branchL * POW(a, k / 20.0)) / SUM(branchL * a), 1 / NULLIF(1 - k / 20.0, 0)) END', 'd')} FROM a, grid GROUP BY k, sample",
+        p=P.format(tab="tab_small"), a=A.format(leaves="leaves_small", tree="tree_small"), grid="SELECT UNNEST(RANGE(0, 41)) k",
+    ),
+)
+register(
+    "func_profile",
+    lambda s, d: alpha.func_profile(fx.tab_small(s, d), fx.distmat(s, d)),
+    sql(
+        "tab_small, distmat", f"SELECT CAST(k AS DOUBLE) / 20 q, sample, {r('CASE WHEN k = 20 THEN EXP(-SUM(d * p1 * p2 * LN(p1 * p2)) / SUM(d * p1 * p2)) ELSE POW(SUM(d * POW(p1 * p2, k / 20.0)) / SUM(d * p1 * p2), 1 / NULLIF(1 - k / 20.0, 0)) END * SUM(d * p1 * p2)', 'd')} FROM x, grid GROUP BY k, sample",
+        p=P.format(tab="tab_small"), x=PAIRS, grid="SELECT UNNEST(RANGE(0, 41)) k",
+    ),
+)
+
 for q in (0, 1, 2):
     register(
         f"mpd_{qname(q)}",
