@@ -317,16 +317,24 @@ def rarefy(tab: DataFrame, depth: int | str = "min", seed: int = 0, replacement:
     return hit.groupBy("feature", "sample").agg(F.sum("n").cast("double").alias("value"))
 
 
-def rarefaction_curve(tab: DataFrame, q: float = 1, seed: int = 0, steps: int = 20, method: str = "reads") -> DataFrame:
-    """sample, depth, d at every total // steps reads, at all reads, and at 0 and 1."""
-    from .alpha import naive_alpha
-
+def rarefaction_curve(tab: DataFrame, q: float = 1, seed: int = 0, steps: int = 20, method: str = "reads", *, div_type: str = "naive", tree: DataFrame | None = None, node_leaf: DataFrame | None = None, distmat: DataFrame | None = None) -> DataFrame:
+    """sample, depth, d at every total // steps reads, at all reads, and at 0 and
+    1 (where d is 0 and 1); d is null where a number is not defined, as of one
+    feature by its distances."""
+    from .alpha import func_alpha, naive_alpha, phyl_alpha
+
+    kinds = {"naive": lambda x: naive_alpha(x, q), "phyl": lambda x: phyl_alpha(x, tree, node_leaf, q), "func": lambda x: func_alpha(x, distmat, q)}
+    if div_type not in kinds:
+        raise ValueError("div_type is naive, phyl or func")
+    number = kinds[div_type]
     totals = sample_depths(tab).withColumn("step", F.greatest(F.lit(1), F.floor(F.col("total") / steps))).where("total > 0")
     grid = totals.where("step < total").select("sample", F.explode(F.sequence("step", F.col("total") - 1, F.col("step"))).alias("depth"))
     counts = drawn_reads(tab, grid, seed, method).withColumnRenamed("n", "value")
     keyed = counts.select("feature", F.concat_ws("\u0001", "sample", F.col("depth").cast("string")).alias("sample"), "value")
-    at = naive_alpha(keyed, q).select(F.split("sample", "\u0001")[0].alias("sample"), F.split("sample", "\u0001")[1].cast("long").alias("depth"), "d")
-    full = naive_alpha(tab.withColumn("value", F.floor("value")), q).join(totals, "sample").select("sample", F.col("total").alias("depth"), "d")
+    at = number(keyed).select(F.split("sample", "\u0001")[0].alias("sample"), F.split("sample", "\u0001")[1].cast("long").alias("depth"), "d")
+    full = number(tab.withColumn("value", F.floor("value"))).join(totals, "sample", "right").select("sample", F.col("total").alias("depth"), "d")
+    if div_type != "naive":  # these say nothing of what they do not define
+        at = grid.join(at, ["sample", "depth"], "left").select("sample", "depth", "d")
     start = totals.select("sample", F.explode(F.array(F.struct(F.lit(0).cast("long").alias("depth"), F.lit(0.0).alias("d")), F.struct(F.lit(1).cast("long").alias("depth"), F.lit(1.0).alias("d")))).alias("x")).select("sample", "x.depth", "x.d")
     return at.unionByName(full).unionByName(start)
 

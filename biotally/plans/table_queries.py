@@ -181,6 +181,28 @@ register(
         g="SELECT sample, UNNEST(RANGE(st, t, st)) depth FROM (SELECT sample, CAST(SUM(value) AS BIGINT) t, GREATEST(1, CAST(SUM(value) AS BIGINT) // 20) st FROM tab_wide GROUP BY sample) UNION ALL SELECT sample, CAST(SUM(value) AS BIGINT) FROM tab_wide GROUP BY sample",
     ),
 )
+_START = "SELECT sample, UNNEST([0, 1]), UNNEST([0.0::DOUBLE, 1.0::DOUBLE]) FROM (SELECT DISTINCT sample FROM tab_small)"
+_CURVE = {
+    "reads": READS.format(tab="tab_small"), "rn": RN,
+    "g": "SELECT sample, UNNEST(RANGE(st, t, st)) depth FROM (SELECT sample, CAST(SUM(value) AS BIGINT) t, GREATEST(1, CAST(SUM(value) AS BIGINT) // 20) st FROM tab_small GROUP BY sample) UNION ALL SELECT sample, CAST(SUM(value) AS BIGINT) FROM tab_small GROUP BY sample",
+    "p": "SELECT sample, depth, feature, n / depth p FROM (SELECT g.sample, depth, feature, CAST(COUNT(*) AS DOUBLE) n FROM rn JOIN g ON g.sample = rn.sample AND rn <= depth GROUP BY ALL)",
+}
+register(
+    "rarefaction_curve_phyl",
+    lambda s, d: rel.rarefaction_curve(fx.tab_small(s, d), 1, 7, div_type="phyl", tree=fx.tree_small(s, d), node_leaf=fx.leaves_small(s, d)),
+    sql(
+        "tab_small, tree_small, leaves_small", f"SELECT sample, depth, {r('EXP(-SUM(branchL * a * LN(a)) / SUM(branchL * a))', 'd')} FROM a GROUP BY sample, depth UNION ALL {_START}",
+        **_CURVE, a="SELECT node, sample, depth, branchL, SUM(p) a FROM p JOIN leaves_small ON leaf = feature JOIN tree_small USING (node) GROUP BY ALL",
+    ),
+)
+register(
+    "rarefaction_curve_func",
+    lambda s, d: rel.rarefaction_curve(fx.tab_small(s, d), 2, 7, div_type="func", distmat=fx.distmat(s, d)),
+    sql(
+        "tab_small, distmat", f"SELECT sample, depth, {r('q / s', 'd')} FROM g LEFT JOIN x USING (sample, depth) UNION ALL {_START}",
+        **_CURVE, x="SELECT a.sample, a.depth, SUM(d * a.p * b.p) q, SUM(d * POW(a.p * b.p, 2)) / SUM(d * a.p * b.p) s FROM p a JOIN p b USING (sample, depth) JOIN distmat ON f1 = a.feature AND f2 = b.feature GROUP BY ALL",
+    ),
+)
 # Draws on counts follow no SQL; what SQL can say of them is in their sums.
 _TOTALS = "SELECT sample, SUM(value) t FROM tab_wide GROUP BY sample"
 
