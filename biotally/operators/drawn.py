@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hill import is_one
-from . import moments
+from .moments import BLOCK, MOMENTS, PAIRS, PART, WEIGHTS, block_weights, part_row, summaries, summed
 from .relational import numbered, settled
 
 MOST_POOLED = 1 << 20
@@ -98,7 +98,7 @@ def naive(q: float) -> Distance:
 
 def _block(rows: pa.StructArray, features: int) -> tuple[list[str], list[str], np.ndarray]:
     """Samples by name, their groups, and their counts, features x samples."""
-    samples, counts = moments._weights(rows, features)
+    samples, counts = block_weights(rows, features)
     group = dict(zip(rows.field(1).to_pylist(), rows.field(3).to_pylist(), strict=True))
     return samples, [group[s] for s in samples], counts
 
@@ -121,13 +121,13 @@ def _spans(distance: Distance, seed: int, n: int, features: int):
                     for it in range(chunk * CHUNK + 1, min(n, (chunk + 1) * CHUNK) + 1):
                         u = draw(x, one, of_one, pools, seed, it)
                         each.append(distance(u, u if a == b else draw(y, two, of_two, pools, seed, it)))
-                    m = moments.summed(np.stack(each).reshape(len(each), -1))
-                    yield moments._row(a, b, chunk, 0, one, two, np.stack([m[k] for k in moments.MOMENTS]))
+                    m = summed(np.stack(each).reshape(len(each), -1))
+                    yield part_row(a, b, chunk, 0, one, two, np.stack([m[k] for k in MOMENTS]))
 
     return run
 
 
-def against_null(rows: DataFrame, pool: DataFrame, distance: Distance, n: int, seed: int, block: int = moments.BLOCK) -> DataFrame:
+def against_null(rows: DataFrame, pool: DataFrame, distance: Distance, n: int, seed: int, block: int = BLOCK) -> DataFrame:
     """s1 < s2, obs, null_mean, null_std, p, ses; ``rows`` has feature, sample,
     value, grp, and ``pool`` grp, feature, abundance, weight."""
     if n < 1:
@@ -140,8 +140,8 @@ def against_null(rows: DataFrame, pool: DataFrame, distance: Distance, n: int, s
     if pool.count() > MOST_POOLED:
         raise ValueError(f"more than {MOST_POOLED} features of groups: use arrays=False")
     if not size["f"]:
-        return spark.createDataFrame([], moments.PAIRS)
-    block = max(1, min(block, moments.WEIGHTS // 4 // size["f"]))
+        return spark.createDataFrame([], PAIRS)
+    block = max(1, min(block, WEIGHTS // 4 // size["f"]))
     blocks, chunks = -(-size["s"] // block), -(-n // CHUNK)
     tiles = blocks * (blocks + 1) // 2
     spans = max(1, min(chunks, -(-2 * spark.sparkContext.defaultParallelism // tiles)))
@@ -155,5 +155,5 @@ def against_null(rows: DataFrame, pool: DataFrame, distance: Distance, n: int, s
     each = F.struct(F.col("grp"), F.col("code"), F.col("abundance").cast("double").alias("abundance"), F.col("weight").cast("double").alias("weight"))
     # One row of pools, of a checked number; features by name in each.
     pools = pool.join(features, "feature").agg(F.array_sort(F.collect_list(each)).alias("pool"))
-    out = work.join(F.broadcast(pools)).mapInArrow(_spans(distance, seed, n, size["f"]), moments._PART)
-    return out.repartition("a", "b").sortWithinPartitions("a", "b", "chunk").mapInArrow(moments._summaries(False), moments.PAIRS)
+    out = work.join(F.broadcast(pools)).mapInArrow(_spans(distance, seed, n, size["f"]), PART)
+    return out.repartition("a", "b").sortWithinPartitions("a", "b", "chunk").mapInArrow(summaries(False), PAIRS)

@@ -134,7 +134,7 @@ def merged(a: dict[str, np.ndarray], b: dict[str, np.ndarray]) -> dict[str, np.n
 
 
 MOMENTS = ("obs", "n", "known", "mean", "square", "less", "equal")
-_PART = "a int, b int, chunk int, part int, one array<string>, two array<string>, x array<double>"
+PART = "a int, b int, chunk int, part int, one array<string>, two array<string>, x array<double>"
 
 
 def _lists(values: list) -> pa.Array:
@@ -143,12 +143,12 @@ def _lists(values: list) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, type=pa.int32()), pa.array(np.concatenate(values)) if isinstance(values[0], np.ndarray) else pa.array([x for v in values for x in v], type=pa.string()))
 
 
-def _row(a: int, b: int, chunk: int, part: int, one: list[str], two: list[str], x: np.ndarray) -> pa.RecordBatch:
+def part_row(a: int, b: int, chunk: int, part: int, one: list[str], two: list[str], x: np.ndarray) -> pa.RecordBatch:
     whole = [pa.array([v], type=pa.int32()) for v in (a, b, chunk, part)]
     return pa.RecordBatch.from_arrays([*whole, _lists([one]), _lists([two]), _lists([np.ascontiguousarray(x, dtype=float).ravel()])], names=["a", "b", "chunk", "part", "one", "two", "x"])
 
 
-def _weights(rows: pa.StructArray, features: int) -> tuple[list[str], np.ndarray]:
+def block_weights(rows: pa.StructArray, features: int) -> tuple[list[str], np.ndarray]:
     """Samples by name, and the weights of a block, features x samples."""
     code, sample, w = (rows.field(k) for k in range(3))
     names = sample.dictionary_encode()
@@ -180,8 +180,8 @@ def _spans(sums: Sums, own: bool, seed: int, n: int, within: bool, high: int, si
                 get = lambda c: batch.column(c)[r]  # noqa: B023, E731
                 a, b, part = get("a").as_py(), get("b").as_py(), get("part").as_py()
                 names = [x.encode() for x in get("names").as_py()]
-                one, wa = _weights(get("one").values, len(names))
-                two, wb = (one, wa) if own or a == b else _weights(get("two").values, len(names))
+                one, wa = block_weights(get("one").values, len(names))
+                two, wb = (one, wa) if own or a == b else block_weights(get("two").values, len(names))
                 first = part * high
                 height = min(high, len(names) - first)
                 rows = slice(first, first + height)
@@ -200,7 +200,7 @@ def _spans(sums: Sums, own: bool, seed: int, n: int, within: bool, high: int, si
                     if single:
                         m = summed(_ratio(x))
                         x = np.stack([m[k] for k in MOMENTS])
-                    yield _row(a, b, chunk, part, one, two, x)
+                    yield part_row(a, b, chunk, part, one, two, x)
 
     return run
 
@@ -229,7 +229,7 @@ def _added(kinds: int):
         one, two = row["one"].as_py(), row["two"].as_py()
         cells = len(one) * len(two) if kinds == 1 and row["pairs"] else len(one)
         m = summed(_ratio(row["x"].reshape(-1, kinds, cells)))
-        return _row(row["a"].as_py(), row["b"].as_py(), row["chunk"].as_py(), 0, one, two, np.stack([m[k] for k in MOMENTS]))
+        return part_row(row["a"].as_py(), row["b"].as_py(), row["chunk"].as_py(), 0, one, two, np.stack([m[k] for k in MOMENTS]))
 
     return done
 
@@ -242,7 +242,7 @@ def _whole_values(kinds: int, own: bool):
     return run
 
 
-def _summaries(own: bool):
+def summaries(own: bool):
     """Chunks are merged, and a tile's cells become rows."""
 
     def unpacked(x: np.ndarray) -> dict[str, np.ndarray]:
@@ -320,7 +320,7 @@ def against_null(w: DataFrame, distmat: DataFrame, sums: Sums, n: int, seed: int
     work = work.select("a", "b", "part", "one", "two", "d", bound("span").alias("begin"), bound("span + 1").alias("end"), F.lit(chunk).alias("size"))
     # One row of names, of a checked number.
     work = work.repartition(tiles * parts * spans, "a", "b", "part", "begin").join(F.broadcast(names))
-    out = work.mapInArrow(_spans(sums, own, seed, n, within, high, parts == 1, conspecifics), _PART)
+    out = work.mapInArrow(_spans(sums, own, seed, n, within, high, parts == 1, conspecifics), PART)
     if parts > 1:
-        out = out.repartition("a", "b", "chunk").sortWithinPartitions("a", "b", "chunk", "part").mapInArrow(_whole_values(2 if sums is mean_nearest else 1, own), _PART)
-    return out.repartition("a", "b").sortWithinPartitions("a", "b", "chunk").mapInArrow(_summaries(own), schema)
+        out = out.repartition("a", "b", "chunk").sortWithinPartitions("a", "b", "chunk", "part").mapInArrow(_whole_values(2 if sums is mean_nearest else 1, own), PART)
+    return out.repartition("a", "b").sortWithinPartitions("a", "b", "chunk").mapInArrow(summaries(own), schema)

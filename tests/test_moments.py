@@ -1,10 +1,15 @@
 """Null models by moments: the same values as with a row for everything, by
 blocks of any size; moments that merge to those of all."""
 
+import os
+import subprocess
+import sys
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import biotally
 from biotally.operators import alpha, moments, nulls
 
 KINDS = {"nri": (moments.mean_pairwise, True), "nti": (moments.mean_nearest, True), "beta_nri": (moments.between_pairwise, False), "beta_nti": (moments.between_nearest, False)}
@@ -85,3 +90,21 @@ def test_moments_merge():
     for k in moments.MOMENTS:
         np.testing.assert_allclose(got[k], want[k], rtol=1e-9, atol=1e-12)
     assert want["known"][1] == 39 and want["equal"][5] == 40 and got["square"][4] < 1e-20
+
+
+def test_executors_without_the_package(tmp_path):
+    """The repository is on the driver's path alone."""
+    root = os.path.dirname(os.path.dirname(biotally.__file__))
+    code = f"""
+import sys
+sys.path.insert(0, {root!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.sql.shuffle.partitions", "2").config("spark.ui.enabled", "false").getOrCreate()
+from biotally.operators import nulls
+tab = spark.createDataFrame([(f"f{{i}}", f"s{{j}}", float(i + j + 1)) for i in range(6) for j in range(3) if (i + j) % 4], "feature string, sample string, value double")
+d = spark.createDataFrame([(f"f{{i}}", f"f{{j}}", float(abs(i - j))) for i in range(6) for j in range(6) if i != j], "f1 string, f2 string, d double")
+print("rows", nulls.beta_nri(tab, d, 1, 3, arrays=True).count() + nulls.rcq(tab, "naive", 1, 3, arrays=True).count())
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    said = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert said.stdout.split()[-2:] == ["rows", "6"], said.stderr[-2000:]
