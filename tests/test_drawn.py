@@ -98,3 +98,25 @@ def test_cases(spark, community):
             nulls.rcq(tab, **({"n": 2} | bad), arrays=True)
     with pytest.raises(Exception, match="whole"):
         nulls.rcq(tab.withColumn("value", nulls.F.col("value") + 0.5), "bray", n=2, arrays=True).collect()
+
+
+def test_blocks_do_not_shrink_with_features(spark):
+    """A block has samples by their cells, not by all features, and is not copied."""
+    seen = []
+    real = drawn.settled
+    tab = spark.range(60000).select(drawn.F.concat(drawn.F.lit("f"), "id").alias("feature"), drawn.F.concat(drawn.F.lit("s"), (drawn.F.col("id") % 40)).alias("sample"), drawn.F.lit(2.0).alias("value"))
+    drawn.settled = lambda df: seen.append(df) or real(df)
+    try:
+        assert nulls.rcq(tab, "jaccard", n=2, arrays=True).count() == 780
+    finally:
+        drawn.settled = real
+    assert seen[-1].columns == ["block", "rows"] and seen[-1].count() == 1
+
+
+def test_draws_of_a_few_of_many(spark):
+    """Drawn one by one as by keys: how often each of two weights is taken."""
+    n, pool = 3000, (np.arange(40), np.ones(40), np.where(np.arange(40) < 4, 8.0, 1.0))
+    taken = sum(np.bincount(drawn._draw_one(4, 9, pool, f"{k}")[0], minlength=40) for k in range(n)) / n
+    rng = np.random.default_rng(0)
+    keys = sum(np.bincount(np.argsort(rng.standard_exponential(40) / pool[2])[:4], minlength=40) for _ in range(n)) / n
+    assert abs(taken[:4].mean() - keys[:4].mean()) < 0.03 and abs(taken[4:].mean() - keys[4:].mean()) < 0.01
