@@ -36,3 +36,12 @@ def test_cases(monkeypatch, tab):
     assert beta.bray(tab.limit(0)).collect() == []
     monkeypatch.setattr(pairwise, "MOST_CELLS", 2)
     assert pairwise.all_pairs(tab, pairwise.bray()) is None and beta.bray(tab).count() > 250
+
+
+def test_blocks_are_packed_behind_the_shuffle(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(pairwise, "settled", lambda df: seen.append(df) or df.persist())
+    tab = spark.createDataFrame([("a", "x", 1.0), ("a", "y", 2.0)], "feature string, sample string, value double")
+    assert pairwise.all_pairs(tab, pairwise.jaccard()).count() == 1
+    plan = seen[0]._jdf.queryExecution().analyzed().toString()
+    assert plan.startswith("FlatMapGroupsInArrow") and "RepartitionByExpression" in plan
