@@ -20,3 +20,10 @@ def test_no_read_is_a_row_of_the_plan(spark):
     tab = spark.createDataFrame([("a", "x", 50.0), ("b", "x", 30.0)], "feature string, sample string, value double")
     plan = relational.rarefy(tab, 40, 7)._jdf.queryExecution().optimizedPlan().toString()
     assert "md5(" not in plan
+
+
+def test_ids_may_be_numbers(spark):
+    cells = [(1, 7, 50.0), (2, 7, 30.0), (1, 8, 45.0)]
+    as_numbers, as_texts = (relational.rarefy(spark.createDataFrame(cells, "feature long, sample long, value double").selectExpr(f"cast(feature as {k}) feature", f"cast(sample as {k}) sample", "value"), 40, 7).collect() for k in ("long", "string"))
+    assert sorted((str(r["feature"]), str(r["sample"]), r["value"]) for r in as_numbers) == sorted((r["feature"], r["sample"], r["value"]) for r in as_texts)
+    assert sum(r["value"] for r in as_numbers) == 80
