@@ -45,3 +45,21 @@ def test_blocks_are_packed_behind_the_shuffle(spark, monkeypatch):
     assert pairwise.all_pairs(tab, pairwise.jaccard()).count() == 1
     plan = seen[0]._jdf.queryExecution().analyzed().toString()
     assert plan.startswith("FlatMapGroupsInArrow") and "RepartitionByExpression" in plan
+
+
+@pytest.mark.parametrize("kind", sorted(KINDS))
+def test_rows_of_a_cell_add_up_behind_the_shuffle(spark, monkeypatch, tab, kind):
+    """One shuffle of the table's rows, that to blocks, and no other to add them up."""
+    seen = []
+    monkeypatch.setattr(pairwise, "settled", lambda df: seen.append(df) or df.persist())
+    monkeypatch.setattr(pairwise, "BLOCK", 5)
+    rows = tab.where("value > 0 and feature is not null").selectExpr("feature", "sample", "explode(array(value - 0.5, 0.25, 0.25)) value")
+    more = rows.union(spark.createDataFrame([("f1", "s1", 2.0), ("f1", "s1", -2.0), ("x", "none", 0.0)], rows.schema))
+    got = {tuple(r)[:2]: r[2] for r in KINDS[kind](more, repeated=True).collect()}
+    want = {tuple(r)[:2]: r[2] for r in KINDS[kind](tab.where("feature is not null")).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    plan = seen[0]._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and "ENSURE_REQUIREMENTS" not in plan
+    monkeypatch.setattr(pairwise, "MOST_CELLS", 2)  # by the join
+    joined = {tuple(r)[:2]: r[2] for r in KINDS[kind](more.where("sample <> 'none'"), repeated=True).collect()}
+    assert joined.keys() == want.keys() and all(abs(joined[k] - want[k]) < 1e-9 for k in want)
