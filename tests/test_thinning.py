@@ -125,3 +125,37 @@ def test_empty(tab):
     assert relational.rarefy(tab.limit(0), 5, method="counts").collect() == []
     with pytest.raises(ValueError):
         relational.rarefy(tab, 5, method="none")
+
+
+def test_first_reads_of_one_order():
+    """Nested counts of each depth, with the distribution of draws without replacement."""
+    counts, depths = np.array([1, 2, 3, 50, 44, 100]), np.array([10, 60, 200])
+    got = np.array([thinning.firsts(counts, depths, f"x{k}") for k in range(3000)])
+    assert (got.sum(axis=2) == depths).all() and (got[:, 2] == counts).all() and (np.diff(got, axis=1) >= 0).all()
+    total = counts.sum()
+    mean = 60 * counts / total
+    var = mean * (1 - counts / total) * (total - 60) / (total - 1)
+    assert np.allclose(got[:, 1].mean(axis=0), mean, atol=5 * np.sqrt(var.max() / 3000))
+    assert np.allclose(got[:, 1].var(axis=0), var, rtol=0.15)
+
+
+@pytest.mark.parametrize("whole", [1 << 20, 4300, 0])
+def test_small_samples_take_one_row(spark, tab, monkeypatch, whole):
+    """Samples above the bound go by parts, and none else does; draws of either keep their sums."""
+    monkeypatch.setattr(thinning, "WHOLE", whole)
+    reads = {r["sample"]: r["n"] for r in tab.selectExpr("sample", "floor(value) v").groupBy("sample").agg({"v": "sum"}).toDF("sample", "n").collect()}
+    depths = spark.createDataFrame([(s, d) for s in reads for d in (1, 2, 1000, reads[s]) if d <= reads[s]], "sample string, depth long")
+    rows = thinning.drawn(tab, depths, 5)
+    by = {}
+    for r in rows.collect():
+        by.setdefault((r["sample"], r["depth"]), {})[r["feature"]] = r["n"]
+    assert {k: sum(v.values()) for k, v in by.items()} == {(r["sample"], r["depth"]): r["depth"] for r in depths.collect()}
+    for s, n in reads.items():
+        assert by[s, n] == {r["feature"]: math.floor(r["value"]) for r in tab.where(f"sample = '{s}'").collect() if r["value"] >= 1}
+        assert all(x <= by[s, n][f] for f, x in by[s, 2].items())
+
+
+def test_one_pass_for_small_samples(spark, tab):
+    depths = spark.createDataFrame([("s0", 10), ("s0", 500)], "sample string, depth long")
+    plan = thinning.drawn(tab, depths, 5)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "md5" not in plan  # two levels of parts before
