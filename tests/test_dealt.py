@@ -68,3 +68,17 @@ def test_coverm_is_one_aggregation(spark):
     assert [tuple(r) for r in tab.collect()] == [("a", "x", 4.0)] and [tuple(r) for r in unmapped.collect()] == [("x", 91.0)]
     plan = tab._jdf.queryExecution().sparkPlan().toString()
     assert plan.count("Aggregate(") == 2 and "pivotfirst" not in plan
+
+
+def test_phyl_alpha_spreads_cells_behind_their_shuffle(spark):
+    """Cells are dealt by samples to as many tasks as asked for; sums by node need no other shuffle."""
+    tab = spark.createDataFrame([("a", "x", 1.0), ("b", "x", 3.0), ("z", "x", 4.0), ("z", "w", 1.0), ("b", None, 1.0)], "feature string, sample string, value double")
+    tree = spark.createDataFrame([("r", None, 0.5), ("p", "r", 0.5), ("a", "p", 1.0), ("b", "p", 2.0), ("bb", "b", 1.0)], "node string, parent string, branchL double")
+    leaves = spark.createDataFrame([("r", "a"), ("r", "b"), ("p", "a"), ("p", "b"), ("a", "a"), ("b", "b"), ("bb", "b")], "node string, leaf string")
+    t = 0.5 * 0.5 * 2 + 0.125 + 3 * 0.375  # z has no place in the tree and counts in the total
+    for q, want in ((2, (0.25 * 2 * 0.5 + 0.125**2 + 3 * 0.375**2) / t), (0, 5 / t)):
+        out = alpha.phyl_alpha(tab, tree, leaves, q, "H", tasks=23)
+        assert [(r["sample"], pytest.approx(r["d"])) for r in out.collect()] == [("x", want)]
+    plan = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "hashpartitioning(sample" in plan and ", 23), REPARTITION_BY_NUM" in plan and "hashpartitioning(sample#" in plan
+    assert not [x for x in plan.split("\n") if "hashpartitioning(sample" in x and "ENSURE_REQUIREMENTS" in x]
